@@ -62,3 +62,27 @@ emb_long AS (
          CAST(label AS DOUBLE) AS y
   FROM embeddings
 )"""
+
+
+# Fixed layout for the embedding stand-in of a sweep: 64 values read as
+# 4 measurements × 16 points (measurement-major, like the flattened sweep).
+SWEEP_MEASUREMENTS, SWEEP_POINTS = 4, 16
+
+
+def embedding_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sweep_id, measurement, point_idx, value) from ``embeddings``."""
+    e = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    x = e.select(F.col("vec_id").alias("sweep_id"), F.posexplode("embedding").alias("pos", "value"))
+    return x.select("sweep_id",
+                    (F.col("pos") / SWEEP_POINTS).cast("int").alias("measurement"),
+                    (F.col("pos") % SWEEP_POINTS).cast("int").alias("point_idx"),
+                    F.col("value").cast("double").alias("value"))
+
+
+SQL_EMB_SWEEPS = f"""
+emb_sweeps AS (
+  SELECT sweep_id, CAST((pos - 1) // {SWEEP_POINTS} AS INTEGER) AS measurement,
+         CAST((pos - 1) % {SWEEP_POINTS} AS INTEGER) AS point_idx, value
+  FROM (SELECT vec_id AS sweep_id, generate_subscripts(embedding, 1) AS pos,
+               CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)
+)"""
