@@ -35,11 +35,13 @@ def feature_stats(long: DataFrame, feature: str = "feature_id", value: str = "va
 
 
 def feature_quartiles(long: DataFrame, feature: str = "feature_id", value: str = "value",
-                      key: str = "row_id") -> DataFrame:
+                      key: str = "row_id", digits: int | None = None) -> DataFrame:
     """Exact interpolated p25 / median / p75 per feature, skew-safe."""
     q = exact_quantiles(long, value, [0.25, 0.5, 0.75], by=[feature], tiebreak=[key],
                         names=["p25", "median", "p75"])
-    return q.select(feature, *[F.round(c, 6).alias(c) for c in ("p25", "median", "p75")])
+    if digits is None:
+        return q
+    return q.select(feature, *[F.round(c, digits).alias(c) for c in ("p25", "median", "p75")])
 
 
 def has_missing(long: DataFrame, feature: str = "feature_id", value: str = "value") -> DataFrame:

@@ -30,7 +30,7 @@ SELECT feature_id, round(quantile_cont(value, 0.25), 6) AS p25,
 FROM emb_long GROUP BY feature_id
 """)
 def a17_feature_quartiles(spark, sf_dir):
-    return st.feature_quartiles(embedding_long(spark, sf_dir, with_target=False))
+    return st.feature_quartiles(embedding_long(spark, sf_dir, with_target=False), digits=6)
 
 
 @query("p4_missing_probe", f"""
