@@ -15,6 +15,9 @@ single task.  A key that holds a third of the data therefore stalls the job.
    small table;
 4. join the offsets back (AQE broadcasts them when they are small).
 
+The numbered rows are materialised once with a reliable checkpoint so the
+count pass and the numbering pass see identical partitions.
+
 ``ntile`` and exact interpolated quantiles are derived from the same ranks, so
 none of them ever gathers a group into one task or the driver.
 """
@@ -26,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 _PID = "__pid"
 _LIX = "__lix"
@@ -53,6 +56,12 @@ def ranked(df: DataFrame, order_by: Sequence[Column | str],
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_LIX, F.monotonically_increasing_id()
                           - F.col(_PID).cast("long") * F.lit(1 << 33)))
+    # The range bounds are sampled per exchange, and the counts branch below
+    # is planned as a second exchange; materialise the numbered rows once
+    # (reliable checkpoint in spark.checkpoint.dir) so both branches read the
+    # same partitions, also after an executor loss.
+    ensure_checkpoint_dir(df.sparkSession)
+    spread = spread.checkpoint(eager=True)
     counts = spread.groupBy(_PID, *parts).agg(
         F.count(F.lit(1)).alias("__c"), F.min(_LIX).alias("__first"))
     before = Window.partitionBy(*parts).orderBy(_PID).rowsBetween(
