@@ -1 +1,85 @@
-"""Queries (filled in below)."""
+"""Outlier-detector and model queries (embeddings as sweeps, documents as regression set)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import outliers as ol
+from ..sources.tables import load
+from .catalog import query
+
+
+def _vectors(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return e.select(F.col("vec_id").alias("row_id"),
+                    F.col("embedding").cast("array<double>").alias("features"),
+                    F.col("label").alias("label"))
+
+
+@query("a7_a8_cluster_size_filter", """
+WITH c AS (SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label),
+n AS (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) AS min_size FROM embeddings)
+SELECT cluster, CAST(size AS BIGINT) AS size, min_size, size >= min_size AS valid,
+       (SELECT count(DISTINCT label) FROM embeddings) > 1 AS multi_cluster
+FROM c, n
+""")
+def a7_a8_cluster_size_filter(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumnRenamed("label", "cluster")
+    sizes = ol.cluster_sizes(v, "cluster")
+    multi = v.agg(F.countDistinct("cluster")).first()[0] > 1   # A8: one scalar
+    return sizes.withColumn("multi_cluster", F.lit(multi))
+
+
+@query("a26_j4_outlier_rows", """
+WITH c AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label),
+v AS (SELECT label FROM c WHERE size >= (SELECT floor(count(*) * 0.1) FROM embeddings))
+SELECT vec_id AS row_id FROM embeddings WHERE label NOT IN (SELECT label FROM v)
+""")
+def a26_j4_outlier_rows(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumnRenamed("label", "cluster")
+    return ol.outlier_rows(ol.cluster_size_mask(v, "cluster"))
+
+
+@query("m18_kmeans_outlier_mask")
+def m18_kmeans_outlier_mask(spark, sf_dir):
+    """k-means (k=3, best of 10 seeds) then cluster-size mask; one row per cluster."""
+    m = ol.kmeans_mask(_vectors(spark, sf_dir))
+    return m.groupBy("cluster").agg(F.count(F.lit(1)).cast("bigint").alias("size"),
+                                    F.bool_and("is_inlier").alias("valid"))
+
+
+@query("m19_outlier_flag_keep")
+def m19_outlier_flag_keep(spark, sf_dir):
+    """remove=False: every row kept, carrying its k-means inlier flag."""
+    v = _vectors(spark, sf_dir)
+    mask = ol.kmeans_mask(v)
+    return ol.keep_rows(v.select("row_id", "label"), mask, remove=False)
+
+
+@query("m20_choose_k_silhouette")
+def m20_choose_k_silhouette(spark, sf_dir):
+    return ol.choose_k(_vectors(spark, sf_dir))
+
+
+@query("m21_isolation_forest")
+def m21_isolation_forest(spark, sf_dir):
+    return ol.isolation_forest_mask(_vectors(spark, sf_dir)).select(
+        "row_id", F.round("score", 6).alias("score"), "is_inlier")
+
+
+@query("m22_local_outlier_factor", """
+WITH p AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.row_id, b.row_id AS nb, list_distance(a.v, b.v) AS dist FROM p a, p b WHERE a.row_id <> b.row_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, nb) AS rk FROM d),
+nn AS (SELECT * FROM r WHERE rk <= least(20, (SELECT count(*) FROM p) - 1)),
+kd AS (SELECT row_id AS nb, dist AS kdist FROM nn WHERE rk = least(20, (SELECT count(*) FROM p) - 1)),
+lrd AS (SELECT nn.row_id, 1.0 / (avg(greatest(nn.dist, kd.kdist)) + 1e-10) AS lrd
+        FROM nn JOIN kd USING (nb) GROUP BY nn.row_id),
+lo AS (SELECT nn.row_id, avg(l2.lrd) / any_value(l1.lrd) AS lof
+       FROM nn JOIN lrd l2 ON nn.nb = l2.row_id JOIN lrd l1 ON nn.row_id = l1.row_id GROUP BY nn.row_id),
+cut AS (SELECT quantile_cont(-lof, 0.1) AS c FROM lo)
+SELECT row_id, round(lof, 6) AS lof, -lof >= c AS is_inlier FROM lo, cut
+""")
+def m22_local_outlier_factor(spark, sf_dir):
+    r = ol.lof(_vectors(spark, sf_dir).select("row_id", "features"))
+    return r.select("row_id", F.round("lof", 6).alias("lof"), "is_inlier")
