@@ -83,3 +83,84 @@ SELECT row_id, round(lof, 6) AS lof, -lof >= c AS is_inlier FROM lo, cut
 def m22_local_outlier_factor(spark, sf_dir):
     r = ol.lof(_vectors(spark, sf_dir).select("row_id", "features"))
     return r.select("row_id", F.round("lof", 6).alias("lof"), "is_inlier")
+
+
+# ------------------------------------------------------------ kernel scores
+
+@query("a20_hsic_scores")
+def a20_hsic_scores(spark, sf_dir):
+    """Random-Fourier-feature HSIC per embedding dimension vs label (declared approximation)."""
+    from ..operators.kernel import hsic_scores
+    from .features import embedding_long
+    s = hsic_scores(embedding_long(spark, sf_dir))
+    return s.select("feature_id", "n", F.round("score", 9).alias("score"), "method")
+
+
+@query("m10_hsic_selector")
+def m10_hsic_selector(spark, sf_dir):
+    """Top-10 features by HSIC (k=10, γ=1), then the projected long rows per kept feature."""
+    from ..operators.kernel import K_BEST, hsic_scores
+    from ..operators.select import keep_features, top_k
+    from .features import embedding_long
+    long = embedding_long(spark, sf_dir)
+    top = top_k(hsic_scores(long), k=K_BEST)
+    kept = keep_features(long, top)
+    return kept.groupBy("feature_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                          F.round(F.avg("value"), 6).alias("mean"))
+
+
+# ------------------------------------------------------------------- trees
+
+def _doc_split(spark, sf_dir):
+    from ..operators.split import split
+    from .features import doc_features
+    return split(doc_features(spark, sf_dir)).na.fill(0.0, ["avg_word_len"])
+
+
+@query("m27_m31_tree_models")
+def m27_m31_tree_models(spark, sf_dir):
+    """Decision tree, forest, bagging and boosting on train; test metrics per model."""
+    from ..operators.metrics import metrics
+    from ..operators.trees import assemble, fit_tree_model
+    from .features import DOC_FEATURES
+    d = _doc_split(spark, sf_dir)
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    specs = {"tree": dict(maxDepth=8, minInstancesPerNode=2),
+             "forest": dict(numTrees=50, maxDepth=8, minInstancesPerNode=2),
+             "bagging": dict(numTrees=10, maxDepth=12),
+             "boosted": dict(maxIter=50, stepSize=0.1, maxDepth=3, subsamplingRate=1.0)}
+    out = None
+    tv = assemble(test, DOC_FEATURES)
+    for name, params in specs.items():
+        model = fit_tree_model(train, DOC_FEATURES, "y", name, **params)
+        m = metrics(model.transform(tv), "y", "prediction").withColumn("model", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("s13_j7_a24_forest_routing")
+def s13_j7_a24_forest_routing(spark, sf_dir):
+    """Forest → node table → level-by-level routing and broadcast scoring, each
+    compared with MLlib's own predictions on every document."""
+    from ..operators.trees import (assemble, ensemble_mean, ensemble_predict, fit_tree_model,
+                                   route, tree_nodes)
+    from ..session import ensure_checkpoint_dir
+    from .features import DOC_FEATURES
+    d = _doc_split(spark, sf_dir)
+    rows = d.select("row_id", "y", *DOC_FEATURES,
+                    F.array(*[F.col(c) for c in DOC_FEATURES]).alias("features"))
+    out = None
+    for kind, params in (("forest", dict(numTrees=20, maxDepth=6)), ("boosted", dict(maxIter=20, maxDepth=3))):
+        model = fit_tree_model(d.where(F.col("split") == "train"), DOC_FEATURES, "y", kind, **params)
+        nodes = tree_nodes(model, ensure_checkpoint_dir(spark)).cache()
+        mllib = model.transform(assemble(rows, DOC_FEATURES)).select("row_id", F.col("prediction").alias("p_mllib"))
+        joined = ensemble_mean(route(rows, nodes, max_depth=model.getMaxDepth())).withColumnRenamed("prediction", "p_route") \
+            .join(ensemble_predict(rows, nodes).withColumnRenamed("prediction", "p_vec"), "row_id") \
+            .join(mllib, "row_id")
+        rep = joined.agg(
+            F.count(F.lit(1)).cast("bigint").alias("n"),
+            F.round(F.max(F.abs(F.col("p_route") - F.col("p_mllib"))), 9).alias("max_diff_route"),
+            F.round(F.max(F.abs(F.col("p_vec") - F.col("p_mllib"))), 9).alias("max_diff_vectorised"),
+        ).withColumn("model", F.lit(kind)).withColumn("n_nodes", F.lit(nodes.count()))
+        out = rep if out is None else out.unionByName(rep)
+    return out
