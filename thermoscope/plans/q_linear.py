@@ -145,7 +145,8 @@ def _sql_cv_1d(rows_cte: str, fold_cte: str, alphas: str, standardize: bool) ->
     """SQL twin of the one-pass CV ridge for one feature ``x`` and target ``y``.
 
     ``rows_cte`` defines ``rows(row_id, x, y)``; ``fold_cte`` defines
-    ``fr(rep, fold, x, y)`` from it; ``alphas`` is a SQL list literal.
+    ``fr(rep, fold, x, y)`` from it; ``alphas`` is a SQL list literal or a
+    SELECT producing ``(trial, alpha)`` rows.
     """
     if standardize:
         solve = """sqrt(cxx / nt) AS sd,
@@ -155,26 +156,26 @@ def _sql_cv_1d(rows_cte: str, fold_cte: str, alphas: str, standardize: bool) ->
         solve = "0 AS sd, 1.0 AS sdx"
         w = "cxy / (cxx + alpha)"
     return f"""{rows_cte},
-sh AS (SELECT avg(x) AS mx, avg(y) AS my FROM rows),
+cv_sh AS (SELECT avg(x) AS mx, avg(y) AS my FROM rows),
 {fold_cte},
-b AS (SELECT rep, fold, count(*) AS n, sum(x - mx) AS sx, sum(y - my) AS sy,
+cv_b AS (SELECT rep, fold, count(*) AS n, sum(x - mx) AS sx, sum(y - my) AS sy,
              sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy
-      FROM fr, sh GROUP BY rep, fold),
-t AS (SELECT rep, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy
-      FROM b GROUP BY rep),
-tr AS (SELECT b.rep, b.fold, b.n, b.sx, b.sy, b.sxx, b.sxy, b.syy,
-              t.n - b.n AS nt, t.sx - b.sx AS tsx, t.sy - b.sy AS tsy, t.sxx - b.sxx AS tsxx, t.sxy - b.sxy AS tsxy
-       FROM b JOIN t USING (rep)),
-c AS (SELECT *, tsxx - nt * (tsx / nt) * (tsx / nt) AS cxx, tsxy - nt * (tsx / nt) * (tsy / nt) AS cxy FROM tr),
-a AS (SELECT unnest({alphas}) AS alpha),
-s1 AS (SELECT c.*, a.alpha, {solve} FROM c, a),
-s2 AS (SELECT *, {w} AS w FROM s1),
-s3 AS (SELECT *, tsy / nt - w * tsx / nt AS bb FROM s2),
-sc AS (SELECT CAST(rep AS INTEGER) AS repeat, CAST(fold AS INTEGER) AS fold, alpha,
+      FROM fr, cv_sh GROUP BY rep, fold),
+cv_t AS (SELECT rep, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy
+      FROM cv_b GROUP BY rep),
+cv_tr AS (SELECT cv_b.rep, cv_b.fold, cv_b.n, cv_b.sx, cv_b.sy, cv_b.sxx, cv_b.sxy, cv_b.syy,
+              cv_t.n - cv_b.n AS nt, cv_t.sx - cv_b.sx AS tsx, cv_t.sy - cv_b.sy AS tsy, cv_t.sxx - cv_b.sxx AS tsxx, cv_t.sxy - cv_b.sxy AS tsxy
+       FROM cv_b JOIN cv_t USING (rep)),
+cv_c AS (SELECT *, tsxx - nt * (tsx / nt) * (tsx / nt) AS cxx, tsxy - nt * (tsx / nt) * (tsy / nt) AS cxy FROM cv_tr),
+cv_a AS ({alphas if alphas.lstrip().upper().startswith('SELECT') else f'SELECT 0 AS trial, unnest({alphas}) AS alpha'}),
+cv_s1 AS (SELECT cv_c.*, cv_a.trial, cv_a.alpha, {solve} FROM cv_c, cv_a),
+cv_s2 AS (SELECT *, {w} AS w FROM cv_s1),
+cv_s3 AS (SELECT *, tsy / nt - w * tsx / nt AS bb FROM cv_s2),
+cv_sc AS (SELECT trial, CAST(rep AS INTEGER) AS repeat, CAST(fold AS INTEGER) AS fold, alpha,
               syy - 2 * w * sxy - 2 * bb * sy + w * w * sxx + 2 * bb * w * sx + n * bb * bb AS sse,
-              syy - sy * sy / n AS sst FROM s3),
-scores AS (SELECT repeat, fold, alpha,
-                  CASE WHEN sst > 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM sc)"""
+              syy - sy * sy / n AS sst FROM cv_s3),
+scores AS (SELECT trial, repeat, fold, alpha,
+                  CASE WHEN sst > 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM cv_sc)"""
 
 
 _TRAIN_ROWS = f"""{SQL_DOC_FEATURES.strip()},

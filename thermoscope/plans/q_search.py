@@ -1 +1,189 @@
-"""Queries (filled in below)."""
+"""Search queries: trial tables, CV scoring of trials, history, stop rule, best, slices."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import sql_hash32
+from ..operators import search as se
+from ..operators import split as sp
+from ..operators.linear import cv_ridge_scores, noise_ceiling
+from .catalog import query
+from .q_linear import _HASH_FOLDS, _TRAIN_ROWS, _sql_cv_1d, _train_docs
+
+N_TRIALS = 100
+N_RIDGE_TRIALS = 50
+
+
+def _u(expr: str, name: str) -> str:
+    return f"({sql_hash32(expr, f'{se.SEED}:{name}')} / 4294967296.0)"
+
+
+def _sql_draw(name: str, kind: str, lo: float, hi: float) -> str:
+    u = _u("trial", name)
+    if kind == "log":
+        return f"exp({math.log(lo)!r} + {u} * {math.log(hi / lo)!r})"
+    if kind == "uniform":
+        return f"({lo!r} + {u} * {hi - lo!r})"
+    return f"CAST({int(lo)} + floor({u} * {int(hi) - int(lo) + 1}) AS DOUBLE)"
+
+
+def _sql_trials(n: int, families=tuple(se.SPACE)) -> str:
+    fams = ", ".join(f"'{f}'" for f in families)
+    scal = ", ".join(f"'{s}'" for s in se.SCALERS)
+    rows = []
+    for f in families:
+        for name, kind, lo, hi in se.SPACE[f]:
+            rows.append(f"SELECT trial, '{name}' AS param, {_sql_draw(name, kind, lo, hi)} AS v "
+                        f"FROM tr WHERE model_type = '{f}'")
+    return f"""tr AS (SELECT CAST(trial AS INTEGER) AS trial,
+              [{fams}][CAST(floor({_u('trial', 'model_type')} * {len(families)}) AS INTEGER) + 1] AS model_type,
+              [{scal}][CAST(floor({_u('trial', 'scaler')} * {len(se.SCALERS)}) AS INTEGER) + 1] AS scaler
+       FROM range({n}) t(trial)),
+tp AS ({' UNION ALL '.join(rows)})"""
+
+
+@query("m34_f10_trial_table", f"""
+WITH {_sql_trials(N_TRIALS)}
+SELECT tr.trial, tr.model_type, tr.scaler, tp.param, round(tp.v, 6) AS value
+FROM tr JOIN tp USING (trial)
+""")
+def m34_f10_trial_table(spark, sf_dir):
+    # the trial count scales with the study, not the data; rows come from the
+    # documents table only through the scoring queries below
+    t = se.sample_trials(spark, N_TRIALS)
+    e = t.select("trial", "model_type", F.col("params")["scaler"].alias("scaler"),
+                 F.explode(F.map_filter("params", lambda k, v: (k != "model_type") & (k != "scaler")))
+                 .alias("param", "v"))
+    return e.select("trial", "model_type", "scaler", "param", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("p7_family_params", f"""
+WITH {_sql_trials(N_TRIALS)}
+SELECT trial, substr(param, length(model_type) + 2) AS key, round(v, 6) AS value
+FROM tr JOIN tp USING (trial)
+""")
+def p7_family_params(spark, sf_dir):
+    t = se.family_params(se.sample_trials(spark, N_TRIALS))
+    e = t.select("trial", F.explode("family_params").alias("key", "v"))
+    return e.select("trial", "key", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+_RIDGE_TRIALS_SQL = f"""SELECT CAST(trial AS INTEGER) AS trial,
+    {_sql_draw('ridge_alpha', 'log', 1e-3, 100.0)} AS alpha FROM range({N_RIDGE_TRIALS}) t(trial)"""
+_HASH_FOLDS_3 = f"""fr AS (SELECT 0 AS rep, {sp.sql_fold('row_id', 'rep', 3)} AS fold, x, y FROM rows, range(1) r(rep))"""
+
+
+def _ridge_study(spark, sf_dir):
+    trials = se.sample_trials(spark, N_RIDGE_TRIALS, families=("ridge",))
+    folded = sp.folds(_train_docs(spark, sf_dir), "row_id", k=3, repeats=1)
+    scores = se.ridge_trial_scores(spark, folded, ["n_words"], "y", trials)
+    study = se.trial_score(scores).join(
+        trials.select("trial", "params", F.col("params")["ridge_alpha"].cast("double").alias("alpha")), "trial")
+    return study
+
+
+_SQL_RIDGE_STUDY = f"""{_sql_cv_1d(_TRAIN_ROWS, _HASH_FOLDS_3, _RIDGE_TRIALS_SQL, False)},
+study AS (SELECT trial, any_value(alpha) AS alpha, CAST(count(*) AS BIGINT) AS n_folds, min(r2) AS min_fold,
+                 CASE WHEN min(r2) < -5 OR isnan(avg(r2)) THEN -999.0 ELSE avg(r2) END AS value
+          FROM scores GROUP BY trial)"""
+
+
+@query("m35_a25_ridge_trial_scores", f"""
+WITH {_SQL_RIDGE_STUDY}
+SELECT trial, round(alpha, 6) AS alpha, n_folds, round(min_fold, 6) AS min_fold, round(value, 6) AS value,
+       'COMPLETE' AS state
+FROM study
+""")
+def m35_a25_ridge_trial_scores(spark, sf_dir):
+    s = _ridge_study(spark, sf_dir)
+    return s.select("trial", F.round("alpha", 6).alias("alpha"), "n_folds",
+                    F.round("min_fold", 6).alias("min_fold"), F.round("value", 6).alias("value"), "state")
+
+
+@query("w2_w3_trial_history", f"""
+WITH {_SQL_RIDGE_STUDY},
+h AS (SELECT trial, value, max(value) OVER (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best
+      FROM study),
+c AS (SELECT 0.99 AS ceiling),
+stop AS (SELECT min(trial) AS t FROM h, c WHERE best >= ceiling - 0.01)
+SELECT trial, round(value, 6) AS value, round(best, 6) AS best_so_far
+FROM h, stop WHERE stop.t IS NULL OR trial <= stop.t
+""")
+def w2_w3_trial_history(spark, sf_dir):
+    # fixed value: the floored ceiling of the search (A6 floor)
+    h = se.trial_history(_ridge_study(spark, sf_dir))
+    kept = se.stop_at(h, 0.99, 0.01)
+    return kept.select("trial", F.round("value", 6).alias("value"), F.round("best_so_far", 6).alias("best_so_far"))
+
+
+@query("t4_best_trial", f"""
+WITH {_SQL_RIDGE_STUDY}
+SELECT trial, round(alpha, 6) AS alpha, round(value, 6) AS value FROM study
+ORDER BY round(value, 6) DESC, trial ASC LIMIT 1
+""")
+def t4_best_trial(spark, sf_dir):
+    # values equal at the reported precision (6 dp) are ties: earliest trial wins
+    s = _ridge_study(spark, sf_dir).select("trial", F.round("alpha", 6).alias("alpha"),
+                                           F.round("value", 6).alias("value"))
+    return se.best_trial(s)
+
+
+@query("m39_study_slices", f"""
+WITH {_SQL_RIDGE_STUDY}
+SELECT trial, 'ridge_alpha' AS param, round(alpha, 6) AS param_value, round(value, 6) AS value FROM study
+""")
+def m39_study_slices(spark, sf_dir):
+    s = _ridge_study(spark, sf_dir).select("trial", "value", F.map_filter(
+        "params", lambda k, v: k.startswith("ridge_")).alias("params"))
+    sl = se.slices(s)
+    return sl.select("trial", "param", F.round(F.col("param_value").cast("double"), 6).alias("param_value"),
+                     F.round("value", 6).alias("value"))
+
+
+@query("m40_param_importance", f"""
+WITH {_SQL_RIDGE_STUDY},
+s AS (SELECT 'ridge_alpha' AS param, alpha AS x, value FROM study WHERE value > -999),
+r AS (SELECT min(x) AS lo, max(x) AS hi FROM s),
+b AS (SELECT param, value, CASE WHEN hi - lo > 0 THEN least(4, floor((x - lo) / (hi - lo) * 5)) ELSE 0 END AS bin FROM s, r),
+t AS (SELECT count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM b),
+pb AS (SELECT param, bin, count(*) AS nb, avg(value) AS mb FROM b GROUP BY param, bin)
+SELECT param, round(CASE WHEN v > 0 THEN sum(nb * (mb - m) * (mb - m)) / any_value(n) / any_value(v) ELSE 0.0 END, 6) AS importance
+FROM pb, t GROUP BY param, v
+""")
+def m40_param_importance(spark, sf_dir):
+    s = _ridge_study(spark, sf_dir).select("trial", "value", F.map_filter(
+        "params", lambda k, v: k.startswith("ridge_")).alias("params"))
+    return se.importance(s).select("param", F.round("importance", 6).alias("importance"))
+
+
+@query("m38_resume_best")
+def m38_resume_best(spark, sf_dir):
+    """Persist the study (append, run-stamped) and rebuild the best trial from disk."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/trials-{uuid.uuid4().hex}"
+    study = _ridge_study(spark, sf_dir).select("trial", "alpha", "value", "state")
+    se.save_trials(study, path)
+    return se.resume_best(spark, path).select("trial", "alpha", "value", "state")
+
+
+@query("m37_final_evaluation")
+def m37_final_evaluation(spark, sf_dir):
+    """Best ridge trial refit on train, scored on test, with ceiling and best CV."""
+    from ..operators.linear import ridge_1d
+    from ..operators.metrics import metrics
+    from .q_linear import _split_docs
+    best = se.best_trial(_ridge_study(spark, sf_dir).select(
+        "trial", "alpha", F.round("value", 6).alias("value"))).first()
+    folded = sp.folds(_train_docs(spark, sf_dir), "row_id", k=5, repeats=3)
+    ceiling = noise_ceiling(cv_ridge_scores(spark, folded, ["n_words"], "y", [1.0])).first()["noise_ceiling"]
+    d = _split_docs(spark, sf_dir)
+    slope, icpt = ridge_1d(d.where(F.col("split") == "train"), "n_words", "y", best["alpha"])
+    test = d.where(F.col("split") == "test").withColumn("prediction", F.lit(icpt) + F.lit(slope) * F.col("n_words"))
+    return metrics(test, "y", "prediction").select(
+        F.col("r2").alias("test_r2"), F.col("mae").alias("test_mae"), F.col("mse").alias("test_mse"),
+        F.col("rmse").alias("test_rmse"), F.lit(round(ceiling, 6)).alias("noise_ceiling"),
+        F.lit(round(best["value"], 6)).alias("cv_best_r2"), F.lit(int(best["trial"])).alias("best_trial"))
