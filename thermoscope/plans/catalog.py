@@ -31,5 +31,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
-        q_foundation, q_stats, q_select, q_service, q_linear, q_models, q_search,
+        q_foundation, q_stats, q_select, q_service, q_linear, q_models, q_search, q_transform,
     )
