@@ -44,8 +44,8 @@ def parse_ratio(ratio: str | None, n: int) -> int | None:
 def ratio_k(ratio: Column, n: Column) -> Column:
     """T2 as a column expression (NULL = skip selection)."""
     parts = F.split(ratio, ":")
-    num = parts.getItem(0).try_cast("double")
-    den = parts.getItem(1).try_cast("double")
+    num = F.get(parts, 0).try_cast("double")   # get(): NULL instead of an ANSI index error
+    den = F.get(parts, 1).try_cast("double")
     ok = (F.size(parts) == 2) & num.isNotNull() & den.isNotNull() & (den != 0) & (num >= 0) & (den > 0)
     return F.when(ok, F.greatest(F.lit(1), F.least(n, F.floor(n * num / den)))).cast("int")
 

@@ -92,8 +92,10 @@ def route(df: DataFrame, nodes: DataFrame, features: str = "features", key: str
     """
     if nodes.count() > MAX_BROADCAST_NODES:
         raise ValueError("node table too large to broadcast")
-    nb = F.broadcast(nodes.select("tree_id", "node_id", "feature", "threshold", "left", "right",
-                                  "is_leaf", "value", "weight"))
+    nb = F.broadcast(nodes.select(
+        *[F.col(c).cast("int").alias(c) for c in ("tree_id", "node_id", "feature", "left", "right")],
+        F.col("threshold").cast("double"), F.col("is_leaf").cast("boolean"),
+        F.col("value").cast("double"), F.col("weight").cast("double")))
     n_trees = int(nodes.agg(F.max("tree_id")).first()[0]) + 1
     # every row starts at the root (node 0) of every tree: generated, not joined
     cur = df.select(key, features, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")) \
