@@ -34,6 +34,22 @@ def event_stream(spark: SparkSession, directory: str, name: str = "events.parque
                     (F.col("event_type") != "error").alias("success"), F.col("value"))
 
 
+def late_batches(query) -> list[dict]:
+    """Micro-batches whose input held rows older than the watermark (they were dropped).
+
+    Uses the query progress only: event-time min vs watermark per batch, plus
+    the state operators' own drop counters.
+    """
+    out = []
+    for p in query.recentProgress:
+        et = p.get("eventTime") or {}
+        dropped = sum(op.get("numRowsDroppedByWatermark", 0) for op in p.get("stateOperators", []))
+        if ("min" in et and "watermark" in et and et["min"] < et["watermark"]) or dropped:
+            out.append({"batch_id": p["batchId"], "min": et.get("min"), "watermark": et.get("watermark"),
+                        "dropped_by_state": dropped})
+    return out
+
+
 def windowed_stats(readings: DataFrame, every: str = "60 seconds", watermark: str = WATERMARK) -> DataFrame:
     """ST6: A15 per tumbling event-time window, late rows beyond the watermark dropped."""
     seconds = int(every.split()[0]) * (60 if "minute" in every else 1)

@@ -54,6 +54,10 @@ def parse_batch(batch: DataFrame) -> DataFrame:
                     *[F.col(f"raw_{n}").isNull().alias(f"missing_{n}") for n in MEASURES])
 
 
+def _field(name: str):
+    return lambda r: r[name]
+
+
 def file_features(parsed: DataFrame, expected_points: int | None = None) -> tuple[DataFrame, DataFrame]:
     """P1 + P5 per file: (file, ts, n_points, features) and quarantined (file, reason).
 
@@ -73,7 +77,7 @@ def file_features(parsed: DataFrame, expected_points: int | None = None) -> tupl
     if expected_points is not None:
         reason = reason.when(F.col("n_points") != expected_points, F.lit("wrong point count"))
     agg = agg.withColumn("reason", reason)
-    feats = F.concat(*[F.transform("__rows", lambda r, n=n: r[n]) for n in MEASURES])
+    feats = F.concat(*[F.transform("__rows", _field(n)) for n in MEASURES])
     good = agg.where(F.col("reason").isNull()).select(
         "file", sweep_time("file").alias("ts"), F.col("n_points").cast("bigint"), feats.alias("features"))
     bad = agg.where(F.col("reason").isNotNull()).select("file", "reason")
