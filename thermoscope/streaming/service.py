@@ -3,8 +3,10 @@
 Readings arrive as ``(event_id, sensor, ts, success, value)``.  Parquet
 timestamps come in as TIMESTAMP_NTZ, which watermarks reject, so the stream
 casts them to TIMESTAMP under the UTC session.  Rows older than the watermark
-are dropped by Spark and counted in the query progress
-(``stateOperators[].numRowsDroppedByWatermark``).
+are dropped by the stateful operator and counted in the query progress
+(``stateOperators[].numRowsDroppedByWatermark``).  Spark judges lateness
+against the watermark of the previous micro-batch, so a row is dropped once
+the watermark that makes it late has been committed.
 """
 
 from __future__ import annotations
