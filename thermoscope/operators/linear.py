@@ -30,12 +30,20 @@ def ridge_1d(df: DataFrame, x: str, y: str, alpha: float) -> tuple[float, float]
     slope = Sxy / (Sxx + α), intercept = ȳ − slope·x̄; Sxx, Sxy use Spark's
     numerically stable (co)variance aggregates.
     """
+    return ridge_1d_many(df, x, y, [alpha])[0]
+
+
+def ridge_1d_many(df: DataFrame, x: str, y: str, alphas) -> list[tuple[float, float]]:
+    """:func:`ridge_1d` for several penalties from one aggregate (one data pass)."""
     row = df.agg(
         (F.covar_pop(x, y) * F.count(x)).alias("sxy"),
         (F.var_pop(x) * F.count(x)).alias("sxx"),
         F.avg(x).alias("mx"), F.avg(y).alias("my")).first()
-    slope = row["sxy"] / (row["sxx"] + alpha)
-    return float(slope), float(row["my"] - slope * row["mx"])
+    out = []
+    for alpha in alphas:
+        slope = row["sxy"] / (row["sxx"] + alpha)
+        out.append((float(slope), float(row["my"] - slope * row["mx"])))
+    return out
 
 
 # ----------------------------------------------------------- gram statistics

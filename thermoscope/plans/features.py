@@ -31,6 +31,18 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def doc_features_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_features + the 80/10/10 split, materialised once for multi-job plans.
+
+    The whole-text regex pass is the expensive part; the result is narrow
+    (five numbers per document), so writing it once is cheaper than parsing
+    every text again for each fit and each metric.
+    """
+    from ..operators.split import split
+    from ..session import materialize
+    return materialize(split(doc_features(spark, sf_dir)))
+
+
 SQL_DOC_FEATURES = r"""
 doc_features AS (
   SELECT doc_id AS row_id,

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators.linear import ridge_1d
 from ..operators.metrics import metrics
-from ..operators.split import split, sql_split
-from .features import SQL_DOC_FEATURES, doc_features
+from ..operators.split import sql_split
+from .features import SQL_DOC_FEATURES, doc_features_split
 
 ALPHA = 1.0  # fixed value: the reference's ridge default
 
 
 def ridge_split_metrics(spark: SparkSession, sf_dir: str, alpha: float = ALPHA) -> DataFrame:
-    feats = split(doc_features(spark, sf_dir))
+    feats = doc_features_split(spark, sf_dir)
     slope, intercept = ridge_1d(feats.where(F.col("split") == "train"), "n_words", "y", alpha)
     scored = feats.withColumn("prediction", F.lit(intercept) + F.lit(slope) * F.col("n_words"))
     return metrics(scored, "y", "prediction", by=["split"])

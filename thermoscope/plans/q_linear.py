@@ -11,21 +11,20 @@ from ..operators import parity as pa
 from ..operators import split as sp
 from ..sources.sinks import metrics_long
 from .catalog import query
-from .features import DOC_FEATURES, SQL_DOC_FEATURES, doc_features
+from .features import DOC_FEATURES, SQL_DOC_FEATURES, doc_features_split
 from .flagship import ALPHA
 
 ALPHA_B = 1000.0  # second predictor of the parity job: a stronger penalty
 
 
 def _split_docs(spark, sf_dir):
-    return sp.split(doc_features(spark, sf_dir))
+    return doc_features_split(spark, sf_dir)
 
 
 def _two_models(spark, sf_dir):
     d = _split_docs(spark, sf_dir)
     train = d.where(F.col("split") == "train")
-    sa, ia = lin.ridge_1d(train, "n_words", "y", ALPHA)
-    sb, ib = lin.ridge_1d(train, "n_words", "y", ALPHA_B)
+    (sa, ia), (sb, ib) = lin.ridge_1d_many(train, "n_words", "y", [ALPHA, ALPHA_B])
     return d.select("row_id", "split", "y",
                     (F.lit(ia) + F.lit(sa) * F.col("n_words")).alias("pred_a"),
                     (F.lit(ib) + F.lit(sb) * F.col("n_words")).alias("pred_b"))

@@ -112,9 +112,8 @@ def m10_hsic_selector(spark, sf_dir):
 # ------------------------------------------------------------------- trees
 
 def _doc_split(spark, sf_dir):
-    from ..operators.split import split
-    from .features import doc_features
-    return split(doc_features(spark, sf_dir)).na.fill(0.0, ["avg_word_len"])
+    from .features import doc_features_split
+    return doc_features_split(spark, sf_dir).na.fill(0.0, ["avg_word_len"])
 
 
 @query("m27_m31_tree_models")

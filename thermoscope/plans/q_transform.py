@@ -11,7 +11,7 @@ from ..operators.linear import ridge_1d
 from ..operators.metrics import metrics
 from ..sources.tables import load
 from .catalog import query
-from .features import SQL_DOC_FEATURES, SQL_EMB_LONG, doc_features, embedding_long
+from .features import SQL_DOC_FEATURES, SQL_EMB_LONG, doc_features_split, embedding_long
 
 
 def _vectors(spark, sf_dir):
@@ -113,7 +113,7 @@ SELECT split, CAST(count(*) AS BIGINT) AS n,
 FROM p GROUP BY split
 """)
 def m17_target_transform(spark, sf_dir):
-    d = sp.split(doc_features(spark, sf_dir))
+    d = doc_features_split(spark, sf_dir)
 
     def fit(g, target):
         slope, icpt = ridge_1d(g.where(F.col("split") == "train"), "n_words", target, 1.0)

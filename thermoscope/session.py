@@ -85,3 +85,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def materialize(df):
+    """Write ``df`` once to the reliable checkpoint folder and read it back.
+
+    Used where one derived table (e.g. features parsed from whole texts)
+    feeds several jobs: the expensive pass runs once, and a lost executor
+    re-reads the checkpoint instead of recomputing the lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
