@@ -15,6 +15,7 @@ from .q_linear import _HASH_FOLDS, _TRAIN_ROWS, _sql_cv_1d, _train_docs
 
 N_TRIALS = 100
 N_RIDGE_TRIALS = 50
+_HASH_FOLDS_3 = f"""fr AS (SELECT 0 AS rep, {sp.sql_fold('row_id', 'rep', 3)} AS fold, x, y FROM rows, range(1) r(rep))"""
 
 
 def _u(expr: str, name: str) -> str:
@@ -45,35 +46,57 @@ def _sql_trials(n: int, families=tuple(se.SPACE)) -> str:
 tp AS ({' UNION ALL '.join(rows)})"""
 
 
+def _mixed_study(spark, sf_dir):
+    """100 mixed-family trials; ridge trials scored on the documents (3-fold CV
+    from one Gram job), the rest left PENDING for the MLlib path."""
+    trials = se.sample_trials(spark, N_TRIALS)
+    ridge = trials.where(F.col("model_type") == "ridge")
+    folded = sp.folds(_train_docs(spark, sf_dir), "row_id", k=3, repeats=1)
+    scored = se.trial_score(se.ridge_trial_scores(spark, folded, ["n_words"], "y", ridge))
+    study = trials.join(scored.select("trial", "value", "state"), "trial", "left")
+    return study.withColumn("state", F.coalesce("state", F.lit("PENDING")))
+
+
+def _sql_mixed_study() -> str:
+    alpha_rows = "SELECT trial, v AS alpha FROM tp WHERE param = 'ridge_alpha'"
+    cv = _sql_cv_1d(_TRAIN_ROWS, _HASH_FOLDS_3, alpha_rows, False)
+    return f"""{_sql_trials(N_TRIALS)},
+{cv},
+sc AS (SELECT trial, CASE WHEN min(r2) < -5 OR isnan(avg(r2)) THEN -999.0 ELSE avg(r2) END AS value
+       FROM scores GROUP BY trial)"""
+
+
 @query("m34_f10_trial_table", f"""
-WITH {_sql_trials(N_TRIALS)}
-SELECT tr.trial, tr.model_type, tr.scaler, tp.param, round(tp.v, 6) AS value
-FROM tr JOIN tp USING (trial)
+WITH {_sql_mixed_study()}
+SELECT tr.trial, tr.model_type, tr.scaler, tp.param, round(tp.v, 6) AS value,
+       round(sc.value, 6) AS score, CASE WHEN sc.value IS NULL THEN 'PENDING' ELSE 'COMPLETE' END AS state
+FROM tr JOIN tp USING (trial) LEFT JOIN sc USING (trial)
 """)
 def m34_f10_trial_table(spark, sf_dir):
-    # the trial count scales with the study, not the data; rows come from the
-    # documents table only through the scoring queries below
-    t = se.sample_trials(spark, N_TRIALS)
-    e = t.select("trial", "model_type", F.col("params")["scaler"].alias("scaler"),
-                 F.explode(F.map_filter("params", lambda k, v: (k != "model_type") & (k != "scaler")))
-                 .alias("param", "v"))
-    return e.select("trial", "model_type", "scaler", "param", F.round(F.col("v").cast("double"), 6).alias("value"))
-
-
-@query("p7_family_params", f"""
-WITH {_sql_trials(N_TRIALS)}
-SELECT trial, substr(param, length(model_type) + 2) AS key, round(v, 6) AS value
-FROM tr JOIN tp USING (trial)
+    study = _mixed_study(spark, sf_dir)
+    e = study.select("trial", "model_type", F.col("params")["scaler"].alias("scaler"),
+                     F.explode(F.map_filter("params", lambda k, v: (k != "model_type") & (k != "scaler")))
+                     .alias("param", "v"), "value", "state")
+    return e.select("trial", "model_type", "scaler", "param", F.round(F.col("v").cast("double"), 6).alias("value"),
+                    F.round("value", 6).alias("score"), "state")
+
+
+@query("p7_p8_family_params", f"""
+WITH {_sql_mixed_study()}
+SELECT tr.trial, substr(tp.param, length(tr.model_type) + 2) AS key, round(tp.v, 6) AS value,
+       round(sc.value, 6) AS score
+FROM tr JOIN tp USING (trial) JOIN sc USING (trial)
 """)
-def p7_family_params(spark, sf_dir):
-    t = se.family_params(se.sample_trials(spark, N_TRIALS))
-    e = t.select("trial", F.explode("family_params").alias("key", "v"))
-    return e.select("trial", "key", F.round(F.col("v").cast("double"), 6).alias("value"))
+def p7_p8_family_params(spark, sf_dir):
+    done = se.completed(_mixed_study(spark, sf_dir))
+    t = se.family_params(done)
+    e = t.select("trial", F.explode("family_params").alias("key", "v"), "value")
+    return e.select("trial", "key", F.round(F.col("v").cast("double"), 6).alias("value"),
+                    F.round("value", 6).alias("score"))
 
 
 _RIDGE_TRIALS_SQL = f"""SELECT CAST(trial AS INTEGER) AS trial,
     {_sql_draw('ridge_alpha', 'log', 1e-3, 100.0)} AS alpha FROM range({N_RIDGE_TRIALS}) t(trial)"""
-_HASH_FOLDS_3 = f"""fr AS (SELECT 0 AS rep, {sp.sql_fold('row_id', 'rep', 3)} AS fold, x, y FROM rows, range(1) r(rep))"""
 
 
 def _ridge_study(spark, sf_dir):
