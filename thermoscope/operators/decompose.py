@@ -67,8 +67,10 @@ def vector_suff(df: DataFrame, features: str, y: str | None = None,
         return pd.DataFrame(row)
 
     parts = parts.withColumn("__b", F.spark_partition_id() % buckets)
-    reduced = parts.groupBy(*gcols, "__b").applyInPandas(reduce, schema)
-    rows = reduced.collect()  # ≤ groups × √partitions partials of d² numbers
+    level1 = parts.groupBy(*gcols, "__b").applyInPandas(reduce, schema)      # ≤ √P partials per group
+    reduced = level1.groupBy(*gcols).applyInPandas(reduce, schema) if gcols else \
+        level1.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(reduce, schema)
+    rows = reduced.collect()  # exactly one d² block per group
     out: dict[tuple, Suff] = {}
     for r in rows:
         key = tuple(r[f"g{i}"] for i in range(len(by)))
