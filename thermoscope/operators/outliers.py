@@ -268,11 +268,13 @@ def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+MAX_PIVOTS = 4096  # broadcast bound; exactness does not depend on it (cells grow, sub-blocks split them)
+SLICE_ROWS = 1024  # rows per NumPy distance slice inside a task
+
+
 def _pivots(df: DataFrame, features: str, key: str, block: int, seed: int) -> np.ndarray:
     n = df.count()
-    m = max(1, int(math.ceil(n / block)))
-    if m * block > 50_000_000:
-        raise ValueError("pivot table exceeds the broadcast budget; raise block size")
+    m = min(MAX_PIVOTS, max(1, int(math.ceil(n / block))))
     h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
     rows = df.select(features, h.alias("__h")).orderBy("__h", ).limit(m).select(features).collect()
     return np.array([r[0] for r in rows], dtype=float)
@@ -300,11 +302,13 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
     def assign(batches):
         p = bpiv.value
         for pdf in batches:
-            x = np.stack(pdf[features].to_numpy()).astype(float)
-            d = _dist(x, p)
-            c = d.argmin(axis=1)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "cell": c.astype("int32"),
-                                "dc": d[np.arange(len(x)), c], features: list(x)})
+            for lo in range(0, len(pdf), SLICE_ROWS):
+                part = pdf.iloc[lo:lo + SLICE_ROWS]
+                x = np.stack(part[features].to_numpy()).astype(float)
+                d = _dist(x, p)
+                c = d.argmin(axis=1)
+                yield pd.DataFrame({key: part[key].to_numpy(), "cell": c.astype("int32"),
+                                    "dc": d[np.arange(len(x)), c], features: list(x)})
 
     pts = df.select(key, features).mapInPandas(
         assign, f"{key} long, cell int, dc double, {features} array<double>").checkpoint(eager=True)
@@ -317,26 +321,30 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
     nsub = np.maximum(1, np.ceil(size / block)).astype(np.int64)
     bcell = spark.sparkContext.broadcast((piv, radius, size, nsub))
 
+    def route_slice(pdf, p, rad, sz, ns):
+        x = np.stack(pdf[features].to_numpy()).astype(float)
+        d = _dist(x, p)
+        ub = d + rad[None, :]
+        order = np.argsort(ub, axis=1)
+        csz = np.cumsum(sz[order], axis=1)
+        # first position where the covered cells hold ≥ k others (+1 for self)
+        pos = np.minimum((csz >= k + 1).argmax(axis=1), order.shape[1] - 1)
+        u = ub[np.arange(len(x)), order[np.arange(len(x)), pos]]
+        ok = (d - rad[None, :]) <= u[:, None] + 1e-12
+        qi, ci = np.nonzero(ok & (sz[None, :] > 0))
+        subs = ns[ci]
+        rep_q = np.repeat(qi, subs)
+        rep_c = np.repeat(ci, subs)
+        starts = np.repeat(np.cumsum(subs) - subs, subs)
+        rep_s = np.arange(len(rep_q)) - starts
+        return pd.DataFrame({"q": pdf[key].to_numpy()[rep_q], "cell": rep_c.astype("int32"),
+                             "sub": rep_s.astype("int32"), "qf": [x[i] for i in rep_q]})
+
     def route(batches):
         p, rad, sz, ns = bcell.value
-        for pdf in batches:
-            x = np.stack(pdf[features].to_numpy()).astype(float)
-            d = _dist(x, p)
-            ub = d + rad[None, :]
-            order = np.argsort(ub, axis=1)
-            csz = np.cumsum(sz[order], axis=1)
-            # first position where the covered cells hold ≥ k others (+1 for self)
-            pos = np.minimum((csz >= k + 1).argmax(axis=1), order.shape[1] - 1)
-            u = ub[np.arange(len(x)), order[np.arange(len(x)), pos]]
-            ok = (d - rad[None, :]) <= u[:, None] + 1e-12
-            qi, ci = np.nonzero(ok & (sz[None, :] > 0))
-            subs = ns[ci]
-            rep_q = np.repeat(qi, subs)
-            rep_c = np.repeat(ci, subs)
-            starts = np.repeat(np.cumsum(subs) - subs, subs)
-            rep_s = np.arange(len(rep_q)) - starts
-            yield pd.DataFrame({"q": pdf[key].to_numpy()[rep_q], "cell": rep_c.astype("int32"),
-                                "sub": rep_s.astype("int32"), "qf": [x[i] for i in rep_q]})
+        for whole in batches:
+            for lo in range(0, len(whole), SLICE_ROWS):
+                yield route_slice(whole.iloc[lo:lo + SLICE_ROWS], p, rad, sz, ns)
 
     queries = pts.select(key, features).mapInPandas(
         route, "q long, cell int, sub int, qf array<double>")
