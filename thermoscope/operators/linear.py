@@ -200,7 +200,7 @@ def linear_predict(features: Sequence[str], w: Sequence[float], b: float) -> Col
 # ------------------------------------------------------- leave-one-out ridge
 
 def ridge_loo(df: DataFrame, features: Sequence[str], y: str,
-              alphas: Sequence[float]) -> DataFrame:
+              alphas: Sequence[float], digits: int = 6) -> DataFrame:
     """Leave-one-out MSE for every alpha with one extra data pass.
 
     With C = VΛVᵀ (centred Gram), each row's hat value and residual for all
@@ -239,7 +239,7 @@ def ridge_loo(df: DataFrame, features: Sequence[str], y: str,
 
     partial = df.select(*feats, y).mapInPandas(part, "alpha double, sse double, n long")
     return partial.groupBy("alpha").agg(
-        F.round(F.sum("sse") / F.sum("n"), 6).alias("loo_mse"))
+        F.round(F.sum("sse") / F.sum("n"), digits).alias("loo_mse"))
 
 
 # -------------------------------------------------- lasso and elastic net

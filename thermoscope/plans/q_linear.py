@@ -238,6 +238,25 @@ def m24_ridge_loo_alphas(spark, sf_dir):
     return lin.ridge_loo(train, list(DOC_FEATURES), "y", alphas)
 
 
+@query("m24_ridge_loo_1d", f"""
+WITH {_TRAIN_ROWS},
+st AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx,
+              covar_pop(x, y) * count(*) AS sxy FROM rows),
+a AS (SELECT pow(10, -3 + 5 * i / 49) AS alpha FROM range(50) t(i)),
+e AS (SELECT a.alpha,
+             (rows.y - (st.my + st.sxy / (st.sxx + a.alpha) * (rows.x - st.mx)))
+             / (1 - (1.0 / st.n + (rows.x - st.mx) * (rows.x - st.mx) / (st.sxx + a.alpha))) AS loo
+      FROM rows, st, a)
+SELECT round(alpha, 6) AS alpha, round(avg(loo * loo), 4) AS loo_mse FROM e GROUP BY alpha
+""")
+def m24_ridge_loo_1d(spark, sf_dir):
+    """Leave-one-out MSE of one-feature ridge for the 50-point log grid."""
+    import numpy as np
+    alphas = list(10.0 ** (-3 + 5 * np.arange(50) / 49))
+    r = lin.ridge_loo(_train_docs(spark, sf_dir), ["n_words"], "y", alphas, digits=4)
+    return r.select(F.round("alpha", 6).alias("alpha"), "loo_mse")
+
+
 @query("m25_m26_sparse_linear")
 def m25_m26_sparse_linear(spark, sf_dir):
     """Lasso and elastic net on MLlib; test-split metrics per model (rows-only)."""

@@ -182,13 +182,18 @@ def m40_param_importance(spark, sf_dir):
     return se.importance(s).select("param", F.round("importance", 6).alias("importance"))
 
 
-@query("m38_resume_best")
+@query("m38_resume_best", f"""
+WITH {_SQL_RIDGE_STUDY}
+SELECT trial, round(alpha, 6) AS alpha, round(value, 6) AS value, 'COMPLETE' AS state FROM study
+ORDER BY round(value, 6) DESC, trial ASC LIMIT 1
+""")
 def m38_resume_best(spark, sf_dir):
     """Persist the study (append, run-stamped) and rebuild the best trial from disk."""
     import uuid
     from ..session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark)}/trials-{uuid.uuid4().hex}"
-    study = _ridge_study(spark, sf_dir).select("trial", "alpha", "value", "state")
+    study = _ridge_study(spark, sf_dir).select("trial", F.round("alpha", 6).alias("alpha"),
+                                               F.round("value", 6).alias("value"), "state")
     se.save_trials(study, path)
     return se.resume_best(spark, path).select("trial", "alpha", "value", "state")
 

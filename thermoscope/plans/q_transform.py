@@ -76,8 +76,14 @@ def m15_quantile_transform(spark, sf_dir):
     return q.select("row_id", "feature_id", F.round("quantile", 6).alias("quantile"))
 
 
-_YJ_SQL = """CASE WHEN x >= 0 THEN (CASE WHEN abs(lam) < 1e-12 THEN ln(x + 1) ELSE (pow(x + 1, lam) - 1) / lam END)
-     ELSE (CASE WHEN abs(lam - 2) < 1e-12 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END) END"""
+def _yj_sql(x: str, lam: str) -> str:
+    return (f"CASE WHEN {x} >= 0 THEN (CASE WHEN abs({lam}) < 1e-12 THEN ln({x} + 1) "
+            f"ELSE (pow({x} + 1, {lam}) - 1) / {lam} END) "
+            f"ELSE (CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {x}) "
+            f"ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END) END")
+
+
+_YJ_SQL = _yj_sql("x", "lam")
 
 
 @query("m16_yeo_johnson_lambda", f"""
@@ -93,7 +99,19 @@ def m16_yeo_johnson_lambda(spark, sf_dir):
     return lam.select("feature_id", F.round("lambda", 6).alias("lambda"))
 
 
-@query("m16_yeo_johnson_transform")
+@query("m16_yeo_johnson_transform", f"""
+WITH {SQL_EMB_LONG.strip()},
+g AS (SELECT feature_id, value AS x, unnest([{', '.join(repr(float(v)) for v in tf.YJ_GRID)}]) AS lam FROM emb_long),
+t AS (SELECT feature_id, lam, x, {_YJ_SQL} AS psi FROM g),
+s AS (SELECT feature_id, lam, -count(*) / 2 * ln(var_pop(psi)) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS ll
+      FROM t GROUP BY feature_id, lam),
+best AS (SELECT feature_id, arg_max(lam, ll) AS lam FROM s GROUP BY feature_id),
+tt AS (SELECT e.row_id, e.feature_id, {_yj_sql('e.value', 'best.lam')} AS psi
+       FROM emb_long e JOIN best USING (feature_id)),
+m AS (SELECT feature_id, avg(psi) AS mu, stddev_pop(psi) AS sd FROM tt GROUP BY feature_id)
+SELECT row_id, feature_id, round((psi - mu) / CASE WHEN sd = 0 THEN 1.0 ELSE sd END, 6) AS transformed
+FROM tt JOIN m USING (feature_id)
+""")
 def m16_yeo_johnson_transform(spark, sf_dir):
     _, out = tf.yeo_johnson(embedding_long(spark, sf_dir, with_target=False))
     return out.select("row_id", "feature_id", F.round("transformed", 6).alias("transformed"))
