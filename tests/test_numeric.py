@@ -188,3 +188,32 @@ def test_scaling_identity(spark):
     rob = sc.scale(long, sc.scaler_constants(long, "robust")).orderBy("row_id").toPandas()["scaled"]
     q1, q2, q3 = np.quantile(v, [0.25, 0.5, 0.75])
     assert np.allclose(rob, (v - q2) / (q3 - q1))
+
+
+def test_ridge_trials_fit_scaler_inside_each_fold(spark):
+    from thermoscope.operators import search as se
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(90, 2)) * [3.0, 0.5] + [1.0, -2.0]
+    y = x @ [1.0, 4.0] + rng.normal(size=90)
+    df = _frame(spark, x, y)
+    folded = sp.folds(df, "row_id", k=3, repeats=1)
+    trials = spark.createDataFrame(
+        [(0, "ridge", {"ridge_alpha": "5.0", "scaler_type": "robust"}),
+         (1, "ridge", {"ridge_alpha": "5.0", "scaler_type": "standard"})],
+        "trial int, model_type string, params map<string,string>")
+    got = se.ridge_trial_scores(spark, folded, ["x0", "x1"], "y", trials).toPandas()
+    pf = folded.select("row_id", "fold").toPandas()
+    for _, r in got.iterrows():
+        val = np.isin(np.arange(90), pf[pf["fold"] == r["fold"]]["row_id"])
+        xt, yt = x[~val], y[~val]
+        if r["trial"] == 0:
+            c = np.median(xt, 0)
+            s = np.quantile(xt, 0.75, axis=0) - np.quantile(xt, 0.25, axis=0)
+        else:
+            c, s = xt.mean(0), xt.std(0)
+        z = (xt - c) / s
+        zc = z - z.mean(0)
+        w = np.linalg.solve(zc.T @ zc + 5.0 * np.eye(2), zc.T @ (yt - yt.mean()))
+        p = ((x[val] - c) / s) @ w + (yt.mean() - z.mean(0) @ w)
+        r2 = 1 - ((y[val] - p) ** 2).sum() / ((y[val] - y[val].mean()) ** 2).sum()
+        assert r["r2"] == pytest.approx(r2, abs=1e-9)

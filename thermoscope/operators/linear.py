@@ -99,14 +99,21 @@ def _suff_from_row(row, k: int) -> Suff:
                 float(row["syy"]))
 
 
-def solve_ridge(s: Suff, alpha: float, standardize: bool = False) -> tuple[np.ndarray, float]:
-    """Ridge (intercept unpenalised) from statistics: returns (w, b)."""
+def solve_ridge(s: Suff, alpha: float, standardize: bool = False,
+                scale: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Ridge (intercept unpenalised) from statistics: returns (w, b) in original units.
+
+    ``standardize`` fits on (x − mean)/std of these rows; ``scale`` fits on
+    (x − c)/scale for any per-feature scale (e.g. the fold's IQR for robust
+    scaling) — the centre is absorbed by the intercept, so only the scale
+    enters, as a per-feature penalty α·scale².
+    """
     mu, nu = s.sx / s.n, s.sy / s.n
     c_xx = s.xx - s.n * np.outer(mu, mu)
     c_xy = s.xy - s.n * mu * nu
     k = len(mu)
-    if standardize:
-        sd = np.sqrt(np.clip(np.diag(c_xx) / s.n, 0.0, None))
+    if standardize or scale is not None:
+        sd = np.sqrt(np.clip(np.diag(c_xx) / s.n, 0.0, None)) if scale is None else np.array(scale, float)
         sd[sd == 0] = 1.0
         d = 1.0 / sd
         a = c_xx * np.outer(d, d) + alpha * np.eye(k)
@@ -116,6 +123,28 @@ def solve_ridge(s: Suff, alpha: float, standardize: bool = False) -> tuple[np.nd
     return w, float(nu - w @ mu)
 
 
+def fold_train_iqr(folded: DataFrame, features: Sequence[str], key: str = "row_id",
+                   repeat: str = "repeat", fold: str = "fold") -> dict[tuple, np.ndarray]:
+    """Exact IQR of each feature over the *training* rows of every (repeat, fold).
+
+    Each row joins the k−1 training sets it belongs to (an explode, not a
+    join), then skew-safe exact quantiles run per (repeat, train fold, feature).
+    """
+    from .ranking import exact_quantiles
+    folds = sorted(r[0] for r in folded.select(fold).distinct().collect())   # k values
+    arr = F.array(*[F.lit(int(f)) for f in folds])
+    t = folded.select(key, repeat, F.explode(F.filter(arr, lambda f: f != F.col(fold))).alias("__tf"),
+                      F.inline(F.array(*[F.struct(F.lit(i).alias("__feat"), F.col(c).cast("double").alias("__v"))
+                                         for i, c in enumerate(features)])))
+    q = exact_quantiles(t, "__v", [0.25, 0.75], by=[repeat, "__tf", "__feat"], tiebreak=[key],
+                        names=["q1", "q3"]).collect()   # (repeats × k × features) rows
+    out: dict[tuple, np.ndarray] = {}
+    for r in q:
+        v = out.setdefault((r[repeat], r["__tf"]), np.ones(len(features)))
+        v[r["__feat"]] = r["q3"] - r["q1"]
+    return out
+
+
 def sse_on(s: Suff, w: np.ndarray, b: float) -> float:
     return float(s.yy - 2 * w @ s.xy - 2 * b * s.sy + w @ s.xx @ w
                  + 2 * b * (w @ s.sx) + s.n * b * b)

@@ -35,6 +35,8 @@ SPACE = {
     "ada": (("ada_n_estimators", "int", 50, 200), ("ada_learning_rate", "uniform", 0.01, 2.0)),
 }
 SCALERS = ("robust", "standard")
+SELECTION = ("True", "False")
+K_FEATURES = (100, 500)   # drawn only when selection is on and the width exceeds 500
 FAILED_SCORE, FOLD_FLOOR = -999.0, -5.0
 SEED = 42
 
@@ -58,20 +60,31 @@ def choice(trial: Column, name: str, options: Sequence[str], seed: int = SEED) -
 
 
 def sample_trials(spark: SparkSession, n: int, families: Sequence[str] = tuple(SPACE),
-                  seed: int = SEED) -> DataFrame:
-    """N trials; each draws a family, then only that family's parameters."""
+                  seed: int = SEED, n_features: int | None = None) -> DataFrame:
+    """N trials; each draws a family, then only that family's parameters,
+    plus the preprocessing choices (scaler type, selection on/off and — only
+    when selection is on and the data is wider than 500 — k_features)."""
     t = spark.range(n).select(F.col("id").cast("int").alias("trial"))
     fam = choice(F.col("trial"), "model_type", list(families), seed)
+    sel = choice(F.col("trial"), "use_feature_selection", SELECTION, seed)
     entries = [F.struct(F.lit("model_type").alias("k"), fam.alias("v")),
-               F.struct(F.lit("scaler").alias("k"), choice(F.col("trial"), "scaler", SCALERS, seed).alias("v"))]
+               F.struct(F.lit("scaler_type").alias("k"),
+                        choice(F.col("trial"), "scaler_type", SCALERS, seed).alias("v")),
+               F.struct(F.lit("use_feature_selection").alias("k"), sel.alias("v"))]
+    if n_features is not None and n_features > 500:
+        hi = min(K_FEATURES[1], n_features)
+        entries.append(F.struct(F.lit("k_features").alias("k"), F.when(
+            sel == "True", draw(F.col("trial"), "k_features", "int", K_FEATURES[0], hi, seed).cast("string"))
+            .alias("v")))
     for f in families:
         for name, kind, lo, hi in SPACE[f]:
             entries.append(F.struct(F.lit(name).alias("k"),
                                     draw(F.col("trial"), name, kind, lo, hi, seed).cast("string").alias("v")))
     allp = F.map_from_entries(F.array(*entries))
     t = t.withColumn("model_type", fam).withColumn("__all", allp)
-    keep = F.map_filter("__all", lambda k, v: (k == "model_type") | (k == "scaler") |
-                        k.startswith(F.concat(F.col("model_type"), F.lit("_"))))
+    keep = F.map_filter("__all", lambda k, v: v.isNotNull() & (
+        (k == "model_type") | (k == "scaler_type") | (k == "use_feature_selection") | (k == "k_features") |
+        k.startswith(F.concat(F.col("model_type"), F.lit("_")))))
     return t.select("trial", "model_type", keep.alias("params"))
 
 
@@ -161,12 +174,16 @@ def ridge_trial_scores(spark: SparkSession, folded: DataFrame, features: Sequenc
     """M35/J6 for ridge trials: every (trial, fold) R² from one Gram job.
 
     The trial × fold expansion happens on the driver over k×k statistics,
-    never on data rows.
+    never on data rows.  Scaling is fitted inside each fold: ``standard``
+    from the training Gram diagonal, ``robust`` from the exact IQR of the
+    training rows (one extra ranked pass, shared by all robust trials).
     """
-    from .linear import bucket_stats, r2_on, solve_ridge
-    alphas = {int(r["trial"]): float(r["alpha"]) for r in
-              trials.select("trial", F.col("params")["ridge_alpha"].cast("double").alias("alpha")).collect()}
+    from .linear import bucket_stats, fold_train_iqr, r2_on, solve_ridge
+    rows = trials.select("trial", F.col("params")["ridge_alpha"].cast("double").alias("alpha"),
+                         F.coalesce(F.col("params")["scaler_type"], F.lit("none")).alias("scaler")).collect()
+    alphas = {int(r["trial"]): (float(r["alpha"]), r["scaler"]) for r in rows}   # bounded by the trial cap
     stats = bucket_stats(folded, features, y, ["repeat", "fold"])
+    iqr = fold_train_iqr(folded, features) if any(v[1] == "robust" for v in alphas.values()) else {}
     out = []
     for rep in sorted({r for r, _ in stats}):
         buckets = {f: s for (r, f), s in stats.items() if r == rep}
@@ -175,8 +192,11 @@ def ridge_trial_scores(spark: SparkSession, folded: DataFrame, features: Sequenc
             total = s if total is None else total + s
         for f, s in sorted(buckets.items()):
             train = total - s
-            for t, a in alphas.items():
-                w, b = solve_ridge(train, a, standardize)
+            for t, (a, scaler) in alphas.items():
+                if scaler == "robust":
+                    w, b = solve_ridge(train, a, scale=iqr[(rep, f)])
+                else:
+                    w, b = solve_ridge(train, a, standardize or scaler == "standard")
                 out.append((t, int(rep), int(f), float(r2_on(s, w, b))))
     schema = T.StructType([T.StructField("trial", T.IntegerType()), T.StructField("repeat", T.IntegerType()),
                            T.StructField("fold", T.IntegerType()), T.StructField("r2", T.DoubleType())])

@@ -140,20 +140,35 @@ def s9_metrics_long(spark, sf_dir):
 
 # ----------------------------------------------------------- CV ridge (1-D)
 
-def _sql_cv_1d(rows_cte: str, fold_cte: str, alphas: str, standardize: bool) -> str:
+def _sql_cv_1d(rows_cte: str, fold_cte: str, alphas: str, standardize: bool,
+               per_trial_scaler: bool = False) -> str:
     """SQL twin of the one-pass CV ridge for one feature ``x`` and target ``y``.
 
     ``rows_cte`` defines ``rows(row_id, x, y)``; ``fold_cte`` defines
     ``fr(rep, fold, x, y)`` from it; ``alphas`` is a SQL list literal or a
     SELECT producing ``(trial, alpha)`` rows.
     """
-    if standardize:
+    if per_trial_scaler:
+        # scaler fitted on the training rows of each fold: std from the Gram, IQR exactly
+        solve = """0 AS sd, CASE scaler
+                 WHEN 'standard' THEN (CASE WHEN sqrt(cxx / nt) = 0 THEN 1.0 ELSE sqrt(cxx / nt) END)
+                 WHEN 'robust' THEN (CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END) ELSE 1.0 END AS sdx"""
+        w = "(cxy / sdx) / (cxx / (sdx * sdx) + alpha) / sdx"
+    elif standardize:
         solve = """sqrt(cxx / nt) AS sd,
                CASE WHEN sqrt(cxx / nt) = 0 THEN 1.0 ELSE sqrt(cxx / nt) END AS sdx"""
         w = "(cxy / sdx) / (cxx / (sdx * sdx) + alpha) / sdx"
     else:
         solve = "0 AS sd, 1.0 AS sdx"
         w = "cxy / (cxx + alpha)"
+    if per_trial_scaler:
+        iqr_cte = """cv_f AS (SELECT DISTINCT rep, fold FROM fr),
+cv_iqr AS (SELECT cv_f.rep, cv_f.fold, quantile_cont(fr.x, 0.75) - quantile_cont(fr.x, 0.25) AS iqr
+           FROM cv_f JOIN fr ON fr.rep = cv_f.rep AND fr.fold <> cv_f.fold GROUP BY cv_f.rep, cv_f.fold),
+"""
+        iqr_from = "cv_c JOIN cv_iqr USING (rep, fold), cv_a"
+    else:
+        iqr_cte, iqr_from = "", "cv_c, cv_a"
     return f"""{rows_cte},
 cv_sh AS (SELECT avg(x) AS mx, avg(y) AS my FROM rows),
 {fold_cte},
@@ -167,7 +182,7 @@ cv_tr AS (SELECT cv_b.rep, cv_b.fold, cv_b.n, cv_b.sx, cv_b.sy, cv_b.sxx, cv_b.s
        FROM cv_b JOIN cv_t USING (rep)),
 cv_c AS (SELECT *, tsxx - nt * (tsx / nt) * (tsx / nt) AS cxx, tsxy - nt * (tsx / nt) * (tsy / nt) AS cxy FROM cv_tr),
 cv_a AS ({alphas if alphas.lstrip().upper().startswith('SELECT') else f'SELECT 0 AS trial, unnest({alphas}) AS alpha'}),
-cv_s1 AS (SELECT cv_c.*, cv_a.trial, cv_a.alpha, {solve} FROM cv_c, cv_a),
+{iqr_cte}cv_s1 AS (SELECT cv_c.*, cv_a.trial, cv_a.alpha, {solve} FROM {iqr_from}),
 cv_s2 AS (SELECT *, {w} AS w FROM cv_s1),
 cv_s3 AS (SELECT *, tsy / nt - w * tsx / nt AS bb FROM cv_s2),
 cv_sc AS (SELECT trial, CAST(rep AS INTEGER) AS repeat, CAST(fold AS INTEGER) AS fold, alpha,

@@ -39,9 +39,12 @@ def _sql_trials(n: int, families=tuple(se.SPACE)) -> str:
         for name, kind, lo, hi in se.SPACE[f]:
             rows.append(f"SELECT trial, '{name}' AS param, {_sql_draw(name, kind, lo, hi)} AS v "
                         f"FROM tr WHERE model_type = '{f}'")
+    sel = ", ".join(f"'{s}'" for s in se.SELECTION)
     return f"""tr AS (SELECT CAST(trial AS INTEGER) AS trial,
               [{fams}][CAST(floor({_u('trial', 'model_type')} * {len(families)}) AS INTEGER) + 1] AS model_type,
-              [{scal}][CAST(floor({_u('trial', 'scaler')} * {len(se.SCALERS)}) AS INTEGER) + 1] AS scaler
+              [{scal}][CAST(floor({_u('trial', 'scaler_type')} * {len(se.SCALERS)}) AS INTEGER) + 1] AS scaler_type,
+              [{sel}][CAST(floor({_u('trial', 'use_feature_selection')} * {len(se.SELECTION)}) AS INTEGER) + 1]
+                AS use_feature_selection
        FROM range({n}) t(trial)),
 tp AS ({' UNION ALL '.join(rows)})"""
 
@@ -58,8 +61,9 @@ def _mixed_study(spark, sf_dir):
 
 
 def _sql_mixed_study() -> str:
-    alpha_rows = "SELECT trial, v AS alpha FROM tp WHERE param = 'ridge_alpha'"
-    cv = _sql_cv_1d(_TRAIN_ROWS, _HASH_FOLDS_3, alpha_rows, False)
+    alpha_rows = ("SELECT tp.trial, tp.v AS alpha, tr.scaler_type AS scaler FROM tp JOIN tr USING (trial) "
+                  "WHERE tp.param = 'ridge_alpha'")
+    cv = _sql_cv_1d(_TRAIN_ROWS, _HASH_FOLDS_3, alpha_rows, False, per_trial_scaler=True)
     return f"""{_sql_trials(N_TRIALS)},
 {cv},
 sc AS (SELECT trial, CASE WHEN min(r2) < -5 OR isnan(avg(r2)) THEN -999.0 ELSE avg(r2) END AS value
@@ -68,16 +72,19 @@ sc AS (SELECT trial, CASE WHEN min(r2) < -5 OR isnan(avg(r2)) THEN -999.0 ELSE a
 
 @query("m34_f10_trial_table", f"""
 WITH {_sql_mixed_study()}
-SELECT tr.trial, tr.model_type, tr.scaler, tp.param, round(tp.v, 6) AS value,
+SELECT tr.trial, tr.model_type, tr.scaler_type, tr.use_feature_selection, tp.param, round(tp.v, 6) AS value,
        round(sc.value, 6) AS score, CASE WHEN sc.value IS NULL THEN 'PENDING' ELSE 'COMPLETE' END AS state
 FROM tr JOIN tp USING (trial) LEFT JOIN sc USING (trial)
 """)
 def m34_f10_trial_table(spark, sf_dir):
     study = _mixed_study(spark, sf_dir)
-    e = study.select("trial", "model_type", F.col("params")["scaler"].alias("scaler"),
-                     F.explode(F.map_filter("params", lambda k, v: (k != "model_type") & (k != "scaler")))
-                     .alias("param", "v"), "value", "state")
-    return e.select("trial", "model_type", "scaler", "param", F.round(F.col("v").cast("double"), 6).alias("value"),
+    fixed = ("model_type", "scaler_type", "use_feature_selection")
+    e = study.select("trial", "model_type", F.col("params")["scaler_type"].alias("scaler_type"),
+                     F.col("params")["use_feature_selection"].alias("use_feature_selection"),
+                     F.explode(F.map_filter("params", lambda k, v: ~k.isin(*fixed))).alias("param", "v"),
+                     "value", "state")
+    return e.select("trial", "model_type", "scaler_type", "use_feature_selection", "param",
+                    F.round(F.col("v").cast("double"), 6).alias("value"),
                     F.round("value", 6).alias("score"), "state")
 
 
@@ -96,7 +103,9 @@ def p7_p8_family_params(spark, sf_dir):
 
 
 _RIDGE_TRIALS_SQL = f"""SELECT CAST(trial AS INTEGER) AS trial,
-    {_sql_draw('ridge_alpha', 'log', 1e-3, 100.0)} AS alpha FROM range({N_RIDGE_TRIALS}) t(trial)"""
+    {_sql_draw('ridge_alpha', 'log', 1e-3, 100.0)} AS alpha,
+    ['robust', 'standard'][CAST(floor({_u('trial', 'scaler_type')} * 2) AS INTEGER) + 1] AS scaler
+    FROM range({N_RIDGE_TRIALS}) t(trial)"""
 
 
 def _ridge_study(spark, sf_dir):
@@ -108,7 +117,7 @@ def _ridge_study(spark, sf_dir):
     return study
 
 
-_SQL_RIDGE_STUDY = f"""{_sql_cv_1d(_TRAIN_ROWS, _HASH_FOLDS_3, _RIDGE_TRIALS_SQL, False)},
+_SQL_RIDGE_STUDY = f"""{_sql_cv_1d(_TRAIN_ROWS, _HASH_FOLDS_3, _RIDGE_TRIALS_SQL, False, per_trial_scaler=True)},
 study AS (SELECT trial, any_value(alpha) AS alpha, CAST(count(*) AS BIGINT) AS n_folds, min(r2) AS min_fold,
                  CASE WHEN min(r2) < -5 OR isnan(avg(r2)) THEN -999.0 ELSE avg(r2) END AS value
           FROM scores GROUP BY trial)"""
