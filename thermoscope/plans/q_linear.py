@@ -236,7 +236,68 @@ def m23_ridge_fold_scores(spark, sf_dir):
     return s.select("repeat", "fold", "alpha", F.round("r2", 6).alias("r2"))
 
 
-@query("m23_ridge_multi_feature_cv")
+def _sql_cv_multi3(alpha: float) -> str:
+    """SQL twin of the standardised three-feature CV ridge (5 folds × 3 repeats).
+
+    Per-fold sums → training sums by subtraction → standardised normal
+    equations solved by Cramer's rule → validation SSE from the fold's sums.
+    """
+    k = 3
+    xs = ["n_words", "n_lines", "coalesce(avg_word_len, 0.0)"]
+    idx = range(1, k + 1)
+    pairs = [(i, j) for i in idx for j in idx if i <= j]
+    cols = ", ".join(f"{x} AS x{i}" for i, x in zip(idx, xs))
+    sums = ", ".join([f"sum(x{i} - m{i}) AS s{i}" for i in idx]
+                     + [f"sum((x{i} - m{i}) * (x{j} - m{j})) AS s{i}{j}" for i, j in pairs]
+                     + [f"sum((x{i} - m{i}) * (y - my)) AS sy{i}" for i in idx])
+    tsum = ", ".join([f"sum(s{i}) AS ts{i}" for i in idx] + [f"sum(s{i}{j}) AS ts{i}{j}" for i, j in pairs]
+                     + [f"sum(sy{i}) AS tsy{i}" for i in idx])
+    means = ", ".join(f"avg(x{i}) AS m{i}" for i in idx)
+    sym = lambda i, j: f"{min(i, j)}{max(i, j)}"
+    cent = ", ".join([f"(t.ts{sym(i, j)} - j1.s{sym(i, j)}) - nt * mu{i} * mu{j} AS c{i}{j}" for i in idx for j in idx]
+                     + [f"(t.tsy{i} - j1.sy{i}) - nt * mu{i} * nu AS cy{i}" for i in idx])
+    mu = ", ".join(f"(t.ts{i} - b.s{i}) / nt AS mu{i}" for i in idx)
+    sd = ", ".join(f"CASE WHEN sqrt(c{i}{i} / nt) = 0 THEN 1.0 ELSE sqrt(c{i}{i} / nt) END AS d{i}" for i in idx)
+    a = ", ".join(f"c{i}{j} / (d{i} * d{j}){' + ' + repr(alpha) if i == j else ''} AS a{i}{j}"
+                  for i in idx for j in idx) + ", " + ", ".join(f"cy{i} / d{i} AS r{i}" for i in idx)
+
+    def det(m):
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]})"
+                f" - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+    base = [[f"a{i}{j}" for j in idx] for i in idx]
+    dets = []
+    for c in range(k):
+        m = [row[:] for row in base]
+        for r in range(k):
+            m[r][c] = f"r{r + 1}"
+        dets.append(f"{det(m)} / {det(base)} / d{c + 1} AS w{c + 1}")
+    wcols = ", ".join(dets)
+    bb = "nu - (" + " + ".join(f"w{i} * mu{i}" for i in idx) + ")"
+    quad = " + ".join(f"w{i} * w{j} * s{sym(i, j)}" for i in idx for j in idx)
+    sse = (f"syy - 2 * ({' + '.join(f'w{i} * sy{i}' for i in idx)}) - 2 * bb * sy + ({quad})"
+           f" + 2 * bb * ({' + '.join(f'w{i} * s{i}' for i in idx)}) + n * bb * bb")
+    return f"""{SQL_DOC_FEATURES.strip()},
+rows AS (SELECT row_id, {cols}, y FROM doc_features WHERE {sp.sql_split('row_id')} = 'train'),
+fr AS (SELECT rep, {sp.sql_fold('row_id', 'rep', 5)} AS fold, x1, x2, x3, y FROM rows, range(3) r(rep)),
+sh AS (SELECT {means}, avg(y) AS my FROM fr),
+b AS (SELECT rep, fold, count(*) AS n, sum(y - my) AS sy, sum((y - my) * (y - my)) AS syy, {sums}
+      FROM fr, sh GROUP BY rep, fold),
+t AS (SELECT rep, sum(n) AS tn, sum(sy) AS tsy, {tsum} FROM b GROUP BY rep),
+j1 AS (SELECT b.*, t.tn - b.n AS nt, (t.tsy - b.sy) / (t.tn - b.n) AS nu, {mu.replace('nt', '(t.tn - b.n)')}
+       FROM b JOIN t USING (rep)),
+j2 AS (SELECT j1.*, {cent} FROM j1 JOIN t USING (rep)),
+j3 AS (SELECT *, {sd} FROM j2),
+j4 AS (SELECT *, {a} FROM j3),
+j5 AS (SELECT *, {wcols} FROM j4),
+j6 AS (SELECT *, {bb} AS bb FROM j5),
+sc AS (SELECT rep, fold, {sse} AS sse, syy - sy * sy / n AS sst FROM j6),
+scores AS (SELECT CASE WHEN sst > 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM sc)
+SELECT {alpha!r} AS alpha, CAST(count(*) AS BIGINT) AS n_folds, round(avg(r2), 6) AS baseline_r2,
+       round(stddev_pop(r2), 6) AS std_r2, round(avg(r2) + 2 * stddev_pop(r2), 6) AS noise_ceiling FROM scores"""
+
+
+@query("m23_ridge_multi_feature_cv", "WITH " + _sql_cv_multi3(1.0))
 def m23_ridge_multi_feature_cv(spark, sf_dir):
     """Three document features, standardised inside each fold (rows-only check)."""
     folded = sp.folds(_train_docs(spark, sf_dir).na.fill(0.0, ["avg_word_len"]), "row_id", k=5, repeats=3)
