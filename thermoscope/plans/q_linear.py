@@ -192,6 +192,15 @@ scores AS (SELECT trial, repeat, fold, alpha,
                   CASE WHEN sst > 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM cv_sc)"""
 
 
+def prefixed(sql: str, prefix: str, names=("rows", "fr", "scores")) -> str:
+    """Rename the generator's CTEs so two CV blocks can share one statement."""
+    import re
+    sql = re.sub(r"\bcv_", f"{prefix}cv_", sql)
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", f"{prefix}{n}", sql)
+    return sql
+
+
 _TRAIN_ROWS = f"""{SQL_DOC_FEATURES.strip()},
 rows AS (SELECT row_id, n_words AS x, y FROM doc_features WHERE {sp.sql_split('row_id')} = 'train')"""
 _HASH_FOLDS = f"""fr AS (SELECT rep, {sp.sql_fold('row_id', 'rep', 5)} AS fold, x, y FROM rows, range(3) r(rep))"""

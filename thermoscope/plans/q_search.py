@@ -11,7 +11,8 @@ from ..operators import search as se
 from ..operators import split as sp
 from ..operators.linear import cv_ridge_scores, noise_ceiling
 from .catalog import query
-from .q_linear import _HASH_FOLDS, _TRAIN_ROWS, _sql_cv_1d, _train_docs
+from .features import SQL_DOC_FEATURES
+from .q_linear import _HASH_FOLDS, _TRAIN_ROWS, _sql_cv_1d, _train_docs, prefixed
 
 N_TRIALS = 100
 N_RIDGE_TRIALS = 50
@@ -207,23 +208,64 @@ def m38_resume_best(spark, sf_dir):
     return se.resume_best(spark, path).select("trial", "alpha", "value", "state")
 
 
-@query("m37_final_evaluation")
+_SQL_FINAL = f"""
+WITH {_SQL_RIDGE_STUDY},
+best AS (SELECT s.trial, s.alpha, s.value, r.scaler FROM study s
+         JOIN ({_RIDGE_TRIALS_SQL}) r USING (trial) ORDER BY round(s.value, 6) DESC, s.trial ASC LIMIT 1),
+{prefixed(_sql_cv_1d(_TRAIN_ROWS.replace(SQL_DOC_FEATURES.strip() + ",", "", 1), _HASH_FOLDS, '[1.0]', False), 'nc_')},
+ceil AS (SELECT avg(r2) + 2 * stddev_pop(r2) AS ceiling FROM nc_scores),
+sp AS (SELECT *, {sp.sql_split('row_id')} AS split FROM doc_features),
+tr AS (SELECT count(*) AS n, avg(n_words) AS mx, avg(y) AS my, var_pop(n_words) * count(*) AS cxx,
+              covar_pop(n_words, y) * count(*) AS cxy, stddev_pop(n_words) AS sd,
+              quantile_cont(n_words, 0.75) - quantile_cont(n_words, 0.25) AS iqr FROM sp WHERE split = 'train'),
+fit AS (SELECT tr.*, best.alpha,
+               CASE best.scaler WHEN 'robust' THEN (CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END)
+                    ELSE (CASE WHEN sd = 0 THEN 1.0 ELSE sd END) END AS d FROM tr, best),
+coef AS (SELECT (cxy / d) / (cxx / (d * d) + alpha) / d AS slope, mx, my FROM fit),
+p AS (SELECT sp.y, (coef.my - coef.slope * coef.mx) + coef.slope * sp.n_words AS prediction
+      FROM sp, coef WHERE sp.split = 'test')
+SELECT round(CASE WHEN var_pop(y) * count(y) > 0 THEN 1 - sum((y - prediction) * (y - prediction)) / (var_pop(y) * count(y))
+                  WHEN sum((y - prediction) * (y - prediction)) = 0 THEN 1.0 ELSE 0.0 END, 6) AS test_r2,
+       round(avg(abs(y - prediction)), 6) AS test_mae, round(avg((y - prediction) * (y - prediction)), 6) AS test_mse,
+       round(sqrt(avg((y - prediction) * (y - prediction))), 6) AS test_rmse,
+       round(any_value(ceil.ceiling), 6) AS noise_ceiling,
+       round(any_value(best.value), 6) AS cv_best_r2, any_value(best.trial) AS best_trial
+FROM p, ceil, best
+"""
+
+
+@query("m37_final_evaluation", _SQL_FINAL)
 def m37_final_evaluation(spark, sf_dir):
-    """Best ridge trial refit on train, scored on test, with ceiling and best CV."""
-    from ..operators.linear import ridge_1d
+    """Best trial refit on train with its own scaler, scored on test, with the
+    noise ceiling and the best CV value."""
+    import numpy as np
+    from ..operators.linear import Suff, solve_ridge
     from ..operators.metrics import metrics
+    from ..operators.ranking import exact_quantiles
     from .q_linear import _split_docs
-    best = se.best_trial(_ridge_study(spark, sf_dir).select(
-        "trial", "alpha", F.round("value", 6).alias("value"))).first()
+    study = _ridge_study(spark, sf_dir).withColumn("scaler", F.col("params")["scaler_type"])
+    best = se.best_trial(study.select("trial", "alpha", "scaler", F.round("value", 6).alias("value"))).first()
     folded = sp.folds(_train_docs(spark, sf_dir), "row_id", k=5, repeats=3)
-    ceiling = noise_ceiling(cv_ridge_scores(spark, folded, ["n_words"], "y", [1.0])).first()["noise_ceiling"]
+    scores = cv_ridge_scores(spark, folded, ["n_words"], "y", [1.0])
+    ceiling = scores.agg(F.avg("r2") + 2 * F.stddev_pop("r2")).first()[0]
     d = _split_docs(spark, sf_dir)
-    slope, icpt = ridge_1d(d.where(F.col("split") == "train"), "n_words", "y", best["alpha"])
-    test = d.where(F.col("split") == "test").withColumn("prediction", F.lit(icpt) + F.lit(slope) * F.col("n_words"))
+    train = d.where(F.col("split") == "train")
+    st = train.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("sx"), F.sum("y").alias("sy"),
+                   F.sum(F.col("n_words") ** 2).alias("sxx"), F.sum(F.col("n_words") * F.col("y")).alias("sxy"),
+                   F.sum(F.col("y") ** 2).alias("syy")).first()
+    suff = Suff(float(st["n"]), np.array([st["sx"]]), float(st["sy"]), np.array([[st["sxx"]]]),
+                np.array([st["sxy"]]), float(st["syy"]))
+    if best["scaler"] == "robust":
+        q = exact_quantiles(train.select("row_id", "n_words"), "n_words", [0.25, 0.75], tiebreak=["row_id"],
+                            names=["a", "b"]).first()
+        w, b = solve_ridge(suff, best["alpha"], scale=np.array([q["b"] - q["a"]]))
+    else:
+        w, b = solve_ridge(suff, best["alpha"], standardize=True)
+    test = d.where(F.col("split") == "test").withColumn("prediction", F.lit(b) + F.lit(float(w[0])) * F.col("n_words"))
     return metrics(test, "y", "prediction").select(
         F.col("r2").alias("test_r2"), F.col("mae").alias("test_mae"), F.col("mse").alias("test_mse"),
         F.col("rmse").alias("test_rmse"), F.lit(round(ceiling, 6)).alias("noise_ceiling"),
-        F.lit(round(best["value"], 6)).alias("cv_best_r2"), F.lit(int(best["trial"])).alias("best_trial"))
+        F.lit(float(best["value"])).alias("cv_best_r2"), F.lit(int(best["trial"])).alias("best_trial"))
 
 
 @query("m34_x5_search_to_ceiling")
