@@ -132,13 +132,14 @@ def ada_boost_r2(df: DataFrame, features: Sequence[str], y: str, n_estimators: i
         model = DecisionTreeRegressor(featuresCol="features_vec", labelCol=y, weightCol="__w",
                                       maxDepth=max_depth, seed=seed + m).fit(cur)
         p = model.transform(cur).withColumn("__err", F.abs(F.col(y) - F.col("prediction")))
-        st = p.agg(F.max("__err").alias("dmax"), F.sum("__w").alias("sw")).first()
+        # one aggregate per round: max error, Σw and Σw·err give the average linear loss
+        st = p.agg(F.max("__err").alias("dmax"), F.sum("__w").alias("sw"),
+                   F.sum(F.col("__w") * F.col("__err")).alias("swe")).first()
         if not st["dmax"]:
             models.append(model)
             weights.append(1.0)
             break
-        p = p.withColumn("__e", F.col("__err") / F.lit(st["dmax"]))
-        loss = p.agg((F.sum(F.col("__w") * F.col("__e")) / F.lit(st["sw"])).alias("l")).first()["l"]
+        loss = st["swe"] / (st["dmax"] * st["sw"])
         if loss >= 0.5:
             if not models:
                 models.append(model)
@@ -147,10 +148,11 @@ def ada_boost_r2(df: DataFrame, features: Sequence[str], y: str, n_estimators: i
         beta = loss / (1.0 - loss)
         models.append(model)
         weights.append(float(learning_rate * np.log(1.0 / beta)))
-        upd = p.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), (1.0 - F.col("__e")) * learning_rate))
-        total = upd.agg(F.sum("__w")).first()[0]
-        cur = materialize(upd.withColumn("__w", F.col("__w") / F.lit(total))
-                          .select(key, *features, y, "features_vec", "__w"))
+        # weights only matter relative to each other, so they are rescaled by Σw
+        # in the next round's loss instead of a separate normalising job
+        e = F.col("__err") / F.lit(st["dmax"])
+        upd = p.withColumn("__w", F.col("__w") / F.lit(st["sw"]) * F.pow(F.lit(beta), (1.0 - e) * learning_rate))
+        cur = materialize(upd.select(key, *features, y, "features_vec", "__w"))
     return models, weights
 
 
