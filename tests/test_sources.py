@@ -35,6 +35,8 @@ def test_read_sweeps_and_pair_parts(spark, scratch):
         pd.DataFrame({"x": [1]}).to_csv(os.path.join(d, "other.txt"), index=False)
     s = fl.read_sweeps(spark, [os.path.join(scratch, "dir0"), os.path.join(scratch, "dir1")], "VNA_*.csv")
     assert s.count() == 8
+    assert sorted(r["point_idx"] for r in s.where("part_id = 0 AND file = 'VNA_1.csv'").collect()) == [0, 1]
+    assert s.where("part_id = 0 AND file = 'VNA_1.csv' AND point_idx = 0").first()["return_loss_db"] == 0.1
     assert sorted(r["file"] for r in s.select("file").distinct().collect()) == ["VNA_0.csv", "VNA_1.csv"]
     sweeps = s.groupBy("part_id", "file").count().withColumn(
         "seq", F.regexp_extract("file", r"VNA_(\d+)", 1).cast("int"))

@@ -29,9 +29,12 @@ def read_pairs(spark: SparkSession, x_path: str, y_path: str, key: str = "row_id
                target: str = "target") -> DataFrame:
     """Predictors CSV + targets CSV joined on an explicit row key.
 
-    When the files carry no key, each file gets its position from the file
-    offset order (``zipWithIndex`` is the only stable positional key for
-    CSV); with a key column the join is a plain equi-join.
+    When a file carries no key, each row gets its 0-based line position: the
+    scan's partitions follow the file's byte order, so
+    ``monotonically_increasing_id`` (partition << 33 | line in partition) is
+    increasing in file order, and the skew-safe :func:`ranked` turns it into
+    exact consecutive positions.  With a key column the join is a plain
+    equi-join.
     """
     def read(path, schema):
         r = spark.read.option("header", "true").option("mode", "PERMISSIVE")
@@ -49,9 +52,12 @@ def read_pairs(spark: SparkSession, x_path: str, y_path: str, key: str = "row_id
 
 
 def _with_position(df: DataFrame, key: str) -> DataFrame:
-    schema = T.StructType(df.schema.fields + [T.StructField(key, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda t: (*t[0], t[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    from ..operators.ranking import ranked
+    from ..session import materialize
+    # pin the scan order once, then number the rows exactly
+    pinned = materialize(df.withColumn("__order", F.monotonically_increasing_id()))
+    r = ranked(pinned, ["__order"], name="__pos")
+    return r.withColumn(key, (F.col("__pos") - 1).cast("long")).drop("__order", "__pos")
 
 
 def align(x: DataFrame, y: DataFrame, key: str = "row_id") -> DataFrame:
@@ -90,7 +96,10 @@ def read_sweeps(spark: SparkSession, dirs: Sequence[str], pattern: str = "*.csv"
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
               .option("pathGlobFilter", pattern).csv(d))
         frames.append(_sweep_rows(df).withColumn("part_id", F.lit(i)))
-    return stack(*frames)
+    from ..operators.ranking import ranked
+    # 0-based line number inside each file (scan order), skew-safe for huge sweeps
+    r = ranked(stack(*frames), ["__order"], ["part_id", "file"], name="__rn")
+    return r.withColumn("point_idx", (F.col("__rn") - 1).cast("int")).drop("__rn", "__order")
 
 
 def _sweep_rows(df: DataFrame) -> DataFrame:
