@@ -217,3 +217,34 @@ def test_ridge_trials_fit_scaler_inside_each_fold(spark):
         p = ((x[val] - c) / s) @ w + (yt.mean() - z.mean(0) @ w)
         r2 = 1 - ((y[val] - p) ** 2).sum() / ((y[val] - y[val].mean()) ** 2).sum()
         assert r["r2"] == pytest.approx(r2, abs=1e-9)
+
+
+def test_hot_sensor_streaks_and_history_exact(spark):
+    """One sensor holds a third of all readings: results must equal a brute force."""
+    import datetime as dt
+    from thermoscope.operators import service as sv
+    rng = np.random.default_rng(12)
+    n = 3000
+    sensor = np.where(np.arange(n) % 3 == 0, 0, rng.integers(1, 40, size=n))
+    ok = rng.random(n) > 0.45
+    t0 = dt.datetime(2024, 1, 1)
+    pdf = pd.DataFrame({"event_id": np.arange(n), "sensor": sensor,
+                        "ts": [t0 + dt.timedelta(seconds=int(s)) for s in rng.permutation(n)],
+                        "success": ok, "value": rng.normal(size=n)})
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = sv.failure_streaks(df, min_len=3).toPandas()
+    want = []
+    for s, g in pdf.sort_values(["ts", "event_id"]).groupby("sensor"):
+        run, start = 0, None
+        for ts, okv in zip(g["ts"], g["success"]):
+            if okv:
+                if run >= 3:
+                    want.append((s, run))
+                run = 0
+            else:
+                run += 1
+        if run >= 3:
+            want.append((s, run))
+    assert sorted(zip(got["sensor"], got["length"])) == sorted(want)
+    hist = sv.bounded_history(df, n=100).groupBy("sensor").count().toPandas().set_index("sensor")["count"]
+    assert hist.loc[0] == 100 and (hist.drop(0) == pdf[pdf["sensor"] != 0].groupby("sensor").size().clip(upper=100)).all()
