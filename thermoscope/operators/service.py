@@ -2,8 +2,8 @@
 
 A reading is one ``events`` row: ``user_id`` is the sensor, ``event_type =
 'error'`` a failed reading, ``value`` the reading / latency in ms.  Per-sensor
-orderings use :func:`ranked`, so a sensor that produces a third of all
-readings is spread over many tasks instead of one.
+orderings use :func:`ranked` or a salted two-stage top-N, so a sensor that
+produces a third of all readings is spread over many tasks instead of one.
 """
 
 from __future__ import annotations
@@ -98,10 +98,22 @@ def history(df: DataFrame, n: int, ts: str = "ts", tiebreak: str = "event_id") -
 
 
 def bounded_history(df: DataFrame, n: int = HISTORY_SIZE, by: str = "sensor",
-                    ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
-    """W4/ST7 twin: the newest ``n`` readings per sensor, skew-safe."""
-    r = ranked(df, [F.col(ts).desc(), F.col(tiebreak).desc()], [by], name="recency")
-    return r.where(F.col("recency") <= n)
+                    ts: str = "ts", tiebreak: str = "event_id", salts: int | None = None) -> DataFrame:
+    """W4/ST7 twin: the newest ``n`` readings per sensor, exact and skew-safe.
+
+    Two-stage top-n: first within (sensor, hash salt) groups — a hot sensor is
+    split ``salts`` ways — keeping n rows each, then over the ≤ salts·n
+    candidates per sensor.  No global ranking or checkpoint is needed.
+    """
+    from pyspark.sql import Window
+    from ..session import shuffle_partitions
+    salts = salts or shuffle_partitions(df.sparkSession)
+    order = [F.col(ts).desc(), F.col(tiebreak).desc()]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(tiebreak)), F.lit(salts)))
+    first = salted.withColumn("__r", F.row_number().over(Window.partitionBy(by, "__salt").orderBy(*order)))
+    cand = first.where(F.col("__r") <= n).drop("__r", "__salt")
+    final = cand.withColumn("recency", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return final.where(F.col("recency") <= n)
 
 
 def failure_streaks(df: DataFrame, by: str = "sensor", ts: str = "ts",
