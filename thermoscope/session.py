@@ -50,9 +50,36 @@ def get_spark(app: str = "thermoscope", master: str | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``thermoscope`` importable in executor Python workers.
+
+    Pandas UDFs, ``mapInPandas`` and ``applyInPandas`` functions are pickled by
+    reference to this package, so workers must be able to import it.  On a
+    cluster the launcher usually passes it with ``--py-files``; otherwise the
+    package is zipped once on the driver and added with ``addPyFile`` (Spark
+    serves the file to every executor).
+    """
+    import importlib.util
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_thermoscope_shipped", False):
+        return
+    if spark.conf.get("spark.submit.pyFiles", "") and "thermoscope" in spark.conf.get("spark.submit.pyFiles", ""):
+        sc._thermoscope_shipped = True
+        return
+    pkg = os.path.dirname(os.path.abspath(importlib.util.find_spec("thermoscope").origin))
+    out = tempfile.mkdtemp(prefix="thermoscope-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "thermoscope"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="thermoscope")
+    sc.addPyFile(archive)
+    sc._thermoscope_shipped = True
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable defaults to an existing session."""
     for k, v in _DEFAULTS.items():
@@ -63,6 +90,7 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
         except Exception:  # static conf on a shared session: leave it
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
