@@ -142,3 +142,21 @@ def test_running_totals(spark, scratch):
     t.awaitTermination(120)
     row = spark.sql("SELECT * FROM totals").first()
     assert row["n_scored"] == 2
+
+
+def test_stream_tree_scorer(spark, scratch):
+    src = os.path.join(scratch, "in")
+    os.makedirs(src)
+    frames = [_write_sweep(os.path.join(src, f"live-vna240101_00000{i}.csv"), seed=i) for i in range(3)]
+    # one split on position 16 (first return-loss point): ≤ 0 → 1.0, else 2.0
+    nodes = spark.createDataFrame(pd.DataFrame({
+        "tree_id": [0, 0, 0], "node_id": [0, 1, 2], "feature": [16, -1, -1], "threshold": [0.0, 0.0, 0.0],
+        "left": [1, -1, -1], "right": [2, -1, -1], "value": [0.0, 1.0, 2.0], "is_leaf": [False, True, True],
+        "weight": [1.0, 1.0, 1.0]}))
+    sink = os.path.join(scratch, "out")
+    q = sw.score_stream(sw.sweep_stream(spark, src), sw.tree_scorer(nodes), sink, os.path.join(scratch, "bad"),
+                        os.path.join(scratch, "ck"), expected_points=16, available_now=True)
+    q.awaitTermination(120)
+    got = spark.read.parquet(sink).orderBy("file").toPandas()
+    want = [1.0 if f["Return Loss(dB)"].iloc[0] <= 0 else 2.0 for f in frames]
+    assert list(got["prediction"]) == want

@@ -116,9 +116,8 @@ def ensemble_mean(routed: DataFrame, key: str = "row_id") -> DataFrame:
     return routed.groupBy(key).agg(F.sum(F.col("leaf_value") * F.col("weight")).alias("prediction"))
 
 
-def ensemble_predict(df: DataFrame, nodes: DataFrame, features: str = "features",
-                     key: str = "row_id") -> DataFrame:
-    """Vectorised scoring with the node arrays broadcast once per executor."""
+def prepare_trees(nodes: DataFrame):
+    """Node table → per-tree NumPy arrays, broadcast once (bounded, size checked)."""
     tab = nodes.orderBy("tree_id", "node_id").toPandas()
     if len(tab) > MAX_BROADCAST_NODES:
         raise ValueError("node table too large to broadcast")
@@ -132,7 +131,12 @@ def ensemble_predict(df: DataFrame, nodes: DataFrame, features: str = "features"
             arr[c][g.index.to_numpy()] = g[c].to_numpy()
         trees.append((arr["feature"], arr["threshold"], arr["left"], arr["right"], arr["value"],
                       float(g["weight"].iloc[0])))
-    bc = df.sparkSession.sparkContext.broadcast(trees)
+    return nodes.sparkSession.sparkContext.broadcast(trees)
+
+
+def predict_prepared(df: DataFrame, bc, features: str = "features", key: str = "row_id") -> DataFrame:
+    """Score rows with broadcast tree arrays: vectorised walk per Arrow batch."""
+    key_type = df.schema[key].dataType.simpleString()
 
     def score(batches):
         tr = bc.value
@@ -151,4 +155,10 @@ def ensemble_predict(df: DataFrame, nodes: DataFrame, features: str = "features"
                 pred += w * val[node]
             yield pd.DataFrame({key: pdf[key].to_numpy(), "prediction": pred})
 
-    return df.select(key, features).mapInPandas(score, f"{key} long, prediction double")
+    return df.select(key, features).mapInPandas(score, f"{key} {key_type}, prediction double")
+
+
+def ensemble_predict(df: DataFrame, nodes: DataFrame, features: str = "features",
+                     key: str = "row_id") -> DataFrame:
+    """Vectorised scoring with the node arrays broadcast once per executor."""
+    return predict_prepared(df, prepare_trees(nodes), features, key)

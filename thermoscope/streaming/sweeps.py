@@ -120,6 +120,34 @@ def linear_scorer(weights: list[float], intercept: float, keep: list[int] | None
     return score
 
 
+def _prepare_x(keep, center, scale):
+    x = F.col("features")
+    if keep is not None:
+        x = F.transform(F.array(*[F.lit(i + 1) for i in keep]), lambda i: F.element_at(F.col("features"), i))
+    if center is not None:
+        cs = F.arrays_zip(F.array(*[F.lit(float(c)) for c in center]).alias("c"),
+                          F.array(*[F.lit(float(s)) for s in scale]).alias("s"))
+        x = F.zip_with(x, cs, lambda v, p: (v - p["c"]) / p["s"])
+    return x
+
+
+def tree_scorer(nodes: DataFrame, keep: list[int] | None = None, center: list[float] | None = None,
+                scale: list[float] | None = None):
+    """X4 for a tree ensemble: mask → scale → node-table walk.
+
+    The node arrays are broadcast once when the scorer is built, then reused
+    by every micro-batch.
+    """
+    from ..operators.trees import predict_prepared, prepare_trees
+    bc = prepare_trees(nodes)
+
+    def score(df: DataFrame) -> DataFrame:
+        x = df.withColumn("__x", _prepare_x(keep, center, scale))
+        p = predict_prepared(x, bc, "__x", key="file")
+        return df.join(p, "file")
+    return score
+
+
 def running_totals(scored: DataFrame) -> DataFrame:
     """ST5: running count and last prediction (global streaming aggregate, complete mode)."""
     return scored.agg(F.count(F.lit(1)).alias("n_scored"),
