@@ -18,6 +18,11 @@ def pair(a: DataFrame, b: DataFrame, key: str = "row_id", pa: str = "pred_a",
         .withColumn("abs_diff", F.abs(F.col(pa) - F.col(pb)))
 
 
+def pair_columns(df: DataFrame, pa: str = "pred_a", pb: str = "pred_b") -> DataFrame:
+    """Both predictions already on each row (one scoring pass): no join needed."""
+    return df.withColumn("abs_diff", F.abs(F.col(pa) - F.col(pb)))
+
+
 def parity(pairs: DataFrame, tol: float = TOLERANCE, pa: str = "pred_a", pb: str = "pred_b",
            strict: bool = False) -> DataFrame:
     """A10 + A11 + F3: one report row."""
