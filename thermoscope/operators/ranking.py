@@ -6,17 +6,17 @@ single task.  A key that holds a third of the data therefore stalls the job.
 
 :func:`ranked` computes the same numbers without that funnel:
 
-1. range-partition on ``(g, o)`` — a hot group is spread over many
-   partitions because the range bounds are sampled from the data;
-2. sort within partitions and take the in-partition position from
-   ``monotonically_increasing_id`` (partition index << 33 | record number);
-3. count rows per ``(partition, group)`` — at most ``partitions + groups``
-   rows — and turn the counts into per-group offsets with a window over that
-   small table;
+1. assign each row a range id from P−1 bounds sampled from ``(g, o)`` — a
+   hot group is spread over many ranges because the bounds follow the data;
+2. number rows inside each ``(range, group)`` window (bounded by the range);
+3. count rows per ``(range, group)`` — at most ``ranges + groups`` rows —
+   and turn the counts into per-group offsets with a window over that small
+   table;
 4. join the offsets back (AQE broadcasts them when they are small).
 
-The numbered rows are materialised once with a reliable checkpoint so the
-count pass and the numbering pass see identical partitions.
+Range ids are a deterministic function of the row (literal bounds), so the
+count pass and the numbering pass agree and a retried task recomputes the
+same numbers without any checkpoint.
 
 ``ntile`` and exact interpolated quantiles are derived from the same ranks, so
 none of them ever gathers a group into one task or the driver.
@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import shuffle_partitions
 
 _PID = "__pid"
 _LIX = "__lix"
@@ -39,40 +39,76 @@ def _as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _sortable(c: Column | str, df: DataFrame) -> Column:
+    """Ascending-sortable form of an order key (descending numbers/times are negated)."""
+    col = _as_col(c)
+    text = str(col)                      # e.g. Column<'ts DESC NULLS LAST'>
+    if " DESC" in text:
+        inner = F.expr(text.split("'", 1)[1].split(" DESC")[0])
+        dtype = df.select(inner).schema[0].dataType.simpleString()
+        if dtype.startswith("timestamp"):
+            return -F.unix_micros(inner.cast("timestamp"))
+        if dtype in ("string", "binary", "boolean"):
+            raise ValueError("descending text keys are not supported by ranked()")
+        return -inner
+    return col
+
+
+def _bound_expr(key: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Binary search over sorted literal bounds: number of bounds < key, in [lo, hi]."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key <= bounds[mid], _bound_expr(key, bounds, lo, mid)) \
+        .otherwise(_bound_expr(key, bounds, mid + 1, hi))
+
+
 def ranked(df: DataFrame, order_by: Sequence[Column | str],
            partition_by: Sequence[str] = (), name: str = "rn",
-           count_name: str | None = None, num_partitions: int | None = None) -> DataFrame:
+           count_name: str | None = None, num_partitions: int | None = None,
+           sample_per_range: int = 100) -> DataFrame:
     """Add ``name`` = exact 1-based row number within ``partition_by``.
 
     ``order_by`` must be a total order inside each group (end it with a unique
     key) so results are deterministic.  With ``count_name`` the group size is
     added as well.
+
+    Range ids come from P−1 bounds picked from a bounded sample of the sort
+    keys (≤ ``sample_per_range``·P rows, collected once) and are assigned by a
+    literal binary search, so they are a pure function of the row: every
+    branch and every retry sees the same ids, with no checkpoint.  Rows are
+    numbered inside (range id, group) windows — a hot group spans many range
+    ids — and offset by the sizes of the earlier ranges of the same group.
     """
+    spark = df.sparkSession
     parts = list(partition_by)
-    keys = [_as_col(p) for p in parts] + [_as_col(o) for o in order_by]
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    spread = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_LIX, F.monotonically_increasing_id()
-                          - F.col(_PID).cast("long") * F.lit(1 << 33)))
-    # The range bounds are sampled per exchange, and the counts branch below
-    # is planned as a second exchange; materialise the numbered rows once
-    # (reliable checkpoint in spark.checkpoint.dir) so both branches read the
-    # same partitions, also after an executor loss.
-    ensure_checkpoint_dir(df.sparkSession)
-    spread = spread.checkpoint(eager=True)
-    counts = spread.groupBy(_PID, *parts).agg(
-        F.count(F.lit(1)).alias("__c"), F.min(_LIX).alias("__first"))
-    before = Window.partitionBy(*parts).orderBy(_PID).rowsBetween(
-        Window.unboundedPreceding, -1)
-    counts = counts.withColumn(
-        "__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    n_ranges = num_partitions or shuffle_partitions(spark)
+    sort_cols = [_sortable(p, df) for p in parts] + [_sortable(o, df) for o in order_by]
+    keyed = df.withColumn("__k", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort_cols)]))
+    total = keyed.count()
+    frac = min(1.0, sample_per_range * n_ranges / max(total, 1))
+    sample = keyed.select("__k").sample(False, frac, seed=7).orderBy("__k").collect()  # bounded
+    keys = [r["__k"] for r in sample]
+    ktype = keyed.schema["__k"].dataType
+    bounds = []
+    if len(keys) > 1:
+        step = len(keys) / n_ranges
+        picks = sorted({keys[min(len(keys) - 1, int(step * i))] for i in range(1, n_ranges)})
+        for b in picks:
+            bounds.append(F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+                                     for v, f in zip(b, ktype.fields)]))
+    rid = _bound_expr(F.col("__k"), bounds, 0, len(bounds)) if bounds else F.lit(0)
+    tagged = keyed.withColumn(_PID, rid.cast("int"))
+    local = Window.partitionBy(_PID, *parts).orderBy("__k")
+    numbered = tagged.withColumn(_LIX, F.row_number().over(local))
+    counts = tagged.groupBy(_PID, *parts).agg(F.count(F.lit(1)).alias("__c"))   # ≤ ranges + groups rows
+    before = Window.partitionBy(*parts).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
     if count_name:
         counts = counts.withColumn(count_name, F.sum("__c").over(Window.partitionBy(*parts)))
-    out = spread.join(counts, on=[_PID, *parts], how="inner")
-    out = out.withColumn(name, F.col("__before") + F.col(_LIX) - F.col("__first") + 1)
-    return out.drop(_PID, _LIX, "__c", "__first", "__before")
+    out = numbered.join(counts, on=[_PID, *parts], how="inner")
+    out = out.withColumn(name, (F.col("__before") + F.col(_LIX)).cast("long"))
+    return out.drop(_PID, _LIX, "__c", "__before", "__k")
 
 
 def ntile_of(rn: Column | str, n: Column | str, k: int) -> Column:
