@@ -160,3 +160,21 @@ def test_stream_tree_scorer(spark, scratch):
     got = spark.read.parquet(sink).orderBy("file").toPandas()
     want = [1.0 if f["Return Loss(dB)"].iloc[0] <= 0 else 2.0 for f in frames]
     assert list(got["prediction"]) == want
+
+
+def test_progress_listener_records_batches(spark):
+    import time
+    rec = ss.ProgressRecorder()
+    spark.streams.addListener(rec)
+    try:
+        q = (ss.windowed_stats(ss.event_stream(spark, SF_SMALL)).writeStream.outputMode("update")
+             .format("memory").queryName("listened").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        for _ in range(50):           # listener events arrive asynchronously
+            if any(b["name"] == "listened" for b in rec.batches):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(rec)
+    mine = [b for b in rec.batches if b["name"] == "listened"]
+    assert mine and sum(b["input_rows"] for b in mine) == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()

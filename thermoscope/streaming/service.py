@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.service import HISTORY_SIZE, RELOAD_STREAK, UNHEALTHY_STREAK
@@ -125,3 +126,31 @@ def health_stream(readings: DataFrame) -> DataFrame:
     return readings.groupBy("sensor").agg(
         F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"),
         F.count_if(~F.col("success")).alias("n_failed"))
+
+
+class ProgressRecorder(StreamingQueryListener):
+    """X5 for streams: a listener keeping one record per micro-batch.
+
+    Records (query name, batch id, input rows, rows/s, watermark, rows dropped
+    by the watermark).  Register with ``spark.streams.addListener``.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        dropped = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.batches.append({"name": p.name, "batch_id": p.batchId, "input_rows": p.numInputRows,
+                             "rows_per_second": p.processedRowsPerSecond,
+                             "watermark": (p.eventTime or {}).get("watermark"), "dropped_late": dropped})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
