@@ -294,6 +294,11 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
     4. Each (cell, sub-block) compares its routed queries with its members in
        one NumPy block (cogroup + applyInPandas) and keeps k per query; a final
        rank keeps the global k per point.
+
+    Two phases: each point first searches its own cell exactly, which gives
+    a real k-distance bound; only cells whose lower bound d(x,p_c) − R_c does
+    not exceed it are visited next (the whole-cell bound of step 2 is the
+    fallback when the own cell holds fewer than k other points).
     """
     spark = df.sparkSession
     piv = _pivots(df, features, key, block, seed)
@@ -327,10 +332,13 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
         ub = d + rad[None, :]
         order = np.argsort(ub, axis=1)
         csz = np.cumsum(sz[order], axis=1)
-        # first position where the covered cells hold ≥ k others (+1 for self)
+        # whole-cell bound: first position where the covered cells hold ≥ k others (+1 for self)
         pos = np.minimum((csz >= k + 1).argmax(axis=1), order.shape[1] - 1)
         u = ub[np.arange(len(x)), order[np.arange(len(x)), pos]]
+        u = np.minimum(u, pdf["own_u"].to_numpy())          # exact own-cell k-distance is tighter
+        own = pdf["cell"].to_numpy()
         ok = (d - rad[None, :]) <= u[:, None] + 1e-12
+        ok[np.arange(len(x)), own] = False                   # the own cell was searched in phase 1
         qi, ci = np.nonzero(ok & (sz[None, :] > 0))
         subs = ns[ci]
         rep_q = np.repeat(qi, subs)
@@ -344,15 +352,16 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
         p, rad, sz, ns = bcell.value
         for whole in batches:
             for lo in range(0, len(whole), SLICE_ROWS):
-                yield route_slice(whole.iloc[lo:lo + SLICE_ROWS], p, rad, sz, ns)
+                out = route_slice(whole.iloc[lo:lo + SLICE_ROWS], p, rad, sz, ns)
+                if len(out):           # fully pruned slices emit nothing
+                    yield out
 
-    queries = pts.select(key, features).mapInPandas(
-        route, "q long, cell int, sub int, qf array<double>")
+    nsub_of = F.element_at(F.array(*[F.lit(int(v)) for v in nsub]), F.col("cell") + 1) \
+        if len(nsub) <= 4096 else None
     members = pts.select(
         key, "cell", features,
-        F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)),
-               F.element_at(F.array(*[F.lit(int(v)) for v in nsub]), F.col("cell") + 1)).cast("int").alias("sub")
-    ) if len(nsub) <= 4096 else _members_join(pts, nsub, key, features, seed)
+        F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), nsub_of).cast("int").alias("sub")
+    ) if nsub_of is not None else _members_join(pts, nsub, key, features, seed)
 
     def block_knn(qdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or mdf.empty:
@@ -371,12 +380,26 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
         keep = np.isfinite(dist)
         return pd.DataFrame({"q": rows_q[keep], "nb": nb[keep], "dist": dist[keep]})
 
-    cand = queries.groupBy("cell", "sub").cogroup(members.groupBy("cell", "sub")).applyInPandas(
-        block_knn, "q long, nb long, dist double")
-    # exact distances for the final order: recompute on the kept candidates in the JVM is not
-    # needed; rank the (≤ k per routed block) candidates per query
     from pyspark.sql import Window
     w = Window.partitionBy("q").orderBy("dist", "nb")
+    schema = "q long, nb long, dist double"
+    # phase 1: every point against all sub-blocks of its own cell (exact)
+    q1 = pts.select(F.col(key).alias("q"), "cell",
+                    F.explode(F.sequence(F.lit(0), (nsub_of if nsub_of is not None else F.lit(0)) - 1)).alias("sub"),
+                    F.col(features).alias("qf")) if nsub_of is not None else \
+        _members_join(pts, nsub, key, features, seed).select(
+            F.col(key).alias("q"), "cell", "sub", F.col(features).alias("qf"))
+    cand1 = q1.groupBy("cell", "sub").cogroup(members.groupBy("cell", "sub")).applyInPandas(block_knn, schema)
+    top1 = cand1.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top1 = top1.checkpoint(eager=True)
+    own_u = top1.groupBy("q").agg(F.count(F.lit(1)).alias("__n"), F.max("dist").alias("__u")) \
+        .select(F.col("q").alias(key), F.when(F.col("__n") >= k, F.col("__u")).alias("own_u"))
+    # phase 2: other cells whose lower bound d(x, p_c) − R_c does not exceed the k-distance bound
+    routed_in = pts.join(own_u, key, "left").select(
+        key, "cell", features, F.coalesce("own_u", F.lit(float("inf"))).alias("own_u"))
+    q2 = routed_in.mapInPandas(route, "q long, cell int, sub int, qf array<double>")
+    cand2 = q2.groupBy("cell", "sub").cogroup(members.groupBy("cell", "sub")).applyInPandas(block_knn, schema)
+    cand = top1.select("q", "nb", "dist").unionByName(cand2)
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("q").alias(key), F.col("nb").alias("neighbor"), "dist", "rank")
 
