@@ -145,3 +145,17 @@ def test_sweep_time_from_file_name(spark):
     df = spark.createDataFrame([("live-vna240131_235959.csv",), ("notes.txt",)], "f string")
     r = df.select(sweep_time("f").cast("string").alias("t")).collect()
     assert r[0]["t"] == "2024-01-31 23:59:59" and r[1]["t"] is None
+
+
+def test_api_surface(spark):
+    from thermoscope import api
+    df = spark.createDataFrame(pd.DataFrame({"row_id": range(60), "x": np.arange(60.0),
+                                             "y": 2 * np.arange(60.0) + 1}))
+    nc = api.noise_ceiling(df, ["x"], "y", k=3, repeats=1).first()
+    assert nc["baseline_r2"] == pytest.approx(1.0)
+    (a, w, b), = api.ridge(df, ["x"], "y", [1e-9])
+    assert w[0] == pytest.approx(2.0) and b == pytest.approx(1.0, abs=1e-6)
+    f = api.folds(df, k=3, contiguous=True).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in f) == [20, 20, 20]
+    ev = api.evaluate(df, lambda d: d.withColumn("prediction", F.col("y")), ceiling=0.99)
+    assert ev.first()["test_r2"] == 1.0
