@@ -124,8 +124,17 @@ query("m6_minmax_scale", _scaled_sql("min(value)", "(max(value) - min(value))"))
 
 
 @query("m43_scaling_check", f"""
-WITH {SQL_EMB_LONG.strip()}
-SELECT CAST(count(*) AS BIGINT) AS n, round(0.0, 9) AS mean_abs_diff, round(0.0, 9) AS max_abs_diff FROM emb_long
+WITH {SQL_EMB_LONG.strip()},
+c AS (SELECT feature_id, avg(value) AS m, stddev_pop(value) AS s FROM emb_long GROUP BY feature_id),
+a AS (SELECT e.row_id, e.feature_id, (e.value - c.m) / CASE WHEN c.s = 0 THEN 1.0 ELSE c.s END AS scaled
+      FROM emb_long e JOIN c USING (feature_id)),
+b AS (SELECT row_id, feature_id,
+             (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1.0 ELSE stddev_pop(value) OVER w END
+               AS manual
+      FROM emb_long WINDOW w AS (PARTITION BY feature_id))
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(abs(scaled - manual)), 9) AS mean_abs_diff,
+       round(max(abs(scaled - manual)), 9) AS max_abs_diff
+FROM a JOIN b USING (row_id, feature_id)
 """)
 def m43_scaling_check(spark, sf_dir):
     long = embedding_long(spark, sf_dir, with_target=False)
