@@ -66,12 +66,14 @@ def _bound_expr(key: Column, bounds: list, lo: int, hi: int) -> Column:
 def ranked(df: DataFrame, order_by: Sequence[Column | str],
            partition_by: Sequence[str] = (), name: str = "rn",
            count_name: str | None = None, num_partitions: int | None = None,
-           sample_per_range: int = 100) -> DataFrame:
+           sample_per_range: int = 100, running: dict[str, Column] | None = None) -> DataFrame:
     """Add ``name`` = exact 1-based row number within ``partition_by``.
 
     ``order_by`` must be a total order inside each group (end it with a unique
     key) so results are deterministic.  With ``count_name`` the group size is
-    added as well.
+    added as well.  ``running`` maps output names to numeric expressions whose
+    running sum (in the same order, inclusive) is added the same way: a local
+    window sum plus the totals of the earlier ranges of the group.
 
     Range ids come from P−1 bounds picked from a bounded sample of the sort
     keys (≤ ``sample_per_range``·P rows, collected once) and are assigned by a
@@ -98,17 +100,30 @@ def ranked(df: DataFrame, order_by: Sequence[Column | str],
             bounds.append(F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
                                      for v, f in zip(b, ktype.fields)]))
     rid = _bound_expr(F.col("__k"), bounds, 0, len(bounds)) if bounds else F.lit(0)
+    running = running or {}
     tagged = keyed.withColumn(_PID, rid.cast("int"))
+    for i, (nm, ex) in enumerate(running.items()):
+        tagged = tagged.withColumn(f"__rv{i}", ex)
     local = Window.partitionBy(_PID, *parts).orderBy("__k")
     numbered = tagged.withColumn(_LIX, F.row_number().over(local))
-    counts = tagged.groupBy(_PID, *parts).agg(F.count(F.lit(1)).alias("__c"))   # ≤ ranges + groups rows
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    for i in range(len(running)):
+        numbered = numbered.withColumn(f"__rl{i}", F.sum(f"__rv{i}").over(upto))
+    counts = tagged.groupBy(_PID, *parts).agg(F.count(F.lit(1)).alias("__c"),   # ≤ ranges + groups rows
+                                              *[F.sum(f"__rv{i}").alias(f"__rt{i}") for i in range(len(running))])
     before = Window.partitionBy(*parts).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    for i in range(len(running)):
+        counts = counts.withColumn(f"__rb{i}", F.coalesce(F.sum(f"__rt{i}").over(before), F.lit(0)))
     if count_name:
         counts = counts.withColumn(count_name, F.sum("__c").over(Window.partitionBy(*parts)))
     out = numbered.join(counts, on=[_PID, *parts], how="inner")
     out = out.withColumn(name, (F.col("__before") + F.col(_LIX)).cast("long"))
-    return out.drop(_PID, _LIX, "__c", "__before", "__k")
+    tmp = []
+    for i, nm in enumerate(running):
+        out = out.withColumn(nm, F.col(f"__rb{i}") + F.col(f"__rl{i}"))
+        tmp += [f"__rv{i}", f"__rl{i}", f"__rt{i}", f"__rb{i}"]
+    return out.drop(_PID, _LIX, "__c", "__before", "__k", *tmp)
 
 
 def ntile_of(rn: Column | str, n: Column | str, k: int) -> Column:
