@@ -96,21 +96,25 @@ Z_LIMIT, MIN_SAMPLES_PER_FEATURE, MAX_MISSING_SHARE = 3.0, 5, 0.10
 
 
 def quality_report(long: DataFrame, targets: DataFrame, key: str = "row_id",
-                   feature: str = "feature_id", value: str = "value") -> DataFrame:
+                   feature: str = "feature_id", value: str = "value",
+                   rows: DataFrame | None = None) -> DataFrame:
     """One row per rule with the measured value and pass flag.
 
     The per-feature mean/std table has one row per feature (bounded by the
-    sweep width) and is broadcast to score z-values.
+    sweep width) and is broadcast to score z-values.  With ``rows`` (the wide
+    predictor table, one row per sample) the sample count is its row count;
+    otherwise it is the distinct keys of the long form (a shuffle of every cell).
     """
     st = long.groupBy(feature).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
     z = long.join(F.broadcast(st), feature).select(
         F.when(F.col("__s") > 0, F.abs((F.col(value) - F.col("__m")) / F.col("__s")))
         .otherwise(F.lit(0.0)).alias("z"), F.col(value), F.col(key), F.col(feature))
+    n_rows = F.lit(rows.count()) if rows is not None else F.countDistinct(key)
     a = z.agg(F.count(F.lit(1)).alias("cells"),
               F.count_if(F.col("z") > Z_LIMIT).alias("n_outlier_cells"),
               F.count_if(F.col(value).isNull() | F.isnan(F.col(value))).alias("n_missing"),
-              F.countDistinct(key).alias("n_rows"),
-              F.countDistinct(feature).alias("n_features"))
+              n_rows.alias("n_rows"),
+              F.count_distinct(feature).alias("n_features"))
     j = a.withColumn("n_targets", F.lit(targets.count()))  # one scalar
     rules = F.array(
         F.struct(F.lit("z_outlier_cells").alias("rule"), F.col("n_outlier_cells").cast("double").alias("value"),

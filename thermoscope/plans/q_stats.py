@@ -95,7 +95,9 @@ UNION ALL SELECT 'x_y_count_gap', CAST(n_rows - n_targets AS DOUBLE), n_rows = n
 """)
 def p9_quality_report(spark, sf_dir):
     long = embedding_long(spark, sf_dir, with_target=False)
-    return st.quality_report(long, load(spark, sf_dir, "embeddings", "vec_id"))
+    wide = load(spark, sf_dir, "embeddings", "vec_id")
+    # the targets (label) live on the same rows; the predictor rows are the wide table
+    return st.quality_report(long, wide, rows=wide)
 
 
 @query("a11_predictor_correlation", """
