@@ -248,3 +248,17 @@ def test_hot_sensor_streaks_and_history_exact(spark):
     assert sorted(zip(got["sensor"], got["length"])) == sorted(want)
     hist = sv.bounded_history(df, n=100).groupBy("sensor").count().toPandas().set_index("sensor")["count"]
     assert hist.loc[0] == 100 and (hist.drop(0) == pdf[pdf["sensor"] != 0].groupby("sensor").size().clip(upper=100)).all()
+
+
+def test_ranked_running_sums_equal_cumsum(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(13)
+    n = 400
+    pdf = pd.DataFrame({"id": np.arange(n), "g": np.where(np.arange(n) % 3 == 0, 0, rng.integers(1, 6, n)),
+                        "v": rng.normal(size=n), "w": rng.integers(0, 3, n)})
+    r = ranked(spark.createDataFrame(pdf), ["v", "id"], ["g"], name="rn", num_partitions=6,
+               running={"cw": F.col("w").cast("long")}).toPandas().set_index("id")
+    s = pdf.sort_values(["g", "v", "id"])
+    want = s.groupby("g")["w"].cumsum()
+    assert (r.loc[s["id"], "cw"].to_numpy() == want.to_numpy()).all()
+    assert (r.loc[s["id"], "rn"].to_numpy() == (s.groupby("g").cumcount() + 1).to_numpy()).all()
