@@ -159,3 +159,20 @@ def test_api_surface(spark):
     assert sorted(r["count"] for r in f) == [20, 20, 20]
     ev = api.evaluate(df, lambda d: d.withColumn("prediction", F.col("y")), ceiling=0.99)
     assert ev.first()["test_r2"] == 1.0
+
+
+def test_width_reduction_rules_fire_on_wide_data(spark):
+    rng = np.random.default_rng(14)
+    n, width = 12, 6000
+    x = rng.normal(size=(n, width))
+    x[:, :1500] *= 0.01                    # 1,500 near-constant features fall under var 0.1
+    y = x[:, 1600] * 3 + rng.normal(size=n) * 0.01
+    long = spark.createDataFrame(pd.DataFrame({
+        "row_id": np.repeat(np.arange(n), width), "feature_id": np.tile(np.arange(width), n),
+        "value": x.ravel(), "y": np.repeat(y, width)}))
+    stats = long.groupBy("feature_id").agg(F.var_pop("value").alias("var_pop"))
+    out = sl.reduce_width(stats, sl.f_scores(long), n_rows=n).toPandas().set_index("feature_id")
+    assert out["stage"].iloc[0] == "variance+top_k"
+    kept = out[out["keep"]]
+    assert len(kept) == n // 2             # k = min(2000, n_rows // 2)
+    assert (kept.index >= 1500).all() and 1600 in kept.index
