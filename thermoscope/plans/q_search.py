@@ -206,7 +206,8 @@ def m38_resume_best(spark, sf_dir):
     study = _ridge_study(spark, sf_dir).select("trial", F.round("alpha", 6).alias("alpha"),
                                                F.round("value", 6).alias("value"), "state")
     se.save_trials(study, path)
-    return se.resume_best(spark, path).select("trial", "alpha", "value", "state")
+    # JSON reads integers back as BIGINT: restore the trial id's INT type
+    return se.resume_best(spark, path).select(F.col("trial").cast("int").alias("trial"), "alpha", "value", "state")
 
 
 _SQL_FINAL = f"""
