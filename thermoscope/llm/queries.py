@@ -33,3 +33,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b token files of all documents, read back."""
     from .token_files import round_trip
     return round_trip(load(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
+
+
+@register
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids by the prefix table, decoded again, for all documents."""
+    from .piece_codec import digests, encode_texts
+    return digests(encode_texts(load(spark, sf_dir, "documents", "doc_id", "text"),
+                                tokenizer_file("piece_bpe_32k.model")))
