@@ -41,3 +41,11 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import digests, encode_texts
     return digests(encode_texts(load(spark, sf_dir, "documents", "doc_id", "text"),
                                 tokenizer_file("piece_bpe_32k.model")))
+
+
+@register
+def op6_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document by the byte network."""
+    from .lang_cnn import identify
+    return identify(load(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
+        "doc_id", "held_out", "lang_pred", "score")
