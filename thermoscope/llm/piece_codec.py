@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import slices_by_bytes, take_ragged
 
 SPACE = "▁"
-CACHE_SEGMENTS = 800_000
-CACHE_PAIRS = 2_000_000
-SLICE_BYTES = 12 << 20
+CACHE_SEGMENTS = 300_000
+CACHE_PAIRS = 1_000_000
+SLICE_BYTES = 6 << 20
 
 
 class PieceModel:
