@@ -89,7 +89,7 @@ class RollingHash:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.codes = rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        self.base = int(rng.integers(2**40, 2**62)) * 8 + 5
+        self.base = int(rng.integers(2**40, 2**60)) * 8 + 5
         self.inverse = pow(self.base, -1, 2**64)
         self._pow = self._inv = np.ones(1, np.uint64)
 
@@ -97,7 +97,7 @@ class RollingHash:
         if len(self._pow) < n:
             n = max(n, 2 * len(self._pow))
             for name, b in (("_pow", self.base), ("_inv", self.inverse)):
-                full = np.full(n, b, np.uint64)
+                full = np.full(n, U64(b), np.uint64)
                 full[0] = 1
                 setattr(self, name, np.cumprod(full, dtype=np.uint64))
 

@@ -49,3 +49,17 @@ def op6_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_cnn import identify
     return identify(load(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
         "doc_id", "held_out", "lang_pred", "score")
+
+
+@register
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without sentences that repeat an earlier run of sentences."""
+    from .sentence_spans import deduplicate
+    return deduplicate(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without line chunks that stand at an earlier place."""
+    from .line_chunks import deduplicate
+    return deduplicate(load(spark, sf_dir, "documents", "doc_id", "text"))
