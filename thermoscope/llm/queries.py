@@ -63,3 +63,11 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without line chunks that stand at an earlier place."""
     from .line_chunks import deduplicate
     return deduplicate(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the weak-supervision verdict of every document."""
+    from .quality_rules import judge
+    return judge(load(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
