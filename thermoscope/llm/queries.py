@@ -71,3 +71,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
     return judge(load(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@register
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) with the item contained in the document."""
+    from .decontaminate import contained
+    return contained(load(spark, sf_dir, "documents", "doc_id", "text"),
+                     load(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+SQL["op5_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE
+         list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM d),
+bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE
+         list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM b),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+SELECT ds.doc_id, bs.item_id, n.n_item, count(*) AS n_shared
+FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY ds.doc_id, bs.item_id, n.n_item
+HAVING 100 * count(*) >= 80 * n.n_item
+"""
