@@ -96,3 +96,13 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id)
 GROUP BY ds.doc_id, bs.item_id, n.n_item
 HAVING 100 * count(*) >= 80 * n.n_item
 """
+
+
+@register
+def op7_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the host's consensus path."""
+    from pyspark.sql import functions as F
+
+    from .html_paths import main_text
+    return main_text(load(spark, sf_dir, "pages", "page_id", "url", "html")).withColumn(
+        "n_chars", F.length("text").cast("long"))
