@@ -106,3 +106,10 @@ def op7_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_paths import main_text
     return main_text(load(spark, sf_dir, "pages", "page_id", "url", "html")).withColumn(
         "n_chars", F.length("text").cast("long"))
+
+
+@register
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and link component of every document."""
+    from .ngram_join import link
+    return link(load(spark, sf_dir, "documents", "doc_id", "text"))

@@ -46,8 +46,8 @@ HEAD = struct.Struct("<4sIQQI")
 PART = 4096              # ids of a coding part
 BLOCK_IDS = 1 << 17      # a block is closed by the document that reaches this
 SHARD_BYTES = 24 << 20   # text bytes of a shard
-SLICE_BYTES = 12 << 20   # text bytes tokenised together
-CACHE_WORDS = 800_000    # words a worker remembers
+SLICE_BYTES = 6 << 20   # text bytes tokenised together
+CACHE_WORDS = 350_000    # words a worker remembers
 
 # Fixed values of the coding: (ids in a word, bits of an id) by selector 1..14.
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
