@@ -113,3 +113,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and link component of every document."""
     from .ngram_join import link
     return link(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op10_prefix_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier 100-byte string, removed."""
+    from .prefix_parse import deduplicate
+    return deduplicate(load(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
