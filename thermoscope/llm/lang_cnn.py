@@ -181,8 +181,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` of every row; a map over Arrow batches without a shuffle."""
-    key_type = docs.schema[id_col].dataType.simpleString()
-    net_b = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred KB whatever the corpus
+    return _apply(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), net) \
+        .withColumnRenamed("row", id_col)
+
+
+def keep_determined(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text") -> DataFrame:
+    """Rows whose language the network can tell (all but ``und``), with all their columns."""
+    rows = _apply(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+                              F.col(text_col).alias("text")), net)
+    return rows.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+
+
+def _apply(rows: DataFrame, net: ByteConvNet | None) -> DataFrame:
+    """``row, lang_pred, score`` of (row, text)."""
+    key_type = rows.schema["row"].dataType.simpleString()
+    net_b = rows.sparkSession.sparkContext.broadcast(net)  # a few hundred KB whatever the corpus
 
     def run(batches):
         model = net_b.value
@@ -214,9 +227,9 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", te
                 lang[part] = np.array(model.labels, object)[best]
                 score[part] = np.clip(mean[np.arange(len(part)), best], 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)],
-                                             [id_col, "lang_pred", "score"])
+                                             ["row", "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {key_type}, lang_pred string, score double")
+    return rows.select("row", "text").mapInArrow(run, f"row {key_type}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -111,7 +111,7 @@ def _chunk_rows(with_bytes: bool):
 
 
 def _cut(batches):
-    names = ["doc_id", "text", "n_lines", "n_removed"]
+    names = ["doc_id", "text", "n_lines", "n_removed", "row"]
     for batch in batches:
         texts = TextBatch(batch.column(1))
         out, total, gone = [], [], []
@@ -128,7 +128,8 @@ def _cut(batches):
             total.append(len(lines))
             gone.append(int(mask.sum()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names)
+            [batch.column(0), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
+             batch.column(3)], names)
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -148,8 +149,21 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, cleaned ``text``, n_lines and n_removed of every row."""
-    part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    return _cleaned(docs, id_col, text_col, F.lit(None).cast("int")).drop("row").withColumnRenamed("doc_id", id_col)
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with the cleaned text; rows that lose all their words go."""
+    row = F.struct(*[docs[c] for c in docs.columns])
+    cleaned = _cleaned(docs, id_col, text_col, row).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return cleaned.select(*[
+        F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("row")[c]).alias(c) if c == text_col
+        else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, row) -> DataFrame:
+    part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
+    kind, kept = (part.schema[c].dataType.simpleString() for c in ("doc_id", "row"))
     joined = with_spans(part, per_document(removals(part), "pos", "stop"), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(
-        _cut, f"doc_id {kind}, text string, n_lines long, n_removed long").withColumnRenamed("doc_id", id_col)
+    return joined.select("doc_id", "text", "spans", "row").mapInArrow(
+        _cut, f"doc_id {kind}, text string, n_lines long, n_removed long, row {kept}")

@@ -275,3 +275,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     out = rows.select("doc_id", "f1", "f2", "n").join(final, ["f1", "f2", "n"], "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
+               percent: int = PERCENT) -> DataFrame:
+    """One row of every group of linked documents (its smallest id), with all columns; rows without an id stay."""
+    first = link(docs, id_col, text_col, n, percent).where(F.col("component_id") == F.col(id_col)) \
+        .select(F.col(id_col).alias("_first")).distinct()
+    kept = docs.join(first, F.col(id_col) == F.col("_first"), "left_semi").dropDuplicates([id_col])
+    return kept.union(docs.where(F.col(id_col).isNull()))
