@@ -171,8 +171,8 @@ def test_width_reduction_rules_fire_on_wide_data(spark):
         "row_id": np.repeat(np.arange(n), width), "feature_id": np.tile(np.arange(width), n),
         "value": x.ravel(), "y": np.repeat(y, width)}))
     stats = long.groupBy("feature_id").agg(F.var_pop("value").alias("var_pop"))
-    out = sl.reduce_width(stats, sl.f_scores(long), n_rows=n).toPandas().set_index("feature_id")
+    out = sl.reduce_width(stats, sl.f_scores(long)).toPandas().set_index("feature_id")
     assert out["stage"].iloc[0] == "variance+top_k"
     kept = out[out["keep"]]
-    assert len(kept) == n // 2             # k = min(2000, n_rows // 2)
+    assert len(kept) == min(2000, (width - 1500) // 2)   # half of the remaining features, at most 2,000
     assert (kept.index >= 1500).all() and 1600 in kept.index

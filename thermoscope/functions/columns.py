@@ -150,3 +150,14 @@ def prediction_log_line(ts: Column | str, file: Column | str, value: Column | st
     """S10/F6: 'yyyy-MM-dd HH:mm:ss | file | 12.34°C'."""
     return F.format_string("%s | %s | %.2f°C", F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss"),
                            _c(file), _c(value))
+
+
+def safe_corr(a, b):
+    """Pearson correlation as an aggregate; NULL when either side has no variance.
+
+    ``corr`` itself divides by zero there under ANSI rules.
+    """
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import parity_verdict
+from ..functions.columns import parity_verdict, safe_corr
 from .ranking import ranked
 
 TOLERANCE = 0.5  # fixed value: ±0.5 target accuracy
@@ -34,7 +34,7 @@ def parity(pairs: DataFrame, tol: float = TOLERANCE, pa: str = "pred_a", pb: str
         F.round(F.max(d), 6).alias("max_abs_diff"),
         F.round(F.min(d), 6).alias("min_abs_diff"),
         F.count_if(d <= tol).cast("bigint").alias("n_within"),
-        F.round(F.corr(pa, pb), 6).alias("corr"))
+        F.round(safe_corr(pa, pb), 6).alias("corr"))
     pct = F.round(F.col("n_within") * 100.0 / F.col("n"), 6)
     return rep.withColumn("pct_within", pct).withColumn("verdict", parity_verdict(pct, strict))
 

@@ -17,8 +17,10 @@ def scaler_constants(long: DataFrame, kind: str = "standard", feature: str = "fe
     """(feature_id, center, scale) for kind ∈ {standard, robust, minmax}.
 
     standard: mean, population std (zero → 1); robust: median, IQR (zero → 1)
-    from exact interpolated quartiles; minmax: min, max − min (zero → 1).
+    from exact interpolated quartiles; minmax: min, max − min (zero → 1).  NULL and
+    NaN cells are skipped.
     """
+    long = long.withColumn(value, F.when(~F.isnan(value), F.col(value)))
     if kind == "standard":
         c = long.groupBy(feature).agg(F.avg(value).alias("center"),
                                       F.stddev_pop(value).alias("scale"))
@@ -65,9 +67,10 @@ def check_scaling(scaled: DataFrame, manual: DataFrame, key: str = "row_id",
 def prep_constants(long: DataFrame, scores: DataFrame | None = None, var_threshold: float = 0.0,
                    feature: str = "feature_id", value: str = "value") -> DataFrame:
     """(feature_id, keep, center, scale, variance, importance) in one table."""
+    v = F.when(~F.isnan(value), F.col(value))   # NULL and NaN cells are skipped
     st = long.groupBy(feature).agg(
-        F.avg(value).alias("center"), F.stddev_pop(value).alias("std"),
-        F.var_pop(value).alias("variance"))
+        F.avg(v).alias("center"), F.stddev_pop(v).alias("std"),
+        F.var_pop(v).alias("variance"))
     t = st.select(feature, (F.col("variance") > var_threshold).alias("keep"),
                   F.round("center", 6).alias("center"),
                   F.round(F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")), 6).alias("scale"),

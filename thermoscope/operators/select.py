@@ -13,11 +13,19 @@ from pyspark.sql import types as T
 
 def f_scores(long: DataFrame, feature: str = "feature_id", value: str = "value",
              y: str = "y") -> DataFrame:
-    """Univariate F = r²/(1−r²)·(n−2) per feature (r = Pearson corr with y)."""
-    s = long.groupBy(feature).agg(F.corr(value, y).alias("r"), F.count(value).alias("n"))
-    r2 = F.col("r") * F.col("r")
-    score = F.when(F.col("r").isNull(), F.lit(0.0)) \
-        .otherwise(F.try_divide(r2, 1 - r2) * (F.col("n") - 2))
+    """Univariate F = r²/(1−r²)·(n−2) per feature (r = Pearson corr with y).
+
+    A perfect predictor (r² = 1) scores +infinity, so it ranks first; a feature
+    or target without variance scores 0.
+    """
+    both = F.col(value).isNotNull() & F.col(y).isNotNull()
+    v, t = F.when(both, F.col(value)), F.when(both, F.col(y))
+    s = long.groupBy(feature).agg(   # corr() itself divides by zero on a constant column
+        F.try_divide(F.pow(F.covar_pop(v, t), 2), F.var_pop(v) * F.var_pop(t)).alias("r2"),
+        F.count(value).alias("n"))
+    r2 = F.col("r2")
+    score = F.when(r2.isNull() | F.isnan(r2), F.lit(0.0)) \
+        .when(r2 >= 1, F.lit(float("inf"))).otherwise(F.try_divide(r2, 1 - r2) * (F.col("n") - 2))
     return s.select(feature, F.col("n").cast("bigint").alias("n"), score.alias("score"))
 
 
@@ -80,10 +88,10 @@ WIDTH_RULES = {
 }
 
 
-def reduce_width(stats: DataFrame, scores: DataFrame, n_rows: int, rules: str = "classic",
+def reduce_width(stats: DataFrame, scores: DataFrame, rules: str = "classic",
                  feature: str = "feature_id") -> DataFrame:
     """Variance cut when wider than the first limit, then top-k by F when
-    still wider than the second (k = min(cap, n_rows // 2)).
+    still wider than the second (k = min(cap, half of the remaining features)).
 
     Returns (feature_id, score, var_pop, keep, stage).
     """
@@ -98,7 +106,7 @@ def reduce_width(stats: DataFrame, scores: DataFrame, n_rows: int, rules: str =
     kept = table.where(keep)
     remaining = kept.count() if stage != "none" else width
     if remaining > wide2:
-        k = min(cap, n_rows // 2)
+        k = min(cap, remaining // 2)
         chosen = top_k(kept, k=k, feature=feature).select(feature, F.lit(True).alias("__top"))
         out = table.join(chosen, feature, "left").withColumn(
             "keep", keep & F.coalesce(F.col("__top"), F.lit(False))).drop("__top")
@@ -122,8 +130,10 @@ def mi_scores(long: DataFrame, bins: int = 10, y_bins: int | None = None,
               feature: str = "feature_id", value: str = "value", y: str = "y") -> DataFrame:
     """A19 (declared approximation): mutual information of equal-width binned x with y.
 
-    y is used as classes when ``y_bins`` is None, else binned equal-width.  The
-    joint-count table has at most features × bins × classes rows.
+    y is used as classes when ``y_bins`` is None; a numeric target is cut at its
+    exact quantiles into ``y_bins`` bins of equal weight (over cells, so a row
+    counts once per feature).  The joint-count table has at most features × bins ×
+    classes rows.
     """
     b = long.groupBy(feature).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     x = long.join(F.broadcast(b), feature)
@@ -133,9 +143,11 @@ def mi_scores(long: DataFrame, bins: int = 10, y_bins: int | None = None,
     if y_bins is None:
         yb = F.col(y)
     else:
-        yr = long.agg(F.min(y).alias("lo"), F.max(y).alias("hi")).first()
-        yw = (yr["hi"] - yr["lo"]) or 1.0
-        yb = F.least(F.lit(y_bins - 1), F.floor((F.col(y) - F.lit(yr["lo"])) / F.lit(yw) * y_bins)).cast("int")
+        from .ranking import exact_quantiles
+        names = [f"c{i}" for i in range(1, y_bins)]
+        cuts = exact_quantiles(long.select(F.col(y).cast("double").alias("__y")), "__y",
+                               [i / y_bins for i in range(1, y_bins)], names=names).first()
+        yb = sum((F.when(F.col(y) > F.lit(cuts[n]), 1).otherwise(0) for n in names), F.lit(0)) if cuts else F.lit(0)
     joint = x.groupBy(feature, xb.alias("xb"), yb.alias("yb")).agg(F.count(F.lit(1)).alias("nxy"))
     from pyspark.sql import Window
     by_f = Window.partitionBy(feature)

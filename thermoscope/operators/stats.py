@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import safe_corr
 from .ranking import exact_quantiles
 
 
@@ -30,7 +31,7 @@ def feature_stats(long: DataFrame, feature: str = "feature_id", value: str = "va
         F.round(F.max(valid), digits).alias("max"),
     ]
     if y:
-        aggs.append(F.round(F.corr(valid, F.col(y)), digits).alias("corr_y"))
+        aggs.append(F.round(safe_corr(valid, F.col(y)), digits).alias("corr_y"))
     return long.groupBy(feature).agg(*aggs)
 
 
@@ -105,9 +106,10 @@ def quality_report(long: DataFrame, targets: DataFrame, key: str = "row_id",
     predictor table, one row per sample) the sample count is its row count;
     otherwise it is the distinct keys of the long form (a shuffle of every cell).
     """
-    st = long.groupBy(feature).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    cell = F.when(~F.isnan(value), F.col(value))   # a missing cell has no z-value and moves no mean
+    st = long.groupBy(feature).agg(F.avg(cell).alias("__m"), F.stddev_pop(cell).alias("__s"))
     z = long.join(F.broadcast(st), feature).select(
-        F.when(F.col("__s") > 0, F.abs((F.col(value) - F.col("__m")) / F.col("__s")))
+        F.when(F.isnan(value), F.lit(None).cast("double")).when(F.col("__s") > 0, F.abs((F.col(value) - F.col("__m")) / F.col("__s")))
         .otherwise(F.lit(0.0)).alias("z"), F.col(value), F.col(key), F.col(feature))
     n_rows = F.lit(rows.count()) if rows is not None else F.countDistinct(key)
     a = z.agg(F.count(F.lit(1)).alias("cells"),

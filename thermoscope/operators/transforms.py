@@ -16,10 +16,20 @@ YJ_GRID = tuple(np.round(np.arange(-2.0, 2.0001, 0.1), 10))
 
 def quantile_transform(long: DataFrame, feature: str = "feature_id", value: str = "value",
                        key: str = "row_id") -> DataFrame:
-    """Uniform output (rank − 1)/(n − 1) per feature, from skew-safe ranks."""
-    r = ranked(long, [value, key], [feature], name="__rn", count_name="__n")
-    q = F.when(F.col("__n") > 1, (F.col("__rn") - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.0))
-    return r.withColumn("quantile", q).drop("__rn", "__n")
+    """Uniform output per feature, from skew-safe ranks.
+
+    (mean rank − 1)/(n − 1): equal values get the same output, the middle of
+    their ranks.
+    """
+    counts = long.groupBy(feature, value).agg(F.count(F.lit(1)).alias("__ties"))
+    r = ranked(counts, [value], [feature], name="__rn", running={"__end": F.col("__ties")})
+    total = counts.groupBy(feature).agg(F.sum("__ties").alias("__n")).withColumnRenamed(feature, "__f")
+    middle = F.col("__end") - (F.col("__ties") - 1) / 2   # mean rank of the equal values
+    q = F.when(F.col("__n") > 1, (middle - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.0))
+    fitted = r.join(total, F.col(feature).eqNullSafe(F.col("__f"))).select(
+        F.col(feature).alias("__f"), F.col(value).alias("__x"), q.alias("quantile"))
+    return long.join(fitted, F.col(feature).eqNullSafe(F.col("__f")) & F.col(value).eqNullSafe(F.col("__x"))) \
+        .drop("__f", "__x")
 
 
 def yj(x: Column, lam: Column) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import scale as sc
 from ..operators import select as se
 from ..operators import stats as st
+from ..session import materialize
 from ..sources.tables import load
 from .catalog import query
-from .features import SQL_EMB_LONG, embedding_long
+from .features import SQL_DOC_FEATURES, SQL_EMB_LONG, doc_features, embedding_long
 
 VARIANCE_THRESHOLD = 1e-8  # fixed value: default variance cut
 RATIO = "1:4"              # a NUM:DEN selection ratio
@@ -64,12 +65,45 @@ def t3_width_reduction(spark, sf_dir):
     long = embedding_long(spark, sf_dir)
     stats = long.groupBy("feature_id").agg(F.var_pop("value").alias("var_pop"))
     scores = se.f_scores(long)
-    n_rows = load(spark, sf_dir, "embeddings", "vec_id").count()
-    t = se.reduce_width(stats, scores, n_rows)
+    t = se.reduce_width(stats, scores)
     return t.select("feature_id", F.round("score", 6).alias("score"),
                     F.round("var_pop", 6).alias("var_pop"), "keep", "stage")
 
 
+# One feature per order of four lines or more: thousands of features at sf0.01, so both rules fire.
+_WIDE_SQL = """
+o AS (SELECT l_orderkey AS feature_id, l_discount * 14 AS value, l_quantity AS y FROM lineitem),
+v AS (SELECT feature_id, var_pop(value) AS var_pop, count(*) AS n,
+             CASE WHEN var_pop(value) < 1e-12 OR var_pop(y) < 1e-12 THEN 0.0 ELSE corr(value, y) END AS r
+      FROM o GROUP BY feature_id HAVING count(*) >= 4),
+w AS (SELECT feature_id, var_pop, CASE WHEN r * r >= 1 THEN 1e300 ELSE r * r / (1 - r * r) * (n - 2) END AS score,
+             count(*) OVER () AS width FROM v),
+c AS (SELECT *, CASE WHEN width > 5000 THEN var_pop > 0.1 ELSE true END AS pass FROM w),
+k AS (SELECT *, count(*) FILTER (WHERE pass) OVER () AS remaining,
+             row_number() OVER (PARTITION BY pass ORDER BY score DESC, feature_id) AS rk FROM c)"""
+
+
+@query("t3_width_reduction_wide", f"""
+WITH {_WIDE_SQL.strip()}
+SELECT feature_id, round(var_pop, 6) AS var_pop,
+       pass AND (remaining <= 2000 OR rk <= least(2000, remaining // 2)) AS keep,
+       CASE WHEN width > 5000 THEN 'variance' || CASE WHEN remaining > 2000 THEN '+top_k' ELSE '' END
+            WHEN remaining > 2000 THEN 'top_k' ELSE 'none' END AS stage
+FROM k
+""")
+def t3_width_reduction_wide(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem", "l_orderkey", "l_discount", "l_quantity")
+    long = lines.select(F.col("l_orderkey").alias("feature_id"), (F.col("l_discount") * 14).alias("value"),
+                        F.col("l_quantity").alias("y"))
+    stats = long.groupBy("feature_id").agg(F.var_pop("value").alias("var_pop"), F.var_pop("y").alias("vy"),
+                                           F.count("value").alias("n")).where("n >= 4")
+    flat = (F.col("var_pop") < 1e-12) | (F.col("vy") < 1e-12)
+    scores = se.f_scores(long).drop("n").join(stats.select("feature_id", flat.alias("flat")), "feature_id") \
+        .withColumn("score", F.when(F.col("flat"), F.lit(0.0)).otherwise(F.col("score")))
+    t = se.reduce_width(stats, scores)
+    return t.select("feature_id", F.round("var_pop", 6).alias("var_pop"), "keep", "stage")
+
+
 @query("a19_mi_scores", f"""
 WITH {SQL_EMB_LONG.strip()},
 b AS (SELECT feature_id, min(value) AS lo, max(value) AS hi FROM emb_long GROUP BY feature_id),
@@ -87,6 +121,32 @@ def a19_mi_scores(spark, sf_dir):
     return m.select("feature_id", F.round("score", 6).alias("score"))
 
 
+_Y_CUTS = ", ".join(f"quantile_cont(y, {i / 10}) AS c{i}" for i in range(1, 10))
+_Y_BIN = " + ".join(f"(CASE WHEN l.y > q.c{i} THEN 1 ELSE 0 END)" for i in range(1, 10))
+
+
+@query("m9_mi_numeric_target", f"""
+WITH {SQL_DOC_FEATURES.strip()},
+l AS (SELECT 0 AS feature_id, n_words AS value, y FROM doc_features
+      UNION ALL SELECT 1, n_lines, y FROM doc_features),
+q AS (SELECT {_Y_CUTS} FROM l),
+b AS (SELECT feature_id, min(value) AS lo, max(value) AS hi FROM l GROUP BY feature_id),
+x AS (SELECT l.feature_id,
+             CAST(CASE WHEN b.hi - b.lo > 0 THEN least(19, floor((l.value - b.lo) / (b.hi - b.lo) * 20)) ELSE 0 END AS INTEGER) AS xb,
+             {_Y_BIN} AS yb FROM l JOIN b USING (feature_id) CROSS JOIN q),
+j AS (SELECT feature_id, xb, yb, count(*) AS nxy FROM x GROUP BY ALL),
+m AS (SELECT *, sum(nxy) OVER (PARTITION BY feature_id) AS n,
+             sum(nxy) OVER (PARTITION BY feature_id, xb) AS nx,
+             sum(nxy) OVER (PARTITION BY feature_id, yb) AS ny FROM j)
+SELECT feature_id, round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS score FROM m GROUP BY feature_id
+""")
+def m9_mi_numeric_target(spark, sf_dir):
+    d = materialize(doc_features(spark, sf_dir))
+    long = d.select("y", F.posexplode(F.array("n_words", "n_lines")).alias("feature_id", "value"))
+    m = se.mi_scores(long, bins=20, y_bins=10)
+    return m.select("feature_id", F.round("score", 6).alias("score"))
+
+
 @query("p2_keep_features", f"""
 WITH {SQL_EMB_LONG.strip()},{_F_SQL},
 k AS (SELECT feature_id FROM (SELECT feature_id, row_number() OVER (ORDER BY score DESC, feature_id) AS rk FROM fs) WHERE rk <= 16)

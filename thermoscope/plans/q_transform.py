@@ -67,7 +67,8 @@ def m14_rfe_cv(spark, sf_dir):
 WITH {SQL_EMB_LONG.strip()}
 SELECT row_id, feature_id,
        round(CASE WHEN count(*) OVER (PARTITION BY feature_id) > 1
-                  THEN (row_number() OVER (PARTITION BY feature_id ORDER BY value, row_id) - 1)
+                  THEN (rank() OVER (PARTITION BY feature_id ORDER BY value)
+                        + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 - 1)
                        / (count(*) OVER (PARTITION BY feature_id) - 1) ELSE 0.0 END, 6) AS quantile
 FROM emb_long
 """)
