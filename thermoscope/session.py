@@ -8,8 +8,10 @@ without overriding what an operator configured.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -81,10 +83,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable defaults to an existing session."""
+    """Fill in runtime settings that the launcher left unset; what it set stays.
+
+    The time zone alone is always UTC: results must not depend on the host.
+    """
+    launched = spark.sparkContext.getConf()
     for k, v in _DEFAULTS.items():
         if k in ("spark.ui.enabled", "spark.ui.showConsoleProgress"):
             continue
+        if k != "spark.sql.session.timeZone" and launched.contains(k):
+            continue
         try:
             spark.conf.set(k, v)
         except Exception:  # static conf on a shared session: leave it
@@ -98,8 +106,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; we read it
-    and never replace it.  Only when it is unset (local tests) do we create a
-    scratch folder of our own.
+    and never replace it.  Only a local master without one (tests) gets a
+    scratch folder of its own; elsewhere a machine-local folder would be lost
+    to the other executors, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -108,6 +117,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="thermoscope-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -117,12 +128,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def write_table(df):
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
+
+    The folder of a session's tables goes when the application ends.
+    """
+    spark = df.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables"
+    if base not in _TABLE_FOLDERS:
+        _TABLE_FOLDERS.add(base)
+        atexit.register(_remove_folder, spark, base)
+    path = f"{base}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_TABLE_FOLDERS: set[str] = set()
+
+
+def _remove_folder(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may already be closed
+        pass
+
+
 def materialize(df):
-    """Write ``df`` once to the reliable checkpoint folder and read it back.
+    """One stored copy of ``df`` in the shared folder.
 
     Used where one derived table (e.g. features parsed from whole texts)
     feeds several jobs: the expensive pass runs once, and a lost executor
-    re-reads the checkpoint instead of recomputing the lineage.
+    re-reads the copy instead of recomputing the lineage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return write_table(df)
