@@ -49,7 +49,7 @@ def slow_readings(df: DataFrame, ms: float = MAX_INFERENCE_MS) -> DataFrame:
 
 def service_stats(df: DataFrame, every: str = "60 seconds", ts: str = "ts") -> DataFrame:
     """Per tumbling window — readings, mean inference time, readings per second."""
-    seconds = _seconds(every)
+    seconds = window_seconds(every)
     return df.groupBy(F.window(ts, every).alias("w")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.count_if("success").cast("bigint").alias("n_ok"),
@@ -58,7 +58,8 @@ def service_stats(df: DataFrame, every: str = "60 seconds", ts: str = "ts") -> D
              "n", "n_ok", "avg_ms", F.round(F.col("n") / seconds, 6).alias("per_second"))
 
 
-def _seconds(every: str) -> int:
+def window_seconds(every: str) -> int:
+    """Length of a window text such as '1 hour'."""
     num, unit = every.split()
     mult = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
             "day": 86400, "days": 86400}[unit]

@@ -20,8 +20,7 @@ from ..functions.columns import numeric_columns
 SWEEP_COLUMNS = ("Frequency(Hz)", "Return Loss(dB)", "Phase(deg)", "Xs")
 SWEEP_POINTS = 10001
 
-SWEEP_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in SWEEP_COLUMNS]
-                            + [T.StructField("_corrupt_record", T.StringType(), True)])
+MEASURES = ("freq_hz", "return_loss_db", "phase_deg", "xs")
 
 
 def read_pairs(spark: SparkSession, x_path: str, y_path: str, key: str = "row_id",
@@ -29,12 +28,11 @@ def read_pairs(spark: SparkSession, x_path: str, y_path: str, key: str = "row_id
                target: str = "target") -> DataFrame:
     """Predictors CSV + targets CSV joined on an explicit row key.
 
-    When a file carries no key, each row gets its 0-based line position: the
-    scan's partitions follow the file's byte order, so
-    ``monotonically_increasing_id`` (partition << 33 | line in partition) is
-    increasing in file order, and the skew-safe :func:`ranked` turns it into
-    exact consecutive positions.  With a key column the join is a plain
-    equi-join.
+    When a file carries no key, each row gets its 0-based position in the order
+    (file path, byte offset of the block, line in the block); the skew-safe
+    :func:`ranked` makes the positions consecutive, so folders of several files
+    pair by file order whatever the files' sizes.  With a key column the join is
+    a plain equi-join.
     """
     def read(path, schema):
         r = spark.read.option("header", "true").option("mode", "PERMISSIVE")
@@ -51,13 +49,20 @@ def read_pairs(spark: SparkSession, x_path: str, y_path: str, key: str = "row_id
     return align(numeric_columns(x, keep=[key]), y, key)
 
 
+_PLACE = ("__path", "__block", "__line")
+
+
+def _with_place(df: DataFrame) -> DataFrame:
+    """File path, block offset and line order inside the block of every scanned row."""
+    return df.select("*", F.col("_metadata.file_path").alias("__path"),
+                     F.col("_metadata.file_block_start").alias("__block"),
+                     F.monotonically_increasing_id().alias("__line"))
+
+
 def _with_position(df: DataFrame, key: str) -> DataFrame:
     from ..operators.ranking import ranked
-    from ..session import materialize
-    # pin the scan order once, then number the rows exactly
-    pinned = materialize(df.withColumn("__order", F.monotonically_increasing_id()))
-    r = ranked(pinned, ["__order"], name="__pos")
-    return r.withColumn(key, (F.col("__pos") - 1).cast("long")).drop("__order", "__pos")
+    r = ranked(_with_place(df), list(_PLACE), name="__pos")
+    return r.withColumn(key, F.col("__pos") - 1).drop(*_PLACE, "__pos")
 
 
 def align(x: DataFrame, y: DataFrame, key: str = "row_id") -> DataFrame:
@@ -83,34 +88,47 @@ def stack(*dfs: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- sweep files
 
+def parse_sweep_lines(lines: DataFrame) -> DataFrame:
+    """Sweep lines (``value`` and its place) to measurements, bound by each file's own header names.
+
+    The first line of a file names its columns; they may stand in any order and
+    among others.  A column that the header lacks is NULL everywhere; text in a
+    numeric column becomes NULL (``try_cast``); ``bad_line`` marks lines with
+    another number of fields than the header.  Adds ``raw_<measure>`` texts.
+    """
+    place = F.struct("__block", "__line")
+    headers = lines.groupBy("__path").agg(F.min_by("value", place).alias("__head"), F.min(place).alias("__first"))
+    rows = lines.join(headers, "__path").where((place > F.col("__first")) & (F.trim("value") != ""))
+    clean = lambda x: F.trim(F.regexp_replace(x, "[\"\ufeff]", ""))
+    rows = rows.withColumn("__names", F.transform(F.split("__head", ","), clean)) \
+        .withColumn("__fields", F.transform(F.split("value", ","), clean))
+    for c, n in zip(SWEEP_COLUMNS, MEASURES):
+        at = F.array_position("__names", c).cast("int")
+        text = F.when(at > 0, F.get("__fields", at - 1))
+        rows = rows.withColumn(f"raw_{n}", F.when(text != "", text)) \
+            .withColumn(n, F.col(f"raw_{n}").try_cast("double"))
+    return rows.withColumn("bad_line", F.size("__fields") != F.size("__names")) \
+        .drop("value", "__head", "__first", "__names", "__fields")
+
+
 def read_sweeps(spark: SparkSession, dirs: Sequence[str], pattern: str = "*.csv") -> DataFrame:
     """Every sweep CSV under ``dirs`` matching ``pattern`` as typed long rows.
 
-    Output: ``part_id`` (index of the directory), ``file``, ``point_idx``
-    (line order within the file), the four measurements as DOUBLE
-    (``try_cast``: text becomes NULL) and ``bad_line`` for unparsable lines.
+    Output: ``part_id`` (index of the directory), ``file``, ``path``,
+    ``point_idx`` (line order within the file), the four measurements as DOUBLE
+    bound by header name, and ``bad_line``.
     """
+    from ..operators.ranking import ranked
     frames = []
     for i, d in enumerate(dirs):
-        df = (spark.read.schema(SWEEP_SCHEMA).option("header", "true")
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-              .option("pathGlobFilter", pattern).csv(d))
-        frames.append(_sweep_rows(df).withColumn("part_id", F.lit(i)))
-    from ..operators.ranking import ranked
-    # 0-based line number inside each file (scan order), skew-safe for huge sweeps
-    r = ranked(stack(*frames), ["__order"], ["part_id", "file"], name="__rn")
-    return r.withColumn("point_idx", (F.col("__rn") - 1).cast("int")).drop("__rn", "__order")
-
-
-def _sweep_rows(df: DataFrame) -> DataFrame:
-    out = df.select(
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_path").alias("path"),
-        F.monotonically_increasing_id().alias("__order"),
-        *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(n)
-          for c, n in zip(SWEEP_COLUMNS, ("freq_hz", "return_loss_db", "phase_deg", "xs"))],
-        F.col("_corrupt_record").isNotNull().alias("bad_line"))
-    return out
+        text = spark.read.option("pathGlobFilter", pattern).text(d)
+        frames.append(_with_place(text).withColumn("file", F.element_at(F.split("__path", "/"), -1))
+                      .withColumn("part_id", F.lit(i)))
+    rows = parse_sweep_lines(stack(*frames)).drop(*[f"raw_{n}" for n in MEASURES])
+    # 0-based line number inside each file, skew-safe for huge sweeps
+    r = ranked(rows, ["__block", "__line"], ["part_id", "__path"], name="__rn")
+    return r.withColumn("point_idx", (F.col("__rn") - 1).cast("int")).withColumnRenamed("__path", "path") \
+        .drop("__rn", "__block", "__line")
 
 
 def pair_parts(sweeps: DataFrame, readings: DataFrame) -> DataFrame:

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.service import HISTORY_SIZE, RELOAD_STREAK, UNHEALTHY_STREAK
+from ..operators.service import HISTORY_SIZE, RELOAD_STREAK, UNHEALTHY_STREAK, window_seconds
 
 WATERMARK = "1 minute"
 
@@ -55,7 +56,7 @@ def late_batches(query) -> list[dict]:
 
 def windowed_stats(readings: DataFrame, every: str = "60 seconds", watermark: str = WATERMARK) -> DataFrame:
     """ST6: A15 per tumbling event-time window, late rows beyond the watermark dropped."""
-    seconds = int(every.split()[0]) * (60 if "minute" in every else 1)
+    seconds = window_seconds(every)
     return readings.withWatermark("ts", watermark).groupBy(F.window("ts", every).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_ok"), F.avg("value").alias("avg_ms")
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
@@ -71,32 +72,48 @@ def rate_alert_stream(stats: DataFrame) -> DataFrame:
 
 
 _STREAK_OUT = "sensor long, alert_ts timestamp, streak long, level string"
-_STREAK_STATE = "streak long, last_ts timestamp"
+# failures in a row up to the watermark, the readings after it, and the alerts given for those
+_STREAK_STATE = "streak long, ts array<timestamp>, ids array<long>, ok array<boolean>, sent array<timestamp>"
+
+
+def _run_lengths(ok: np.ndarray, before: int) -> np.ndarray:
+    """Consecutive failures up to each reading, ``before`` of them ahead of the first."""
+    n = np.arange(1, len(ok) + 1)
+    last_ok = np.maximum.accumulate(np.where(ok, n, 0))
+    return np.where(ok, 0, n - last_ok + np.where(last_ok == 0, before, 0))
 
 
 def _streaks(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    streak, last_ts = (state.get if state.exists else (0, None))
-    out = []
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    for ts, ok in zip(rows["ts"], rows["success"]):
-        if last_ts is not None and ts < last_ts:
-            continue  # older than what this sensor already reported: order is by event time
-        last_ts = ts
-        if ok:
-            streak = 0
-            continue
-        streak += 1
-        if streak == UNHEALTHY_STREAK:
-            out.append((key[0], ts, streak, "reset_sensor"))
-        elif streak == RELOAD_STREAK:
-            out.append((key[0], ts, streak, "reload_model"))
-    state.update((int(streak), last_ts))
+    streak, ts, ids, ok, sent = state.get if state.exists else (0, [], [], [], [])
+    mark = pd.Timestamp(max(0, state.getCurrentWatermarkMs()), unit="ms")
+    fresh = [p.loc[p["ts"] >= mark, ["ts", "event_id", "success"]] for p in pdfs]
+    held = pd.DataFrame({"ts": pd.to_datetime(pd.Series(list(ts), dtype="datetime64[ns]")), "event_id": list(ids),
+                         "success": list(ok)})
+    rows = pd.concat([p for p in [held, *fresh] if len(p)] or [held]).sort_values(["ts", "event_id"])
+    good = rows["success"].to_numpy(dtype=bool)
+    runs = _run_lengths(good, int(streak))
+    given = {pd.Timestamp(t) for t in sent}
+    hit = np.flatnonzero((runs == UNHEALTHY_STREAK) | (runs == RELOAD_STREAK))
+    times = rows["ts"].to_list()
+    out = [(key[0], times[i], int(runs[i]), "reset_sensor" if runs[i] == UNHEALTHY_STREAK else "reload_model")
+           for i in hit.tolist() if times[i] not in given]
+    # readings before the watermark can no longer change: they become the starting streak
+    cut = int((rows["ts"] < mark).sum())
+    settled = int(runs[cut - 1]) if cut else int(streak)
+    keep = rows.iloc[cut:]
+    state.update((settled, [t.to_pydatetime() for t in keep["ts"]], [int(i) for i in keep["event_id"]],
+                  [bool(x) for x in keep["success"]],
+                  [t.to_pydatetime() for t in sorted(given | {o[1] for o in out}) if t >= mark]))
     if out:
         yield pd.DataFrame(out, columns=["sensor", "alert_ts", "streak", "level"])
 
 
 def streak_alerts(readings: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """ST8: one alert when a sensor's consecutive failures reach 5 and 10."""
+    """ST8: one alert when a sensor's consecutive failures reach 5 and 10, in event-time order.
+
+    Readings newer than the watermark stay in the state, so one that arrives out
+    of order still counts at its place; alerts already given are not repeated.
+    """
     return readings.withWatermark("ts", watermark).groupBy("sensor").applyInPandasWithState(
         _streaks, _STREAK_OUT, _STREAK_STATE, "append", GroupStateTimeout.NoTimeout)
 

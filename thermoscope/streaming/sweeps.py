@@ -20,38 +20,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import sweep_time
-from ..sources.files import SWEEP_COLUMNS, SWEEP_SCHEMA
-
-MEASURES = ("freq_hz", "return_loss_db", "phase_deg", "xs")
-
+from ..session import materialize
+from ..sources.files import MEASURES, parse_sweep_lines
 
 def sweep_stream(spark: SparkSession, directory: str, pattern: str = "*.csv",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """ST1: typed rows of every new sweep file with file name and line order."""
-    r = (spark.readStream.schema(SWEEP_SCHEMA).option("header", "true")
-         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-         .option("pathGlobFilter", pattern))
+    """ST1: lines of every new sweep file with their file and place.
+
+    ST3: a file counts once its writer has renamed it into the directory.
+    """
+    r = spark.readStream.option("pathGlobFilter", pattern)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = r.csv(directory)
-    return raw.select(
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_modification_time").alias("file_mtime"),
-        *[F.col(f"`{c}`").alias(f"raw_{n}") for c, n in zip(SWEEP_COLUMNS, MEASURES)],
-        F.col("_corrupt_record"))
+    return r.text(directory).select(
+        "value", F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"))
 
 
 def parse_batch(batch: DataFrame) -> DataFrame:
-    """Per micro-batch: line order within each file and typed measurements."""
-    b = batch.withColumn("__line", F.monotonically_increasing_id())
-    typed = [F.col(f"raw_{n}").try_cast("double").alias(n) for n in MEASURES]
-    bad = [(F.col(f"raw_{n}").isNotNull() & F.col(f"raw_{n}").try_cast("double").isNull()) for n in MEASURES]
-    any_bad = bad[0]
-    for b_ in bad[1:]:
-        any_bad = any_bad | b_
-    return b.select("file", "__line", *typed,
-                    (any_bad | F.col("_corrupt_record").isNotNull()).alias("bad_value"),
-                    *[F.col(f"raw_{n}").isNull().alias(f"missing_{n}") for n in MEASURES])
+    """Per micro-batch: line order within each file and measurements bound by header name."""
+    b = parse_sweep_lines(batch.withColumn("__line", F.monotonically_increasing_id()))
+    any_bad = F.col("bad_line")
+    for n in MEASURES:
+        any_bad = any_bad | (F.col(f"raw_{n}").isNotNull() & F.col(n).isNull())
+    return b.select("file", "__path", F.struct("__block", "__line").alias("__line"), *MEASURES,
+                    any_bad.alias("bad_value"), *[F.col(f"raw_{n}").isNull().alias(f"missing_{n}") for n in MEASURES])
 
 
 def _field(name: str):
@@ -64,7 +57,7 @@ def file_features(parsed: DataFrame, expected_points: int | None = None) -> tupl
     features = freq ‖ return loss ‖ phase ‖ Xs in line order (measurement-major).
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col("__line"), *[F.col(n) for n in MEASURES])))
-    agg = parsed.groupBy("file").agg(
+    agg = parsed.groupBy("__path", "file").agg(
         ordered.alias("__rows"), F.count(F.lit(1)).alias("n_points"),
         F.count_if("bad_value").alias("n_bad"),
         *[F.count_if(f"missing_{n}").alias(f"n_missing_{n}") for n in MEASURES])
@@ -89,14 +82,16 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], si
                  available_now: bool = False, interval: str = "1 second"):
     """ST4 + S10 + ST11: score every complete file once and append the result.
 
-    ``scorer`` maps (file, ts, n_points, features) → adds ``prediction``.  The
-    batch id is written with each row so a retried batch can be deduplicated.
+    ``scorer`` maps (file, ts, n_points, features) → adds ``prediction``.  A
+    batch is parsed once and stored; each sink gets it as the partition folder of
+    its batch id, overwritten when a batch is retried, so no row is written twice.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = file_features(parse_batch(batch), expected_points)
-        scored = scorer(good).select("file", "ts", "prediction", F.lit(batch_id).alias("batch_id"))
-        scored.write.mode("append").parquet(sink)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine)
+        stored = materialize(parse_batch(batch))
+        good, bad = file_features(stored, expected_points)
+        scored = scorer(good).select("file", "ts", "prediction")
+        for rows, path in ((scored, sink), (bad.select("file", "reason"), quarantine)):
+            rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
@@ -143,6 +138,7 @@ def tree_scorer(nodes: DataFrame, keep: list[int] | None = None, center: list[fl
 
     def score(df: DataFrame) -> DataFrame:
         x = df.withColumn("__x", _prepare_x(keep, center, scale))
+        # one row of a batch is one file, so the join is on its unique name
         p = predict_prepared(x, bc, "__x", key="file")
         return df.join(p, "file")
     return score
