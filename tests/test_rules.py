@@ -176,3 +176,73 @@ def test_constant_columns_score_zero(spark):
     assert got[0] == 0.0 and got[1] > 0
     flat = se.f_scores(long.withColumn("y", F.lit(1.0))).collect()
     assert {r["score"] for r in flat} == {0.0}
+
+
+def _rows(spark, x, extra=None):
+    data = [(i, [float(v) for v in r], *([float(extra[i])] if extra is not None else [])) for i, r in enumerate(x)]
+    return spark.createDataFrame(data, "row_id long, features array<double>" + (", y double" if extra is not None else ""))
+
+
+def test_neighbours_of_data_far_from_zero(spark):
+    from thermoscope.operators import outliers as ol
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)) + 1e8
+    got = ol.knn(_rows(spark, x), 5, block=64).toPandas()
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {i: set(np.argsort(d[i])[:5]) for i in range(300)}
+    assert all(set(g.neighbor) == want[i] for i, g in got.groupby("row_id"))
+
+
+def test_pca_and_ridge_far_from_zero(spark):
+    from thermoscope.operators import decompose as dc
+    from thermoscope.operators.estimators import RidgeRegressor
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 3)) + 1e8
+    y = 3 * (x[:, 0] - 1e8) + 7
+    df = _rows(spark, x, y)
+    fit = dc.pca_fit(df, "features", 3)
+    assert np.allclose(fit["explained_variance"], np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1], rtol=1e-6)
+    model = RidgeRegressor(alpha=1e-6).fit(df)
+    assert np.allclose(model.getOrDefault("weights"), [3, 0, 0], atol=1e-4)
+    out = model.transform(df).select((F.abs(F.col("prediction") - F.col("y"))).alias("e")).agg(F.max("e")).first()[0]
+    assert out < 1e-3
+
+
+@pytest.mark.parametrize("method", ["kmeans", "iforest"])
+def test_outlier_model_judges_new_rows_and_survives_saving(spark, scratch, method):
+    from pyspark.ml import PipelineModel
+    from thermoscope.operators.estimators import OutlierMask, named_pipeline
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(95, 2)), rng.normal(size=(5, 2)) + 40])
+    fitted = named_pipeline([("mask", OutlierMask(method=method, remove=False, k=2, contamination=0.05, trees=40))]).fit(
+        _rows(spark, x))
+    new = _rows(spark, np.array([[0.1, 0.0], [1e6, 1e6], [41.0, 40.0]]))
+    got = [r["is_inlier"] for r in fitted.transform(new).orderBy("row_id").collect()]
+    assert got[:2] == [True, False]
+    path = f"{scratch}/model"
+    fitted.write().overwrite().save(path)
+    again = [r["is_inlier"] for r in PipelineModel.load(path).transform(new).orderBy("row_id").collect()]
+    assert again == got
+    mask = [r["is_inlier"] for r in fitted.transform(_rows(spark, x)).orderBy("row_id").collect()]
+    assert not any(mask[95:]) and sum(mask[:95]) >= 90
+
+
+def test_estimator_defaults(spark):
+    from thermoscope.operators.estimators import ArrayScaler, ArraySelector
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    df = _rows(spark, x, x[:, 2])
+    assert ArraySelector(k=1).fit(df).getOrDefault("indices") == [2]
+    assert ArraySelector(k=1, score="mi").fit(df).getOrDefault("indices") == [2]
+    chosen = ArraySelector(k=1)
+    chosen.score_fn = lambda long: long.groupBy("feature_id").agg(F.max("feature_id").cast("double").alias("score"))
+    assert chosen.copy().fit(df).getOrDefault("indices") == [3]
+    assert "scaled" in ArrayScaler().fit(df).transform(df).columns
+
+
+def test_long_parameter_names_survive(spark):
+    from thermoscope.operators import search as sr
+    key = "ridge_" + "k" * 1200
+    df = spark.createDataFrame([(0, "ridge", {key: "1"})], "trial int, model_type string, params map<string,string>")
+    assert list(sr.family_params(df).first()["family_params"]) == ["k" * 1200]

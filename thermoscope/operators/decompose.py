@@ -18,10 +18,26 @@ from pyspark.sql import types as T
 from .linear import Suff, r2_on, solve_ridge
 
 
-def vector_suff(df: DataFrame, features: str, y: str | None = None,
-                by: Sequence[str] = ()) -> dict[tuple, Suff]:
-    """Sufficient statistics of an array column per group (y optional)."""
+SHIFT_ROWS = 64   # rows whose mean serves as the origin of the sums
+
+
+def origin(df: DataFrame, features: str, y: str | None = None) -> tuple[np.ndarray, float]:
+    """A point near the data: sums taken from it do not cancel when values lie far from zero.
+
+    Any point gives the same results in exact arithmetic, so a few rows are enough.
+    """
+    rows = df.select(features, *([y] if y else [])).limit(SHIFT_ROWS).collect()
+    if not rows:
+        return np.zeros(0), 0.0
+    return (np.mean([np.asarray(r[0], float) for r in rows], axis=0),
+            float(np.mean([r[1] for r in rows])) if y else 0.0)
+
+
+def vector_suff(df: DataFrame, features: str, y: str | None = None, by: Sequence[str] = (),
+                shift: tuple[np.ndarray, float] | None = None) -> dict[tuple, Suff]:
+    """Sufficient statistics of an array column per group (y optional), of values minus ``shift``."""
     by = list(by)
+    x0, y0 = shift if shift is not None else (0.0, 0.0)
 
     def partial(batches):
         acc: dict[tuple, list] = {}
@@ -29,8 +45,8 @@ def vector_suff(df: DataFrame, features: str, y: str | None = None,
             groups = pdf.groupby(by, sort=False) if by else [((), pdf)]
             for key, g in groups:
                 key = key if isinstance(key, tuple) else (key,)
-                x = np.stack(g[features].to_numpy()).astype(float)
-                t = g[y].to_numpy(float) if y else np.zeros(len(g))
+                x = np.stack(g[features].to_numpy()).astype(float) - x0
+                t = g[y].to_numpy(float) - y0 if y else np.zeros(len(g))
                 a = acc.get(key)
                 if a is None:
                     d = x.shape[1]
@@ -83,9 +99,11 @@ def vector_suff(df: DataFrame, features: str, y: str | None = None,
 
 def pca_fit(df: DataFrame, features: str, k: int | float) -> dict:
     """Centred covariance eigen-decomposition; ``k`` int or variance fraction."""
-    s = vector_suff(df, features)[()]
+    shift = origin(df, features)
+    s = vector_suff(df, features, shift=shift)[()]
     mu = s.sx / s.n
     cov = (s.xx - s.n * np.outer(mu, mu)) / (s.n - 1)
+    mu = mu + shift[0]
     lam, vec = np.linalg.eigh(cov)
     order = np.argsort(lam)[::-1]
     lam, vec = np.clip(lam[order], 0.0, None), vec[:, order]
@@ -148,7 +166,7 @@ def rfe_cv(folded: DataFrame, features: str, y: str, alpha: float = 1.0,
            min_features: int = 1) -> pd.DataFrame:
     """Recursive elimination by smallest |standardised ridge weight|, each
     subset scored by CV from the same per-fold statistics (one data pass)."""
-    stats = vector_suff(folded, features, y, ["repeat", "fold"])
+    stats = vector_suff(folded, features, y, ["repeat", "fold"], shift=origin(folded, features, y))
     reps = sorted({k[0] for k in stats})
     total = None  # every row once: the buckets of the first repeat
     for (r, _), s in stats.items():

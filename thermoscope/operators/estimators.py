@@ -9,6 +9,7 @@ kept as plain parameters; transforms are column expressions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -41,7 +42,7 @@ class ArrayScaler(Estimator, _ArrayParams, DefaultParamsReadable, DefaultParamsW
     @keyword_only
     def __init__(self, inputCol="features", outputCol="scaled", kind="standard"):
         super().__init__()
-        self._setDefault(kind="standard")
+        self._setDefault(inputCol="features", outputCol="scaled", kind="standard")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "ArrayScalerModel":
@@ -60,6 +61,7 @@ class ArrayScalerModel(Model, _ArrayParams, DefaultParamsReadable, DefaultParams
     @keyword_only
     def __init__(self, inputCol="features", outputCol="scaled", center=None, scale=None):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="scaled")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -79,15 +81,23 @@ class ArraySelector(Estimator, _ArrayParams, HasLabelCol, DefaultParamsReadable,
     varianceThreshold = Param(Params._dummy(), "varianceThreshold", "population variance cut",
                               TypeConverters.toFloat)
     score = Param(Params._dummy(), "score", "f | mi", TypeConverters.toString)
+    targetBins = Param(Params._dummy(), "targetBins", "quantile bins of a numeric target for mi (0 = classes)",
+                       TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, inputCol="features", outputCol="selected", labelCol="y", k=0,
-                 varianceThreshold=0.0, score="f"):
+                 varianceThreshold=0.0, score="f", targetBins=10):
         super().__init__()
-        self._setDefault(k=0, varianceThreshold=0.0, score="f")
+        self._setDefault(inputCol="features", outputCol="selected", labelCol="y", k=0, varianceThreshold=0.0,
+                         score="f", targetBins=10)
         self._set(**self._input_kwargs)
         self.score_fn: Callable[[DataFrame], DataFrame] | None = None
 
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.score_fn = self.score_fn
+        return that
+
     def _fit(self, df: DataFrame) -> "ArraySelectorModel":
         from .select import f_scores, mi_scores, top_k
         long = df.select(F.col(self.getLabelCol()).cast("double").alias("y"),
@@ -95,7 +105,8 @@ class ArraySelector(Estimator, _ArrayParams, HasLabelCol, DefaultParamsReadable,
         var = long.groupBy("feature_id").agg(F.var_pop("value").alias("v"))
         kept = var.where(F.col("v") > self.getOrDefault("varianceThreshold")).select("feature_id")
         long = long.join(F.broadcast(kept), "feature_id", "left_semi")
-        fn = self.score_fn or {"f": f_scores, "mi": mi_scores}[self.getOrDefault("score")]
+        numeric_mi = lambda t: mi_scores(t, y_bins=self.getOrDefault("targetBins") or None)
+        fn = self.score_fn or {"f": f_scores, "mi": numeric_mi}[self.getOrDefault("score")]
         scores = fn(long)
         k = self.getOrDefault("k")
         chosen = top_k(scores, k=k) if k else scores
@@ -109,6 +120,7 @@ class ArraySelectorModel(Model, _ArrayParams, DefaultParamsReadable, DefaultPara
     @keyword_only
     def __init__(self, inputCol="features", outputCol="selected", indices=None):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="selected")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -120,59 +132,64 @@ class ArraySelectorModel(Model, _ArrayParams, DefaultParamsReadable, DefaultPara
 # ------------------------------------------------------------ outlier mask
 
 class OutlierMask(Estimator, _ArrayParams, DefaultParamsReadable, DefaultParamsWritable):
-    """X1 mask estimator: method kmeans | iforest | lof; outputs ``is_inlier``.
+    """X1 mask estimator: method kmeans | iforest; outputs ``is_inlier``.
 
-    ``remove`` drops masked rows in ``transform`` (M19 keeps them, flagged).
-    The fitted model keeps the mask of the fitted rows (keyed by ``keyCol``).
+    The fitted model scores any row, fitted or new: by the nearest cluster (kept
+    when that cluster held at least ``ratio`` of the fitted rows) or by the
+    isolation path length against the fitted cut.  ``remove`` drops masked rows in
+    ``transform`` (M19 keeps them, flagged).  Local outlier factors compare fitted
+    rows with one another; see :func:`outliers.lof`.
     """
 
-    method = Param(Params._dummy(), "method", "kmeans | iforest | lof", TypeConverters.toString)
+    method = Param(Params._dummy(), "method", "kmeans | iforest", TypeConverters.toString)
     remove = Param(Params._dummy(), "remove", "drop masked rows", TypeConverters.toBoolean)
     keyCol = Param(Params._dummy(), "keyCol", "row key", TypeConverters.toString)
+    k = Param(Params._dummy(), "k", "clusters", TypeConverters.toInt)
+    ratio = Param(Params._dummy(), "ratio", "smallest share of a valid cluster", TypeConverters.toFloat)
+    contamination = Param(Params._dummy(), "contamination", "share of rows below the cut", TypeConverters.toFloat)
+    trees = Param(Params._dummy(), "trees", "isolation trees", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, inputCol="features", outputCol="is_inlier", method="kmeans", remove=True,
-                 keyCol="row_id"):
+                 keyCol="row_id", k=3, ratio=0.1, contamination=0.1, trees=100, seed=42):
         super().__init__()
-        self._setDefault(method="kmeans", remove=True, keyCol="row_id")
+        self._setDefault(inputCol="features", outputCol="is_inlier", method="kmeans", remove=True, keyCol="row_id",
+                         k=3, ratio=0.1, contamination=0.1, trees=100, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "OutlierMaskModel":
         from . import outliers as ol
-        key, col = self.getOrDefault("keyCol"), self.getInputCol()
-        data = df.select(key, F.col(col).alias("features"))
-        method = self.getOrDefault("method")
-        if method == "kmeans":
-            mask = ol.kmeans_mask(data)
-        elif method == "iforest":
-            mask = ol.isolation_forest_mask(data)
-        elif method == "lof":
-            mask = ol.lof(data)
+        get = self.getOrDefault
+        data = df.select(get("keyCol"), F.col(self.getInputCol()).alias("features")) \
+            .withColumnRenamed(get("keyCol"), "row_id")
+        if get("method") == "kmeans":
+            state = ol.kmeans_state(data, get("k"), get("ratio"), seed=get("seed"))
+        elif get("method") == "iforest":
+            state = ol.isolation_state(data, get("trees"), get("contamination"), get("seed"))
         else:
-            raise ValueError(method)
-        from ..session import materialize
-        masked = materialize(mask.select(key, "is_inlier"))
-        model = OutlierMaskModel(keyCol=key, outputCol=self.getOutputCol(), remove=self.getOrDefault("remove"))
-        model.mask_df = masked
-        return model
+            raise ValueError(get("method"))
+        return OutlierMaskModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), method=get("method"),
+                                remove=get("remove"), state=json.dumps(state))
 
 
-class OutlierMaskModel(Model, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+class OutlierMaskModel(Model, _ArrayParams, DefaultParamsReadable, DefaultParamsWritable):
+    method = Param(Params._dummy(), "method", "kmeans | iforest", TypeConverters.toString)
     remove = Param(Params._dummy(), "remove", "drop masked rows", TypeConverters.toBoolean)
-    keyCol = Param(Params._dummy(), "keyCol", "row key", TypeConverters.toString)
+    state = Param(Params._dummy(), "state", "fitted centres or trees as JSON", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, outputCol="is_inlier", remove=True, keyCol="row_id"):
+    def __init__(self, inputCol="features", outputCol="is_inlier", method="kmeans", remove=True, state=None):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="is_inlier", method="kmeans", remove=True)
         self._set(**self._input_kwargs)
-        self.mask_df: DataFrame | None = None
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        key = self.getOrDefault("keyCol")
-        m = self.mask_df.withColumnRenamed("is_inlier", self.getOutputCol())
-        j = df.join(m, key, "left").withColumn(
-            self.getOutputCol(), F.coalesce(F.col(self.getOutputCol()), F.lit(True)))
-        return j.where(F.col(self.getOutputCol())) if self.getOrDefault("remove") else j
+        from . import outliers as ol
+        state = json.loads(self.getOrDefault("state"))
+        judge = ol.kmeans_judge if self.getOrDefault("method") == "kmeans" else ol.isolation_judge
+        out = df.withColumn(self.getOutputCol(), judge(df.sparkSession, state)(F.col(self.getInputCol())))
+        return out.where(F.col(self.getOutputCol())) if self.getOrDefault("remove") else out
 
 
 # ------------------------------------------------------------- ridge model
@@ -186,14 +203,16 @@ class RidgeRegressor(Estimator, _ArrayParams, HasLabelCol, DefaultParamsReadable
     @keyword_only
     def __init__(self, inputCol="features", outputCol="prediction", labelCol="y", alpha=1.0, standardize=False):
         super().__init__()
-        self._setDefault(alpha=1.0, standardize=False)
+        self._setDefault(inputCol="features", outputCol="prediction", labelCol="y", alpha=1.0, standardize=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "RidgeModel":
-        from .decompose import vector_suff
+        from .decompose import origin, vector_suff
         from .linear import solve_ridge
-        s = vector_suff(df, self.getInputCol(), self.getLabelCol())[()]
+        shift = origin(df, self.getInputCol(), self.getLabelCol())
+        s = vector_suff(df, self.getInputCol(), self.getLabelCol(), shift=shift)[()]
         w, b = solve_ridge(s, self.getOrDefault("alpha"), self.getOrDefault("standardize"))
+        b = b + shift[1] - float(np.atleast_1d(w) @ shift[0])   # back from the shifted origin
         return RidgeModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),
                           weights=[float(v) for v in np.atleast_1d(w)], intercept=float(b))
 
@@ -205,6 +224,7 @@ class RidgeModel(Model, _ArrayParams, DefaultParamsReadable, DefaultParamsWritab
     @keyword_only
     def __init__(self, inputCol="features", outputCol="prediction", weights=None, intercept=0.0):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="prediction", intercept=0.0)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -215,7 +235,9 @@ class RidgeModel(Model, _ArrayParams, DefaultParamsReadable, DefaultParamsWritab
 
 
 def named_pipeline(steps: list[tuple[str, Estimator]]) -> Pipeline:
-    """A Pipeline whose stages keep the step names (as uid prefixes)."""
+    """A Pipeline whose stages carry the step names as the start of their uids."""
+    for name, step in steps:
+        step._resetUid(f"{name}_{step.uid.rsplit('_', 1)[-1]}")
     return Pipeline(stages=[s for _, s in steps])
 
 

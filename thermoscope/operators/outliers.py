@@ -95,6 +95,40 @@ def kmeans_mask(df: DataFrame, features: str = "features", k: int = N_CLUSTERS,
     return cluster_size_mask(labelled, "cluster", ratio)
 
 
+def kmeans_state(df: DataFrame, k: int = N_CLUSTERS, ratio: float = MIN_CLUSTER_RATIO, n_init: int = N_INIT,
+                 seed: int = SEED, features: str = "features") -> dict:
+    """Fitted centres and which of their clusters are large enough (k rows at most)."""
+    vec = to_vector(df, features).cache()
+    model = best_kmeans(vec, k, n_init, seed)
+    sizes = {r["cluster"]: r["valid"] for r in cluster_sizes(model.transform(vec), "cluster", ratio).collect()}
+    vec.unpersist()
+    centres = [[float(v) for v in c] for c in model.clusterCenters()]
+    return {"centres": centres, "valid": [bool(sizes.get(i, False)) for i in range(len(centres))]}
+
+
+def kmeans_judge(spark, state: dict):
+    """Column function: is the nearest centre's cluster valid?  For fitted and new rows alike."""
+    bc = spark.sparkContext.broadcast((np.array(state["centres"]), np.array(state["valid"])))
+
+    @F.pandas_udf("boolean")
+    def judge(col: pd.Series) -> pd.Series:
+        centres, valid = bc.value
+        if not len(col):
+            return pd.Series([], dtype=bool)
+        x = np.stack(col.to_numpy()).astype(float)
+        return pd.Series(valid[np.stack([((x - c) ** 2).sum(1) for c in centres], 1).argmin(1)])
+
+    return judge
+
+
+def best_kmeans_mask(df: DataFrame, features: str = "features", ks: Sequence[int] = range(2, 9), folds: int = 3,
+                     ratio: float = MIN_CLUSTER_RATIO, n_init: int = N_INIT, seed: int = SEED,
+                     key: str = "row_id") -> DataFrame:
+    """Choose k by cross-validated silhouette, refit on all rows, mask small clusters."""
+    best = choose_k(df, features, ks, folds, n_init, seed, key).where("chosen").first()
+    return kmeans_mask(df, features, int(best["k"]) if best else N_CLUSTERS, ratio, n_init, seed)
+
+
 def silhouette(labelled: DataFrame, features: str = "features_vec", cluster: str = "cluster") -> float:
     """Mean silhouette from MLlib (squared Euclidean, O(n·k) — no pairs)."""
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -216,10 +250,7 @@ def isolation_forest_nodes(df: DataFrame, features: str = "features", trees: int
 def isolation_scores(df: DataFrame, nodes: DataFrame, features: str = "features",
                      sample: int = TREE_SAMPLE, key: str = "row_id") -> DataFrame:
     """Score every row: s = −2^(−E[h(x)]/c(ψ)) (higher = more normal, as score_samples)."""
-    tab = nodes.orderBy("tree_id", "node_id").toPandas()   # ≤ trees · (2·sample − 1) rows
-    n_nodes = len(tab)
-    if n_nodes > 5_000_000:
-        raise ValueError("isolation forest node table too large to broadcast")
+    tab = nodes.orderBy("tree_id", "node_id").toPandas()   # at most trees · (2·sample − 1) rows
     trees = {}
     for t, g in tab.groupby("tree_id"):
         trees[int(t)] = tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size", "depth"))
@@ -230,21 +261,7 @@ def isolation_scores(df: DataFrame, nodes: DataFrame, features: str = "features"
         tr, c_psi = bc.value
         for pdf in batches:
             x = np.stack(pdf[features].to_numpy()).astype(float)
-            depth_sum = np.zeros(len(x))
-            for feat, thr, left, right, size, dep in tr.values():
-                node = np.zeros(len(x), dtype=int)
-                while True:
-                    internal = feat[node] >= 0
-                    if not internal.any():
-                        break
-                    idx = np.flatnonzero(internal)
-                    f = feat[node[idx]]
-                    go_left = x[idx, f] < thr[node[idx]]
-                    node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
-                depth_sum += dep[node] + _c_factor(size[node])
-            mean_depth = depth_sum / len(tr)
-            yield pd.DataFrame({key: pdf[key].to_numpy(),
-                                "score": -np.power(2.0, -mean_depth / c_psi)})
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "score": _isolation_values(x, list(tr.values()), c_psi)})
 
     return df.select(key, features).mapInPandas(score, f"{key} long, score double")
 
@@ -260,14 +277,75 @@ def isolation_forest_mask(df: DataFrame, features: str = "features", trees: int
     return scores.withColumn("is_inlier", F.col("score") >= F.lit(cut))
 
 
+def isolation_state(df: DataFrame, trees: int = N_TREES, contamination: float = CONTAMINATION, seed: int = SEED,
+                    features: str = "features", key: str = "row_id") -> dict:
+    """Fitted trees and the score cut; trees * (2 * sample - 1) nodes at most."""
+    from ..session import materialize
+    nodes = materialize(isolation_forest_nodes(df, features, trees, seed=seed, key=key))
+    scores = isolation_scores(df, nodes, features, key=key)
+    cut = exact_quantiles(scores, "score", [contamination], names=["cut"]).first()["cut"]
+    rows = nodes.orderBy("tree_id", "node_id").collect()
+    names = ("tree_id", "feature", "threshold", "left", "right", "size", "depth")
+    return {"cut": float(cut), "psi": max(int(r["size"]) for r in rows if r["node_id"] == 0),
+            **{c: [r[c] for r in rows] for c in names}}
+
+
+def isolation_judge(spark, state: dict):
+    """Column function: is the isolation score at or above the fitted cut?"""
+    tree = np.array(state["tree_id"])
+    cols = [np.array([np.nan if v is None else v for v in state[c]]) for c in
+            ("feature", "threshold", "left", "right", "size", "depth")]
+    forest = []
+    for t in np.unique(tree):
+        f, thr, left, right, size, depth = (c[tree == t] for c in cols)
+        forest.append((f.astype(int), thr, np.nan_to_num(left).astype(int), np.nan_to_num(right).astype(int),
+                       size.astype(int), depth.astype(int)))
+    bc = spark.sparkContext.broadcast((forest, float(_c_factor([state["psi"]])[0]), state["cut"]))
+
+    @F.pandas_udf("boolean")
+    def judge(col: pd.Series) -> pd.Series:
+        forest, c_psi, cut = bc.value
+        if not len(col):
+            return pd.Series([], dtype=bool)
+        x = np.stack(col.to_numpy()).astype(float)
+        return pd.Series(_isolation_values(x, forest, c_psi) >= cut)
+
+    return judge
+
+
+def _isolation_values(x: np.ndarray, forest, c_psi: float) -> np.ndarray:
+    """-2 ** (-mean path length / c(psi)) of every row."""
+    depth_sum = np.zeros(len(x))
+    for feat, thr, left, right, size, dep in forest:
+        node = np.zeros(len(x), dtype=int)
+        while True:
+            idx = np.flatnonzero(feat[node] >= 0)
+            if not len(idx):
+                break
+            at = node[idx]
+            node[idx] = np.where(x[idx, feat[at]] < thr[at], left[at], right[at])
+        depth_sum += dep[node] + _c_factor(size[node])
+    return -np.power(2.0, -depth_sum / len(forest) / c_psi)
+
+
 # ------------------------------------------------- local outlier factor
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distance matrix between the rows of a and b."""
+    """Euclidean distance matrix between the rows of a and b.
+
+    Fast but inexact far from the origin: callers centre the data, allow for the
+    rounding when they prune, and measure what they keep with :func:`_direct`.
+    """
     d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def _direct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of paired rows from their differences, without cancellation."""
+    diff = a - b
+    return np.sqrt((diff * diff).sum(1))
+
+
 MAX_PIVOTS = 4096  # broadcast bound; exactness does not depend on it (cells grow, sub-blocks split them)
 SLICE_ROWS = 1024  # rows per NumPy distance slice inside a task
 
@@ -300,8 +378,11 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
     not exceed it are visited next (the whole-cell bound of step 2 is the
     fallback when the own cell holds fewer than k other points).
     """
+    from .decompose import origin
     spark = df.sparkSession
-    piv = _pivots(df, features, key, block, seed)
+    shift = origin(df, features)[0]   # distances do not change; products stay small
+    df = df.select(key, F.col(features).cast("array<double>").alias(features))
+    piv = _pivots(df, features, key, block, seed) - shift
     bpiv = spark.sparkContext.broadcast(piv)
 
     def assign(batches):
@@ -309,11 +390,10 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
         for pdf in batches:
             for lo in range(0, len(pdf), SLICE_ROWS):
                 part = pdf.iloc[lo:lo + SLICE_ROWS]
-                x = np.stack(part[features].to_numpy()).astype(float)
-                d = _dist(x, p)
-                c = d.argmin(axis=1)
+                x = np.stack(part[features].to_numpy()).astype(float) - shift
+                c = _dist(x, p).argmin(axis=1)
                 yield pd.DataFrame({key: part[key].to_numpy(), "cell": c.astype("int32"),
-                                    "dc": d[np.arange(len(x)), c], features: list(x)})
+                                    "dc": _direct(x, p[c]), features: list(x)})
 
     pts = df.select(key, features).mapInPandas(
         assign, f"{key} long, cell int, dc double, {features} array<double>").checkpoint(eager=True)
@@ -337,7 +417,9 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
         u = ub[np.arange(len(x)), order[np.arange(len(x)), pos]]
         u = np.minimum(u, pdf["own_u"].to_numpy())          # exact own-cell k-distance is tighter
         own = pdf["cell"].to_numpy()
-        ok = (d - rad[None, :]) <= u[:, None] + 1e-12
+        # room for the rounding of the product form: about sqrt(eps) of the largest norm
+        room = 4e-8 * (1.0 + np.sqrt((x * x).sum(1)) + np.sqrt((p * p).sum(1)).max())
+        ok = (d - rad[None, :]) <= (u + room)[:, None]
         ok[np.arange(len(x)), own] = False                   # the own cell was searched in phase 1
         qi, ci = np.nonzero(ok & (sz[None, :] > 0))
         subs = ns[ci]
@@ -372,12 +454,12 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
         qid = qdf["q"].to_numpy()
         d = _dist(qx, mx)
         d[qid[:, None] == mid[None, :]] = np.inf
-        kk = min(k, d.shape[1])
+        kk = min(k + 16, d.shape[1])   # some more than k: their exact distances decide
         part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(qid), 1))
         rows_q = np.repeat(qid, part.shape[1])
         nb = mid[part].ravel()
-        dist = d[np.arange(len(qid))[:, None], part].ravel()
-        keep = np.isfinite(dist)
+        keep = np.isfinite(d[np.arange(len(qid))[:, None], part].ravel())
+        dist = _direct(np.repeat(qx, part.shape[1], axis=0), mx[part.ravel()])
         return pd.DataFrame({"q": rows_q[keep], "nb": nb[keep], "dist": dist[keep]})
 
     from pyspark.sql import Window

@@ -88,12 +88,22 @@ def sample_trials(spark: SparkSession, n: int, families: Sequence[str] = tuple(S
     return t.select("trial", "model_type", keep.alias("params"))
 
 
+#: Why a trial's fold failed, by (trial, fold), of this session's evaluations.
+TRIAL_ERRORS: dict[tuple, str] = {}
+
+
+def _is_cluster_failure(e: Exception) -> bool:
+    text = str(e)
+    return any(x in text for x in ("ExecutorLostFailure", "OutOfMemoryError", "FetchFailed", "SparkContext was shut down",
+                                   "Stage cancelled", "worker exited unexpectedly"))
+
+
 def family_params(trials: DataFrame) -> DataFrame:
     """Keep the chosen family's keys and strip the ``{family}_`` prefix."""
     pre = F.concat(F.col("model_type"), F.lit("_"))
     own = F.map_filter("params", lambda k, v: k.startswith(pre))
     return trials.withColumn("family_params", F.transform_keys(
-        own, lambda k, v: F.substring(k, F.length(pre) + 1, 1000)))
+        own, lambda k, v: F.substr(k, F.length(pre) + 1)))
 
 
 def completed(trials: DataFrame) -> DataFrame:
@@ -317,7 +327,10 @@ def evaluate_trials(spark: SparkSession, folded: DataFrame, features: Sequence[s
             err = (F.col(y) - F.col("prediction")) ** 2
             r2 = pred.agg(r2_expr(F.sum(err), F.var_pop(y) * F.count(y))).first()[0]
             return t["trial"], int(f), float(r2)
-        except Exception:   # a broken trial scores −999, as the reference's objective does
+        except Exception as e:   # a trial whose parameters do not fit scores −999
+            if _is_cluster_failure(e):
+                raise            # lost executors or memory are no property of the trial
+            TRIAL_ERRORS[(t["trial"], int(f))] = f"{type(e).__name__}: {e}"[:500]
             return t["trial"], int(f), float("nan")
 
     jobs = [(t, f) for t in others for f in folds]   # trials × folds run as concurrent Spark jobs

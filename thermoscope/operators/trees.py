@@ -145,7 +145,7 @@ def predict_prepared(df: DataFrame, bc, features: str = "features", key: str = "
             pred = np.zeros(len(x))
             for feat, thr, left, right, val, w in tr:
                 node = np.zeros(len(x), dtype=int)
-                for _ in range(64):
+                while True:   # a node's children come after it, so every walk ends
                     internal = feat[node] >= 0
                     if not internal.any():
                         break
