@@ -124,3 +124,40 @@ def m41_diagnostics(spark, sf_dir):
     r = me.residuals(t, "y", "prediction")
     return r.select("row_id", F.round("y", 6).alias("actual"), F.round("prediction", 6).alias("predicted"),
                     F.round("residual", 6).alias("residual"), F.round("abs_diff", 6).alias("abs_diff"))
+
+
+@query("s2_sweep_files_round_trip", """
+WITH p AS (SELECT vec_id, embedding, unnest(range(16)) AS point_idx FROM embeddings)
+SELECT vec_id, CAST(point_idx AS INTEGER) AS point_idx,
+       round(CAST(embedding[point_idx + 1] AS DOUBLE), 6) AS freq_hz,
+       round(CAST(embedding[point_idx + 17] AS DOUBLE), 6) AS return_loss_db,
+       round(CAST(embedding[point_idx + 33] AS DOUBLE), 6) AS phase_deg,
+       round(CAST(embedding[point_idx + 49] AS DOUBLE), 6) AS xs
+FROM p
+""")
+def s2_sweep_files_round_trip(spark, sf_dir):
+    """Every vector as a sweep file of 16 points below the shared folder, read back by header names.
+
+    Odd sweeps write their columns in another order and one column more.
+    """
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.files import MEASURES, SWEEP_COLUMNS, read_sweeps
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sweeps-{uuid.uuid4().hex}"
+    e = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    cell = lambda i, m: F.element_at("embedding", F.lit(16 * m + 1) + i).cast("double").cast("string")
+
+    def line(order):
+        return lambda i: F.concat_ws(",", *[F.lit("0.5") if m is None else cell(i, m) for m in order])
+
+    head = lambda order: F.lit(",".join("Rs" if m is None else SWEEP_COLUMNS[m] for m in order))
+    orders = (0, 1, 2, 3), (2, None, 0, 3, 1)
+    texts = [F.concat(F.array(head(o)), F.transform(F.sequence(F.lit(0), F.lit(15)), line(o)))
+             for o in orders]
+    lines = e.select("vec_id", F.posexplode(F.when(F.col("vec_id") % 2 == 0, texts[0]).otherwise(texts[1]))
+                     .alias("at", "value"))
+    (lines.repartition("vec_id").sortWithinPartitions("vec_id", "at").select("vec_id", "value")
+     .write.partitionBy("vec_id").text(path))
+    return read_sweeps(spark, [path], "part-*").where(~F.col("bad_line")).select(
+        F.col("vec_id").cast("long").alias("vec_id"), "point_idx", *[F.round(m, 6).alias(m) for m in MEASURES])
