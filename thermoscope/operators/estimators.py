@@ -66,8 +66,8 @@ class ArrayScalerModel(Model, _ArrayParams, DefaultParamsReadable, DefaultParams
 
     def _transform(self, df: DataFrame) -> DataFrame:
         from ..functions.columns import scale_array
-        c = F.array(*[F.lit(v) for v in self.getOrDefault("center")])
-        s = F.array(*[F.lit(v) for v in self.getOrDefault("scale")])
+        c = F.lit(np.array(self.getOrDefault("center"), float))
+        s = F.lit(np.array(self.getOrDefault("scale"), float))
         return df.withColumn(self.getOutputCol(), scale_array(self.getInputCol(), c, s))
 
 
@@ -124,7 +124,7 @@ class ArraySelectorModel(Model, _ArrayParams, DefaultParamsReadable, DefaultPara
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        idx = F.array(*[F.lit(i + 1) for i in self.getOrDefault("indices")])
+        idx = F.lit(np.array(self.getOrDefault("indices"), np.int32) + 1)
         return df.withColumn(self.getOutputCol(),
                              F.transform(idx, lambda i: F.element_at(F.col(self.getInputCol()), i)))
 
@@ -228,7 +228,7 @@ class RidgeModel(Model, _ArrayParams, DefaultParamsReadable, DefaultParamsWritab
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        w = F.array(*[F.lit(v) for v in self.getOrDefault("weights")])
+        w = F.lit(np.array(self.getOrDefault("weights"), float))
         dot = F.aggregate(F.zip_with(F.col(self.getInputCol()), w, lambda a, b: a * b),
                           F.lit(0.0), lambda acc, v: acc + v)
         return df.withColumn(self.getOutputCol(), dot + F.lit(self.getOrDefault("intercept")))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,15 +102,10 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], si
 def linear_scorer(weights: list[float], intercept: float, keep: list[int] | None = None,
                   center: list[float] | None = None, scale: list[float] | None = None):
     """X4 for a linear model: mask → scale → dot product, all as array expressions."""
+    w = F.lit(np.array(weights, float))   # one literal whatever the width
+
     def score(df: DataFrame) -> DataFrame:
-        x = F.col("features")
-        if keep is not None:
-            x = F.transform(F.array(*[F.lit(i + 1) for i in keep]), lambda i: F.element_at(x, i))
-        if center is not None:
-            cs = F.arrays_zip(F.array(*[F.lit(float(c)) for c in center]).alias("c"),
-                              F.array(*[F.lit(float(s)) for s in scale]).alias("s"))
-            x = F.zip_with(x, cs, lambda v, p: (v - p["c"]) / p["s"])
-        w = F.array(*[F.lit(float(v)) for v in weights])
+        x = _prepare_x(keep, center, scale)
         dot = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
         return df.withColumn("prediction", dot + F.lit(float(intercept)))
     return score
@@ -118,10 +114,9 @@ def linear_scorer(weights: list[float], intercept: float, keep: list[int] | None
 def _prepare_x(keep, center, scale):
     x = F.col("features")
     if keep is not None:
-        x = F.transform(F.array(*[F.lit(i + 1) for i in keep]), lambda i: F.element_at(F.col("features"), i))
+        x = F.transform(F.lit(np.array(keep, np.int32) + 1), lambda i: F.element_at(F.col("features"), i))
     if center is not None:
-        cs = F.arrays_zip(F.array(*[F.lit(float(c)) for c in center]).alias("c"),
-                          F.array(*[F.lit(float(s)) for s in scale]).alias("s"))
+        cs = F.arrays_zip(F.lit(np.array(center, float)).alias("c"), F.lit(np.array(scale, float)).alias("s"))
         x = F.zip_with(x, cs, lambda v, p: (v - p["c"]) / p["s"])
     return x
 
