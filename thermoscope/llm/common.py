@@ -7,6 +7,7 @@ shared checkpoint folder, so a lost executor only repeats its own tasks.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -48,6 +49,12 @@ class Scratch:
         self._remove(self.path(name))
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner free the shuffle files of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def take_ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Concatenate ``values[s:s+n]`` for every (s, n) without a Python loop."""
     total = int(lens.sum())

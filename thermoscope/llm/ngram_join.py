@@ -15,7 +15,8 @@ lower-cased; a text with fewer words is one shingle).  Two texts link when
    join, and each pair survives once, at its first common shingle.
 3. Suffix filter: the overlap cannot exceed the sum of the smaller sizes over
    the HIST ranges.
-4. The sets of the surviving pairs are intersected, once per pair.
+4. The texts of the surviving pairs alone become sets again, and each pair is
+   intersected once.
 
 A shingle that stands in the prefixes of more than ``HOT`` sets does not emit
 its pairs at first: ``HUB_ROUNDS`` times, one member per shingle is compared with
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, Scratch, mix64, slices_by_bytes
+from .common import U64, RollingHash, Scratch, mix64, settle, slices_by_bytes
 from .components import components
 from .repeats import TextBatch
 
@@ -44,10 +45,11 @@ N = 4
 PERCENT = 85
 SKETCH_BITS = 18
 HIST = 32
-HOT = 48
+HOT = 8
 HUB_ROUNDS = 2
 SLICE_BYTES = 2 << 20
 FAN_IN = 16
+BROADCAST_IDS = 1_000_000   # ids of candidate texts are broadcast only up to this many
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -210,14 +212,18 @@ def _pairs(a: DataFrame, b: DataFrame, percent: int, more: Column) -> DataFrame:
                       >= need(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter, then the exact overlap of the sets; returns linked (a, b)."""
+def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets could share enough, by the sizes of their parts in HIST ranges."""
     h = nodes.select("node", "hist")
     p = (pairs.join(h.withColumnsRenamed({"node": "a", "hist": "ha"}), "a")
          .join(h.withColumnsRenamed({"node": "b", "hist": "hb"}), "b"))
     top = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    p = p.where(top >= need(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
-    p = (p.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a")
+    return p.where(top >= need(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked (a, b): the exact overlap of the two sets of each pair."""
+    p = (pairs.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a")
          .join(sets.withColumnsRenamed({"node": "b", "set": "sb"}), "b"))
     return p.where(F.size(F.array_intersect("sa", "sb")) >= need(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
@@ -239,19 +245,26 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     listed = part.where("doc_id IS NOT NULL").mapInArrow(
         _prefixes(n, percent, ranks_b), f"doc_id {kind}, n long, prefix array<long>")
-    listed = listed.join(groups.select(F.col("node").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi") \
-        .dropDuplicates(["doc_id", "prefix"])
+    listed = listed.join(groups.select(F.col("node").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi")
     entries = listed.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "key"))
     counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     entries = scratch.write(entries.join(counts, "key"), "entries")
     usual, hot = entries.where(F.col("m") <= HOT).drop("m"), entries.where(F.col("m") > HOT).drop("m")
 
-    wanted = entries.select("node").distinct()
-    sets = scratch.write(part.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(
-        _sets(n), f"node {kind}, set array<long>").dropDuplicates(["node", "set"]), "sets")
+    settle(spark)
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        return scratch.write(_verify(pairs, nodes, sets, percent), name)
+        """Verify candidate pairs: only the texts of surviving pairs are turned into sets."""
+        left = scratch.write(_suffix_filter(pairs, nodes, percent), f"{name}-pairs")
+        ids = scratch.write(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct(), f"{name}-ids")
+        few = ids.count() <= BROADCAST_IDS
+        texts = part.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        sets = scratch.write(texts.mapInArrow(_sets(n), f"node {kind}, set array<long>"), f"{name}-sets")
+        out = scratch.write(_overlaps(left, sets, percent), name)
+        for t in ("pairs", "ids", "sets"):
+            scratch.drop(f"{name}-{t}")
+        settle(spark)
+        return out
 
     # one side of a pair is the smaller node, so each pair is made once
     links = linked(_pairs(usual, usual, percent, F.col("x.node") < F.col("y.node")), "links")
