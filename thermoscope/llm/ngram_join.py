@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, RollingHash, Scratch, mix64, settle, slices_by_bytes
@@ -248,7 +248,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     listed = listed.join(groups.select(F.col("node").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi")
     entries = listed.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "key"))
     counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    entries = scratch.write(entries.join(counts, "key"), "entries")
+    # the kept shingle before each one: where two sets have it in common too, they have met there already
+    before = Window.partitionBy("node").orderBy("pos", "key")
+    entries = scratch.write(entries.join(counts, "key").withColumn("prev", F.lag("key").over(before)), "entries")
     usual, hot = entries.where(F.col("m") <= HOT).drop("m"), entries.where(F.col("m") > HOT).drop("m")
 
     settle(spark)
@@ -266,8 +268,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         settle(spark)
         return out
 
-    # one side of a pair is the smaller node, so each pair is made once
-    links = linked(_pairs(usual, usual, percent, F.col("x.node") < F.col("y.node")), "links")
+    # one side of a pair is the smaller node, and a run of common shingles counts at its first, so a pair
+    # is made once in most cases
+    fresh = (F.col("x.node") < F.col("y.node")) & (F.col("x.prev").isNull() | F.col("y.prev").isNull()
+                                                   | (F.col("x.prev") != F.col("y.prev")))
+    links = linked(_pairs(usual, usual, percent, fresh), "links")
     if not hot.isEmpty():
         for r in range(HUB_ROUNDS):
             pick = F.struct(F.xxhash64("node", F.lit(r)) if r else F.col("n") * 0, "node", "n", "pos")
@@ -279,8 +284,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
             .where("lo <> hi").select("key")
         placed = scratch.write(placed.join(mixed, "key", "left_semi"), "placed")
-        rest = _pairs(placed, placed, percent, (F.col("x.node") < F.col("y.node"))
-                      & (F.col("x.component") != F.col("y.component")))
+        rest = _pairs(placed, placed, percent, fresh & (F.col("x.component") != F.col("y.component")))
         links = links.union(linked(rest, "rest"))
     linked_nodes = components(links, scratch, "all")
     final = groups.join(linked_nodes, "node", "left").select(
