@@ -14,10 +14,15 @@ Order of the corpus to a depth of LENGTH bytes, which is all that the question n
 
 * Parse: occurrences of phrases meet on (trigger, phrase).  All but the first
   occurrence of a phrase are repeated as a whole.
-* Dictionary: first occurrences of different phrases with one trigger share some
-  of their suffixes.  A suffix array cut at LENGTH bytes, built by doubling over
-  a task's slice of the dictionary, leaves the first place of each suffix class;
-  the classes of all tasks then meet on a 128-bit key of the suffix.
+* Dictionary, coarse: first occurrences of different phrases with one trigger
+  share some of their strings.  The strings that chose the trigger are cut into
+  cells of CELL neighbouring starts; cells meet on (core, block), the bytes that
+  all strings of a cell share and the bytes that any of them has.  Again all but
+  the first occurrence of a block are repeated as a whole.
+* Dictionary, fine: what is left are cells with one core and different blocks, the
+  few around the ends of each repeated passage.  A suffix array cut at LENGTH
+  bytes, built by doubling over a task's slice of them, leaves the first place of
+  each suffix class; the classes of all tasks then meet on a 128-bit key.
 
 Only places and hashes are grouped, with pre-aggregated minima and joins that
 Spark can split, so a phrase that stands in a third of all documents is no
@@ -31,7 +36,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -39,26 +43,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, Scratch, mix64, slices_by_bytes
+from .common import U64, RollingHash, Scratch, mix64, settle, slices_by_bytes
 from .repeats import TextBatch, covered, later_places, per_document, runs_of, with_spans
 
 LENGTH = 100
 K = 28
+CELL = 15
 SLICE_BYTES = 2 << 20
 POSITION_BITS = 24
 
 
-def triggers(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, document) of the triggers of concatenated documents; ``hashes``: of every K bytes."""
+def owners(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Trigger of every string of LENGTH bytes by its start, -1 where a string would cross documents.
+
+    ``hashes``: of every K bytes of the concatenated documents.
+    """
     reach = LENGTH - K + 1
-    n = len(data) - LENGTH + 1   # starts of strings of LENGTH bytes
+    n = len(data) - LENGTH + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = np.zeros(n, bool)
-    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        if hi - lo >= LENGTH:
-            inside[lo:hi - LENGTH + 1] = True
-    chosen = np.zeros(len(data), bool)
+        return np.empty(0, np.int64)
+    owner = np.empty(n, np.int64)
     mask = U64((1 << POSITION_BITS) - 1)
     for at in range(0, n, 1 << (POSITION_BITS - 1)):
         m = min(n - at, 1 << (POSITION_BITS - 1))
@@ -69,19 +73,31 @@ def triggers(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tuple
             level = np.minimum(level[:len(level) - size], level[size:])
             size *= 2
         least = np.minimum(level[:m], level[reach - size:reach - size + m])
-        chosen[at + (mask - (least[inside[at:at + m]] & mask)).astype(np.int64)] = True
-    pos = np.flatnonzero(chosen)
+        owner[at:at + m] = at + (mask - (least & mask)).astype(np.int64)
+    inside = np.zeros(n, bool)
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if hi - lo >= LENGTH:
+            inside[lo:hi - LENGTH + 1] = True
+    owner[~inside] = -1
+    return owner
+
+
+def triggers(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, document) of the triggers of concatenated documents."""
+    chosen = np.zeros(len(data) + 1, bool)
+    chosen[owners(data, offsets, hashes)] = True   # -1 marks the extra place at the end
+    pos = np.flatnonzero(chosen[:-1])
     return pos, np.searchsorted(offsets, pos, side="right") - 1
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, hashers):
-    """(document, trigger hash, phrase hash, start, end) of every phrase; start and end in ``data``."""
+    """(document, trigger hash, phrase hash, trigger, end) of every phrase; places in ``data``."""
     h = hashers[0].windows(hashers[0].prefix(data), K)
     pos, doc = triggers(data, offsets, h)
     a = np.maximum(offsets[doc], pos + K - LENGTH)
     b = np.minimum(offsets[doc + 1], pos + LENGTH)
     ph = mix64(hashers[1].span(hashers[1].prefix(data), a, b) + (pos - a).astype(U64))
-    return doc, h[pos], ph, a, b
+    return doc, h[pos], ph, pos, b
 
 
 def _hashers():
@@ -109,7 +125,7 @@ def _phrase_rows(batches):
     names = ["trigger", "phrase", "doc_id", "t", "pos", "stop"]
     for batch in batches:
         for lo, hi, data, offsets in _parts(batch):
-            doc, th, ph, a, b = phrases(data, offsets, hashers)
+            doc, th, ph, at, b = phrases(data, offsets, hashers)
             if not len(doc):
                 continue
             column = batch.column(1).slice(lo, hi - lo)
@@ -117,7 +133,38 @@ def _phrase_rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(th.view(np.int64)), pa.array(ph.view(np.int64)),
                  batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(digests[doc]),
-                 pa.array((a - offsets[doc]).astype(np.int32)), pa.array((b - offsets[doc]).astype(np.int32))], names)
+                 pa.array((at - offsets[doc]).astype(np.int32)), pa.array((b - offsets[doc]).astype(np.int32))], names)
+
+
+def _cell_rows(batches):
+    """Cells of the strings that contested triggers own: ``spans`` lists trigger positions."""
+    hashers, others = _hashers(), (RollingHash(79), RollingHash(83))
+    names = ["core", "block", "doc_id", "t", "pos", "stop"]
+    for batch in batches:
+        for lo, hi, data, offsets in _parts(batch):
+            asked = np.zeros(len(data) + 1, bool)
+            for i, spans in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist()):
+                asked[int(offsets[i]) + np.array([s["pos"] for s in spans])] = True
+            owner = owners(data, offsets, hashers[0].windows(hashers[0].prefix(data), K))
+            start = np.flatnonzero(asked[owner])   # -1 reads the extra place, which is false
+            if not len(start):
+                continue
+            base = owner[start] - (LENGTH - K)
+            cell = (start - base) // CELL
+            new = np.ones(len(start), bool)
+            new[1:] = (owner[start][1:] != owner[start][:-1]) | (cell[1:] != cell[:-1])
+            trigger, cell, base = owner[start][new], cell[new], base[new]
+            doc = np.searchsorted(offsets, trigger, side="right") - 1
+            left = base + cell * CELL
+            prefix = [h.prefix(data) for h in others]
+            core = mix64(others[0].span(prefix[0], left + CELL - 1, left + LENGTH) + cell.astype(U64))
+            a, b = np.maximum(left, offsets[doc]), np.minimum(left + CELL - 1 + LENGTH, offsets[doc + 1])
+            block = mix64(others[1].span(prefix[1], a, b) + (a - left).astype(U64))
+            ids, column = batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(core.view(np.int64)), pa.array(block.view(np.int64)), ids.take(pa.array(doc)),
+                 pa.array(TextBatch(column).digests()[doc]), pa.array((a - offsets[doc]).astype(np.int32)),
+                 pa.array((b - offsets[doc]).astype(np.int32))], names)
 
 
 def suffix_classes(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -184,10 +231,14 @@ def _suffix_rows(batches):
                  pa.array(digests[d]), pa.array(p.astype(np.int32)), pa.array(later)], names)
 
 
-def _settle(spark) -> None:
-    """Let Spark's cleaner free the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _split(rows: DataFrame, scratch: Scratch, key: str, whole: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(all places of a whole but its first, first places of wholes that share their key with another)."""
+    later = scratch.write(later_places(rows, [key, whole]).select("doc_id", "t", "pos", "stop"), f"{name}-later")
+    firsts = rows.groupBy(key, whole).agg(F.min(F.struct("doc_id", "pos", "t", "stop")).alias("p"))
+    several = rows.groupBy(key).agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo <> hi").select(key)
+    contested = scratch.write(firsts.join(several, key, "left_semi").select("p.*"), f"{name}-contested")
+    settle(rows.sparkSession)
+    return later, contested
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -195,31 +246,36 @@ def removals(docs: DataFrame) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     part = docs.select("doc_id", "text")
+    place = f"doc_id {kind}, t long, pos int, stop int"
     again = scratch.write(part.mapInArrow(_trigger_rows, "trigger long").groupBy("trigger")
                           .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger"), "triggers")
-    _settle(spark)
-    rows = part.mapInArrow(_phrase_rows, f"trigger long, phrase long, doc_id {kind}, t long, pos int, stop int")
+    settle(spark)
+    rows = part.mapInArrow(_phrase_rows, f"trigger long, phrase long, {place}")
     rows = scratch.write(rows.join(again, "trigger", "left_semi"), "phrases")
     scratch.drop("triggers")
-    _settle(spark)
-    # parse: all occurrences of a phrase but its first
-    whole = scratch.write(later_places(rows, ["trigger", "phrase"]).select("doc_id", "t", "pos", "stop"), "whole")
-    # dictionary: first occurrences, where a trigger has several phrases
-    firsts = rows.groupBy("trigger", "phrase").agg(F.min(F.struct("doc_id", "pos", "t", "stop")).alias("p"))
-    several = rows.groupBy("trigger").agg(F.min("phrase").alias("lo"), F.max("phrase").alias("hi")) \
-        .where("lo <> hi").select("trigger")
-    contested = scratch.write(firsts.join(several, "trigger", "left_semi").select("p.*")
-                              .where(F.col("stop") - F.col("pos") >= LENGTH), "contested")
+    settle(spark)
+    # a phrase is known by its trigger's position; its start follows
+    later, contested = _split(rows, scratch, "trigger", "phrase", "phrase")
+    phrases_out = later.withColumn("pos", F.greatest(F.col("pos") + (K - LENGTH), F.lit(0)))
     scratch.drop("phrases")
-    _settle(spark)
+
+    asked = with_spans(part, per_document(contested, "pos"), "inner").select("doc_id", "text", "spans")
+    cells = scratch.write(asked.mapInArrow(_cell_rows, f"core long, block long, {place}"), "cells")
+    settle(spark)
+    cells_out, contested = _split(cells, scratch, "core", "block", "cell")
+    scratch.drop("cells")
+
     asked = with_spans(part, per_document(contested, "pos", "stop"), "inner").select("doc_id", "text", "spans")
     suffixes = scratch.write(asked.mapInArrow(
         _suffix_rows, f"h1 long, h2 long, doc_id {kind}, t long, pos int, later boolean"), "suffixes")
-    _settle(spark)
+    settle(spark)
     known = suffixes.where("later").select("doc_id", "t", "pos")
     found = later_places(suffixes.where("NOT later").drop("later"), ["h1", "h2"]).select("doc_id", "t", "pos")
     strings = known.union(found).withColumn("stop", F.col("pos") + LENGTH)
-    return scratch.write(whole.union(strings), "removals")
+    whole = phrases_out.union(cells_out).where(F.col("stop") - F.col("pos") >= LENGTH)
+    out = scratch.write(whole.union(strings), "removals")
+    settle(spark)
+    return out
 
 
 def _cut(batches):
