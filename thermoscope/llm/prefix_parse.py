@@ -234,6 +234,7 @@ def _suffix_rows(batches):
 def _split(rows: DataFrame, scratch: Scratch, key: str, whole: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(all places of a whole but its first, first places of wholes that share their key with another)."""
     later = scratch.write(later_places(rows, [key, whole]).select("doc_id", "t", "pos", "stop"), f"{name}-later")
+    settle(rows.sparkSession)
     firsts = rows.groupBy(key, whole).agg(F.min(F.struct("doc_id", "pos", "t", "stop")).alias("p"))
     several = rows.groupBy(key).agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo <> hi").select(key)
     contested = scratch.write(firsts.join(several, key, "left_semi").select("p.*"), f"{name}-contested")
@@ -261,6 +262,7 @@ def removals(docs: DataFrame) -> DataFrame:
 
     asked = with_spans(part, per_document(contested, "pos"), "inner").select("doc_id", "text", "spans")
     cells = scratch.write(asked.mapInArrow(_cell_rows, f"core long, block long, {place}"), "cells")
+    scratch.drop("phrase-contested")
     settle(spark)
     cells_out, contested = _split(cells, scratch, "core", "block", "cell")
     scratch.drop("cells")
@@ -268,12 +270,15 @@ def removals(docs: DataFrame) -> DataFrame:
     asked = with_spans(part, per_document(contested, "pos", "stop"), "inner").select("doc_id", "text", "spans")
     suffixes = scratch.write(asked.mapInArrow(
         _suffix_rows, f"h1 long, h2 long, doc_id {kind}, t long, pos int, later boolean"), "suffixes")
+    scratch.drop("cell-contested")
     settle(spark)
     known = suffixes.where("later").select("doc_id", "t", "pos")
     found = later_places(suffixes.where("NOT later").drop("later"), ["h1", "h2"]).select("doc_id", "t", "pos")
     strings = known.union(found).withColumn("stop", F.col("pos") + LENGTH)
     whole = phrases_out.union(cells_out).where(F.col("stop") - F.col("pos") >= LENGTH)
     out = scratch.write(whole.union(strings), "removals")
+    for name in ("suffixes", "phrase-later", "cell-later"):
+        scratch.drop(name)
     settle(spark)
     return out
 
