@@ -31,6 +31,7 @@ SAMPLE_DOCS = 400      # of each language
 SAMPLE_WINDOWS = 4
 MAX_LANGUAGES = 200
 EPOCHS = 8
+SLICE_BYTES = 1 << 20    # text bytes cut into windows together
 UNDETERMINED = "und"
 
 
@@ -212,7 +213,7 @@ def _apply(rows: DataFrame, net: ByteConvNet | None) -> DataFrame:
             at = 0
             while at < len(rows):
                 size = np.cumsum(lens[rows[at:]])
-                part = rows[at:at + max(1, int(np.searchsorted(size, 4 << 20)))]
+                part = rows[at:at + max(1, int(np.searchsorted(size, SLICE_BYTES)))]
                 at += len(part)
                 x, counts = cut_windows(data, starts[part], lens[part])
                 p = model.predict(CLASSES[x], tables)

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import slices_by_bytes, take_ragged
 
 SPACE = "▁"
-CACHE_SEGMENTS = 300_000
-CACHE_PAIRS = 1_000_000
-SLICE_BYTES = 6 << 20
+CACHE_SEGMENTS = 250_000
+CACHE_PAIRS = 500_000
+SLICE_BYTES = 3 << 20
 
 
 class PieceModel:
