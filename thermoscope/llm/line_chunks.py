@@ -4,10 +4,18 @@ A rolling hash over the hashes of neighbouring lines chooses chunk boundaries,
 so inserted or deleted lines move only the boundaries next to them.  A boundary
 stands after line i when the hash of lines i-1 and i is 0 modulo ``MEAN_LINES``
 and the same does not hold for lines i-2 and i-1; every chunk of a text with two
-or more lines has at least two.  Chunks found at several places are removed
+or more lines has at least two.  Below these chunks lie the smallest ones, which
+overlap: from every line that holds a word to the next such line, with the empty
+lines between.  Chunks of both kinds found at several places are removed
 everywhere but at the first place (smallest document id, then position).  The
 hash only proposes: places count as equal when their bytes are equal.
 
+A passage of two or more lines with words that also stands earlier goes as a
+whole, whatever lies around it: its smallest chunks cover it from its first to
+its last line with a word, so matches need no further extension.  Empty lines at
+its ends go only with a larger chunk.  A single line that repeats without a
+repeated neighbour is no chunk and stays.
+
 Edge cases: null and empty texts and texts of one line have no chunk and stay
 (null becomes the empty text); chunks with fewer than two lines that hold a word
 are left alone; a null id sorts before all others; rows that repeat an id and a
@@ -22,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, mix64, slices_by_bytes
+from .common import U64, RollingHash, mix64, slices_by_bytes, take_ragged
 from .repeats import TextBatch, covered, later_places, per_document, repeated, with_spans
 
 MEAN_LINES = 3
@@ -71,16 +79,24 @@ def chunks(data: np.ndarray, offsets: np.ndarray, hasher: RollingHash):
     begins[1:] = cut[:-1] | ~same[1:]
     first = np.flatnonzero(begins)
     stop = np.concatenate((first[1:], [n]))
-    key = np.zeros(len(first), U64)
-    # hash of a chunk: sum of its line hashes, each scaled by its place in the chunk
-    place = (np.arange(n) - np.repeat(first, stop - first)).astype(U64)
-    scaled = mix64(h + place * U64(0xC2B2AE3D27D4EB4F))
-    key = mix64(np.add.reduceat(scaled, first) + (stop - first).astype(U64))
     inked = np.add.reduceat(words, first)
+    inner = words.astype(bool)
+    # a chunk from one line with words to the next is also one of the smallest chunks
+    ok = (stop - first >= 2) & (inked >= 2) & ~((inked == 2) & inner[first] & inner[stop - 1])
+    at = np.flatnonzero(inner)
+    near = doc[at[1:]] == doc[at[:-1]]
+    f = np.concatenate((first[ok], at[:-1][near]))
+    s = np.concatenate((stop[ok], at[1:][near] + 1))
+    if not len(f):
+        return (np.empty(0, np.int64),) * 6
+    # hash of a chunk: sum of its line hashes, each scaled by its place in the chunk
+    size = s - f
+    inside = take_ragged(np.arange(n), f, size)
+    place = (inside - np.repeat(f, size)).astype(U64)
+    scaled = mix64(h[inside] + place * U64(0xC2B2AE3D27D4EB4F))
+    key = mix64(np.add.reduceat(scaled, np.cumsum(size) - size) + size.astype(U64))
     line = np.arange(n) - np.searchsorted(doc, doc)
-    ok = (stop - first >= 2) & (inked >= 2)
-    f, s = first[ok], stop[ok]
-    return doc[f], line[f], line[f] + (s - f), key[ok], start[f], end[s - 1]
+    return doc[f], line[f], line[f] + size, key, start[f], end[s - 1]
 
 
 def _chunk_rows(with_bytes: bool):
@@ -96,8 +112,9 @@ def _chunk_rows(with_bytes: bool):
                 data = whole.data[whole.offsets[lo]:whole.offsets[hi]]
                 doc, a, b, key, at, end = chunks(data, offsets, hasher)
                 if with_bytes and len(doc):
-                    ask = [{s["pos"] for s in x} for x in wanted.slice(lo, hi - lo).to_pylist()]
-                    keep = np.fromiter((p in ask[d] for d, p in zip(doc.tolist(), a.tolist())), bool, len(doc))
+                    ask = [{(s["pos"], s["stop"]) for s in x} for x in wanted.slice(lo, hi - lo).to_pylist()]
+                    keep = np.fromiter(((p, q) in ask[d] for d, p, q in zip(doc.tolist(), a.tolist(), b.tolist())),
+                                       bool, len(doc))
                     doc, a, b, key, at, end = (x[keep] for x in (doc, a, b, key, at, end))
                 if not len(doc):
                     continue
@@ -142,7 +159,7 @@ def removals(docs: DataFrame) -> DataFrame:
     part = docs.select("doc_id", "text")
     rows = part.mapInArrow(_chunk_rows(False), f"h long, doc_id {kind}, t long, pos int, stop int")
     likely = rows.join(repeated(rows, ["h"]).select("h"), "h", "left_semi")
-    asked = with_spans(part, per_document(likely, "pos"), "inner").select("doc_id", "text", "spans")
+    asked = with_spans(part, per_document(likely, "pos", "stop"), "inner").select("doc_id", "text", "spans")
     exact = asked.mapInArrow(_chunk_rows(True), f"h long, doc_id {kind}, t long, pos int, stop int, bytes binary")
     return later_places(exact, ["h", "bytes"])
 
