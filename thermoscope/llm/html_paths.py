@@ -1,12 +1,18 @@
 """Main-text extraction from web pages with consensus paths per host.
 
 Every page is parsed once to score its containers: a container's score is its
-share of the page's text outside boilerplate and links, and the page votes for
-the deepest container that still holds ``DOMINANT`` of it.  A vote names the
-container by its generalised path: tags and classes from the root, digits
-removed.  Spark adds up the votes of each host, and a second parse extracts the
-text of the elements on the host's best path that the page has; a page without
-any of them uses its own vote.
+share of the page's text outside boilerplate and links.  From the deepest
+container that holds ``DOMINANT`` of it the page climbs as long as an enclosing
+container adds such text, and votes for the container it reaches.  The body of
+the page counts as enclosing only for text of its own (headings, paragraphs) and
+for articles, sections and quotes; other blocks beside the container there are
+page furniture.  A vote names the container by its generalised path: tags and
+classes from the root, digits removed.
+
+Spark adds up the votes of each host, and a second parse extracts the text.  A
+page whose own vote is shared by another page of the host follows it, or the
+host's better path around it; any other page follows the host's best path that
+it has, climbing there in the same way, and last its own vote.
 
 Left out everywhere: markup, comments in the markup, scripts and styles, forms
 and form controls, menus, headers, footers, sidebars, and elements whose class,
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 DOMINANT = 0.7
-PATHS_OF_HOST = 8              # best paths tried on a page before its own vote
+PATHS_OF_HOST = 8              # best paths of a host that its pages can follow
 BROADCAST_BYTES = 32 << 20     # the table of host paths is broadcast only below this
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -41,6 +47,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 SKIP = RAW | frozenset("""head nav header footer aside form button select option fieldset label template svg math
 canvas object audio video menu dialog datalist""".split())
 CONTAINERS = frozenset("body main article section div td center blockquote".split())
+CONTENT = frozenset("main article section blockquote".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp
 small span strike strong sub sup time tt u var wbr""".split())
 # an opening tag of the key closes an open element of the value, up to the nearest container
@@ -130,41 +137,93 @@ def events(page: str):
         stack.append(node)
 
 
-def vote(page: str) -> str | None:
-    """Path of the deepest container that holds most of the page's own text."""
-    nodes, total = {}, 0
-    for node, text in events(page):
-        if text is None or node.skip:
-            continue
-        size = len(html_lib.unescape(text).split()) if not node.link else 0
-        if size:
-            total += size
-            while node is not None:
-                if node.tag in CONTAINERS or node.parent is None:
-                    nodes[id(node)] = node
-                    node.size += size
+class Layout:
+    """One page's events with the size of its own text by exact path; ``up`` has (parent path, tag) of every path."""
+
+    def __init__(self, page: str):
+        self.events = list(events(page))
+        self.own: dict[str, int] = {}
+        self.up: dict[str, tuple[str, str]] = {}
+        for node, text in self.events:
+            if text is None or node.skip:
+                continue
+            size = len(html_lib.unescape(text).split()) if not node.link else 0
+            if size:
+                self.own[node.path] = self.own.get(node.path, 0) + size
+            while node.parent is not None:
+                if node.tag in CONTAINERS:
+                    if node.path in self.up:
+                        break
+                    self.up[node.path] = node.parent.path, node.tag
                 node = node.parent
-    best = None
-    for node in nodes.values():
-        if node.size >= DOMINANT * total and (best is None or node.depth > best.depth):
-            best = node
-    return best.path if best else None
-
-
-def extract(page: str, paths: list[str]) -> str:
-    """Text of the elements on the first path that has any; of the whole page when none has."""
-    found: dict[str, list[str]] = {p: [] for p in paths}
-    wanted = sorted(found, key=len)
-    for node, text in events(page):
-        for p in wanted:
-            # below the path: containers extend it by a slash
-            if node.path == p or node.path.startswith(p + "/") or p == "":
+
+    def climb(self, path: str) -> str:
+        """The highest path around ``path`` that adds text of the page."""
+        best = here = path
+        while here in self.up:
+            parent = self.up[here][0]
+            beside = [q for q in self.own if within(q, parent) and not within(q, here)]
+            if parent and self.up[parent][1] != "body":
+                adds = bool(beside)
+            else:
+                adds = any(q == parent or q[len(parent) + 1:].split("/")[0].split(".")[0] in CONTENT for q in beside)
+            best = parent if adds else best
+            here = parent
+        return best
+
+    def vote(self) -> str | None:
+        """Path of the container reached from the deepest one that holds most of the page's own text."""
+        nodes, total = {}, 0
+        for node, text in self.events:
+            if text is None or node.skip:
+                continue
+            size = len(html_lib.unescape(text).split()) if not node.link else 0
+            if size:
+                total += size
+                while node is not None:
+                    if node.tag in CONTAINERS or node.parent is None:
+                        nodes[id(node)] = node
+                        node.size += size
+                    node = node.parent
+        best = None
+        for node in nodes.values():
+            if node.size >= DOMINANT * total and (best is None or node.depth > best.depth):
+                best = node
+        return self.climb(best.path) if best else None
+
+    def text(self, path: str) -> str:
+        """Text of the elements on a path."""
+        found = []
+        for node, text in self.events:
+            if within(node.path, path):
                 if text is None:
-                    found[p].append(" ")
+                    found.append(" ")
                 elif not node.skip:
-                    found[p].append(text)
-    for p in paths:
-        out = " ".join(html_lib.unescape("".join(found[p])).split())
+                    found.append(text)
+        return " ".join(html_lib.unescape("".join(found)).split())
+
+
+def within(path: str, outer: str) -> bool:
+    """Whether a path is the outer one or below it: containers extend it by a slash."""
+    return outer == "" or path == outer or path.startswith(outer + "/")
+
+
+def vote(page: str) -> str | None:
+    """Path of the container that holds the page's own text."""
+    return Layout(page).vote()
+
+
+def extract(page: str, paths: list[str], votes: list[int]) -> str:
+    """Main text of a page by its host's best paths and their votes, and by its own vote."""
+    layout = Layout(page)
+    own = layout.vote()
+    if own in paths:
+        shared = votes[paths.index(own)] > 1
+    else:   # below the listed paths, so shared by others only if the last of a full list is
+        shared = len(paths) == PATHS_OF_HOST and votes[-1] > 1
+    tried = [p for p in paths if not shared or own is None or within(own, p)]
+    for p in tried + [own]:
+        out = layout.text(layout.climb(p)) if p is not None else ""
         if out:
             return out
     return ""
@@ -179,15 +238,8 @@ def _votes(batches):
 
 def _texts(batches):
     for batch in batches:
-        out = []
-        for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            text = ""
-            if page:
-                text = extract(page, paths) if paths else ""
-                if not text:
-                    own = vote(page)
-                    text = extract(page, [own]) if own is not None else ""
-            out.append(text)
+        rows = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+        out = [extract(page, paths or [], votes or []) if page else "" for page, paths, votes in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())],
                                          ["page_id", "url", "text"])
 
@@ -197,7 +249,7 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, paths``: the best voted paths of every host, best first.
+    """``host, paths, votes``: the best voted paths of every host and their votes, best first.
 
     Votes are counted per (host, path) with map-side sums, so a host with a third
     of all pages sends a few rows per task; the ranking sees one row per path.
@@ -207,8 +259,8 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
     top = counted.withColumn("r", rank).where(F.col("r") <= PATHS_OF_HOST)
-    return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))),
-                                               lambda x: x["path"]).alias("paths"))
+    best = top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "path", "n"))).alias("best"))
+    return best.select("host", F.col("best.path").alias("paths"), F.col("best.n").alias("votes"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -220,6 +272,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         paths = F.broadcast(paths)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     joined = (pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-              .join(paths, host_of(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "paths"))
+              .join(paths, host_of(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "paths", "votes"))
     return joined.mapInArrow(_texts, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string") \
         .withColumnsRenamed({"page_id": id_col, "url": url_col})
