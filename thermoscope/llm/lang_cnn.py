@@ -148,10 +148,14 @@ def cut_windows(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteConvNet | None:
     """Fit on a bounded sample: the ``SAMPLE_DOCS`` documents of each language with the smallest id hash.
 
-    Only ids and labels are ranked; the sampled ids then fetch their texts.
+    Only ids and labels are ranked; the sampled ids then fetch their texts.  The ``MAX_LANGUAGES`` labels
+    with the most documents (then by name) are learned; rarer ones are never predicted.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    labelled = known.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"))
+    usual = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    known = known.where(F.col(lang_col).isin([r["lang"] for r in usual]))
     ids = (known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
                         F.xxhash64(id_col).alias("h"))
            .withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).select("id").distinct())
@@ -164,8 +168,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return None
-    if len(labels) > MAX_LANGUAGES:
-        raise ValueError(f"{len(labels)} labels; at most {MAX_LANGUAGES} are learned")
     number = {x: i for i, x in enumerate(labels)}
     texts, y = [], []
     for r in rows:
