@@ -12,3 +12,9 @@ def test_rare_labels_are_not_learned(spark, monkeypatch):
     net = lang_cnn.train(df)
     assert net.labels == ["de", "en"]
     assert {r["lang_pred"] for r in lang_cnn.predict(df, net).collect()} <= {"de", "en", "und"}
+
+
+def test_documents_stay_without_labels(spark):
+    df = spark.createDataFrame([(1, "a clean text", None), (2, "12 34", None), (3, None, None), (4, "中文", None)],
+                               "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in lang_cnn.keep_determined(df, lang_cnn.train(df)).collect()) == [1, 4]

@@ -189,7 +189,9 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", te
 
 
 def keep_determined(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text") -> DataFrame:
-    """Rows whose language the network can tell (all but ``und``), with all their columns."""
+    """Rows whose language the network can tell (all but ``und``), with all their columns; with no network, rows with a letter."""
+    if net is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     rows = _apply(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
                               F.col(text_col).alias("text")), net)
     return rows.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
