@@ -17,7 +17,8 @@ Verification: documents that share a sketch shingle are shingled again, and the
 distinct shingles they share with each item are counted by text.
 
 Edge cases: null and empty texts have no shingles and match nothing; a document
-with fewer than ``N`` words has its whole sequence as one shingle; items with
+with fewer than ``N`` words has its whole sequence as one shingle; an item with
+fewer than ``N`` words is therefore not searched inside longer texts; items with
 equal shingle sets are searched once and reported under every item id; a null
 id is passed through; repeated document rows give one result; extra columns are
 not read; with no items or no documents the result is empty.
