@@ -121,3 +121,25 @@ def op10_prefix_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_parse import deduplicate
     return deduplicate(load(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers for all documents, with corpus counts of the pairs."""
+    from .token_align import align
+    return align(load(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"),
+                 tokenizer_file("piece_bpe_32k.model"))
+
+
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, every tenth of them made periodic, and the collapsed texts."""
+    from .periodic_runs import collapse, digests, with_planted_runs
+    return digests(collapse(with_planted_runs(load(spark, sf_dir, "documents", "doc_id", "text"))))
+
+
+@register
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    from .simhash import link
+    return link(load(spark, sf_dir, "documents", "doc_id", "text"))
