@@ -34,6 +34,14 @@ SPACE = {
     "bagging": (("bagging_n_estimators", "int", 10, 100),),
     "ada": (("ada_n_estimators", "int", 50, 200), ("ada_learning_rate", "uniform", 0.01, 2.0)),
 }
+# The two optional boosters; their device choices have no counterpart here.
+OPTIONAL_SPACE = {
+    "xgb": (("xgb_n_estimators", "int", 50, 300), ("xgb_learning_rate", "uniform", 0.01, 0.3), ("xgb_max_depth", "int", 3, 10),
+            ("xgb_subsample", "uniform", 0.6, 1.0), ("xgb_colsample_bytree", "uniform", 0.6, 1.0)),
+    "lgbm": (("lgbm_n_estimators", "int", 50, 300), ("lgbm_learning_rate", "uniform", 0.01, 0.3),
+             ("lgbm_max_depth", "int", 3, 10), ("lgbm_num_leaves", "int", 10, 300), ("lgbm_subsample", "uniform", 0.6, 1.0),
+             ("lgbm_colsample_bytree", "uniform", 0.6, 1.0)),
+}
 SCALERS = ("robust", "standard")
 SELECTION = ("True", "False")
 K_FEATURES = (100, 500)   # drawn only when selection is on and the width exceeds 500
@@ -77,7 +85,7 @@ def sample_trials(spark: SparkSession, n: int, families: Sequence[str] = tuple(S
             sel == "True", draw(F.col("trial"), "k_features", "int", K_FEATURES[0], hi, seed).cast("string"))
             .alias("v")))
     for f in families:
-        for name, kind, lo, hi in SPACE[f]:
+        for name, kind, lo, hi in {**SPACE, **OPTIONAL_SPACE}[f]:
             entries.append(F.struct(F.lit(name).alias("k"),
                                     draw(F.col("trial"), name, kind, lo, hi, seed).cast("string").alias("v")))
     allp = F.map_from_entries(F.array(*entries))
@@ -290,6 +298,14 @@ def _fit_predict(kind: str, p: dict, train: DataFrame, val: DataFrame, feats: li
     if kind == "extra":
         nodes = en.extra_trees(arr(train), "__f", y, int(g("n_estimators", 100)), min(20, int(g("max_depth", 8))))
         return en.extra_trees_predict(arr(val), "__f", nodes).join(val, "row_id")
+    if kind in ("xgb", "lgbm"):
+        from .boosting import fit_boosting
+        depth = int(g("max_depth", 6))
+        model = fit_boosting(arr(train), "__f", y, rounds=int(g("n_estimators", 100)), learning_rate=g("learning_rate", 0.1),
+                             num_leaves=2 ** depth if kind == "xgb" else int(g("num_leaves", 31)), max_depth=depth,
+                             min_rows=1 if kind == "xgb" else 20, l2=1.0 if kind == "xgb" else 0.0,
+                             subsample=g("subsample", 1.0), colsample=g("colsample_bytree", 1.0))
+        return model.transform(arr(val), "__f")
     if kind == "ada":
         models, w = en.ada_boost_r2(train, feats, y, int(g("n_estimators", 50)), g("learning_rate", 1.0))
         return en.ada_predict(val, feats, models, w).join(val, "row_id")

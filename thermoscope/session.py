@@ -146,6 +146,29 @@ def write_table(df):
 _TABLE_FOLDERS: set[str] = set()
 
 
+class TableStore:
+    """Named tables of one job in the shared folder, dropped when no later step reads them.
+
+    What is left goes with ``close`` or when the application ends.
+    """
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        atexit.register(_remove_folder, spark, self.base)
+
+    def write(self, df, name: str):
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        _remove_folder(self.spark, f"{self.base}/{name}")
+
+    def close(self) -> None:
+        _remove_folder(self.spark, self.base)
+
+
 def _remove_folder(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
