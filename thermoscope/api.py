@@ -20,6 +20,8 @@ from .operators.ensembles import (ada_boost_r2 as ada_r2, ada_predict, extra_tre
                                   extra_trees_predict, rbf_predict, rbf_regression as rbf_svr)
 from .operators.estimators import (ArrayScaler, ArraySelector, OutlierMask, RidgeRegressor,  # noqa: F401
                                    load_model, named_pipeline, save_model)
+from .operators.boosting import fit_boosting  # noqa: F401
+from .operators.gauss import hsic  # noqa: F401
 from .operators.kernel import hsic_scores  # noqa: F401
 from .operators.linear import cv_ridge_scores, elastic_net, fit_ridge, lasso, linear_predict, ridge_loo  # noqa: F401
 from .operators.metrics import histogram, metrics, residuals  # noqa: F401

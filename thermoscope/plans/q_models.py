@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import outliers as ol
 from ..sources.tables import load
 from .catalog import query
+from .features import SQL_EMB_LONG
 
 
 def _vectors(spark, sf_dir):
@@ -87,23 +88,38 @@ def m22_local_outlier_factor(spark, sf_dir):
 
 # ------------------------------------------------------------ kernel scores
 
-@query("a20_hsic_scores")
+_SQL_HSIC = f"""
+{SQL_EMB_LONG},
+pair AS (SELECT a.feature_id, a.row_id, exp(-(a.value - b.value) * (a.value - b.value)) AS kx, exp(-(a.y - b.y) * (a.y - b.y)) AS ky
+         FROM emb_long a JOIN emb_long b USING (feature_id)),
+sums AS (SELECT feature_id, row_id, sum(kx) AS rx, sum(ky) AS ry, sum(kx * ky) AS kk FROM pair GROUP BY feature_id, row_id),
+hsic AS (SELECT feature_id, count(*) AS n, (sum(kk) - 2.0 / count(*) * sum(rx * ry) + sum(rx) * sum(ry) / (count(*) * count(*)))
+                / ((count(*) - 1.0) * (count(*) - 1.0)) AS score FROM sums GROUP BY feature_id)
+"""
+
+
+@query("a20_hsic_scores", f"""
+WITH {_SQL_HSIC} SELECT feature_id, n, round(score, 8) AS score FROM hsic
+""")
 def a20_hsic_scores(spark, sf_dir):
-    """Random-Fourier-feature HSIC per embedding dimension vs label (declared approximation)."""
-    from ..operators.kernel import hsic_scores
+    """HSIC per embedding dimension with the label: kernel sums over all pairs by a fast Gauss transform."""
+    from ..operators.gauss import hsic
     from .features import embedding_long
-    s = hsic_scores(embedding_long(spark, sf_dir))
-    return s.select("feature_id", "n", F.round("score", 9).alias("score"), "method")
+    return hsic(embedding_long(spark, sf_dir)).select("feature_id", "n", F.round("score", 8).alias("score"))
 
 
-@query("m10_hsic_selector")
+@query("m10_hsic_selector", f"""
+WITH {_SQL_HSIC}, top AS (SELECT feature_id FROM hsic ORDER BY score DESC, feature_id LIMIT 10)
+SELECT feature_id, count(*) AS n, round(avg(value), 6) AS mean FROM emb_long JOIN top USING (feature_id) GROUP BY feature_id
+""")
 def m10_hsic_selector(spark, sf_dir):
     """Top-10 features by HSIC (k=10, γ=1), then the projected long rows per kept feature."""
-    from ..operators.kernel import K_BEST, hsic_scores
+    from ..operators.gauss import hsic
+    from ..operators.kernel import K_BEST
     from ..operators.select import keep_features, top_k
     from .features import embedding_long
     long = embedding_long(spark, sf_dir)
-    top = top_k(hsic_scores(long), k=K_BEST)
+    top = top_k(hsic(long), k=K_BEST)
     kept = keep_features(long, top)
     return kept.groupBy("feature_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                           F.round(F.avg("value"), 6).alias("mean"))
