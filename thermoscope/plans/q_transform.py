@@ -42,7 +42,7 @@ def m11_pca_projection(spark, sf_dir):
 @query("m12_truncated_svd")
 def m12_truncated_svd(spark, sf_dir):
     fit = dc.svd_fit(_vectors(spark, sf_dir), "features", 10)
-    rows = [(i, float(s)) for i, s in enumerate(fit["singular_values"])]
+    rows = [(i, round(float(s), 8)) for i, s in enumerate(fit["singular_values"])]
     return spark.createDataFrame(rows, "component int, singular_value double")
 
 
