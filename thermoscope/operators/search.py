@@ -34,13 +34,14 @@ SPACE = {
     "bagging": (("bagging_n_estimators", "int", 10, 100),),
     "ada": (("ada_n_estimators", "int", 50, 200), ("ada_learning_rate", "uniform", 0.01, 2.0)),
 }
-# The two optional boosters; their device choices have no counterpart here.
+# Families beside SPACE; the boosters' device choices have no counterpart here.
 OPTIONAL_SPACE = {
     "xgb": (("xgb_n_estimators", "int", 50, 300), ("xgb_learning_rate", "uniform", 0.01, 0.3), ("xgb_max_depth", "int", 3, 10),
             ("xgb_subsample", "uniform", 0.6, 1.0), ("xgb_colsample_bytree", "uniform", 0.6, 1.0)),
     "lgbm": (("lgbm_n_estimators", "int", 50, 300), ("lgbm_learning_rate", "uniform", 0.01, 0.3),
              ("lgbm_max_depth", "int", 3, 10), ("lgbm_num_leaves", "int", 10, 300), ("lgbm_subsample", "uniform", 0.6, 1.0),
              ("lgbm_colsample_bytree", "uniform", 0.6, 1.0)),
+    "ridge_cv": (),   # its penalty is chosen inside each fold
 }
 SCALERS = ("robust", "standard")
 SELECTION = ("True", "False")
@@ -68,7 +69,8 @@ def choice(trial: Column, name: str, options: Sequence[str], seed: int = SEED) -
 
 
 def sample_trials(spark: SparkSession, n: int, families: Sequence[str] = tuple(SPACE),
-                  seed: int = SEED, n_features: int | None = None) -> DataFrame:
+                  seed: int = SEED, n_features: int | None = None, wide: int = 500,
+                  k_range: tuple[int, int] = K_FEATURES) -> DataFrame:
     """N trials; each draws a family, then only that family's parameters,
     plus the preprocessing choices (scaler type, selection on/off and — only
     when selection is on and the data is wider than 500 — k_features)."""
@@ -79,10 +81,10 @@ def sample_trials(spark: SparkSession, n: int, families: Sequence[str] = tuple(S
                F.struct(F.lit("scaler_type").alias("k"),
                         choice(F.col("trial"), "scaler_type", SCALERS, seed).alias("v")),
                F.struct(F.lit("use_feature_selection").alias("k"), sel.alias("v"))]
-    if n_features is not None and n_features > 500:
-        hi = min(K_FEATURES[1], n_features)
+    if n_features is not None and n_features > wide:
+        hi = min(k_range[1], n_features)
         entries.append(F.struct(F.lit("k_features").alias("k"), F.when(
-            sel == "True", draw(F.col("trial"), "k_features", "int", K_FEATURES[0], hi, seed).cast("string"))
+            sel == "True", draw(F.col("trial"), "k_features", "int", k_range[0], hi, seed).cast("string"))
             .alias("v")))
     for f in families:
         for name, kind, lo, hi in {**SPACE, **OPTIONAL_SPACE}[f]:
@@ -197,9 +199,11 @@ def ridge_trial_scores(spark: SparkSession, folded: DataFrame, features: Sequenc
     training rows (one extra ranked pass, shared by all robust trials).
     """
     from .linear import bucket_stats, fold_train_iqr, r2_on, solve_ridge
+    from .trials import best_features, drawn_k, take
     rows = trials.select("trial", F.col("params")["ridge_alpha"].cast("double").alias("alpha"),
                          F.coalesce(F.col("params")["scaler_type"], F.lit("none")).alias("scaler")).collect()
     alphas = {int(r["trial"]): (float(r["alpha"]), r["scaler"]) for r in rows}   # bounded by the trial cap
+    ks = {int(r["trial"]): drawn_k(dict(r["params"]), len(features), 0) for r in trials.select("trial", "params").collect()}
     stats = bucket_stats(folded, features, y, ["repeat", "fold"])
     iqr = fold_train_iqr(folded, features) if any(v[1] == "robust" for v in alphas.values()) else {}
     out = []
@@ -211,11 +215,13 @@ def ridge_trial_scores(spark: SparkSession, folded: DataFrame, features: Sequenc
         for f, s in sorted(buckets.items()):
             train = total - s
             for t, (a, scaler) in alphas.items():
+                idx = best_features(train, ks[t])
+                kept = take(train, idx)
                 if scaler == "robust":
-                    w, b = solve_ridge(train, a, scale=iqr[(rep, f)])
+                    w, b = solve_ridge(kept, a, scale=iqr[(rep, f)][idx])
                 else:
-                    w, b = solve_ridge(train, a, standardize or scaler == "standard")
-                out.append((t, int(rep), int(f), float(r2_on(s, w, b))))
+                    w, b = solve_ridge(kept, a, standardize or scaler == "standard")
+                out.append((t, int(rep), int(f), float(r2_on(take(s, idx), w, b))))
     schema = T.StructType([T.StructField("trial", T.IntegerType()), T.StructField("repeat", T.IntegerType()),
                            T.StructField("fold", T.IntegerType()), T.StructField("r2", T.DoubleType())])
     return spark.createDataFrame(out, schema)
@@ -274,6 +280,17 @@ def _fold_scale(train: DataFrame, features: Sequence[str], kind: str):
                                       for i, (c, (m, s)) in enumerate(zip(features, cs))])
 
 
+def _fold_features(train: DataFrame, features: Sequence[str], y: str, params: dict) -> list[str]:
+    """The columns a trial keeps in one fold: its ``k_features`` of greatest F on the training rows."""
+    k = int(float(params.get("k_features", 0))) if params.get("use_feature_selection") == "True" else 0
+    if not 0 < k < len(features):
+        return list(features)
+    st = train.agg(*[F.abs(F.corr(c, y)).alias(f"r{i}") for i, c in enumerate(features)]).first()
+    strength = [0.0 if st[i] is None or math.isnan(st[i]) else st[i] for i in range(len(features))]   # F grows with |r|
+    top = sorted(range(len(features)), key=lambda i: (-strength[i], i))[:k]
+    return [features[i] for i in sorted(top)]
+
+
 def _fit_predict(kind: str, p: dict, train: DataFrame, val: DataFrame, feats: list[str], y: str) -> DataFrame:
     from . import ensembles as en
     from . import linear as lin
@@ -337,8 +354,9 @@ def evaluate_trials(spark: SparkSession, folded: DataFrame, features: Sequence[s
         try:
             train = folded.where(F.col("fold") != f)
             val = folded.where(F.col("fold") == f)
-            scale = _fold_scale(train, features, t["params"].get("scaler_type", "standard"))
-            zf = [f"__z{i}" for i in range(len(features))]
+            feats = _fold_features(train, features, y, t["params"])
+            scale = _fold_scale(train, feats, t["params"].get("scaler_type", "standard"))
+            zf = [f"__z{i}" for i in range(len(feats))]
             pred = _fit_predict(t["model_type"], t["params"], scale(train), scale(val), zf, y)
             err = (F.col(y) - F.col("prediction")) ** 2
             r2 = pred.agg(r2_expr(F.sum(err), F.var_pop(y) * F.count(y))).first()[0]
