@@ -120,10 +120,19 @@ def test_units_in_pieces_and_small_caches(brute, proto, documents, monkeypatch):
     for text in documents.text.tolist()[:60]:
         found, = model.slots([text])
         want = brute.groups(text)
-        assert ";".join(model.names[s] for s in found) == ";".join(
+        assert model.text_of(found).decode() == ";".join(
             ",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in want)
 
 
+def test_merger_equals_library(proto, documents):
+    """The faster merger against the tokenizers library: every entry's own text, all documents, odd texts."""
+    model = token_align.Aligner(proto("byte_bpe_50k.json"), proto("piece_bpe_32k.model"))
+    own = [b.decode() for b in model.a_bytes if b.decode(errors="ignore").encode() == b]
+    texts = own + [t for t in ODD if t] + documents.text.tolist()
+    want = [e.ids for e in model.a.encode_batch(texts, add_special_tokens=False)]
+    assert model.merger is not None and [model.merger.encode_ordinary(t) for t in texts] == want
+
+
 def test_identity_map_has_the_same_bytes(proto):
     model = token_align.Aligner(proto("byte_bpe_50k.json"), proto("piece_bpe_32k.model"))
     held = np.flatnonzero(model.same >= 0)

@@ -28,8 +28,10 @@ CHUNK_CHARS, and a task holds the arrays of one block.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,15 @@ from .words import text_column
 BLOCK_BYTES = 4 << 20
 CHUNK_CHARS = 1 << 20
 CACHE_UNITS = 400_000
+JOINED = 2000
+# fixed value: the split of byte-level vocabularies into words
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FAN_IN = 16
 META = "▁"
 # cuts before a single blank and around a single line feed between other characters
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+_TWO_BLANKS = re.compile(r"\s\s")
+_DIGITS = 10   # of a token id, at most
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -56,14 +63,16 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def units_of(text: str):
-    """Lists of units of a text; each list comes from about CHUNK_CHARS characters."""
+def pieces_of(text: str):
+    """A text in pieces of about CHUNK_CHARS characters that end at unit boundaries.
+
+    The characters around a cut are those of a unit boundary, so a piece splits as within the whole text.
+    """
     at = 0
     while at < len(text):
         cut = _CUT.search(text, at + CHUNK_CHARS) if len(text) - at > CHUNK_CHARS else None
         end = cut.start() if cut else len(text)
-        # the characters around the piece are those of a unit boundary, so it splits as in the whole text
-        yield _CUT.split(text[at:end])
+        yield text[at:end]
         at = end
 
 
@@ -71,8 +80,26 @@ def _bounds(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
 
 
+class _Slots(dict):
+    """Numbers of units; a unit asked for the first time gets the next one and is noted as new."""
+
+    def __init__(self, owner: "Aligner", new: list[tuple[int, str]]):
+        super().__init__()
+        self.owner, self.new = owner, new
+
+    def __missing__(self, unit: str) -> int:
+        n = self.owner.known
+        self.owner.known = n + 1
+        self[unit] = n
+        self.new.append((n, unit))
+        return n
+
+
 class Aligner:
-    """The two tokenizers, the identity map and the units aligned so far."""
+    """The two tokenizers, the identity map and the units aligned so far.
+
+    ``words`` are units of a blank and characters without blanks at either end; ``others`` are the rest.
+    """
 
     def __init__(self, a_json: bytes, b_model: bytes):
         import sentencepiece
@@ -85,6 +112,7 @@ class Aligner:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        self.merger = self._merger(json.loads(a_json), alphabet)
         b = self.b
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else
                         b.id_to_piece(i).replace(META, " ").encode() for i in range(b.get_piece_size())]
@@ -103,81 +131,161 @@ class Aligner:
         self.same = np.array([by_bytes.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        shown = [str(i).encode() for i in range(max(len(self.a_bytes), self.n_b))]
+        self.digits = np.frombuffer(b"".join(x.ljust(_DIGITS) for x in shown), np.uint8)
+        self.n_digits = np.array([len(x) for x in shown], np.int64)
         self.forget()
 
+    def _merger(self, spec: dict, alphabet: dict[str, int]):
+        """A faster merger with the same results, if the file's merges stand in the order of the ids they make.
+
+        Then the pair of the earliest merge is the pair whose joined bytes have the smallest id.
+        """
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        joined = ["".join(x if isinstance(x, list) else x.split(" ")) for x in model["merges"]]
+        ids = [model["vocab"][x] for x in joined]
+        if (spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True)
+                or model.get("ignore_merges") or any(x >= y for x, y in zip(ids, ids[1:]))):
+            return None
+        import tiktoken
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
+        for t in spec.get("added_tokens", ()):
+            ranks.pop(t["content"].encode(), None)
+        return tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.names: list[str | None] = []            # groups of a unit as text; None: bytes are not given back
+        self.known, self.learnt = 0, 0
+        self.new_words: list[tuple[int, str]] = []
+        self.new_others: list[tuple[int, str]] = []
+        self.words, self.others = _Slots(self, self.new_words), _Slots(self, self.new_others)
+        self.names: list[bytes] = []                 # groups of a unit as text, each followed by a semicolon
+        self.good = np.empty(0, bool)                # whether both tokenizers give back the unit's bytes
         self.sizes = np.empty((0, 4), np.int64)      # tokens of A, tokens of B, groups, links
         self.links = np.empty(0, np.int64)           # A id * n_b + B id of every link, unit by unit
         self.starts = np.empty(0, np.int64)
 
-    def _encode_b(self, units: list[str]) -> list[list[int]]:
+    def _encode_a(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, tokens of each); words are encoded some thousand at a time."""
+        if self.merger:
+            one = self.merger.encode_ordinary
+        else:
+            def one(text):
+                return self.a.encode(text, add_special_tokens=False).ids
+        parts = [one(" " + " ".join(words[k:k + JOINED])) for k in range(0, len(words), JOINED)]
+        flat = np.fromiter(chain.from_iterable(parts), np.int64)
+        # a word's tokens are those up to its last byte
+        sizes = np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))
+        ends = np.searchsorted(np.cumsum(self.a_len[flat]), np.cumsum(sizes)) + 1
+        rest = [one(u) for u in others]
+        return (np.concatenate((flat, np.fromiter(chain.from_iterable(rest), np.int64))),
+                np.concatenate((np.diff(ends, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest)))))
+
+    def _encode_b(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # the library puts a blank in front; a unit without one follows a line feed instead
-        got = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
-        return [ids if u[0] == " " else ids[2:] for u, ids in zip(units, got)]
-
-    def learn(self, units: list[str]) -> None:
-        """Encode and align new units."""
-        a_ids = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        b_ids = self._encode_b(units)
-        raw = [u.encode() for u in units]
-        good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r and b"".join(map(self.b_bytes.__getitem__, y)) == r
-                         for x, y, r in zip(a_ids, b_ids, raw)], bool)
-        names: list[str | None] = [None] * len(units)
-        sizes = np.zeros((len(units), 4), np.int64)
-        links = np.empty(0, np.int64)
-        rows = np.flatnonzero(good)
-        if len(rows):
-            some_a, some_b = [a_ids[i] for i in rows], [b_ids[i] for i in rows]
-            n_a, n_b = np.array(list(map(len, some_a))), np.array(list(map(len, some_b)))
-            a, b = np.array(sum_lists(some_a)), np.array(sum_lists(some_b))
-            end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-            # ends of both are the ends of groups; a unit's end is one of them
-            ends = np.intersect1d(end_a, end_b)
-            in_a, in_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
-            first_a, first_b = np.searchsorted(in_a, np.arange(len(ends))), np.searchsorted(in_b, np.arange(len(ends)))
-            size_a, size_b = np.bincount(in_a, minlength=len(ends)), np.bincount(in_b, minlength=len(ends))
-            unit_of = np.searchsorted(np.cumsum(n_a), first_a, side="right")
-            n_links = size_a * size_b
-            # every A token of a group with every B token of it
-            per_a = size_b[in_a]
-            right = take_ragged(b, first_b[in_a], per_a)
-            links = np.repeat(a, per_a) * self.n_b + right
-            sizes[rows] = np.column_stack((n_a, n_b, np.bincount(unit_of, minlength=len(rows)),
-                                           np.bincount(unit_of, weights=n_links, minlength=len(rows)).astype(np.int64)))
-            text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            groups = [",".join(text_a[i:i + k]) + "|" + ",".join(text_b[j:j + m]) for i, k, j, m in
-                      zip(first_a.tolist(), size_a.tolist(), first_b.tolist(), size_b.tolist())]
-            cut = _bounds(np.bincount(unit_of, minlength=len(rows))).tolist()
-            for k, i in enumerate(rows.tolist()):
-                names[i] = ";".join(groups[cut[k]:cut[k + 1]])
-        self.slot.update(zip(units, range(len(self.names), len(self.names) + len(units))))
-        self.names.extend(names)
+        got = self.b.encode(words, num_threads=1) if words else []
+        rest = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in others], num_threads=1) if others else []
+        got = got + [ids if u[0] == " " else ids[2:] for u, ids in zip(others, rest)]
+        return np.fromiter(chain.from_iterable(got), np.int64), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _gives_back(self, flat: np.ndarray, counts: np.ndarray, table: list[bytes], raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each unit give back its bytes."""
+        if b"".join(map(table.__getitem__, flat.tolist())) == b"".join(raw):
+            lens = np.array([len(x) for x in table], np.int64)[flat]
+            total = np.concatenate(([0], np.cumsum(lens)))[_bounds(counts)]
+            if np.array_equal(np.diff(total), np.fromiter(map(len, raw), np.int64, len(raw))):
+                return np.ones(len(raw), bool)
+        at = _bounds(counts).tolist()
+        ids = flat.tolist()
+        return np.array([b"".join(map(table.__getitem__, ids[at[i]:at[i + 1]])) == r for i, r in enumerate(raw)], bool)
+
+    def learn(self) -> None:
+        """Encode and align the units noted as new."""
+        if not (self.new_words or self.new_others):
+            return
+        number = np.array([n for n, _ in self.new_words] + [n for n, _ in self.new_others]) - self.learnt
+        words, others = [w for _, w in self.new_words], [u for _, u in self.new_others]
+        self.new_words.clear()
+        self.new_others.clear()
+        raw = [b" " + w.encode() for w in words] + [u.encode() for u in others]
+        (a, n_a), (b, n_b) = self._encode_a(words, others), self._encode_b(words, others)
+        good = self._gives_back(a, n_a, self.a_bytes, raw) & self._gives_back(b, n_b, self.b_bytes, raw)
+        if not good.all():
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        names, sizes, links = self._aligned(a, n_a, b, n_b)
+        # from the order of encoding to the order of numbers
+        order = np.argsort(number)
+        starts = _bounds(sizes[:, 3])[:-1]
+        links = take_ragged(links, starts[order], sizes[order, 3])
+        sizes = sizes[order]
+        self.names.extend(names[i] for i in order.tolist())
+        self.good = np.concatenate((self.good, good[order]))
         self.starts = np.concatenate((self.starts, len(self.links) + _bounds(sizes[:, 3])[:-1]))
         self.sizes, self.links = np.concatenate((self.sizes, sizes)), np.concatenate((self.links, links))
+        self.learnt = self.known
+
+    def _aligned(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
+        """(text of the groups, sizes, links) of units from their tokens: all units at once."""
+        units = len(n_a)
+        end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        if not len(a):
+            return [b""] * units, np.zeros((units, 4), np.int64), np.empty(0, np.int64)
+        # ends of both are the ends of groups; a unit's end is one of them
+        at = np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)
+        ends = end_a[end_b[at] == end_a]
+        in_a, in_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
+        size_a, size_b = np.bincount(in_a, minlength=len(ends)), np.bincount(in_b, minlength=len(ends))
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        unit_of = np.searchsorted(np.cumsum(n_a), first_a, side="right")
+        n_groups = np.bincount(unit_of, minlength=units)
+        # every A token of a group with every B token of it
+        per_a = size_b[in_a]
+        links = np.repeat(a, per_a) * self.n_b + take_ragged(b, first_b[in_a], per_a)
+        n_links = np.bincount(unit_of, weights=size_a * size_b, minlength=units).astype(np.int64)
+        # the groups as text: A ids, then B ids, each followed by a separator
+        before = np.cumsum(size_a + size_b) - size_a - size_b
+        ids, sep = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[before[in_a] + np.arange(len(a)) - first_a[in_a]] = a
+        ids[(before + size_a)[in_b] + np.arange(len(b)) - first_b[in_b]] = b
+        sep[before + size_a - 1], sep[before + size_a + size_b - 1] = ord("|"), ord(";")
+        width = self.n_digits[ids] + 1
+        ends_at = np.cumsum(width)
+        text = take_ragged(self.digits, ids * _DIGITS, width)
+        text[ends_at - 1] = sep
+        text = text.tobytes()
+        tokens = _bounds(n_a + n_b)
+        cut = np.concatenate(([0], ends_at))[tokens].tolist()
+        return ([text[x:y] for x, y in zip(cut, cut[1:])], np.column_stack((n_a, n_b, n_groups, n_links)), links)
+
+    def _unit_slots(self, piece: str) -> list[int]:
+        if _TWO_BLANKS.search(piece) or piece[0] != " " or piece[-1].isspace():
+            word, other = self.words, self.others
+            return [word[u[1:]] if u[0] == " " and " " not in u[1:] and not (u[1:2].isspace() or u[-1].isspace())
+                    else other[u] for u in _CUT.split(piece)]
+        # usual text: blanks and line feeds stand alone between other characters
+        lines = piece[1:].split("\n")
+        out = list(map(self.words.__getitem__, lines[0].split(" ")))
+        for line in lines[1:]:
+            first, *rest = line.split(" ")
+            out.append(self.others["\n"])
+            out.append(self.others[first])
+            out.extend(map(self.words.__getitem__, rest))
+        return out
 
     def slots(self, texts: list[str]) -> list[np.ndarray]:
         """The slots of the units of each text, in order; empty for texts without tokens."""
-        if len(self.slot) > CACHE_UNITS:
+        if self.known > CACHE_UNITS:
             self.forget()
-        known, out = self.slot, []
+        found = []
         for text in texts:
-            parts = []
-            for units in units_of(" " + text) if text else ():
-                new = [u for u in dict.fromkeys(units) if u not in known]
-                if new:
-                    self.learn(new)
-                parts.append(np.fromiter(map(known.__getitem__, units), np.int64, len(units)))
-            found = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            if META in text or any(self.names[s] is None for s in set(found.tolist())):
-                found = found[:0]
-            out.append(found)
-        return out
-
+            parts = [np.array(self._unit_slots(p), np.int64) for p in (pieces_of(" " + text) if text else ())]
+            found.append(np.concatenate(parts) if parts else np.empty(0, np.int64))
+        self.learn()
+        return [x[:0] if META in t or not self.good[x].all() else x for t, x in zip(texts, found)]
 
-def sum_lists(lists: list[list[int]]) -> list[int]:
-    return [x for part in lists for x in part]
+    def text_of(self, slots: np.ndarray) -> bytes:
+        """The groups of a text."""
+        return b"".join(map(self.names.__getitem__, slots.tolist()))[:-1]
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
@@ -217,7 +325,7 @@ def groups(docs: DataFrame, a_json: bytes, b_model: bytes, id_col: str = "doc_id
             for lo, hi in slices_by_bytes(offsets, BLOCK_BYTES):
                 found = al.slots(_texts(column, lo, hi))
                 sizes = np.array([al.sizes[s].sum(0) for s in found], np.int64).reshape(-1, 4)
-                names = [";".join(map(al.names.__getitem__, s.tolist())) for s in found]
+                names = [al.text_of(s).decode() for s in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, sizes.T), pa.array(names)],
                                                  [id_col, "n_a", "n_b", "n_groups", "n_links", "groups"])
 
@@ -243,8 +351,7 @@ def _blocks(files):
             for lo, hi in slices_by_bytes(offsets, BLOCK_BYTES):
                 found = al.slots(_texts(column, lo, hi))
                 sizes = np.array([al.sizes[s].sum(0) for s in found], np.int64).reshape(-1, 4)
-                digest = [hashlib.sha256(";".join(map(al.names.__getitem__, s.tolist())).encode()).hexdigest() if len(s) else ""
-                          for s in found]
+                digest = [hashlib.sha256(al.text_of(s)).hexdigest() if len(s) else "" for s in found]
                 doc = np.repeat(np.arange(hi - lo), list(map(len, found)))
                 slots, unit = np.unique(np.concatenate(found), return_inverse=True)
                 # distinct units of each document, with how often they occur
