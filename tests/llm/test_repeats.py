@@ -101,33 +101,44 @@ def test_components_long_chain_and_star(spark):
 
 # --- sentence spans --------------------------------------------------------------
 
-def brute_sentences(t):
-    toks = [(m.start(), m.end()) for m in WORD.finditer(t)]
-    out, cur = [], None
-    for i, (a, b) in enumerate(toks):
-        cur = [a, b, 1] if cur is None else [cur[0], b, cur[2] + 1]
-        if i == len(toks) - 1 or "\n" in t[b:toks[i + 1][0]] or re.search(r"[.!?][\"')\]}]*$", t[a:b]):
-            out.append(tuple(cur))
-            cur = None
-    return out
+def brute_runs_of_units(n, words, size, least):
+    """(first, end) of the shortest runs of ``size`` units and ``least`` words, grown forward and backward from every unit."""
+    found = set()
+    for i in range(n):
+        j = next((j for j in range(i + size, n + 1) if sum(words[i:j]) >= least), None)
+        if j is not None:
+            found.add((i, j))
+        j = next((j for j in range(i + 1 - size, -1, -1) if sum(words[j:i + 1]) >= least), None)
+        if j is not None:
+            found.add((j, i + 1))
+    return found
 
 
 def brute_spans(pairs):
+    """Units of each text alone, plain searches for its runs, and runs compared by their texts."""
     seen, out = set(), {}
+    hasher = RollingHash(41)
     for i, t in sorted(pairs):
-        t = t or ""
-        s = brute_sentences(t)
-        gone = [False] * len(s)
-        for a in range(len(s)):
-            for k, least in ((3, 8), (2, 30)):
-                if a + k <= len(s) and sum(x[2] for x in s[a:a + k]) >= least:
-                    key = (k, *(t[x[0]:x[1]] for x in s[a:a + k]))
-                    if key in seen:
-                        gone[a:a + k] = [True] * k
-                    seen.add(key)
-        edge = [x[0] for x in s] + [len(t)]
-        kept = t[:edge[0]] + "".join(t[edge[j]:edge[j + 1]] for j in range(len(s)) if not gone[j])
-        out[i] = (len(s), sum(gone), kept)
+        raw = (t or "").encode()
+        data = np.frombuffer(raw, np.uint8)
+        _, start, end, words, begins = (x.tolist() for x in sentence_spans.units(data, np.array([0, len(raw)]), hasher))
+        n, first = len(start), [k for k, x in enumerate(begins) if x]
+        edge = [*first, n]
+        per_sentence = [sum(words[x:y]) for x, y in zip(edge, edge[1:])]
+        spans = {(edge[x], edge[y]) for x, y in brute_runs_of_units(len(first), per_sentence, sentence_spans.RUN,
+                                                                   sentence_spans.MIN_WORDS)}
+        for x, y in brute_runs_of_units(n, words, 1, sentence_spans.PAIR_WORDS):
+            if not (x in edge and y in edge and edge.index(y) - edge.index(x) >= sentence_spans.RUN):
+                spans.add((x, y))
+        gone = [False] * n
+        for x, y in sorted(spans):
+            key = tuple(raw[start[k]:end[k]] for k in range(x, y))
+            if key in seen:
+                gone[x:y] = [True] * (y - x)
+            seen.add(key)
+        cut = [*start, len(raw)]
+        kept = raw[:cut[0]] + b"".join(raw[cut[k]:cut[k + 1]] for k in range(n) if not gone[k])
+        out[i] = (len(first), sum(any(gone[x:y]) for x, y in zip(edge, edge[1:])), kept.decode())
     return out
 
 
@@ -154,6 +165,7 @@ def test_sentence_spans_small(docs_of):
 # --- line chunks -------------------------------------------------------------------
 
 def brute_chunks(pairs):
+    """Chunks between hash boundaries and from one line with words to the next, compared by their bytes."""
     hasher, seen, out = RollingHash(47), set(), {}
 
     def line_hash(b):
@@ -162,18 +174,21 @@ def brute_chunks(pairs):
 
     for i, t in sorted(pairs):
         lines = (t or "").encode().split(b"\n")
-        h, n, a, gone = [line_hash(x) for x in lines], len(lines), 0, set()
+        h, n, a, gone, spans = [line_hash(x) for x in lines], len(lines), 0, set(), set()
+        inked = [k for k in range(n) if lines[k].split()]
         hit = [k > 0 and int(mix64(np.array([(h[k - 1] * 0x9E3779B97F4A7C15 + h[k]) % 2**64], U64))[0])
                % line_chunks.MEAN_LINES == 0 for k in range(n)]
         for k in range(n):
             if k == n - 1 or (hit[k] and not (k and hit[k - 1]) and k <= n - 3):
-                chunk = lines[a:k + 1]
-                if sum(1 for x in chunk if x.split()) >= 2:
-                    key = b"\n".join(chunk)
-                    if key in seen:
-                        gone |= set(range(a, k + 1))
-                    seen.add(key)
+                if sum(a <= x <= k for x in inked) >= 2:
+                    spans.add((a, k + 1))
                 a = k + 1
+        spans |= {(x, y + 1) for x, y in zip(inked, inked[1:])}
+        for x, y in sorted(spans):
+            key = tuple(lines[x:y])
+            if key in seen:
+                gone |= set(range(x, y))
+            seen.add(key)
         out[i] = (n, len(gone), b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode())
     return out
 

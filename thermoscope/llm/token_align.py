@@ -44,7 +44,8 @@ from .words import text_column
 
 BLOCK_BYTES = 4 << 20
 CHUNK_CHARS = 1 << 20
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
+HELD_LINKS = 1_000_000
 JOINED = 2000
 # fixed value: the split of byte-level vocabularies into words
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -363,12 +364,19 @@ def _blocks(files):
                 keys, number = np.unique(link[~same], return_inverse=True)
                 coded = np.empty(len(link), np.int64)
                 coded[~same], coded[same] = number, -1 - link[same] // al.n_b
-                # documents that hold each pair
-                held_doc = np.repeat(doc, n_links[unit])
-                held = take_ragged(coded, (np.cumsum(n_links) - n_links)[unit], n_links[unit]) + len(identity)
-                width = len(identity) + len(keys)
-                held = np.unique(held_doc * width + held) % width if width else held
-                in_docs = np.bincount(held, minlength=width)
+                # documents that hold each pair, some documents at a time
+                width, at = len(identity) + len(keys), np.cumsum(n_links) - n_links
+                in_docs, ends = np.zeros(width, np.int64), np.cumsum(n_links[unit])
+                lo_ = 0
+                while lo_ < len(doc):
+                    past = int(np.searchsorted(ends, (ends[lo_ - 1] if lo_ else 0) + HELD_LINKS, side="right"))
+                    # whole documents: up to the one that would pass the limit, or one alone
+                    hi_ = len(doc) if past >= len(doc) else int(np.searchsorted(doc, doc[past]))
+                    hi_ = hi_ if hi_ > lo_ else int(np.searchsorted(doc, doc[lo_], side="right"))
+                    u = unit[lo_:hi_]
+                    held = np.repeat(doc[lo_:hi_], n_links[u]) * width + take_ragged(coded, at[u], n_links[u]) + len(identity)
+                    in_docs += np.bincount(np.unique(held) % width, minlength=width)
+                    lo_ = hi_
                 identity += in_docs[:len(identity)][::-1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k], i64), _one(batch.column(0).slice(lo, hi - lo), kind), _one(sizes.ravel(), i32),
