@@ -126,7 +126,7 @@ def test_knn_with_small_blocks_is_exact(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(150, 4))
     df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(150), "features": list(x)}))
-    got = ol.knn(df, 3, block=16).toPandas()
+    got = ol.knn(df, 3, leaf=16).toPandas()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     want = np.sort(d, axis=1)[:, :3]

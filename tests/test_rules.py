@@ -187,7 +187,7 @@ def test_neighbours_of_data_far_from_zero(spark):
     from thermoscope.operators import outliers as ol
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 3)) + 1e8
-    got = ol.knn(_rows(spark, x), 5, block=64).toPandas()
+    got = ol.knn(_rows(spark, x), 5, leaf=64).toPandas()
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     want = {i: set(np.argsort(d[i])[:5]) for i in range(300)}

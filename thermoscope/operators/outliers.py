@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+from .neighbors import knn
 from .ranking import exact_quantiles
 
 # Reference defaults.
@@ -280,7 +282,6 @@ def isolation_forest_mask(df: DataFrame, features: str = "features", trees: int
 def isolation_state(df: DataFrame, trees: int = N_TREES, contamination: float = CONTAMINATION, seed: int = SEED,
                     features: str = "features", key: str = "row_id") -> dict:
     """Fitted trees and the score cut; trees * (2 * sample - 1) nodes at most."""
-    from ..session import materialize
     nodes = materialize(isolation_forest_nodes(df, features, trees, seed=seed, key=key))
     scores = isolation_scores(df, nodes, features, key=key)
     cut = exact_quantiles(scores, "score", [contamination], names=["cut"]).first()["cut"]
@@ -330,171 +331,6 @@ def _isolation_values(x: np.ndarray, forest, c_psi: float) -> np.ndarray:
 
 # ------------------------------------------------- local outlier factor
 
-def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distance matrix between the rows of a and b.
-
-    Fast but inexact far from the origin: callers centre the data, allow for the
-    rounding when they prune, and measure what they keep with :func:`_direct`.
-    """
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
-def _direct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of paired rows from their differences, without cancellation."""
-    diff = a - b
-    return np.sqrt((diff * diff).sum(1))
-
-
-MAX_PIVOTS = 4096  # broadcast bound; exactness does not depend on it (cells grow, sub-blocks split them)
-SLICE_ROWS = 1024  # rows per NumPy distance slice inside a task
-
-
-def _pivots(df: DataFrame, features: str, key: str, block: int, seed: int) -> np.ndarray:
-    n = df.count()
-    m = min(MAX_PIVOTS, max(1, int(math.ceil(n / block))))
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
-    rows = df.select(features, h.alias("__h")).orderBy("__h", ).limit(m).select(features).collect()
-    return np.array([r[0] for r in rows], dtype=float)
-
-
-def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
-        block: int = 256, seed: int = SEED) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean, self excluded) without all pairs.
-
-    1. ``m = n/block`` pivots (hash sample) are broadcast; each point joins the
-       cell of its nearest pivot; cell radius R_c and size come from a groupBy.
-    2. Per point an upper bound U of its k-distance follows from whole cells
-       (d(x,p_c) + R_c, accumulated until k other points are covered).
-    3. The point is routed to every cell with d(x,p_c) − R_c ≤ U (triangle
-       inequality: no closer neighbour can live elsewhere); large cells are
-       split into hash sub-blocks and the query is routed to each sub-block.
-    4. Each (cell, sub-block) compares its routed queries with its members in
-       one NumPy block (cogroup + applyInPandas) and keeps k per query; a final
-       rank keeps the global k per point.
-
-    Two phases: each point first searches its own cell exactly, which gives
-    a real k-distance bound; only cells whose lower bound d(x,p_c) − R_c does
-    not exceed it are visited next (the whole-cell bound of step 2 is the
-    fallback when the own cell holds fewer than k other points).
-    """
-    from .decompose import origin
-    spark = df.sparkSession
-    shift = origin(df, features)[0]   # distances do not change; products stay small
-    df = df.select(key, F.col(features).cast("array<double>").alias(features))
-    piv = _pivots(df, features, key, block, seed) - shift
-    bpiv = spark.sparkContext.broadcast(piv)
-
-    def assign(batches):
-        p = bpiv.value
-        for pdf in batches:
-            for lo in range(0, len(pdf), SLICE_ROWS):
-                part = pdf.iloc[lo:lo + SLICE_ROWS]
-                x = np.stack(part[features].to_numpy()).astype(float) - shift
-                c = _dist(x, p).argmin(axis=1)
-                yield pd.DataFrame({key: part[key].to_numpy(), "cell": c.astype("int32"),
-                                    "dc": _direct(x, p[c]), features: list(x)})
-
-    pts = df.select(key, features).mapInPandas(
-        assign, f"{key} long, cell int, dc double, {features} array<double>").checkpoint(eager=True)
-    cells = pts.groupBy("cell").agg(F.max("dc").alias("radius"), F.count(F.lit(1)).alias("size")).toPandas()
-    # one row per pivot: bounded by the pivot budget checked above
-    radius = np.zeros(len(piv))
-    size = np.zeros(len(piv), dtype=np.int64)
-    radius[cells["cell"].to_numpy()] = cells["radius"].to_numpy()
-    size[cells["cell"].to_numpy()] = cells["size"].to_numpy()
-    nsub = np.maximum(1, np.ceil(size / block)).astype(np.int64)
-    bcell = spark.sparkContext.broadcast((piv, radius, size, nsub))
-
-    def route_slice(pdf, p, rad, sz, ns):
-        x = np.stack(pdf[features].to_numpy()).astype(float)
-        d = _dist(x, p)
-        ub = d + rad[None, :]
-        order = np.argsort(ub, axis=1)
-        csz = np.cumsum(sz[order], axis=1)
-        # whole-cell bound: first position where the covered cells hold ≥ k others (+1 for self)
-        pos = np.minimum((csz >= k + 1).argmax(axis=1), order.shape[1] - 1)
-        u = ub[np.arange(len(x)), order[np.arange(len(x)), pos]]
-        u = np.minimum(u, pdf["own_u"].to_numpy())          # exact own-cell k-distance is tighter
-        own = pdf["cell"].to_numpy()
-        # room for the rounding of the product form: about sqrt(eps) of the largest norm
-        room = 4e-8 * (1.0 + np.sqrt((x * x).sum(1)) + np.sqrt((p * p).sum(1)).max())
-        ok = (d - rad[None, :]) <= (u + room)[:, None]
-        ok[np.arange(len(x)), own] = False                   # the own cell was searched in phase 1
-        qi, ci = np.nonzero(ok & (sz[None, :] > 0))
-        subs = ns[ci]
-        rep_q = np.repeat(qi, subs)
-        rep_c = np.repeat(ci, subs)
-        starts = np.repeat(np.cumsum(subs) - subs, subs)
-        rep_s = np.arange(len(rep_q)) - starts
-        return pd.DataFrame({"q": pdf[key].to_numpy()[rep_q], "cell": rep_c.astype("int32"),
-                             "sub": rep_s.astype("int32"), "qf": [x[i] for i in rep_q]})
-
-    def route(batches):
-        p, rad, sz, ns = bcell.value
-        for whole in batches:
-            for lo in range(0, len(whole), SLICE_ROWS):
-                out = route_slice(whole.iloc[lo:lo + SLICE_ROWS], p, rad, sz, ns)
-                if len(out):           # fully pruned slices emit nothing
-                    yield out
-
-    nsub_of = F.element_at(F.array(*[F.lit(int(v)) for v in nsub]), F.col("cell") + 1) \
-        if len(nsub) <= 4096 else None
-    members = pts.select(
-        key, "cell", features,
-        F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), nsub_of).cast("int").alias("sub")
-    ) if nsub_of is not None else _members_join(pts, nsub, key, features, seed)
-
-    def block_knn(qdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or mdf.empty:
-            return pd.DataFrame({"q": [], "nb": [], "dist": []}).astype({"q": "int64", "nb": "int64", "dist": "float64"})
-        qx = np.stack(qdf["qf"].to_numpy()).astype(float)
-        mx = np.stack(mdf[features].to_numpy()).astype(float)
-        mid = mdf[key].to_numpy()
-        qid = qdf["q"].to_numpy()
-        d = _dist(qx, mx)
-        d[qid[:, None] == mid[None, :]] = np.inf
-        kk = min(k + 16, d.shape[1])   # some more than k: their exact distances decide
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(qid), 1))
-        rows_q = np.repeat(qid, part.shape[1])
-        nb = mid[part].ravel()
-        keep = np.isfinite(d[np.arange(len(qid))[:, None], part].ravel())
-        dist = _direct(np.repeat(qx, part.shape[1], axis=0), mx[part.ravel()])
-        return pd.DataFrame({"q": rows_q[keep], "nb": nb[keep], "dist": dist[keep]})
-
-    from pyspark.sql import Window
-    w = Window.partitionBy("q").orderBy("dist", "nb")
-    schema = "q long, nb long, dist double"
-    # phase 1: every point against all sub-blocks of its own cell (exact)
-    q1 = pts.select(F.col(key).alias("q"), "cell",
-                    F.explode(F.sequence(F.lit(0), (nsub_of if nsub_of is not None else F.lit(0)) - 1)).alias("sub"),
-                    F.col(features).alias("qf")) if nsub_of is not None else \
-        _members_join(pts, nsub, key, features, seed).select(
-            F.col(key).alias("q"), "cell", "sub", F.col(features).alias("qf"))
-    cand1 = q1.groupBy("cell", "sub").cogroup(members.groupBy("cell", "sub")).applyInPandas(block_knn, schema)
-    top1 = cand1.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    top1 = top1.checkpoint(eager=True)
-    own_u = top1.groupBy("q").agg(F.count(F.lit(1)).alias("__n"), F.max("dist").alias("__u")) \
-        .select(F.col("q").alias(key), F.when(F.col("__n") >= k, F.col("__u")).alias("own_u"))
-    # phase 2: other cells whose lower bound d(x, p_c) − R_c does not exceed the k-distance bound
-    routed_in = pts.join(own_u, key, "left").select(
-        key, "cell", features, F.coalesce("own_u", F.lit(float("inf"))).alias("own_u"))
-    q2 = routed_in.mapInPandas(route, "q long, cell int, sub int, qf array<double>")
-    cand2 = q2.groupBy("cell", "sub").cogroup(members.groupBy("cell", "sub")).applyInPandas(block_knn, schema)
-    cand = top1.select("q", "nb", "dist").unionByName(cand2)
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("q").alias(key), F.col("nb").alias("neighbor"), "dist", "rank")
-
-
-def _members_join(pts: DataFrame, nsub: np.ndarray, key: str, features: str, seed: int) -> DataFrame:
-    spark = pts.sparkSession
-    tab = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(nsub), dtype="int32"),
-                                              "__ns": nsub.astype("int64")}))
-    j = pts.join(F.broadcast(tab), "cell")
-    return j.select(key, "cell", features,
-                    F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.col("__ns")).cast("int").alias("sub"))
-
-
 def lof(df: DataFrame, k: int = LOF_NEIGHBORS, contamination: float = CONTAMINATION,
         features: str = "features", key: str = "row_id") -> DataFrame:
     """Local outlier factor with k = min(k, n − 1); inlier unless −LOF is
@@ -502,7 +338,7 @@ def lof(df: DataFrame, k: int = LOF_NEIGHBORS, contamination: float = CONTAMINAT
     """
     n = df.count()
     k = min(k, n - 1)
-    nb = knn(df, k, features, key).checkpoint(eager=True)
+    nb = materialize(knn(df, k, features, key))
     kdist = nb.where(F.col("rank") == k).select(F.col(key).alias("neighbor"), F.col("dist").alias("kdist_nb"))
     reach = nb.join(kdist, "neighbor").withColumn("reach", F.greatest("dist", "kdist_nb"))
     lrd = reach.groupBy(key).agg((1.0 / (F.avg("reach") + F.lit(1e-10))).alias("lrd"))
@@ -510,7 +346,7 @@ def lof(df: DataFrame, k: int = LOF_NEIGHBORS, contamination: float = CONTAMINAT
                                              "neighbor")
     ratio = nb_lrd.groupBy(key).agg(F.avg("lrd_nb").alias("mean_lrd_nb"))
     out = ratio.join(lrd, key).select(key, (F.col("mean_lrd_nb") / F.col("lrd")).alias("lof"))
-    out = out.checkpoint(eager=True)
+    out = materialize(out)
     neg = out.withColumn("nof", -F.col("lof"))
     cut = exact_quantiles(neg, "nof", [contamination], tiebreak=[key], names=["cut"]).first()["cut"]
     return out.withColumn("is_inlier", -F.col("lof") >= F.lit(cut))
