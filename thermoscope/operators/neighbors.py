@@ -1,4 +1,4 @@
-"""Exact nearest neighbours (Euclidean) by a tree of pivots, at any number of rows.
+"""Exact nearest neighbours by a tree of pivots, at any number of rows.
 
 * **Copies first.**  Rows with equal vectors become one entry with its count and its ``k + 1`` smallest keys.  Counts and
   ranks are cut down in every task before the shuffle, so a vector that a third of all rows share costs one entry.
@@ -35,28 +35,40 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in column], float) if len(column) else np.empty((0, 1))
 
 
-def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "chebyshev":
+        d = np.abs(a[:, :1] - b[:, 0][None, :])
+        for j in range(1, a.shape[1]):
+            np.maximum(d, np.abs(a[:, j:j + 1] - b[:, j][None, :]), out=d)
+        return d
     d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """More than the rounding of :func:`_dist`: about the root of machine precision times the largest norms."""
+def _paired(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of paired rows from their differences."""
+    diff = a - b
+    return np.abs(diff).max(1) if metric == "chebyshev" else np.sqrt((diff * diff).sum(1))
+
+
+def _room(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """More than the rounding of :func:`_dist`: for products about the root of machine precision times the largest norms."""
+    if metric == "chebyshev":
+        return 1e-13 * (np.abs(a).max(1) + (np.abs(b).max() if len(b) else 0.0))
     return 4e-8 * (1.0 + np.sqrt((a * a).sum(1)) + (np.sqrt((b * b).sum(1)).max() if len(b) else 0.0))
 
 
-def _nearest(qx, qid, mx, mid, k: int) -> pd.DataFrame:
+def _nearest(qx, qid, mx, mid, k: int, metric: str) -> pd.DataFrame:
     """The k nearest members of every query by (distance, key), itself excluded."""
     out = []
     for lo in range(0, len(qid), SLICE):
         x, ids = qx[lo:lo + SLICE], qid[lo:lo + SLICE]
-        d = _dist(x, mx)
+        d = _dist(x, mx, metric)
         d[ids[:, None] == mid[None, :]] = np.inf
         kk = min(k, d.shape[1])
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        qi, mi = np.nonzero((d <= (kth + 2 * _room(x, mx))[:, None]) & np.isfinite(d))
-        diff = x[qi] - mx[mi]
-        dist = np.sqrt((diff * diff).sum(1))
+        qi, mi = np.nonzero((d <= (kth + 2 * _room(x, mx, metric))[:, None]) & np.isfinite(d))
+        dist = _paired(x[qi], mx[mi], metric)
         order = np.lexsort((mid[mi], dist, qi))
         qi, mi, dist = qi[order], mi[order], dist[order]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi)
@@ -79,8 +91,8 @@ def entries(df: DataFrame, features: str, key: str, k: int) -> DataFrame:
 class PivotTree:
     """Entries in leaves, and the children of every split node by level."""
 
-    def __init__(self, points: DataFrame, store: TableStore, leaf: int = LEAF, seed: int = 42):
-        self.spark, self.store, self.leaf, self.seed = points.sparkSession, store, leaf, seed
+    def __init__(self, points: DataFrame, store: TableStore, leaf: int = LEAF, seed: int = 42, metric: str = "euclidean"):
+        self.spark, self.store, self.leaf, self.seed, self.metric = points.sparkSession, store, leaf, seed, metric
         self.levels: list[DataFrame] = []
         self.width = len(points.select("x").first()["x"]) if not points.isEmpty() else 0
         pts = store.write(points.select("key", "x", F.lit(0).cast("long").alias("node")), "points-0")
@@ -93,7 +105,7 @@ class PivotTree:
         return pts.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > self.leaf)
 
     def _split(self, pts: DataFrame, large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        store = self.store
+        store, metric = self.store, self.metric
         large = store.write(large, f"large-{level}")
         place = F.pmod(F.xxhash64("key", F.lit(self.seed + level)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         inside = pts.join(large, "node")
@@ -109,8 +121,8 @@ class PivotTree:
                 p = pivots_of(node)["pivots"]
                 for lo in range(0, len(at), SLICE):
                     part = at[lo:lo + SLICE]
-                    near = _dist(x[part], p).argmin(1)
-                    j[part], d[part] = near, np.sqrt(((x[part] - p[near]) ** 2).sum(1))
+                    near = _dist(x[part], p, metric).argmin(1)
+                    j[part], d[part] = near, _paired(x[part], p[near], metric)
             return pd.DataFrame({"key": rows["key"], "x": rows["x"], "node": rows["node"], "j": j, "d": d})
 
         # a node whose sample came out empty waits for the next level's hash
@@ -167,6 +179,7 @@ class PivotTree:
 
     def visits(self, queries: DataFrame) -> DataFrame:
         """``q, x, leaf`` of every leaf but its own that a query (q, x, u, own) must search."""
+        metric = self.metric
         frontier, found = queries.withColumn("node", F.lit(0).cast("long")), None
         schema = "q long, x array<double>, u double, own long, node long, inner boolean"
 
@@ -177,7 +190,8 @@ class PivotTree:
                 a = arrays_of(node)
                 for lo in range(0, len(at), SLICE):
                     part = at[lo:lo + SLICE]
-                    near = _dist(x[part], a["pivots"]) - a["radius"][None, :] <= (u[part] + 2 * _room(x[part], a["pivots"]))[:, None]
+                    near = _dist(x[part], a["pivots"], metric) - a["radius"][None, :] <= (
+                        u[part] + 2 * _room(x[part], a["pivots"], metric))[:, None]
                     near &= a["inner"][None, :] | (a["child"][None, :] != own[part][:, None])
                     i, c = np.nonzero(near)
                     if len(i):
@@ -210,10 +224,12 @@ def _leaf_search(tree: PivotTree, visits: DataFrame, k: int) -> DataFrame:
         .join(chunks.withColumnRenamed("leaf", "at"), "at") \
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
+    metric = tree.metric
+
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "nb": [], "dist": []})
-        return _nearest(_matrix(left["x"]), left["q"].to_numpy(), _matrix(right["mx"]), right["m"].to_numpy(), k)
+        return _nearest(_matrix(left["x"]), left["q"].to_numpy(), _matrix(right["mx"]), right["m"].to_numpy(), k, metric)
 
     return dealt.groupBy("leaf", "chunk").cogroup(members.groupBy("at", "part")).applyInPandas(
         search, "q long, nb long, dist double")
@@ -225,22 +241,26 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id", leaf: int = LEAF, seed: int = 42,
-        report: dict | None = None) -> DataFrame:
+        report: dict | None = None, metric: str = "euclidean") -> DataFrame:
     """``key, neighbor, dist, rank``: the exact k nearest other rows of every row.
 
+    ``metric`` is euclidean or chebyshev (the largest difference of a coordinate).
     ``report`` receives rows, entries, levels, leaves and the comparisons per entry.
     """
     from .decompose import origin
     store = TableStore(df.sparkSession)
-    shift = F.lit(origin(df, features)[0])   # distances do not change; products stay small
-    moved = df.where(F.col(features).isNotNull()).select(
-        F.col(key).cast("long").alias(key), F.zip_with(F.col(features).cast("array<double>"), shift, lambda a, b: a - b).alias(features))
+    x = F.col(features).cast("array<double>")
+    if metric == "euclidean":   # distances do not change; products stay small
+        x = F.zip_with(x, F.lit(origin(df, features)[0]), lambda a, b: a - b)
+    elif metric != "chebyshev":
+        raise ValueError(metric)
+    moved = df.where(F.col(features).isNotNull()).select(F.col(key).cast("long").alias(key), x.alias(features))
     ent = store.write(entries(moved, features, key, k), "entries")
-    tree = PivotTree(ent, store, leaf, seed)
+    tree = PivotTree(ent, store, leaf, seed, metric)
 
     def own(key_, pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = _matrix(pdf["x"]), pdf["key"].to_numpy()
-        return _nearest(x, ids, x, ids, k)
+        return _nearest(x, ids, x, ids, k, metric)
 
     first = store.write(tree.points.groupBy("node").applyInPandas(lambda pdf: own(None, pdf), "q long, nb long, dist double"), "own")
     found = first

@@ -32,5 +32,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
         q_foundation, q_stats, q_select, q_service, q_linear, q_models, q_search, q_transform,
-        q_extra, q_boosting, q_wide, q_trials,
+        q_extra, q_boosting, q_wide, q_trials, q_mutual,
     )
