@@ -27,6 +27,7 @@ CHUNK_CHARS, and a task holds the arrays of one block.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
@@ -42,9 +43,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, settle, slices_by_bytes, take_ragged
 from .words import text_column
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 CHUNK_CHARS = 1 << 20
-CACHE_UNITS = 200_000
+CACHE_UNITS = 120_000
 HELD_LINKS = 1_000_000
 JOINED = 2000
 # fixed value: the split of byte-level vocabularies into words
@@ -310,6 +311,14 @@ def _one(values, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def _texts(column: pa.Array, lo: int, hi: int) -> list[str]:
     return [column[i].as_buffer().to_pybytes().decode() for i in range(lo, hi)]
 
@@ -384,6 +393,7 @@ def _blocks(files):
                      _one(n_links, i32), _one(coded, i32), _one(keys, i64), _one(in_docs[len(identity):], i32),
                      pa.nulls(1, pa.binary())], names)
                 k += 1
+                give_back()
         if kind is not None:
             empty = [_one([], t) for t in (kind, i32, pa.string(), i32, i32, i32, i32, i32, i64, i32)]
             yield pa.RecordBatch.from_arrays([pa.nulls(1, i64), *empty, pa.array([identity.tobytes()], pa.binary())], names)
