@@ -94,6 +94,48 @@ def test_streak_alerts_and_late_rows(spark, scratch):
     assert list(alerts["level"]) == ["reset_sensor", "reset_sensor", "reload_model"]
 
 
+def _files(src, files):
+    os.makedirs(src)
+    for i, rows in enumerate(files):
+        path = os.path.join(src, f"{i}.parquet")
+        _events_file(path, rows)
+        os.utime(path, (1_700_000_000 + 100 * i,) * 2)   # the file source orders by modification time
+    return src
+
+
+def _alerts(spark, stream, name, **options):
+    q = (ss.streak_alerts(stream, **options).writeStream.outputMode("append").format("memory")
+         .queryName(name).trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    return spark.sql(f"SELECT * FROM {name} ORDER BY alert_ts, streak").toPandas()
+
+
+def test_alerts_of_one_time_in_two_batches(spark, scratch):
+    """Readings of one timestamp: the fifth and the tenth failure each alert, though they come in different batches."""
+    t0 = dt.datetime(2024, 1, 1)
+    fail = lambda i: (i, t0, 7, "error", 1.0, "{}")
+    src = _files(os.path.join(scratch, "same"), [[fail(i) for i in range(5)], [fail(i) for i in range(5, 10)]])
+    got = _alerts(spark, ss.event_stream(spark, src, name="*.parquet", max_files_per_trigger=1), "same_time")
+    assert list(got["level"]) == ["reset_sensor", "reload_model"]
+
+
+def test_silent_sensor_is_forgotten(spark, scratch):
+    """Four failures, two days without a word, one more failure: a streak only where the state is still held."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda i, days, sensor, kind: (i, t0 + dt.timedelta(days=days, seconds=i), sensor, kind, 1.0, "{}")
+    files = [[at(i, 0, 7, "error") for i in range(4)] + [at(9, 0, 8, "view")],
+             [at(10, 2, 8, "view")], [at(11, 2.1, 8, "view")], [at(12, 2.2, 8, "view")], [at(13, 2.3, 7, "error"), at(14, 2.3, 8, "view")]]
+    src = _files(os.path.join(scratch, "silent"), files)
+    stream = lambda: ss.event_stream(spark, src, name="*.parquet", max_files_per_trigger=1)
+    assert list(_alerts(spark, stream(), "held")["streak"]) == [5]
+    assert len(_alerts(spark, stream(), "forgotten", idle="1 day")) == 0
+    q = (ss.bounded_history(stream(), idle="1 day").writeStream.outputMode("update").format("memory")
+         .queryName("short").trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    last = spark.sql("SELECT sensor, n_kept FROM short").toPandas()
+    assert last[last.sensor == 7]["n_kept"].max() == 4 and last[last.sensor == 7]["n_kept"].iloc[-1] == 1
+
+
 def test_late_rows_dropped_and_counted(spark, scratch):
     src = os.path.join(scratch, "late")
     os.makedirs(src)

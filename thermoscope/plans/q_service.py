@@ -216,3 +216,22 @@ def s11_log_retention(spark, sf_dir):
     daily = e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     kept = retained_days(daily, "day", 28)
     return kept.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query("s11_day_log", """
+WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1)
+SELECT day, CAST(n AS BIGINT) AS n, CAST(ids AS BIGINT) AS ids FROM d
+WHERE CAST(day AS DATE) > (SELECT max(CAST(day AS DATE)) FROM d) - INTERVAL 7 DAY
+""")
+def s11_day_log(spark, sf_dir):
+    """All events logged in three batches, one of them written twice, then cut to the newest seven days."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import DayLog
+    e = load(spark, sf_dir, "events", "event_id", "ts")
+    log = DayLog(spark, f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}")
+    for b in (0, 1, 1, 2):
+        log.write(e.where(F.pmod("event_id", F.lit(3)) == b), b)
+    log.retain(7)
+    return log.read().groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").cast("long").alias("ids"))

@@ -118,6 +118,59 @@ def m16_yeo_johnson_transform(spark, sf_dir):
     return out.select("row_id", "feature_id", F.round("transformed", 6).alias("transformed"))
 
 
+def _refined_sql(levels: int) -> str:
+    """The likeliest power by ever finer grids: 21 values around the best so far, one tenth of the step each time."""
+    parts, before = [], "SELECT DISTINCT feature_id, 0.0::DOUBLE AS lam FROM fitted_rows"
+    for t in range(levels):
+        parts.append(f"""
+b{t} AS MATERIALIZED (SELECT feature_id, arg_max(lam, ll) AS lam FROM (
+  SELECT feature_id, lam, -count(*) / 2.0 * ln(var_pop(psi)) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS ll FROM (
+    SELECT r.feature_id, r.value AS x, c.lam, {_yj_sql('r.value', 'c.lam')} AS psi FROM fitted_rows r JOIN (
+      SELECT feature_id, lam + (k - 20) * 5.0 * pow(10, {-t - 1}) AS lam FROM ({before}), range(41) s(k)) c USING (feature_id))
+  GROUP BY feature_id, lam) GROUP BY feature_id)""")
+        before = f"SELECT feature_id, lam FROM b{t}"
+    return ",".join(parts)
+
+
+@query("m16_yeo_johnson_fitted", f"""
+WITH {SQL_EMB_LONG.strip()},
+fitted_rows AS MATERIALIZED (SELECT * FROM emb_long WHERE row_id % 2 = 0),
+{_refined_sql(9)},
+m AS (SELECT feature_id, lam, avg(psi) AS mu, stddev_pop(psi) AS sd FROM (
+        SELECT feature_id, lam, {_yj_sql('value', 'lam')} AS psi FROM fitted_rows JOIN b8 USING (feature_id)) GROUP BY feature_id, lam)
+SELECT feature_id, round(any_value(lam), 4) AS lambda, count(*) AS n,
+       round(avg(({_yj_sql('e.value', 'm.lam')} - mu) / sd), 4) AS mean_new
+FROM emb_long e JOIN m USING (feature_id) WHERE row_id % 2 <> 0 GROUP BY feature_id
+""")
+def m16_yeo_johnson_fitted(spark, sf_dir):
+    """Powers fitted to the even rows by bracketing, applied to the odd ones."""
+    long = embedding_long(spark, sf_dir, with_target=False)
+    fit = tf.fit_yeo_johnson(long.where("row_id % 2 = 0"))
+    new = tf.apply_yeo_johnson(long.where("row_id % 2 <> 0"), fit)
+    return new.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("transformed"), 4).alias("mean_new")) \
+        .join(fit.select("feature_id", F.round("lambda", 4).alias("lambda")), "feature_id")
+
+
+@query("m15_quantile_fitted", f"""
+WITH {SQL_EMB_LONG.strip()},
+q AS MATERIALIZED (SELECT feature_id, unnest(range(21)) AS k, unnest(vs) AS v FROM (
+       SELECT feature_id, quantile_cont(value, [{', '.join(repr(i / 20) for i in range(21))}]) AS vs FROM emb_long
+       WHERE row_id % 2 = 0 GROUP BY feature_id)),
+seg AS (SELECT feature_id, k, v AS lo, lead(v) OVER (PARTITION BY feature_id ORDER BY k) AS hi FROM q),
+ends AS (SELECT feature_id, min(v) AS a, max(v) AS b FROM q GROUP BY feature_id)
+SELECT e.row_id, e.feature_id, round(CASE WHEN e.value <= any_value(ends.a) THEN 0.0 WHEN e.value >= any_value(ends.b) THEN 1.0
+       ELSE avg((s.k + (e.value - s.lo) / (s.hi - s.lo)) / 20.0) END, 6) AS quantile
+FROM emb_long e JOIN ends USING (feature_id) LEFT JOIN seg s ON s.feature_id = e.feature_id AND e.value >= s.lo AND e.value <= s.hi
+     AND s.hi > s.lo WHERE e.row_id % 2 <> 0 GROUP BY e.row_id, e.feature_id, e.value
+""")
+def m15_quantile_fitted(spark, sf_dir):
+    """Twenty-one quantiles of the even rows, applied to the odd ones."""
+    long = embedding_long(spark, sf_dir, with_target=False)
+    fit = tf.fit_quantiles(long.where("row_id % 2 = 0"), 21)
+    return tf.apply_quantiles(long.where("row_id % 2 <> 0"), fit).select(
+        "row_id", "feature_id", F.round("quantile", 6).alias("quantile"))
+
+
 @query("m17_target_transform", f"""
 WITH {SQL_DOC_FEATURES.strip()},
 s AS (SELECT *, {sp.sql_split('row_id')} AS split, ln(1 + y) AS gy FROM doc_features),

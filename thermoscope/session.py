@@ -155,7 +155,8 @@ class TableStore:
     def __init__(self, spark):
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
-        atexit.register(_remove_folder, spark, self.base)
+        self._at_exit = lambda: _remove_folder(spark, self.base)
+        atexit.register(self._at_exit)
 
     def write(self, df, name: str):
         path = f"{self.base}/{name}"
@@ -167,6 +168,7 @@ class TableStore:
 
     def close(self) -> None:
         _remove_folder(self.spark, self.base)
+        atexit.unregister(self._at_exit)
 
 
 def _remove_folder(spark: SparkSession, path: str) -> None:

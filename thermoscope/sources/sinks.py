@@ -8,9 +8,12 @@ partition (idempotent on retry).
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +55,101 @@ def retained_days(daily: DataFrame, day: str = "day", keep_days: int = 28) -> Da
     return daily.where(F.col(day) > F.date_sub(F.lit(newest), keep_days))
 
 
+class DayLog:
+    """A reading log by day whose readers see whole batches and whole days only.
+
+    A batch is written to a folder of its own per attempt, below it one folder per day.  A commit is a
+    small numbered file that lists the live (day, batch, folder) entries; it is written
+    aside and renamed, which fails if another writer took the number, so a reader sees the list before or after a
+    change and nothing between.  A batch id that is committed again replaces its former entries.  ``retain``
+    commits a list without the old days first and deletes their folders after that, once ``grace`` further
+    commits have passed, so readers of the last lists can finish.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, grace: int = 1):
+        self.spark, self.path, self.grace = spark, path.rstrip("/"), grace
+        jvm = spark._jvm
+        self._p = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        folder = self._p(f"{self.path}/_commits")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _read(self, version: int) -> list[dict]:
+        body = self.spark.read.text(f"{self.path}/_commits/{version:010d}.json", wholetext=True).first()[0]
+        return json.loads(body)
+
+    def entries(self) -> list[dict]:
+        """Live (day, batch, folder) entries: days x batches, not rows."""
+        found = self._versions()
+        return self._read(found[-1]) if found else []
+
+    def _commit(self, change, tries: int = 20) -> tuple[int, list[dict], list[dict]]:
+        for _ in range(tries):
+            found = self._versions()
+            version = found[-1] + 1 if found else 0
+            before = self._read(found[-1]) if found else []
+            after = change(before)
+            aside = self._p(f"{self.path}/_commits/.{uuid.uuid4().hex}")
+            out = self._fs.create(aside, False)
+            out.write(bytearray(json.dumps(after).encode()))
+            out.close()
+            final = self._p(f"{self.path}/_commits/{version:010d}.json")
+            if not self._fs.exists(final) and self._fs.rename(aside, final):
+                return version, before, after
+            self._fs.delete(aside, False)   # another writer was first: look again
+        raise RuntimeError(f"{self.path}: no commit after {tries} tries")
+
+    def write(self, df: DataFrame, batch_id: int, ts: str = "ts", max_records: int = 100_000) -> None:
+        """Write a batch and make it visible at once; the same batch again replaces the first."""
+        folder = f"data/{batch_id}-{uuid.uuid4().hex}"
+        (df.withColumn("day", F.date_format(F.to_date(ts), "yyyy-MM-dd")).write.option("maxRecordsPerFile", max_records)
+           .partitionBy("day").parquet(f"{self.path}/{folder}"))
+        days = [f.getPath().getName()[4:] for f in self._fs.listStatus(self._p(f"{self.path}/{folder}"))
+                if f.getPath().getName().startswith("day=")]
+        fresh = [{"day": d, "batch": batch_id, "folder": f"{folder}/day={d}"} for d in sorted(days)]
+        self._commit(lambda old: [e for e in old if e["batch"] != batch_id] + fresh)
+        self._sweep()
+
+    def retain(self, keep_days: int, newest: str | None = None) -> list[str]:
+        """Take days before the newest ``keep_days`` (up to ``newest``, or the newest in the log) out; returns them."""
+        def recent(old: list[dict]) -> list[dict]:
+            last = newest or max((e["day"] for e in old), default=None)
+            if last is None:
+                return old
+            first = (date.fromisoformat(last) - timedelta(days=keep_days - 1)).isoformat()
+            return [e for e in old if e["day"] >= first]
+        _, before, after = self._commit(recent)
+        self._sweep()
+        return sorted({e["day"] for e in before} - {e["day"] for e in after})
+
+    def _sweep(self) -> None:
+        """Delete the folders that only lists older than the last ``grace`` + 1 name, and those lists."""
+        found = self._versions()
+        live, old = found[-(self.grace + 1):], found[:-(self.grace + 1)]
+        named = {e["folder"] for v in live for e in self._read(v)}
+        for v in old:
+            for e in self._read(v):
+                if e["folder"] not in named:
+                    self._fs.delete(self._p(f"{self.path}/{e['folder']}"), True)
+            self._fs.delete(self._p(f"{self.path}/_commits/{v:010d}.json"), False)
+
+    def read(self, schema=None) -> DataFrame:
+        """All live readings, with their day."""
+        found = self.entries()
+        if not found:
+            if schema is None:
+                raise ValueError(f"{self.path} holds no reading: give a schema")
+            return self.spark.createDataFrame([], schema).withColumn("day", F.lit(None).cast("string"))
+        read = self.spark.read.schema(schema) if schema is not None else self.spark.read
+        day = F.regexp_extract(F.col("_metadata.file_path"), "/day=([0-9-]+)/", 1)
+        return read.parquet(*[f"{self.path}/{e['folder']}" for e in found]).withColumn("day", day)
+
+
 def batch_sink(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str,
                interval: str = "60 seconds", available_now: bool = False):
     """S12/ST10: hand each micro-batch to ``fn(batch_df, batch_id)``.

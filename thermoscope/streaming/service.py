@@ -23,6 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.service import HISTORY_SIZE, RELOAD_STREAK, UNHEALTHY_STREAK, window_seconds
 
 WATERMARK = "1 minute"
+IDLE = "30 days"   # a sensor silent for so long is forgotten
 
 
 def event_stream(spark: SparkSession, directory: str, name: str = "events.parquet",
@@ -73,7 +74,8 @@ def rate_alert_stream(stats: DataFrame) -> DataFrame:
 
 _STREAK_OUT = "sensor long, alert_ts timestamp, streak long, level string"
 # failures in a row up to the watermark, the readings after it, and the alerts given for those
-_STREAK_STATE = "streak long, ts array<timestamp>, ids array<long>, ok array<boolean>, sent array<timestamp>"
+_STREAK_STATE = ("streak long, ts array<timestamp>, ids array<long>, ok array<boolean>, "
+                 "sent array<struct<ts:timestamp,id:long,level:string>>")
 
 
 def _run_lengths(ok: np.ndarray, before: int) -> np.ndarray:
@@ -83,7 +85,15 @@ def _run_lengths(ok: np.ndarray, before: int) -> np.ndarray:
     return np.where(ok, 0, n - last_ok + np.where(last_ok == 0, before, 0))
 
 
-def _streaks(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _expire(state: GroupState, newest: pd.Timestamp, idle_ms: int) -> None:
+    """Let the state go when the watermark is ``idle_ms`` past the sensor's newest reading."""
+    state.setTimeoutTimestamp(max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+
+
+def _streaks(key, pdfs: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     streak, ts, ids, ok, sent = state.get if state.exists else (0, [], [], [], [])
     mark = pd.Timestamp(max(0, state.getCurrentWatermarkMs()), unit="ms")
     fresh = [p.loc[p["ts"] >= mark, ["ts", "event_id", "success"]] for p in pdfs]
@@ -92,50 +102,68 @@ def _streaks(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     rows = pd.concat([p for p in [held, *fresh] if len(p)] or [held]).sort_values(["ts", "event_id"])
     good = rows["success"].to_numpy(dtype=bool)
     runs = _run_lengths(good, int(streak))
-    given = {pd.Timestamp(t) for t in sent}
+    # an alert is known by its reading and level: two readings of one time can each give one
+    given = {(pd.Timestamp(g["ts"]), int(g["id"]), g["level"]) for g in sent}
     hit = np.flatnonzero((runs == UNHEALTHY_STREAK) | (runs == RELOAD_STREAK))
-    times = rows["ts"].to_list()
-    out = [(key[0], times[i], int(runs[i]), "reset_sensor" if runs[i] == UNHEALTHY_STREAK else "reload_model")
-           for i in hit.tolist() if times[i] not in given]
+    times, events = rows["ts"].to_list(), rows["event_id"].to_list()
+    found = [(times[i], int(events[i]), "reset_sensor" if runs[i] == UNHEALTHY_STREAK else "reload_model", int(runs[i]))
+             for i in hit.tolist()]
+    out = [(key[0], t, n, level) for t, e, level, n in found if (t, e, level) not in given]
     # readings before the watermark can no longer change: they become the starting streak
     cut = int((rows["ts"] < mark).sum())
     settled = int(runs[cut - 1]) if cut else int(streak)
     keep = rows.iloc[cut:]
     state.update((settled, [t.to_pydatetime() for t in keep["ts"]], [int(i) for i in keep["event_id"]],
                   [bool(x) for x in keep["success"]],
-                  [t.to_pydatetime() for t in sorted(given | {o[1] for o in out}) if t >= mark]))
+                  [{"ts": t.to_pydatetime(), "id": e, "level": level}
+                   for t, e, level in sorted(given | {f[:3] for f in found}) if t >= mark]))
+    if len(rows):
+        _expire(state, rows["ts"].iloc[-1], idle_ms)
     if out:
         yield pd.DataFrame(out, columns=["sensor", "alert_ts", "streak", "level"])
 
 
-def streak_alerts(readings: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+def streak_alerts(readings: DataFrame, watermark: str = WATERMARK, idle: str = IDLE) -> DataFrame:
     """ST8: one alert when a sensor's consecutive failures reach 5 and 10, in event-time order.
 
     Readings newer than the watermark stay in the state, so one that arrives out
-    of order still counts at its place; alerts already given are not repeated.
+    of order still counts at its place; alerts already given are not repeated.  A sensor that
+    stays silent for ``idle`` is forgotten; its streak then starts anew.
     """
+    idle_ms = int(window_seconds(idle) * 1000)
+
+    def run(key, pdfs, state):
+        yield from _streaks(key, pdfs, state, idle_ms)
     return readings.withWatermark("ts", watermark).groupBy("sensor").applyInPandasWithState(
-        _streaks, _STREAK_OUT, _STREAK_STATE, "append", GroupStateTimeout.NoTimeout)
+        run, _STREAK_OUT, _STREAK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 _HIST_OUT = "sensor long, n_kept long, oldest_kept timestamp, newest timestamp"
 _HIST_STATE = "ts array<timestamp>, ids array<long>"
 
 
-def _history(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _history(key, pdfs: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     ts, ids = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
     rows = pd.concat(list(pdfs))
     merged = pd.DataFrame({"ts": list(ts) + list(rows["ts"]), "id": list(ids) + list(rows["event_id"])})
     merged = merged.sort_values(["ts", "id"]).tail(HISTORY_SIZE)   # ring buffer of the newest 1000
     state.update((list(merged["ts"]), [int(i) for i in merged["id"]]))
+    _expire(state, pd.Timestamp(merged["ts"].iloc[-1]), idle_ms)
     yield pd.DataFrame({"sensor": [key[0]], "n_kept": [len(merged)], "oldest_kept": [merged["ts"].iloc[0]],
                         "newest": [merged["ts"].iloc[-1]]})
 
 
-def bounded_history(readings: DataFrame) -> DataFrame:
-    """ST7: per-sensor state holding the newest 1000 readings (size-bounded state)."""
-    return readings.groupBy("sensor").applyInPandasWithState(
-        _history, _HIST_OUT, _HIST_STATE, "update", GroupStateTimeout.NoTimeout)
+def bounded_history(readings: DataFrame, watermark: str = WATERMARK, idle: str = IDLE) -> DataFrame:
+    """ST7: per-sensor state holding the newest 1000 readings; a sensor silent for ``idle`` is forgotten."""
+    idle_ms = int(window_seconds(idle) * 1000)
+
+    def run(key, pdfs, state):
+        yield from _history(key, pdfs, state, idle_ms)
+    return readings.withWatermark("ts", watermark).groupBy("sensor").applyInPandasWithState(
+        run, _HIST_OUT, _HIST_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def health_stream(readings: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import sweep_time
-from ..session import materialize
+from ..session import TableStore
 from ..sources.files import MEASURES, parse_sweep_lines
 
 def sweep_stream(spark: SparkSession, directory: str, pattern: str = "*.csv",
@@ -84,15 +84,19 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], si
     """ST4 + S10 + ST11: score every complete file once and append the result.
 
     ``scorer`` maps (file, ts, n_points, features) → adds ``prediction``.  A
-    batch is parsed once and stored; each sink gets it as the partition folder of
+    batch is parsed once and stored until both sinks have it; each sink gets it as the partition folder of
     its batch id, overwritten when a batch is retried, so no row is written twice.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = materialize(parse_batch(batch))
-        good, bad = file_features(stored, expected_points)
-        scored = scorer(good).select("file", "ts", "prediction")
-        for rows, path in ((scored, sink), (bad.select("file", "reason"), quarantine)):
-            rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        store = TableStore(batch.sparkSession)
+        try:   # the batch's copy goes when both sinks have it
+            stored = store.write(parse_batch(batch), f"batch-{batch_id}")
+            good, bad = file_features(stored, expected_points)
+            scored = scorer(good).select("file", "ts", "prediction")
+            for rows, path in ((scored, sink), (bad.select("file", "reason"), quarantine)):
+                rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        finally:
+            store.close()
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
