@@ -131,3 +131,25 @@ def test_refit_without_trials_raises(spark, data, scratch):
     se.save_trials(study, f"{scratch}/none")
     with pytest.raises(ValueError):
         tl.refit_best(spark, f"{scratch}/none", table_of(spark, *data), "features", "y")
+
+
+def test_elimination_equals_plain_refits(spark):
+    """One pivot a step, with the inverse renewed on the way, against refitting every subset."""
+    from thermoscope.operators import decompose as dc
+    rng = np.random.default_rng(6)
+    n, d = 150, 70
+    x = rng.normal(size=(n, d)) * np.linspace(0.5, 3, d) + 5
+    y = x[:, :6] @ np.arange(1, 7) + rng.normal(size=n)
+    got = dc.rfe_cv(table_of(spark, x, y), "features", "y")
+    fold, active = np.arange(n) % 3, list(range(d))
+    for row in got.itertuples():
+        assert row.features == active and row.n_features == len(active)
+        scores = []
+        for f in range(3):
+            w, b = plain_ridge(x[fold != f][:, active], y[fold != f], 1.0, "standard")
+            e = y[fold == f] - x[fold == f][:, active] @ w - b
+            scores.append(1 - (e ** 2).sum() / ((y[fold == f] - y[fold == f].mean()) ** 2).sum())
+        assert row.cv_r2 == pytest.approx(np.mean(scores), abs=1e-8)
+        w, _ = plain_ridge(x[:, active], y, 1.0, "standard")
+        active = [a for i, a in enumerate(active) if i != int(np.argmin(np.abs(w * x[:, active].std(0))))]
+    assert got["chosen"].sum() == 1

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linear import Suff, r2_on, solve_ridge
+from .linear import Suff, r2_on
 
 
 SHIFT_ROWS = 64   # rows whose mean serves as the origin of the sums
@@ -162,43 +162,110 @@ def kernel_pca(df: DataFrame, features: str, k: int, gamma: float = 1.0, n_featu
     return project(z, "__rff", fit).drop("__rff"), fit
 
 
+REFRESH = 64   # removals after which the inverse is computed anew
+
+
+def _scaled(train: Suff, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(penalised matrix, right side, scale) of ridge on standardised features."""
+    mu, nu = train.sx / train.n, train.sy / train.n
+    xx = train.xx - train.n * np.outer(mu, mu)
+    sd = np.sqrt(np.clip(np.diag(xx) / train.n, 0.0, None))
+    sd = np.where(sd == 0, 1.0, sd)
+    return xx / np.outer(sd, sd) + alpha * np.eye(len(mu)), (train.xy - train.n * mu * nu) / sd, sd
+
+
+class _Shrinking:
+    """Weights of ridge while features leave one by one: each removal updates the inverse by one pivot."""
+
+    def __init__(self, a: np.ndarray, c: np.ndarray):
+        self.a, self.c, self.active, self.since = a, c, np.arange(len(c)), 0
+        self._invert()
+
+    def _invert(self) -> None:
+        self.inverse = np.linalg.inv(self.a[np.ix_(self.active, self.active)])
+        self.weights = self.inverse @ self.c[self.active]
+        self.since = 0
+
+    def remove(self, feature: int) -> None:
+        j = int(np.searchsorted(self.active, feature))
+        column, pivot = self.inverse[:, j], self.inverse[j, j]
+        w = self.weights - column * (self.weights[j] / pivot)
+        inverse = self.inverse - np.outer(column, column / pivot)
+        self.inverse, self.weights = np.delete(np.delete(inverse, j, 0), j, 1), np.delete(w, j)
+        self.active = np.delete(self.active, j)
+        self.since += 1
+        if self.since >= REFRESH:
+            self._invert()
+
+    def weakest(self) -> int:
+        return int(self.active[np.argmin(np.abs(self.weights))])
+
+
+def _elimination_order(total: Suff, alpha: float, min_features: int) -> list[int]:
+    a, c, _ = _scaled(total, alpha)
+    left, order = _Shrinking(a, c), []
+    while len(left.active) > min_features:
+        order.append(left.weakest())
+        left.remove(order[-1])
+    return order
+
+
+def _fold_scores(train: Suff, bucket: Suff, alpha: float, order: list[int]) -> list[float]:
+    """R2 of the held-out rows before the first removal and after each one."""
+    a, c, sd = _scaled(train, alpha)
+    left, out = _Shrinking(a, c), []
+    for feature in [None, *order]:
+        if feature is not None:
+            left.remove(feature)
+        i = left.active
+        w = left.weights / sd[i]
+        b = float(train.sy / train.n - w @ (train.sx[i] / train.n))
+        out.append(r2_on(Suff(bucket.n, bucket.sx[i], bucket.sy, bucket.xx[np.ix_(i, i)], bucket.xy[i], bucket.yy), w, b))
+    return out
+
+
 def rfe_cv(folded: DataFrame, features: str, y: str, alpha: float = 1.0,
            min_features: int = 1) -> pd.DataFrame:
-    """Recursive elimination by smallest |standardised ridge weight|, each
-    subset scored by CV from the same per-fold statistics (one data pass)."""
+    """Recursive elimination by smallest |standardised ridge weight|, each subset scored by CV.
+
+    One data pass for the sums of every fold.  The order of elimination follows from the sums of all rows; every (repeat, fold) is
+    then a Spark task that removes one feature a step, d^3 operations in all.  The driver keeps sums and scores.
+    """
+    spark = folded.sparkSession
     stats = vector_suff(folded, features, y, ["repeat", "fold"], shift=origin(folded, features, y))
     reps = sorted({k[0] for k in stats})
-    total = None  # every row once: the buckets of the first repeat
+    whole: dict = {}
     for (r, _), s in stats.items():
-        if r == reps[0]:
-            total = s if total is None else total + s
+        whole[r] = s if r not in whole else whole[r] + s
+    total = whole[reps[0]]   # every row once: the buckets of the first repeat
     d = len(total.sx)
-    active = list(range(d))
-    rows = []
-
-    def sub(s: Suff, idx):
-        ix = np.array(idx)
-        return Suff(s.n, s.sx[ix], s.sy, s.xx[np.ix_(ix, ix)], s.xy[ix], s.yy)
-
-    while len(active) >= min_features:
-        scores = []
-        for (rep, f), s in stats.items():
-            rep_total = None
-            for (r2_, f2), s2 in stats.items():
-                if r2_ == rep:
-                    rep_total = s2 if rep_total is None else rep_total + s2
-            train = sub(rep_total - s, active)
-            w, b = solve_ridge(train, alpha, standardize=True)
-            scores.append(r2_on(sub(s, active), w, b))
-        rows.append((len(active), float(np.mean(scores)), list(active)))
-        if len(active) == min_features:
-            break
-        w, _ = solve_ridge(sub(total, active), alpha, standardize=True)
-        mu = total.sx[active] / total.n
-        sd = np.sqrt(np.clip(np.diag(sub(total, active).xx) / total.n - mu * mu, 0, None))
-        sd[sd == 0] = 1.0
-        drop = int(np.argmin(np.abs(w * sd)))
-        active = [a for i, a in enumerate(active) if i != drop]
+    bc = spark.sparkContext.broadcast((stats, whole, total))   # folds x d x d numbers
+    keys = sorted(stats)
+
+    def order_task(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"dropped": [_elimination_order(bc.value[2], alpha, min_features)]})
+
+    one = spark.createDataFrame([(0,)], "k int").coalesce(1)
+    order = [int(i) for i in one.mapInPandas(order_task, "dropped array<int>").first()["dropped"]]
+
+    def score_task(batches):
+        sums, by_rep, _ = bc.value
+        for pdf in batches:
+            for k in pdf["k"]:
+                r, f = keys[int(k)]
+                scores = _fold_scores(by_rep[r] - sums[r, f], sums[r, f], alpha, order)
+                yield pd.DataFrame({"step": range(len(scores)), "r2": scores})
+
+    tasks = spark.createDataFrame([(i,) for i in range(len(keys))], "k int").repartition(len(keys))
+    scored = tasks.mapInPandas(score_task, "step int, r2 double").groupBy("step").agg(F.avg("r2").alias("r2")).collect()
+    mean = {r["step"]: r["r2"] for r in scored}
+    active, rows = list(range(d)), []
+    for step in range(len(order) + 1):
+        if step:
+            active = [f for f in active if f != order[step - 1]]
+        rows.append((len(active), float(mean[step]), list(active)))
     out = pd.DataFrame(rows, columns=["n_features", "cv_r2", "features"])
     best = out.sort_values(["cv_r2", "n_features"], ascending=[False, True]).iloc[0]["n_features"]
     out["chosen"] = out["n_features"] == best

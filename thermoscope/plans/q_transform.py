@@ -53,14 +53,58 @@ def m13_kernel_pca(spark, sf_dir):
     return proj.select("row_id", F.posexplode("components").alias("component", "score"))
 
 
-@query("m14_rfe_cv")
+_D = 64
+# Every set of rows as one matrix (set -1: all rows): swept pivot by pivot to its inverse, then features leave one by one.
+_SQL_RFE = f"""
+WITH RECURSIVE {SQL_EMB_LONG.strip()},
+fr AS MATERIALIZED (SELECT row_id, feature_id + 1 AS f, value AS v, y, {sp.sql_fold('row_id', '0', 3)} AS fold FROM emb_long),
+tf AS MATERIALIZED (SELECT b.fold, a.row_id, a.f, a.v, a.y FROM fr a JOIN (SELECT DISTINCT fold FROM fr UNION ALL SELECT -1) b ON a.fold <> b.fold),
+st AS MATERIALIZED (SELECT fold, f, avg(v) AS m, avg(y) AS my, stddev_pop(v) AS sd FROM tf GROUP BY fold, f),
+z AS MATERIALIZED (SELECT fold, row_id, f, (v - m) / sd AS v, y - my AS y FROM tf JOIN st USING (fold, f)),
+g AS (SELECT a.fold, a.f AS i, b.f AS j, sum(a.v * b.v) + CASE WHEN a.f = b.f THEN 1.0 ELSE 0.0 END AS c
+      FROM z a JOIN z b USING (fold, row_id) GROUP BY a.fold, a.f, b.f),
+mat AS (SELECT fold, i, list(c ORDER BY j) AS row FROM g GROUP BY fold, i),
+rhs AS (SELECT fold, list(c ORDER BY f) AS c FROM (SELECT fold, f, sum(v * y) AS c FROM z GROUP BY fold, f) GROUP BY fold),
+sw(t, fold, a) AS (
+  SELECT 1, fold, list(row ORDER BY i) FROM mat GROUP BY fold
+  UNION ALL
+  SELECT t + 1, fold, list_transform(range(1, {_D} + 1), lambda i: list_transform(range(1, {_D} + 1), lambda j:
+    CASE WHEN i = t AND j = t THEN -1 / a[t][t] WHEN i = t OR j = t THEN a[i][j] / a[t][t] ELSE a[i][j] - a[i][t] * a[t][j] / a[t][t] END))
+  FROM sw WHERE t <= {_D}),
+inv AS MATERIALIZED (SELECT fold, list_transform(a, lambda r: list_transform(r, lambda x: -x)) AS p FROM sw WHERE t = {_D} + 1),
+start AS MATERIALIZED (SELECT fold, p, list_transform(p, lambda r: list_dot_product(r, c)) AS w FROM inv JOIN rhs USING (fold)),
+el(t, p, w, act, j) AS (
+  SELECT 0, p, w, range(1, {_D} + 1), NULL::BIGINT FROM start WHERE fold = -1
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, {_D} + 1), lambda i: list_transform(range(1, {_D} + 1), lambda k: p[i][k] - p[i][q] * p[q][k] / p[q][q])),
+         list_transform(range(1, {_D} + 1), lambda i: w[i] - p[i][q] * w[q] / p[q][q]), list_filter(act, lambda f: f <> q), q
+  FROM (SELECT *, act[list_position(vals, list_min(vals))] AS q FROM (
+    SELECT *, list_transform(act, lambda f: abs(w[f])) AS vals FROM el WHERE t < {_D} - 1))),
+ord AS MATERIALIZED (SELECT t, j, act FROM el),
+fo(t, fold, p, w) AS (
+  SELECT 0, fold, p, w FROM start WHERE fold >= 0
+  UNION ALL
+  SELECT s.t + 1, fold, list_transform(range(1, {_D} + 1), lambda i: list_transform(range(1, {_D} + 1), lambda k:
+         p[i][k] - p[i][j] * p[j][k] / p[j][j])), list_transform(range(1, {_D} + 1), lambda i: w[i] - p[i][j] * w[j] / p[j][j])
+  FROM fo s JOIN ord o ON o.t = s.t + 1),
+wt AS (SELECT fo.t, fo.fold, a.f, fo.w[a.f] AS w FROM fo JOIN (SELECT t, unnest(act) AS f FROM ord) a USING (t)),
+pr AS (SELECT wt.t, wt.fold, r.row_id, any_value(r.y) AS y, any_value(st.my) + sum(wt.w * (r.v - st.m) / st.sd) AS p
+       FROM wt JOIN fr r ON r.fold = wt.fold AND r.f = wt.f JOIN st ON st.fold = wt.fold AND st.f = wt.f GROUP BY wt.t, wt.fold, r.row_id),
+sc AS (SELECT t, fold, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM pr GROUP BY t, fold),
+cv AS (SELECT t, avg(r2) AS r2 FROM sc GROUP BY t)
+SELECT CAST(len(act) AS BIGINT) AS n_features, round(r2, 6) AS cv_r2,
+       array_to_string(list_transform(act, lambda f: f - 1), ',') AS features, r2 = (SELECT max(r2) FROM cv) AS chosen FROM cv JOIN ord USING (t)
+"""
+
+
+@query("m14_rfe_cv", _SQL_RFE)
 def m14_rfe_cv(spark, sf_dir):
     """Recursive elimination over the 64 vector dimensions, 3-fold CV per subset size."""
     v = _vectors(spark, sf_dir)
     folded = sp.folds(v, "row_id", k=3, repeats=1)
     res = dc.rfe_cv(folded, "features", "y")
-    res = res.assign(features=res["features"].map(lambda f: [int(i) for i in f]))
-    return spark.createDataFrame(res, "n_features long, cv_r2 double, features array<int>, chosen boolean")
+    res = res.assign(features=res["features"].map(lambda f: ",".join(str(int(i)) for i in f)), cv_r2=res["cv_r2"].round(6))
+    return spark.createDataFrame(res, "n_features long, cv_r2 double, features string, chosen boolean")
 
 
 @query("m15_quantile_transform", f"""
