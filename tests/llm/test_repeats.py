@@ -90,6 +90,24 @@ def test_ngram_join_edges(spark, docs_of):
     assert kept.columns == docs_of([]).columns
 
 
+def test_keep_first_loses_no_text_and_no_column(spark):
+    rows = [(1, "p q r s t u", "a"), (1, "v w x y z a", "b"), (1, "p q r s t u", "c"), (2, "p q r s t u", "d"), (None, "x", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _first string")
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect())
+    assert got == [(-1, "x"), (1, "p q r s t u"), (1, "v w x y z a")]
+
+
+def test_decontaminate_with_clashing_columns(spark):
+    from thermoscope.llm import decontaminate
+    docs = spark.createDataFrame([(1, "one two three four five six", "a"), (2, "other words", "b")],
+                                 "doc_id long, text string, _hit string")
+    items = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
+    left = decontaminate.decontaminate(docs, items)
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [2]
+
+
 def test_components_long_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 200), (200, 250)]
     df = spark.createDataFrame(edges, "a long, b long")

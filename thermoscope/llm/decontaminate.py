@@ -26,6 +26,8 @@ not read; with no items or no documents the result is empty.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,5 +108,6 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
     """Documents without those that contain an item; all columns are kept."""
-    hit = contained(docs, items, id_col=id_col, **names).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+    own = f"_{uuid.uuid4().hex}"   # a name that no column of the documents has
+    hit = contained(docs, items, id_col=id_col, **names).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")

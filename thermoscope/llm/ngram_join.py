@@ -32,6 +32,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -296,8 +298,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
                percent: int = PERCENT) -> DataFrame:
-    """One row of every group of linked documents (its smallest id), with all columns; rows without an id stay."""
+    """The rows of every group of linked documents under its smallest id, with all columns.
+
+    Equal rows of one id and text count once; texts that share an id all stay, and so do rows without an id.
+    """
+    mine, text = (f"_{uuid.uuid4().hex}" for _ in range(2))   # names that no column of the documents has
     first = link(docs, id_col, text_col, n, percent).where(F.col("component_id") == F.col(id_col)) \
-        .select(F.col(id_col).alias("_first")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+        .select(F.col(id_col).alias(mine)).distinct()
+    kept = docs.join(first, F.col(id_col) == F.col(mine), "left_semi").withColumn(text, F.sha2(text_col, 256))
+    return kept.dropDuplicates([id_col, text]).drop(text).union(docs.where(F.col(id_col).isNull()))
