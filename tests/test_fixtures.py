@@ -60,7 +60,10 @@ def test_nan_column_median_impute(spark):
     assert imp == pytest.approx(3.0)
 
 
-def test_tiny_tree_routing_tie_goes_left(spark):
+@pytest.mark.parametrize("literal", [True, False])
+def test_tiny_tree_routing_tie_goes_left(spark, monkeypatch, literal):
+    if not literal:
+        monkeypatch.setattr(tr, "LITERAL_NODES", 0)
     nodes = spark.createDataFrame(pd.DataFrame({
         "tree_id": [0, 0, 0], "node_id": [0, 1, 2], "feature": [0, -1, -1], "threshold": [0.5, 0.0, 0.0],
         "left": [1, -1, -1], "right": [2, -1, -1], "value": [0.0, 1.0, 2.0], "is_leaf": [False, True, True],

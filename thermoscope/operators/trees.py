@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_NODES = 5_000_000
+LITERAL_NODES = 50_000
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features_vec") -> DataFrame:
@@ -84,14 +85,17 @@ def tree_nodes(model, scratch_dir: str) -> DataFrame:
 
 def route(df: DataFrame, nodes: DataFrame, features: str = "features", key: str = "row_id",
           max_depth: int = 30) -> DataFrame:
-    """Walk every row down every tree, one broadcast join per level
-    (``max_depth`` = the model's depth).
+    """Walk every row down every tree (``max_depth`` = the model's depth).
 
-    Returns (row_id, tree_id, leaf value, weight).  The node table is bounded
-    by the model size, checked before broadcasting.
+    Returns (row_id, tree_id, leaf value, weight).  Up to LITERAL_NODES nodes stand in the plan as arrays and
+    a row walks in one expression, without a join; larger tables, bounded by the model size and checked, are
+    broadcast into one join per level.
     """
-    if nodes.count() > MAX_BROADCAST_NODES:
+    size = nodes.count()
+    if size > MAX_BROADCAST_NODES:
         raise ValueError("node table too large to broadcast")
+    if size <= LITERAL_NODES:
+        return _route_in_row(df, _tree_arrays(nodes), features, key, max_depth)
     nb = F.broadcast(nodes.select(
         *[F.col(c).cast("int").alias(c) for c in ("tree_id", "node_id", "feature", "left", "right")],
         F.col("threshold").cast("double"), F.col("is_leaf").cast("boolean"),
@@ -116,8 +120,30 @@ def ensemble_mean(routed: DataFrame, key: str = "row_id") -> DataFrame:
     return routed.groupBy(key).agg(F.sum(F.col("leaf_value") * F.col("weight")).alias("prediction"))
 
 
+def _route_in_row(df: DataFrame, trees: list, features: str, key: str, max_depth: int) -> DataFrame:
+    lists = [F.array(*[F.lit(t[i].astype(kind)) for t in trees])
+             for i, kind in enumerate((np.int32, np.float64, np.int32, np.int32, np.float64))]
+    rows = df.select(key, features, F.explode(F.sequence(F.lit(0), F.lit(len(trees) - 1))).alias("tree_id"))
+    feature, threshold, left, right, value = (F.get(a, F.col("tree_id")) for a in lists)
+
+    def down(node, _):
+        f = F.get(feature, node)
+        x = F.get(F.col(features), f)
+        return F.when(f < 0, node).when(x <= F.get(threshold, node), F.get(left, node)).otherwise(F.get(right, node))
+
+    # a leaf stays where it is, so max_depth steps reach every leaf
+    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, max_depth))), F.lit(0), down)
+    weight = F.get(F.lit(np.array([t[5] for t in trees], float)), F.col("tree_id"))
+    return rows.select(key, "tree_id", F.get(value, leaf).alias("leaf_value"), weight.alias("weight"))
+
+
 def prepare_trees(nodes: DataFrame):
     """Node table → per-tree NumPy arrays, broadcast once (bounded, size checked)."""
+    return nodes.sparkSession.sparkContext.broadcast(_tree_arrays(nodes))
+
+
+def _tree_arrays(nodes: DataFrame) -> list:
+    """(feature, threshold, left, right, value, weight) of every tree, by node number."""
     tab = nodes.orderBy("tree_id", "node_id").toPandas()
     if len(tab) > MAX_BROADCAST_NODES:
         raise ValueError("node table too large to broadcast")
@@ -131,7 +157,7 @@ def prepare_trees(nodes: DataFrame):
             arr[c][g.index.to_numpy()] = g[c].to_numpy()
         trees.append((arr["feature"], arr["threshold"], arr["left"], arr["right"], arr["value"],
                       float(g["weight"].iloc[0])))
-    return nodes.sparkSession.sparkContext.broadcast(trees)
+    return trees
 
 
 def predict_prepared(df: DataFrame, bc, features: str = "features", key: str = "row_id") -> DataFrame:
