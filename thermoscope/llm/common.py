@@ -7,10 +7,12 @@ shared checkpoint folder, so a lost executor only repeats its own tasks.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
@@ -55,6 +57,14 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def take_ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Concatenate ``values[s:s+n]`` for every (s, n) without a Python loop."""
     total = int(lens.sum())

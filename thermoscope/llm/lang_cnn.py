@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import take_ragged
+from .common import give_back, take_ragged
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -233,6 +233,7 @@ def _apply(rows: DataFrame, net: ByteConvNet | None) -> DataFrame:
                 score[part] = np.clip(mean[np.arange(len(part)), best], 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)],
                                              ["row", "lang_pred", "score"])
+            give_back()
 
     return rows.select("row", "text").mapInArrow(run, f"row {key_type}, lang_pred string, score double")
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices_by_bytes, take_ragged
+from .common import give_back, slices_by_bytes, take_ragged
 
 SPACE = "▁"
 CACHE_SEGMENTS = 250_000
@@ -274,6 +274,7 @@ def encode_texts(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), ids, pa.array(texts, pa.string())],
                     [id_col, "ids", "decoded"])
+            give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {key_type}, ids array<int>, decoded string")
 

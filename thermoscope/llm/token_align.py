@@ -27,7 +27,6 @@ CHUNK_CHARS, and a task holds the arrays of one block.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import json
 import re
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, settle, slices_by_bytes, take_ragged
+from .common import Scratch, give_back, settle, slices_by_bytes, take_ragged
 from .words import text_column
 
 BLOCK_BYTES = 2 << 20
@@ -311,14 +310,6 @@ def _one(values, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a worker stays alive between tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # of the GNU C library
-    if trim:
-        trim(0)
-
-
 def _texts(column: pa.Array, lo: int, hi: int) -> list[str]:
     return [column[i].as_buffer().to_pybytes().decode() for i in range(lo, hi)]
 
