@@ -182,7 +182,7 @@ fitted_rows AS MATERIALIZED (SELECT * FROM emb_long WHERE row_id % 2 = 0),
 {_refined_sql(9)},
 m AS (SELECT feature_id, lam, avg(psi) AS mu, stddev_pop(psi) AS sd FROM (
         SELECT feature_id, lam, {_yj_sql('value', 'lam')} AS psi FROM fitted_rows JOIN b8 USING (feature_id)) GROUP BY feature_id, lam)
-SELECT feature_id, round(any_value(lam), 4) AS lambda, count(*) AS n,
+SELECT feature_id, round(any_value(lam), 3) AS lambda, count(*) AS n,
        round(avg(({_yj_sql('e.value', 'm.lam')} - mu) / sd), 4) AS mean_new
 FROM emb_long e JOIN m USING (feature_id) WHERE row_id % 2 <> 0 GROUP BY feature_id
 """)
@@ -192,7 +192,7 @@ def m16_yeo_johnson_fitted(spark, sf_dir):
     fit = tf.fit_yeo_johnson(long.where("row_id % 2 = 0"))
     new = tf.apply_yeo_johnson(long.where("row_id % 2 <> 0"), fit)
     return new.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("transformed"), 4).alias("mean_new")) \
-        .join(fit.select("feature_id", F.round("lambda", 4).alias("lambda")), "feature_id")
+        .join(fit.select("feature_id", F.round("lambda", 3).alias("lambda")), "feature_id")
 
 
 @query("m15_quantile_fitted", f"""
