@@ -63,3 +63,40 @@ def test_comparisons_grow_slowly(spark):
         assert report["largest"] <= 100
         cost.append(report["comparisons"])
     assert cost[1] < 2 * cost[0] and cost[1] < 8000 / 8
+
+
+def test_wide_rows_are_sent_once_a_leaf(spark, monkeypatch):
+    """64 coordinates rule nothing out: every query meets every leaf, so leaves must be full ones, not hundreds of small."""
+    seen, search = [], nn._leaf_search
+
+    def kept(tree, *args):
+        visits = args[-2]
+        seen.append((visits.groupBy("q").count().agg({"count": "max"}).first()[0], "x" in visits.columns))
+        return search(tree, *args)
+
+    monkeypatch.setattr(nn, "_leaf_search", kept)
+    x = np.random.default_rng(3).normal(size=(900, 64))
+    check(nn.knn(table_of(spark, x), 4, leaf=300), x, np.arange(900), 4)
+    most, carries = seen[0]
+    assert most <= 6 and not carries
+
+
+def test_search_inside_a_group_stays_near():
+    """A dense cloud of two coordinates: a row is compared to a few boxes of its group."""
+    rng = np.random.default_rng(4)
+    x, met, dist = rng.normal(size=(8000, 2)), [0], nn._dist
+
+    def counted(a, b, metric):
+        met[0] += len(a) * len(b)
+        return dist(a, b, metric)
+
+    nn._dist = counted
+    try:
+        got = nn._nearest(x, np.arange(8000), x, np.arange(8000), 3, "chebyshev")
+    finally:
+        nn._dist = dist
+    assert met[0] < 8000 * 1000
+    for i in (0, 11, 4000):
+        d = np.abs(x - x[got["q"].iloc[i]]).max(1)
+        d[got["q"].iloc[i]] = np.inf
+        assert list(got["nb"].iloc[i]) == list(np.argsort(d, kind="stable")[:3])

@@ -4,13 +4,16 @@
   ranks are cut down in every task before the shuffle, so a vector that a third of all rows share costs one entry.
 * **Tree.**  A node of more than ``leaf`` entries is split at ``FANOUT`` of its own entries (a hash sample); entries go to
   the nearest, and every child keeps its pivot and radius.  One pass a level, until no node is larger than a leaf.
-  Equal vectors are one entry, so every split parts something.
+  Equal vectors are one entry, so every split parts something.  Small children of a node share a leaf while they fit.
 * **Search.**  An entry first searches its own leaf; the distance of its k-th neighbour there bounds what else can
   matter.  It then goes down the tree into every child with ``d(x, pivot) - radius`` up to that bound
-  (triangle inequality), and meets the members of the leaves it reaches.
+  (triangle inequality), and meets the members of the leaves it reaches.  Where nothing can be ruled out (many
+  dimensions), that is every leaf, so leaves are large: a vector is sent once a leaf, not once a few hundred members.
+* **Inside a group** boxes of some dozen to some hundred rows, halved along the widest coordinate, are visited in order
+  of their gaps, until the gap exceeds the k-th distance.
 * **Groups of a fixed size.**  Members of a leaf number at most ``leaf``.  Entries that reach a leaf, or a
   node whose pivots are not broadcast, are dealt to chunks of about ``leaf`` by hash, each with its own copy of the members or pivots.
-  Pivots of a level are broadcast only while they take at most ``BROADCAST_BYTES``.
+  Pivots are broadcast only while they take at most ``BROADCAST_BYTES``.
 
 Products of vectors only propose: what is kept is measured by differences, with room for the rounding of the products.
 Ties go to the smaller key.  Keys are unique; null vectors are left out.
@@ -23,12 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import TableStore
+from ..session import TableStore, shuffle_partitions
 
 FANOUT = 16
-LEAF = 4096
+LEAF = 16384
 BROADCAST_BYTES = 32 << 20
 SLICE = 512
+CHUNK = 4096      # members met at once inside a group
+FEW = 4           # coordinates up to which boxes are small
 
 
 def _matrix(column) -> np.ndarray:
@@ -58,23 +63,95 @@ def _room(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return 4e-8 * (1.0 + np.sqrt((a * a).sum(1)) + (np.sqrt((b * b).sum(1)).max() if len(b) else 0.0))
 
 
-def _nearest(qx, qid, mx, mid, k: int, metric: str) -> pd.DataFrame:
-    """The k nearest members of every query by (distance, key), itself excluded."""
-    out = []
-    for lo in range(0, len(qid), SLICE):
-        x, ids = qx[lo:lo + SLICE], qid[lo:lo + SLICE]
-        d = _dist(x, mx, metric)
-        d[ids[:, None] == mid[None, :]] = np.inf
-        kk = min(k, d.shape[1])
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        qi, mi = np.nonzero((d <= (kth + 2 * _room(x, mx, metric))[:, None]) & np.isfinite(d))
-        dist = _paired(x[qi], mx[mi], metric)
-        order = np.lexsort((mid[mi], dist, qi))
-        qi, mi, dist = qi[order], mi[order], dist[order]
-        place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        keep = place < k
-        out.append(pd.DataFrame({"q": ids[qi[keep]], "nb": mid[mi[keep]], "dist": dist[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"q": np.empty(0, np.int64), "nb": np.empty(0, np.int64), "dist": np.empty(0)})
+def _boxes(x: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order of the rows and its stretches of at most ``size`` rows, halved along the widest coordinate."""
+    order, todo, done = np.arange(len(x)), [(0, len(x))], []
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= size:
+            done.append((lo, hi))
+            continue
+        part = x[order[lo:hi]]
+        half = (hi - lo) // 2
+        order[lo:hi] = order[lo:hi][np.argpartition(part[:, np.argmax(part.max(0) - part.min(0))], half)]
+        todo += [(lo, lo + half), (lo + half, hi)]
+    return order, sorted(done)
+
+
+def _nearest(qx, qid, mx, mid, k: int, metric: str, bound: np.ndarray | None = None) -> pd.DataFrame:
+    """``q, dist, nb``: the k nearest members of every query in order of (distance, key), itself excluded.
+
+    With ``bound`` only members up to a query's bound count; queries without any are left out.
+    """
+    if not len(qid) or not len(mid):
+        return pd.DataFrame({"q": [], "dist": [], "nb": []}, dtype=object)
+    few = mx.shape[1] <= FEW
+    order, cells = _boxes(mx, 64 if few else SLICE)
+    mx, mid = mx[order], mid[order]
+    starts = np.array([a for a, _ in cells])
+    ends = np.array([b for _, b in cells])
+    low, high = np.minimum.reduceat(mx, starts), np.maximum.reduceat(mx, starts)
+    slack = 2 * _room(qx, mx, metric)
+    qorder, qcells = _boxes(qx, 64 if few else SLICE)
+    per_step = max(1, CHUNK // int((ends - starts).max()))
+    first = min(per_step, -(-4 * (k + 1) // int((ends - starts).min()))) if few else per_step
+    ids_out, dist_out, nb_out = [], [], []
+    for a, b in qcells:
+        at = qorder[a:b]
+        x, ids, more = qx[at], qid[at], slack[at]
+        u = np.full(len(at), np.inf) if bound is None else bound[at].astype(float)
+        gap = np.maximum(0.0, np.maximum(low - x.max(0), x.min(0) - high))
+        gap = gap.max(1) if metric == "chebyshev" else np.sqrt((gap * gap).sum(1))
+        near = np.argsort(gap, kind="stable")
+        gap = gap[near]
+        q, dist, nb = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        done, step = 0, first
+        while done < len(near):
+            left = np.flatnonzero(u + more >= gap[done])   # gaps ascend: the others have met all that matters
+            if not len(left):
+                break
+            cells = near[done:min(done + step, int(np.searchsorted(gap, (u + more)[left].max(), side="right")))]
+            done, step = done + len(cells), min(per_step, 2 * step)
+            if few:   # a box that no query of its own reaches is passed over
+                out = np.maximum(0.0, np.maximum(low[cells] - x[left][:, None], x[left][:, None] - high[cells]))
+                reach = (out.max(2) if metric == "chebyshev" else np.sqrt((out * out).sum(2))) <= (u + more)[left][:, None]
+                left, cells = left[reach.any(1)], cells[reach.any(0)]
+                if not len(cells):
+                    continue
+            pick = np.concatenate([np.arange(starts[c], ends[c]) for c in cells])
+            m = mx[pick]
+            d = _dist(x[left], m, metric)
+            top = u[left]
+            if d.shape[1] > k and np.isinf(top).any():   # one more than k: a query may meet itself
+                top = np.minimum(top, np.partition(d, k, axis=1)[:, k] + more[left])
+            qi, mi = np.nonzero(d <= (top + more[left])[:, None])
+            qi = left[qi]
+            other = ids[qi] != mid[pick[mi]]
+            qi, mi = qi[other], mi[other]
+            if not len(qi):
+                continue
+            far = _paired(x[qi], m[mi], metric)
+            some = far <= u[qi]
+            q, dist, nb = np.concatenate((q, qi[some])), np.concatenate((dist, far[some])), np.concatenate((nb, mid[pick[mi[some]]]))
+            by = np.lexsort((nb, dist, q))
+            q, dist, nb = q[by], dist[by], nb[by]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, dist, nb = q[keep], dist[keep], nb[keep]
+            count = np.bincount(q, minlength=len(at))
+            last = np.cumsum(count) - 1
+            full = count == k
+            u[full] = np.minimum(u[full], dist[last[full]])
+        if len(q):
+            found, place = np.unique(q, return_index=True)
+            ids_out.append(ids[found])
+            dist_out += np.split(dist, place[1:])
+            nb_out += np.split(nb, place[1:])
+    if not ids_out:
+        return pd.DataFrame({"q": [], "dist": [], "nb": []}, dtype=object)
+    return pd.DataFrame({"q": np.concatenate(ids_out), "dist": dist_out, "nb": nb_out})
+
+
+FOUND = "q long, dist array<double>, nb array<long>"
 
 
 def entries(df: DataFrame, features: str, key: str, k: int) -> DataFrame:
@@ -105,7 +182,7 @@ class PivotTree:
         return pts.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > self.leaf)
 
     def _split(self, pts: DataFrame, large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        store, metric = self.store, self.metric
+        store, metric, leaf = self.store, self.metric, self.leaf
         large = store.write(large, f"large-{level}")
         place = F.pmod(F.xxhash64("key", F.lit(self.seed + level)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         inside = pts.join(large, "node")
@@ -128,9 +205,12 @@ class PivotTree:
         # a node whose sample came out empty waits for the next level's hash
         moved = self._with_nodes(inside.join(pivots.select("node"), "node", "left_semi").select("key", "x", "node"), pivots, nearest,
                                  "key long, x array<double>, node long, j long, d double", "key")
-        moved = moved.withColumn("child", F.xxhash64("node", "j"))
         moved = store.write(moved, f"moved-{level}")
-        size = moved.groupBy("node", "j", "child").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("size"))
+        size = store.write(moved.groupBy("node", "j").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("size"))
+                           .groupBy("node").applyInPandas(lambda pdf: _packed(pdf, leaf),
+                                                          "node long, j long, pack long, radius double, size long")
+                           .withColumn("child", F.xxhash64("node", "pack")), f"sizes-{level}")
+        moved = moved.join(size.select("node", "j", "child"), ["node", "j"])
         flat = pivots.select("node", F.posexplode("pivots").alias("j", "pivot"))
         children = flat.join(size, ["node", "j"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct(
             "child", "radius", (F.col("size") > self.leaf).alias("inner"), "pivot"))).alias("c"))
@@ -178,8 +258,10 @@ class PivotTree:
             .applyInPandas(safe, schema)
 
     def visits(self, queries: DataFrame) -> DataFrame:
-        """``q, x, leaf`` of every leaf but its own that a query (q, x, u, own) must search."""
+        """``q, leaf`` of every leaf but its own that a query (q, x, u, own) must search."""
         metric = self.metric
+        if sum(c.count() for c in self.levels) * FANOUT * (self.width + 4) * 8 <= BROADCAST_BYTES:
+            return self._visits_at_once(queries)
         frontier, found = queries.withColumn("node", F.lit(0).cast("long")), None
         schema = "q long, x array<double>, u double, own long, node long, inner boolean"
 
@@ -209,17 +291,59 @@ class PivotTree:
             found = done if found is None else found.union(done)
             frontier = step.where("inner").drop("inner").select(*queries.columns, "node").union(
                 wait.select(*queries.columns, "node"))
-        return found
+        return found.select("q", "leaf").distinct()
+
+    def _visits_at_once(self, queries: DataFrame) -> DataFrame:
+        """Down the whole broadcast tree in one pass over the queries."""
+        metric = self.metric
+        bc = self.spark.sparkContext.broadcast({r["node"]: _arrays(r.asDict()) for c in self.levels for r in c.toLocalIterator()})
+
+        def descend(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, u, own, ids = _matrix(pdf["x"]), pdf["u"].to_numpy(float), pdf["own"].to_numpy(), pdf["q"].to_numpy()
+                todo, qs, leaves = [(0, np.arange(len(pdf)))], [], []
+                while todo:
+                    node, at = todo.pop()
+                    a = bc.value[node]
+                    near = _dist(x[at], a["pivots"], metric) - a["radius"][None, :] <= (
+                        u[at] + 2 * _room(x[at], a["pivots"], metric))[:, None]
+                    inner = a["inner"].astype(bool)
+                    todo += [(int(a["child"][c]), at[near[:, c]]) for c in np.flatnonzero(inner) if near[:, c].any()]
+                    i, c = np.nonzero(near & ~inner[None, :] & (a["child"][None, :] != own[at][:, None]))
+                    qs.append(ids[at[i]])
+                    leaves.append(a["child"][c])
+                out = pd.DataFrame({"q": np.concatenate(qs), "leaf": np.concatenate(leaves)}).drop_duplicates()
+                if len(out):
+                    yield out
+
+        return queries.select("q", "x", "u", "own").mapInPandas(descend, "q long, leaf long")
+
+
+def _packed(children: pd.DataFrame, leaf: int) -> pd.DataFrame:
+    """Children of one node (at most ``FANOUT``): neighbours in order share a leaf while they fit, ``pack`` is its first."""
+    children, pack, fill = children.sort_values("j"), [], leaf + 1
+    for j, size in zip(children["j"], children["size"]):
+        if size > leaf:
+            pack.append(j)
+            continue
+        if fill + size > leaf:
+            first, fill = j, 0
+        fill += size
+        pack.append(first)
+    return children.assign(pack=pack)[["node", "j", "pack", "radius", "size"]]
 
 
 def _arrays(row: dict) -> dict:
     return {k: (_matrix(v) if k == "pivots" else np.asarray(v)) for k, v in row.items() if k in ("pivots", "child", "radius", "inner")}
 
 
-def _leaf_search(tree: PivotTree, visits: DataFrame, k: int) -> DataFrame:
-    """The k nearest of every (query, leaf), in groups of about ``leaf`` queries and one leaf's members."""
+def _leaf_search(tree: PivotTree, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """The k nearest of every (query, leaf) up to the query's bound, in groups of about ``leaf`` queries and one leaf's members."""
     chunks = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / tree.leaf).cast("int").alias("chunks"))
-    dealt = visits.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int")).drop("chunks")
+    dealt = visits.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int")).drop("chunks") \
+        .join(queries.select("q", "x", "u"), "q")
     members = tree.points.select(F.col("key").alias("m"), F.col("x").alias("mx"), F.col("node").alias("at")) \
         .join(chunks.withColumnRenamed("leaf", "at"), "at") \
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
@@ -227,17 +351,18 @@ def _leaf_search(tree: PivotTree, visits: DataFrame, k: int) -> DataFrame:
     metric = tree.metric
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "nb": [], "dist": []})
-        return _nearest(_matrix(left["x"]), left["q"].to_numpy(), _matrix(right["mx"]), right["m"].to_numpy(), k, metric)
+        return _nearest(_matrix(left["x"]), left["q"].to_numpy(), _matrix(right["mx"]), right["m"].to_numpy(), k, metric,
+                        left["u"].to_numpy(float))
 
-    return dealt.groupBy("leaf", "chunk").cogroup(members.groupBy("at", "part")).applyInPandas(
-        search, "q long, nb long, dist double")
+    # groups are few bytes and much work: their number of tasks is fixed, not merged by size
+    tasks = shuffle_partitions(tree.spark)
+    return dealt.repartition(tasks, "leaf", "chunk").groupBy("leaf", "chunk").cogroup(
+        members.repartition(tasks, "at", "part").groupBy("at", "part")).applyInPandas(search, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """``q, near``: the k best (dist, nb) of every query; it has at most k from each leaf it reached."""
-    return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nb"))), 1, k).alias("near"))
+    return found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("dist", "nb")))), 1, k).alias("near"))
 
 
 def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id", leaf: int = LEAF, seed: int = 42,
@@ -262,14 +387,15 @@ def knn(df: DataFrame, k: int, features: str = "features", key: str = "row_id",
         x, ids = _matrix(pdf["x"]), pdf["key"].to_numpy()
         return _nearest(x, ids, x, ids, k, metric)
 
-    first = store.write(tree.points.groupBy("node").applyInPandas(lambda pdf: own(None, pdf), "q long, nb long, dist double"), "own")
+    first = store.write(tree.points.repartition(shuffle_partitions(tree.spark), "node").groupBy("node").applyInPandas(
+        lambda pdf: own(None, pdf), FOUND), "own")
     found = first
     if tree.levels:
-        bound = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("u"))
+        bound = first.select("q", F.when(F.size("dist") >= k, F.element_at("dist", -1)).otherwise(F.lit(float("inf"))).alias("u"))
         queries = tree.points.join(bound, F.col("key") == F.col("q"), "left").select(
             F.col("key").alias("q"), "x", F.coalesce("u", F.lit(float("inf"))).alias("u"), F.col("node").alias("own"))
         visits = store.write(tree.visits(queries), "visits")
-        found = first.union(_leaf_search(tree, visits, k))
+        found = first.union(_leaf_search(tree, queries, visits, k))
     near = store.write(_best(found, k), "near")
     if report is not None:
         sizes = tree.points.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
