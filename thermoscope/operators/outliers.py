@@ -72,26 +72,117 @@ def keep_rows(df: DataFrame, mask: DataFrame, key: str = "row_id", remove: bool
 
 # ------------------------------------------------------------- k-means
 
-def _fit_kmeans(vec: DataFrame, k: int, seed: int, features: str):
+class Clusters:
+    """Centres of a finished k-means and the cost of its last iteration."""
+
+    def __init__(self, centres: np.ndarray, cost: float, features: str):
+        self.centres, self.cost, self.features = centres, cost, features
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centres)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``cluster``, the nearest centre."""
+        centres = self.centres
+
+        @F.pandas_udf("int")
+        def nearest(col: pd.Series) -> pd.Series:
+            if not len(col):
+                return pd.Series([], dtype="int32")
+            x = np.stack(col.to_numpy()).astype(float)
+            return pd.Series(np.stack([((x - c) ** 2).sum(1) for c in centres], 1).argmin(1).astype("int32"))
+
+        return df.withColumn("cluster", nearest(F.col(self.features).cast("array<double>")))
+
+
+def _start(vec: DataFrame, k: int, seed: int, features: str) -> np.ndarray:
+    """MLlib's seeded starting centres (k-means||)."""
     from pyspark.ml.clustering import KMeans
-    return KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster",
-                  maxIter=300, tol=1e-4).fit(vec)
+    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster", maxIter=0).fit(vec)
+    return np.array(model.clusterCenters())
+
+
+def _sums(batches, models, width: int):
+    """Per model its centres' sums, counts and cost over the rows outside the fold it leaves out."""
+    ends = np.cumsum([len(c) for _, _, c in models])
+    centres = np.concatenate([c for _, _, c in models])
+    shift = centres.mean(0)   # products of small numbers
+    moved = centres - shift
+    norms, total = (moved * moved).sum(1), np.zeros((len(centres), width + 2))
+    for batch in batches:
+        values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        folds = batch.column(1).to_numpy(zero_copy_only=False)
+        for lo in range(0, len(values), 4096):
+            x, f = values[lo:lo + 4096], folds[lo:lo + 4096]
+            near = x - shift
+            d = norms[None, :] - 2.0 * (near @ moved.T)
+            square, at = (near * near).sum(1), np.arange(len(x))
+            hot = np.zeros(d.shape)
+            for (_, skip, c), end in zip(models, ends):
+                own = d[:, end - len(c):end]
+                j = own.argmin(1)
+                use = f != skip
+                hot[at, end - len(c) + j] = use
+                total[end - len(c), width + 1] += np.maximum(0.0, own[at, j] + square)[use].sum()
+            total[:, :width] += hot.T @ x
+            total[:, width] += hot.sum(0)
+    for (m, _, c), end in zip(models, ends):
+        yield m, total[end - len(c):end]
+
+
+def lloyd(df: DataFrame, features: str, starts: Sequence[tuple[int, np.ndarray]], fold: str | None = None,
+          max_iter: int = 300, tol: float = 1e-4) -> list[Clusters]:
+    """Every start ``(fold it leaves out, centres)`` moved until no centre moves further than ``tol``.
+
+    One job an iteration moves all unfinished starts; tasks send sums, counts and costs of centres, never rows.
+    """
+    import pyarrow as pa
+    if not starts:
+        return []
+    rows = df.select(F.col(features).cast("array<double>").alias("x"),
+                     (F.col(fold) if fold else F.lit(-1)).cast("long").alias("f"))
+    at, width = [np.array(c, float) for _, c in starts], len(starts[0][1][0])
+    cost, todo = [0.0] * len(starts), list(range(len(starts)))
+    for _ in range(max_iter):
+        if not todo:
+            break
+        bc = df.sparkSession.sparkContext.broadcast([(m, starts[m][0], at[m]) for m in todo])
+
+        def partial(batches, bc=bc):
+            for m, part in _sums(batches, bc.value, width):
+                yield pa.RecordBatch.from_pydict({"m": pa.array([m], pa.int64()), "s": pa.array([part.tobytes()], pa.binary())})
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"m": [pdf["m"].iloc[0]], "s": [sum(np.frombuffer(b) for b in pdf["s"]).tobytes()]})
+
+        moved = rows.mapInArrow(partial, "m long, s binary").groupBy("m").applyInPandas(whole, "m long, s binary").collect()
+        todo = []
+        for r in moved:   # one row per start, of its centres' size
+            m, s = r["m"], np.frombuffer(r["s"]).reshape(-1, width + 2)
+            some = s[:, width] > 0
+            new = at[m].copy()
+            new[some] = s[some, :width] / s[some, width][:, None]
+            far = ((new - at[m]) ** 2).sum(1).max() > tol * tol
+            at[m], cost[m] = new, float(s[:, width + 1].sum())
+            if far:
+                todo.append(m)
+        bc.unpersist()
+    return [Clusters(c, v, features) for c, v in zip(at, cost)]
 
 
 def best_kmeans(vec: DataFrame, k: int, n_init: int = N_INIT, seed: int = SEED,
-                features: str = "features_vec", threads: int = 4):
-    """The lowest-cost of ``n_init`` seeded MLlib fits (jobs run concurrently)."""
-    seeds = [seed + i for i in range(n_init)]
+                features: str = "features_vec", threads: int = 4, array: str = "features") -> Clusters:
+    """The lowest-cost of ``n_init`` seeded fits from MLlib's starts, moved together."""
     with ThreadPoolExecutor(max_workers=min(threads, n_init)) as ex:
-        models = list(ex.map(lambda s: _fit_kmeans(vec, k, s, features), seeds))
-    return min(models, key=lambda m: m.summary.trainingCost)
+        starts = list(ex.map(lambda s: (-2, _start(vec, k, s, features)), [seed + i for i in range(n_init)]))
+    return min(lloyd(vec, array, starts), key=lambda m: m.cost)
 
 
 def kmeans_mask(df: DataFrame, features: str = "features", k: int = N_CLUSTERS,
                 ratio: float = MIN_CLUSTER_RATIO, n_init: int = N_INIT, seed: int = SEED) -> DataFrame:
     """Cluster with k-means, then mask clusters smaller than ⌊n·ratio⌋."""
     vec = to_vector(df, features).cache()
-    model = best_kmeans(vec, k, n_init, seed)
+    model = best_kmeans(vec, k, n_init, seed, array=features)
     labelled = model.transform(vec).drop("features_vec")
     vec.unpersist()
     return cluster_size_mask(labelled, "cluster", ratio)
@@ -101,7 +192,7 @@ def kmeans_state(df: DataFrame, k: int = N_CLUSTERS, ratio: float = MIN_CLUSTER_
                  seed: int = SEED, features: str = "features") -> dict:
     """Fitted centres and which of their clusters are large enough (k rows at most)."""
     vec = to_vector(df, features).cache()
-    model = best_kmeans(vec, k, n_init, seed)
+    model = best_kmeans(vec, k, n_init, seed, array=features)
     sizes = {r["cluster"]: r["valid"] for r in cluster_sizes(model.transform(vec), "cluster", ratio).collect()}
     vec.unpersist()
     centres = [[float(v) for v in c] for c in model.clusterCenters()]
@@ -147,22 +238,24 @@ def choose_k(df: DataFrame, features: str = "features", ks: Sequence[int] = rang
     """
     from ..functions.hashing import hash_bucket
     vec = to_vector(df, features).withColumn("__fold", hash_bucket(key, f"{seed}:kfold", folds)).cache()
-    jobs = [(k, f) for k in ks for f in range(folds)]
+    sizes = {r["__fold"]: r["count"] for r in vec.groupBy("__fold").count().collect()}
+    jobs = [(k, f) for k in ks for f in range(folds) if sum(sizes.values()) - sizes.get(f, 0) >= k]
+    train = {f: vec.where(F.col("__fold") != f) for f in range(folds)}
 
-    def run(job):
-        k, f = job
-        train = vec.where(F.col("__fold") != f)
-        if train.count() < k:
-            return k, f, None
-        model = best_kmeans(train, k, n_init, seed, threads=2)
-        lab = model.transform(train)
+    def score(job):
+        k, f, model = job
+        lab = model.transform(train[f])
         if lab.select("cluster").distinct().count() <= 1:   # A8
             return k, f, None
         return k, f, silhouette(lab)
 
-    # small fits are scheduling-bound: run k × fold jobs concurrently
+    # starts and scores are small jobs and run side by side; all fits move together
     with ThreadPoolExecutor(max_workers=8) as ex:
-        res = list(ex.map(run, jobs))
+        tries = [(k, f, seed + i) for k, f in jobs for i in range(n_init)]
+        starts = list(ex.map(lambda t: (t[1], _start(train[t[1]], t[0], t[2], "features_vec")), tries))
+        models = lloyd(vec, features, starts, "__fold")
+        best_of = [min(models[i * n_init:(i + 1) * n_init], key=lambda m: m.cost) for i in range(len(jobs))]
+        res = list(ex.map(score, [(k, f, m) for (k, f), m in zip(jobs, best_of)]))
     vec.unpersist()
     rows = []
     for k in ks:
