@@ -142,7 +142,7 @@ def s2_sweep_files_round_trip(spark, sf_dir):
     """
     import uuid
 
-    from ..session import ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir, shuffle_partitions
     from ..sources.files import MEASURES, SWEEP_COLUMNS, read_sweeps
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sweeps-{uuid.uuid4().hex}"
     e = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -157,7 +157,8 @@ def s2_sweep_files_round_trip(spark, sf_dir):
              for o in orders]
     lines = e.select("vec_id", F.posexplode(F.when(F.col("vec_id") % 2 == 0, texts[0]).otherwise(texts[1]))
                      .alias("at", "value"))
-    (lines.repartition("vec_id").sortWithinPartitions("vec_id", "at").select("vec_id", "value")
-     .write.partitionBy("vec_id").text(path))
+    # a fixed number of writers (few bytes, many files); each commits its own files, the driver moves none
+    (lines.repartition(shuffle_partitions(spark), "vec_id").sortWithinPartitions("vec_id", "at").select("vec_id", "value")
+     .write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("vec_id").text(path))
     return read_sweeps(spark, [path], "part-*").where(~F.col("bad_line")).select(
         F.col("vec_id").cast("long").alias("vec_id"), "point_idx", *[F.round(m, 6).alias(m) for m in MEASURES])

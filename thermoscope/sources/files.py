@@ -119,12 +119,14 @@ def read_sweeps(spark: SparkSession, dirs: Sequence[str], pattern: str = "*.csv"
     bound by header name, and ``bad_line``.
     """
     from ..operators.ranking import ranked
+    from ..session import write_table
     frames = []
     for i, d in enumerate(dirs):
         text = spark.read.option("pathGlobFilter", pattern).text(d)
         frames.append(_with_place(text).withColumn("file", F.element_at(F.split("__path", "/"), -1))
                       .withColumn("part_id", F.lit(i)))
-    rows = parse_sweep_lines(stack(*frames)).drop(*[f"raw_{n}" for n in MEASURES])
+    # many small files cost by the opening: they are opened once, later steps read the stored lines
+    rows = parse_sweep_lines(write_table(stack(*frames))).drop(*[f"raw_{n}" for n in MEASURES])
     # 0-based line number inside each file, skew-safe for huge sweeps
     r = ranked(rows, ["__block", "__line"], ["part_id", "__path"], name="__rn")
     return r.withColumn("point_idx", (F.col("__rn") - 1).cast("int")).withColumnRenamed("__path", "path") \
