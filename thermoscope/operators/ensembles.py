@@ -3,9 +3,10 @@
 * Extra trees grow level by level.  Per level one aggregate gives each
   (tree, node, feature) its min/max; a seeded hash draws one threshold per
   (tree, node, feature) in [min, max); a second aggregate gives the left/right
-  count, Σy, Σy² of that threshold; the best gain per node wins.  Rows are
-  expanded once per tree (no bootstrap, as the reference) and the per-level
-  decision table — at most trees × 2^depth rows — is broadcast back.
+  count, Σy, Σy² of that threshold; the best gain per node wins.  Every tree
+  sees all rows (no bootstrap, as the reference).  Rows are stored once and
+  walk down the broadcast nodes in each pass; a task sends one row per
+  (tree, node, feature) it has seen.
 * AdaBoost.R2 (Drucker, 1997) fits MLlib depth-3 trees with a weight column,
   updates the weights with one aggregate per round and combines the rounds by
   the weighted median.
@@ -20,6 +21,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,88 +35,198 @@ from .trees import MAX_BROADCAST_NODES, ensemble_predict
 
 def extra_trees(df: DataFrame, features: str, y: str, n_trees: int = 100, max_depth: int = 8,
                 min_samples_split: int = 2, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """Returns a node table usable by :func:`ensemble_predict` / :func:`route`."""
+    """Returns a node table usable by :func:`ensemble_predict` / :func:`route`.
+
+    A missing value draws no threshold and goes right; rows without ``y`` are left out.
+    """
     spark = df.sparkSession
-    state = df.select(key, features, F.col(y).cast("double").alias("__y"),
-                      F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id"),
-                      F.lit(0).cast("long").alias("node"), F.lit(False).alias("__leaf"))
-    state = materialize(state)
-    internal = []
-    for depth in range(max_depth):
-        active = state.where(~F.col("__leaf"))
-        long = active.select("tree_id", "node", "__y", F.posexplode(features).alias("f", "x"))
-        mm = long.groupBy("tree_id", "node", "f").agg(
-            F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"),
-            F.sum("__y").alias("sy"), F.sum(F.col("__y") * F.col("__y")).alias("syy"))
-        draw = hash_unit(F.concat_ws(":", "tree_id", "node", "f"), f"{seed}:et:{depth}")
-        thr = mm.where(F.col("hi") > F.col("lo")).withColumn("t", F.col("lo") + draw * (F.col("hi") - F.col("lo")))
-        # one threshold per (tree, node, feature) of this level: trees × 2^depth × d rows
-        j = long.join(thr.select("tree_id", "node", "f", "t"), ["tree_id", "node", "f"])
-        left = F.col("x") <= F.col("t")
-        sp = j.groupBy("tree_id", "node", "f").agg(
-            F.first("t").alias("t"), F.count_if(left).alias("nl"),
-            F.sum(F.when(left, F.col("__y")).otherwise(0.0)).alias("syl"),
-            F.sum(F.when(left, F.col("__y") * F.col("__y")).otherwise(0.0)).alias("syyl"))
-        sp = sp.join(mm.select("tree_id", "node", "f", "n", "sy", "syy"), ["tree_id", "node", "f"])
-        nr = F.col("n") - F.col("nl")
-        sse = lambda c, s, q: q - s * s / c
-        gain = sse(F.col("n"), F.col("sy"), F.col("syy")) - sse(F.col("nl"), F.col("syl"), F.col("syyl")) \
-            - sse(nr, F.col("sy") - F.col("syl"), F.col("syy") - F.col("syyl"))
-        sp = sp.withColumn("gain", gain).where((F.col("nl") > 0) & (nr > 0))
-        best = sp.groupBy("tree_id", "node").agg(
-            F.max_by(F.struct("f", "t", "gain"), F.struct("gain", -F.col("f"))).alias("b"),
-            F.first("n").alias("n"))
-        dec = best.where((F.col("n") >= min_samples_split) & (F.col("b.gain") > 0)).select(
-            "tree_id", "node", F.col("b.f").alias("split_f"), F.col("b.t").alias("split_t"))
-        dec = materialize(dec)
-        if dec.count() > MAX_BROADCAST_NODES:
-            raise ValueError("extra-trees level too large to broadcast")
-        internal.append(dec)
-        # route rows of split nodes to children; rows of other nodes become leaves
-        st = state.join(F.broadcast(dec), ["tree_id", "node"], "left")
-        goes_left = F.element_at(F.col(features), (F.col("split_f") + 1).cast("int")) <= F.col("split_t")
-        st = st.select(
-            key, features, "__y", "tree_id",
-            F.when(F.col("__leaf") | F.col("split_f").isNull(), F.col("node"))
-             .when(goes_left, F.col("node") * 2 + 1).otherwise(F.col("node") * 2 + 2).alias("node"),
-            (F.col("__leaf") | F.col("split_f").isNull()).alias("__leaf"))
-        state = materialize(st)
-        if dec.count() == 0:
+    data = materialize(df.select(F.col(features).alias("x"), F.col(y).cast("double").alias("y")).where("y IS NOT NULL"))
+    d = data.agg(F.max(F.size("x"))).first()[0]
+    if d is None:
+        raise ValueError("extra trees need rows")
+    model = _Grown(n_trees)
+    for depth in range(max_depth + 1):
+        n_active = len(model.heap) - model.base
+        if not n_active:
             break
-    leaves = state.groupBy("tree_id", "node").agg(F.avg("__y").alias("value"))
-    splits = internal[0]
-    for d in internal[1:]:
-        splits = splits.unionByName(d)
-    return _heap_to_nodes(spark, splits, leaves, n_trees)
+        if len(model.heap) > MAX_BROADCAST_NODES:
+            raise ValueError("extra-trees level too large to broadcast")
+        feature, threshold = np.full(n_active, -1), np.zeros(n_active)
+        step = max(1, SLICE_CELLS // max(1, d))
+        for lo in range(0, n_active, step):   # nodes of one pass, so that a task's sums have a fixed size
+            part = slice(lo, min(lo + step, n_active))
+            _split_nodes(data, model, part, depth, d, depth < max_depth, min_samples_split, seed, feature, threshold)
+        model.grow(feature, threshold)
+    return spark.createDataFrame(model.table())
 
 
-def _heap_to_nodes(spark, splits: DataFrame, leaves: DataFrame, n_trees: int) -> DataFrame:
-    """Heap-numbered (2n+1 / 2n+2) splits and leaves → dense node table.
+SLICE_CELLS = 1 << 20   # (node, feature) cells of one pass
 
-    The table is bounded by the model size (checked) and renumbered on the
-    driver, like any fitted model.
-    """
-    sp = splits.toPandas()
-    lv = leaves.toPandas()
-    if len(sp) + len(lv) > MAX_BROADCAST_NODES:
-        raise ValueError("model too large")
-    rows = []
-    for t in range(n_trees):
-        s_t = sp[sp["tree_id"] == t].set_index("node")
-        l_t = lv[lv["tree_id"] == t].set_index("node")
-        ids = sorted(set(s_t.index) | set(l_t.index))
-        dense = {h: i for i, h in enumerate(ids)}
-        for h in ids:
-            if h in s_t.index:
-                r = s_t.loc[h]
-                rows.append((t, dense[h], int(r["split_f"]), float(r["split_t"]), dense[2 * h + 1],
-                             dense[2 * h + 2], 0.0, False))
-            else:
-                rows.append((t, dense[h], -1, 0.0, -1, -1, float(l_t.loc[h]["value"]), True))
-    pdf = pd.DataFrame(rows, columns=["tree_id", "node_id", "feature", "threshold", "left", "right", "value",
-                                      "is_leaf"])
-    pdf["weight"] = 1.0 / n_trees
-    return spark.createDataFrame(pdf)
+
+class _Grown:
+    """Nodes of all trees, level by level; the nodes from ``base`` on are those of the present level."""
+
+    def __init__(self, n_trees: int):
+        self.n_trees = n_trees
+        self.tree, self.heap = np.arange(n_trees), np.zeros(n_trees, np.int64)
+        self.feature, self.threshold = np.full(n_trees, -1), np.zeros(n_trees)
+        self.left, self.value = np.full(n_trees, -1), np.zeros(n_trees)   # a right child follows its left one
+        self.base = 0
+
+    def grow(self, feature: np.ndarray, threshold: np.ndarray) -> None:
+        base, size = self.base, len(self.heap)
+        cut = np.flatnonzero(feature >= 0)
+        self.feature[base:], self.threshold[base:] = feature, threshold
+        self.left[base + cut] = size + 2 * np.arange(len(cut))
+        heap = self.heap[base + cut]
+        self.heap = np.concatenate((self.heap, np.column_stack((2 * heap + 1, 2 * heap + 2)).ravel()))
+        self.tree = np.concatenate((self.tree, np.repeat(self.tree[base + cut], 2)))
+        more = 2 * len(cut)
+        self.feature, self.left = (np.concatenate((v, np.full(more, -1))) for v in (self.feature, self.left))
+        self.threshold, self.value = (np.concatenate((v, np.zeros(more))) for v in (self.threshold, self.value))
+        self.base = size
+
+    def table(self) -> pd.DataFrame:
+        order = np.lexsort((self.heap, self.tree))
+        first = np.searchsorted(self.tree[order], self.tree[order])
+        dense = np.empty(len(order), np.int64)
+        dense[order] = np.arange(len(order)) - first
+        leaf = self.feature < 0
+        child = np.where(leaf, 0, self.left)
+        pdf = pd.DataFrame({
+            "tree_id": self.tree, "node_id": dense, "feature": self.feature, "threshold": self.threshold,
+            "left": np.where(leaf, -1, dense[child]), "right": np.where(leaf, -1, dense[np.where(leaf, 0, child + 1)]),
+            "value": np.where(leaf, self.value, 0.0), "is_leaf": leaf}).iloc[order].reset_index(drop=True)
+        pdf["weight"] = 1.0 / self.n_trees
+        return pdf
+
+
+def _split_nodes(data: DataFrame, model: _Grown, part: slice, depth: int, d: int, may_split: bool,
+                 min_samples_split: int, seed: int, feature: np.ndarray, threshold: np.ndarray) -> None:
+    """Values of the level's nodes in ``part``, and their best splits (into ``feature`` and ``threshold``)."""
+    base, k = model.base, part.stop - part.start
+    nodes = slice(base + part.start, base + part.stop)
+    tree, heap = model.tree[nodes], model.heap[nodes]
+    place = pd.Series(np.arange(k), index=pd.MultiIndex.from_arrays([tree, heap]))
+    sc = data.sparkSession.sparkContext
+    walk = dict(feature=model.feature, threshold=model.threshold, left=model.left, depth=depth, d=d,
+                trees=np.unique(tree), first=nodes.start, tree=tree, heap=heap)
+
+    def cells(pdf: pd.DataFrame):
+        return place.loc[pd.MultiIndex.from_arrays([pdf["tree_id"], pdf["node"]])].to_numpy(), pdf["f"].to_numpy()
+
+    bc = sc.broadcast(walk)
+    ranges = data.mapInArrow(_ranges(bc), "tree_id int, node long, f int, lo double, hi double, n long, sy double, syy double")
+    draw = hash_unit(F.concat_ws(":", "tree_id", "node", "f"), f"{seed}:et:{depth}")
+    pdf = ranges.groupBy("tree_id", "node", "f").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.sum("sy").alias("sy"),
+        F.sum("syy").alias("syy")).withColumn("draw", draw).toPandas()   # nodes × features cells, at most SLICE_CELLS
+    bc.unpersist()
+    at, f = cells(pdf)
+    n, sy, syy = np.zeros(k), np.zeros(k), np.zeros(k)
+    n[at], sy[at], syy[at] = pdf["n"], pdf["sy"], pdf["syy"]
+    model.value[nodes] = sy / n
+    if not may_split:
+        return
+    lo, hi, t = pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), np.full((k, d), np.nan)
+    with np.errstate(invalid="ignore"):
+        t[at, f] = np.where(hi > lo, lo + pdf["draw"].to_numpy() * (hi - lo), np.nan)
+    bc = sc.broadcast({**walk, "t": t})
+    lefts = data.mapInArrow(_lefts(bc), "tree_id int, node long, f int, nl long, syl double, syyl double")
+    pdf = lefts.groupBy("tree_id", "node", "f").agg(
+        F.sum("nl").alias("nl"), F.sum("syl").alias("syl"), F.sum("syyl").alias("syyl")).toPandas()
+    bc.unpersist()
+    at, f = cells(pdf)
+    n, sy, syy = n[at], sy[at], syy[at]
+    nl, syl, syyl = (pdf[c].to_numpy() for c in ("nl", "syl", "syyl"))
+    nr = n - nl
+    sse = lambda c, s, q: q - s * s / c
+    gain = np.full((k, d), -np.inf)
+    with np.errstate(all="ignore"):
+        g = sse(n, sy, syy) - sse(nl, syl, syyl) - sse(nr, sy - syl, syy - syyl)
+    ok = (nl > 0) & (nr > 0) & (n >= min_samples_split) & (g > 0)
+    gain[at[ok], f[ok]] = g[ok]
+    best = gain.argmax(1)   # the first feature on ties
+    rows = np.flatnonzero(gain[np.arange(k), best] > 0)
+    feature[part.start + rows], threshold[part.start + rows] = best[rows], t[rows, best[rows]]
+
+
+def _matrix(lists: pa.Array, d: int):
+    """Rows of an Arrow list column as (numbers, whether missing); what is missing is NaN."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    x, missing = np.full((len(lists), d), np.nan), np.ones((len(lists), d), bool)
+    inside = np.arange(d) < size[:, None]
+    x[inside] = flat.to_numpy(zero_copy_only=False)
+    missing[inside] = flat.is_null().to_numpy(zero_copy_only=False)
+    return x, missing
+
+
+def _members(x: np.ndarray, walk: dict):
+    """(rows, their nodes in order, first row of each node) for every tree: rows that reach the pass's nodes."""
+    feature, threshold, left, first = (walk[c] for c in ("feature", "threshold", "left", "first"))
+    for tree in walk["trees"]:
+        rows, node = np.arange(len(x)), np.full(len(x), tree)   # the first nodes are the roots
+        for _ in range(walk["depth"]):
+            f = feature[node]
+            inner = f >= 0
+            rows, node, f = rows[inner], node[inner], f[inner]
+            node = left[node] + ~(x[rows, f] <= threshold[node])
+        mine = (node >= first) & (node < first + len(walk["heap"]))
+        rows, node = rows[mine], node[mine] - first
+        if len(rows):
+            order = np.argsort(node, kind="stable")
+            rows, node = rows[order], node[order]
+            yield rows, node, np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+
+
+def _cell_rows(walk: dict, seen: np.ndarray, names: list[str], *columns: np.ndarray):
+    """One row for each cell of the nodes that had rows in this task."""
+    at, d = np.flatnonzero(seen), walk["d"]
+    wide = [np.repeat(c[at], d) if c.ndim == 1 else c[at].ravel() for c in columns]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(walk["tree"][at], d).astype(np.int32)), pa.array(np.repeat(walk["heap"][at], d)),
+         pa.array(np.tile(np.arange(d, dtype=np.int32), len(at))), *[pa.array(c) for c in wide]],
+        ["tree_id", "node", "f", *names])
+
+
+def _ranges(bc):
+    def run(batches):
+        walk = bc.value
+        k, d = len(walk["heap"]), walk["d"]
+        lo, hi = np.full((k, d), np.inf), np.full((k, d), -np.inf)
+        n, sy, syy = np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
+        for batch in batches:
+            x, missing = _matrix(batch.column(0), d)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            small, large = np.where(missing, np.inf, x), np.where(missing, -np.inf, x)
+            for rows, node, first in _members(x, walk):
+                at = node[first]
+                lo[at] = np.minimum(lo[at], np.minimum.reduceat(small[rows], first, axis=0))
+                hi[at] = np.maximum(hi[at], np.maximum.reduceat(large[rows], first, axis=0))
+                n[at] += np.diff(np.concatenate((first, [len(rows)])))
+                sy[at] += np.add.reduceat(y[rows], first)
+                syy[at] += np.add.reduceat(y[rows] * y[rows], first)
+        yield _cell_rows(walk, n > 0, ["lo", "hi", "n", "sy", "syy"], lo, hi, n, sy, syy)
+    return run
+
+
+def _lefts(bc):
+    def run(batches):
+        walk = bc.value
+        t, d = walk["t"], walk["d"]
+        nl, syl, syyl = np.zeros(t.shape, np.int64), np.zeros(t.shape), np.zeros(t.shape)
+        for batch in batches:
+            x, _ = _matrix(batch.column(0), d)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for rows, node, first in _members(x, walk):
+                at = node[first]
+                left, mine = x[rows] <= t[node], y[rows][:, None]
+                nl[at] += np.add.reduceat(left, first, axis=0, dtype=np.int64)
+                syl[at] += np.add.reduceat(np.where(left, mine, 0.0), first, axis=0)
+                syyl[at] += np.add.reduceat(np.where(left, mine * mine, 0.0), first, axis=0)
+        yield _cell_rows(walk, nl.any(1), ["nl", "syl", "syyl"], nl, syl, syyl)
+    return run
 
 
 # -------------------------------------------------------------- AdaBoost.R2
