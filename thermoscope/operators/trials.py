@@ -343,7 +343,7 @@ def refit_best(spark: SparkSession, path: str, train: DataFrame, features: str,
     from .search import best_trial, completed
     saved = spark.read.json(path)
     best = best_trial(completed(saved)).first()
-    if best is None:
+    if best is None or best["trial"] is None:
         raise ValueError("no completed trial has been saved")
     row = best.asDict(recursive=True)
     params = {k: v for k, v in row["params"].items() if v is not None}
