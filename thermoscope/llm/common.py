@@ -10,6 +10,7 @@ import atexit
 import ctypes
 import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,32 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write and read back; the shuffle files of the write go when it ends, not when garbage is collected."""
+        with shuffles_freed(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         self._remove(self.path(name))
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Statements that run inside free their shuffle files at their end."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def settle(spark: SparkSession) -> None:
     """Let Spark's cleaner free the shuffle files of finished steps."""
     gc.collect()
