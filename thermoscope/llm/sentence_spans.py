@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, Scratch, settle, slices_by_bytes
+from .common import U64, RollingHash, Scratch, give_back, settle, slices_by_bytes
 from .repeats import TextBatch, covered, later_places, per_document, runs_of, with_spans
 
 RUN = 3
 MIN_WORDS = 8
 PAIR_WORDS = 30
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 NEAR = 11
 
@@ -167,6 +167,7 @@ def _span_rows(batches):
                 [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                  batch.column(0).slice(lo, hi - lo).take(pa.array(d)), pa.array(digests[d]),
                  pa.array(pos.astype(np.int32)), pa.array((b - a).astype(np.int32))], names)
+        give_back()
 
 
 def _cut(batches):
@@ -196,6 +197,8 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
              pa.array(spans_of, pa.int64())], names)
+        del texts, out
+        give_back()
 
 
 def removals(docs: DataFrame) -> DataFrame:
