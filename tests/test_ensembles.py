@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from thermoscope.operators import ensembles as en
 
@@ -98,3 +99,67 @@ def test_extra_trees_on_one_value_are_leaves(spark):
                                "row_id long, f array<double>, y double")
     nodes = en.extra_trees(df, "f", "y", n_trees=2, max_depth=3).collect()
     assert [(r["tree_id"], r["is_leaf"], r["value"], r["weight"]) for r in nodes] == [(0, True, 6.0, 0.5), (1, True, 6.0, 0.5)]
+
+
+def _weighted_rounds(df, features, y, rounds, rate):
+    """AdaBoost.R2 with MLlib's own trees: (prediction of every round by row, estimator weights)."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from thermoscope.operators.trees import assemble
+    pdf = assemble(df.select("row_id", *features, y), features).toPandas().sort_values("row_id")
+    pdf["w"] = 1.0 / len(pdf)
+    each, weights = [], []
+    for m in range(rounds):
+        data = df.sparkSession.createDataFrame(pdf)
+        fitted = DecisionTreeRegressor(featuresCol="features_vec", labelCol=y, weightCol="w", maxDepth=3, seed=42 + m).fit(data)
+        p = fitted.transform(data).toPandas().sort_values("row_id")["prediction"].to_numpy()
+        err = np.abs(pdf[y].to_numpy() - p)
+        loss = (pdf["w"] * err).sum() / (err.max() * pdf["w"].sum())
+        if loss >= 0.5:
+            break
+        beta = loss / (1 - loss)
+        each.append(p)
+        weights.append(rate * np.log(1 / beta))
+        pdf["w"] = pdf["w"] / pdf["w"].sum() * beta ** ((1 - err / err.max()) * rate)
+    return np.column_stack(each), np.array(weights)
+
+
+def test_ada_rounds_equal_mllib_trees_in_few_jobs(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(512, 3))   # 16 rows a bin: no step of weight ends half-way between rows, where rounding decides
+    x[:, 2] = np.round(x[:, 2])   # few values, zeros among them
+    y = 3 * x[:, 0] + np.where(x[:, 2] > 0, 5.0, -1.0) * x[:, 1] + rng.normal(size=512)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))],
+                               "row_id long, a double, b double, c double, y double")
+    rounds = 12   # more than KEPT_ROUNDS, so rows are rewritten once
+    sc = spark.sparkContext
+    sc.setJobGroup("ada-rounds", "")
+    models, weights = en.ada_boost_r2(df, ["a", "b", "c"], "y", rounds, 1.2)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("ada-rounds"))
+    sc.setJobGroup("other", "")
+    each, expected = _weighted_rounds(df, ["a", "b", "c"], "y", rounds, 1.2)
+    assert len(models) == each.shape[1] > en.KEPT_ROUNDS
+    np.testing.assert_allclose(weights, expected, rtol=1e-9)
+    for m, tree in enumerate(models):
+        np.testing.assert_allclose(en._leaf(x, tree), each[:, m], rtol=1e-9)
+    assert jobs <= 4 * len(models) + 8   # three levels and the errors; before, about ten a round
+
+    nodes = spark.createDataFrame(en.ada_nodes(models, weights))
+    p = np.column_stack([en._leaf(x, t) for t in models])
+    walked = en.ensemble_predict(df.select("row_id", F.array("a", "b", "c").alias("features")), nodes).toPandas()
+    np.testing.assert_allclose(walked.sort_values("row_id")["prediction"], p @ np.array(weights), rtol=1e-9)
+
+
+def test_ada_draws_its_threshold_rows_by_key(spark):
+    """More rows than a sample: same models whatever the partitions, about SAMPLE_ROWS rows drawn, anew in each round."""
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("row_id"), (F.xxhash64("id") % 1000 / 7.0).alias("a"),
+                               F.sin("id").alias("b")).withColumn("y", F.col("a") * F.col("b"))
+    got = [en.ada_boost_r2(df.repartition(k), ["a", "b"], "y", 3) for k in (2, 7)]
+    for (ma, wa), (mb, wb) in [got]:
+        np.testing.assert_allclose(wa, wb, rtol=1e-9)
+        for s, t in zip(ma, mb):
+            np.testing.assert_array_equal(s[0], t[0])
+            np.testing.assert_allclose(s[1], t[1])
+    u = np.arange(n).astype(np.int64) * 7919
+    a, b = (en._uniform(u, s) < en.SAMPLE_ROWS / n for s in (1, 2))
+    assert abs(a.sum() - en.SAMPLE_ROWS) < 500 and (a & b).sum() < 0.45 * en.SAMPLE_ROWS

@@ -7,9 +7,10 @@
   sees all rows (no bootstrap, as the reference).  Rows are stored once and
   walk down the broadcast nodes in each pass; a task sends one row per
   (tree, node, feature) it has seen.
-* AdaBoost.R2 (Drucker, 1997) fits MLlib depth-3 trees with a weight column,
-  updates the weights with one aggregate per round and combines the rounds by
-  the weighted median.
+* AdaBoost.R2 (Drucker, 1997) fits depth-3 trees to weighted rows as MLlib grows them (32 bins at even steps of
+  weight over at most about 10,000 drawn rows, variance gain), in one pass per level and one for the errors.  A round's
+  trees are small, so a pass works out the weights of the last rounds again, and rows are rewritten every few rounds.
+  The rounds are combined by the weighted median.
 * RBF regression maps rows to random Fourier features and fits an
   ε-insensitive linear model by full-batch subgradient steps, one aggregate
   per step (declared approximation of kernel SVR).
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
-from ..session import materialize
+from ..session import TableStore, materialize
 from .trees import MAX_BROADCAST_NODES, ensemble_predict
 
 
@@ -231,64 +232,302 @@ def _lefts(bc):
 
 # -------------------------------------------------------------- AdaBoost.R2
 
+BINS, SAMPLE_ROWS = 32, 10_000   # MLlib's: bins of a feature, rows that candidate thresholds are drawn from
+KEPT_ROUNDS = 8                  # rounds whose weights are worked out anew in each pass before rows are rewritten
+PARTIAL_BYTES = 64 << 20         # tasks' sums that go straight to the driver
+
+
 def ada_boost_r2(df: DataFrame, features: Sequence[str], y: str, n_estimators: int = 50,
                  learning_rate: float = 1.0, max_depth: int = 3, seed: int = 42,
                  key: str = "row_id") -> tuple[list, list[float]]:
-    """Returns (MLlib tree models, estimator weights)."""
-    from pyspark.ml.regression import DecisionTreeRegressor
-    from .trees import assemble
-    n = df.count()
-    cur = materialize(assemble(df.select(key, *features, y), features)
-                      .withColumn("__w", F.lit(1.0 / n)))
-    models, weights = [], []
-    for m in range(n_estimators):
-        model = DecisionTreeRegressor(featuresCol="features_vec", labelCol=y, weightCol="__w",
-                                      maxDepth=max_depth, seed=seed + m).fit(cur)
-        p = model.transform(cur).withColumn("__err", F.abs(F.col(y) - F.col("prediction")))
-        # one aggregate per round: max error, Σw and Σw·err give the average linear loss
-        st = p.agg(F.max("__err").alias("dmax"), F.sum("__w").alias("sw"),
-                   F.sum(F.col("__w") * F.col("__err")).alias("swe")).first()
-        if not st["dmax"]:
-            models.append(model)
-            weights.append(1.0)
-            break
-        loss = st["swe"] / (st["dmax"] * st["sw"])
-        if loss >= 0.5:
-            if not models:
-                models.append(model)
+    """Returns (trees, estimator weights); a tree is (feature, threshold, leaf value), see :func:`_walk`."""
+    label = F.col(y).cast("double")
+    store = TableStore(df.sparkSession)
+    try:
+        rows = store.write(df.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), label.alias("y"),
+                                     F.lit(1.0).alias("w"), F.xxhash64(key).alias("u")), "rows-0")
+        st = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y").isNull() | F.isnan("y")).alias("bad")).first()
+        if not st["n"] or st["bad"]:
+            raise ValueError("AdaBoost needs rows, and labels that are numbers")
+        rows = _Weighted(store, rows, len(features), st["n"], learning_rate, seed)
+        models, weights = [], []
+        for m in range(n_estimators):
+            tree = rows.fit_tree(max_depth)
+            dmax, sw, swe = rows.errors(tree, m)
+            if not dmax:
+                models.append(tree)
                 weights.append(1.0)
-            break
-        beta = loss / (1.0 - loss)
-        models.append(model)
-        weights.append(float(learning_rate * np.log(1.0 / beta)))
-        # weights only matter relative to each other, so they are rescaled by Σw
-        # in the next round's loss instead of a separate normalising job
-        e = F.col("__err") / F.lit(st["dmax"])
-        upd = p.withColumn("__w", F.col("__w") / F.lit(st["sw"]) * F.pow(F.lit(beta), (1.0 - e) * learning_rate))
-        cur = materialize(upd.select(key, *features, y, "features_vec", "__w"))
-    return models, weights
+                break
+            loss = swe / (dmax * sw)
+            if loss >= 0.5:
+                if not models:
+                    models.append(tree)
+                    weights.append(1.0)
+                break
+            beta = loss / (1.0 - loss)
+            models.append(tree)
+            weights.append(float(learning_rate * np.log(1.0 / beta)))
+            if m + 1 < n_estimators:
+                rows.reweight(tree, dmax, sw, beta)
+        return models, weights
+    finally:
+        store.close()
+
+
+class _Weighted:
+    """Stored rows (x, y, w, u) and the rounds since they were stored; a row's weight is ``w`` times their factors.
+
+    Weights only matter relative to each other: a round divides them by their sum.
+    """
+
+    def __init__(self, store: TableStore, rows: DataFrame, d: int, n: int, learning_rate: float, seed: int):
+        self.store, self.rows, self.d, self.n, self.rate, self.seed = store, rows, d, n, learning_rate, seed
+        self.recent: list[tuple] = []
+        self.version, self.parts = 0, rows.rdd.getNumPartitions()
+        self.splits = max(1, min(BINS, n)) - 1
+        self.share = min(1.0, max(SAMPLE_ROWS, BINS * BINS) / n)
+        self._take(self._run(None, -1))
+
+    def _run(self, tree, m: int) -> list:
+        schema = "dmax double, sw double, swe double, x binary, w binary, err binary"
+        fn = _error_pass(self.d, self.recent, self.rate, tree, self.share, self.seed + m + 1)
+        return self.rows.mapInArrow(fn, schema).collect()   # a row for each task, with about SAMPLE_ROWS rows in all
+
+    def _take(self, found: list) -> None:
+        x, w, err = (np.concatenate([np.frombuffer(r[c]) for r in found]) for c in ("x", "w", "err"))
+        self.sample = x.reshape(-1, self.d), w, err
+
+    def errors(self, tree, m: int) -> tuple[float, float, float]:
+        """Largest error, sum of weights, weighted sum of errors; the pass also draws the rows of the next thresholds."""
+        found = self._run(tree, m)
+        self._take(found)
+        return max(r["dmax"] for r in found), sum(r["sw"] for r in found), sum(r["swe"] for r in found)
+
+    def reweight(self, tree, dmax: float, sw: float, beta: float) -> None:
+        x, w, err = self.sample
+        self.sample = x, _new_weight(w, err, dmax, sw, beta, self.rate), err
+        self.recent.append((tree, dmax, sw, beta))
+        if len(self.recent) < KEPT_ROUNDS:
+            return
+        old, self.version = self.version, self.version + 1
+        self.rows = self.store.write(self.rows.mapInArrow(_weight_pass(self.d, self.recent, self.rate),
+                                                          self.rows.schema), f"rows-{self.version}")
+        self.recent, self.parts = [], self.rows.rdd.getNumPartitions()
+        self.store.drop(f"rows-{old}")
+
+    def fit_tree(self, max_depth: int) -> tuple:
+        """The tree that MLlib's regression tree grows from these weights: variance gain over binned thresholds."""
+        x, w, _ = self.sample
+        cuts = [split_points(x[:, f], w, self.splits) for f in range(self.d)]
+        inner, size = (1 << max_depth) - 1, (2 << max_depth) - 1
+        feature, threshold, stats = np.zeros(inner, int), np.full(inner, np.inf), np.zeros((size, 4))
+        grows = [0]   # nodes of the level that may split
+        for level in range(max_depth):
+            if not grows:
+                break
+            sums = self._level(feature, threshold, level, grows, cuts)
+            if level == 0:
+                stats[0] = sums[0, 0].sum(0)
+            nxt = []
+            for node, cells in zip(grows, sums):
+                best = _best_split(cells, cuts, stats[node])
+                if best is None:
+                    continue
+                f, at, left, right = best
+                feature[node], threshold[node] = f, cuts[f][at]
+                for child, s in ((2 * node + 1, left), (2 * node + 2, right)):
+                    stats[child] = s
+                    if level + 1 < max_depth and abs(_variance(s)) >= np.finfo(float).eps:
+                        nxt.append(child)
+            grows = nxt
+        for node in range(inner):   # below a leaf both ways lead to its value
+            if threshold[node] == np.inf:
+                stats[2 * node + 1] = stats[2 * node + 2] = stats[node]
+        leaves = stats[inner:]
+        return feature, threshold, np.divide(leaves[:, 1], leaves[:, 0], out=np.zeros(len(leaves)), where=leaves[:, 0] > 0)
+
+    def _level(self, feature, threshold, level: int, nodes: list[int], cuts: list) -> np.ndarray:
+        """(node, feature, bin) sums of w, wy, wyy and rows."""
+        shape = (len(nodes), self.d, max(map(len, cuts)) + 1, 4)
+        part = self.rows.mapInArrow(_level_pass(self.d, self.recent, self.rate, feature, threshold, level, nodes, cuts, shape),
+                                    "sums binary")
+        if self.parts * np.prod(shape) * 8 > PARTIAL_BYTES:
+            part = part.repartition(max(1, int(self.parts ** 0.5))).mapInArrow(_add_sums, "sums binary")
+        total = np.zeros(shape)
+        for r in part.collect():   # at most PARTIAL_BYTES, or the square root of the tasks' sums
+            total += np.frombuffer(r["sums"]).reshape(shape)
+        return total
+
+
+def split_points(values: np.ndarray, weights: np.ndarray, n_splits: int) -> np.ndarray:
+    """Candidate thresholds of a feature as MLlib finds them: midway between neighbouring values, at most ``n_splits``
+    at even steps of weight.  Missing values draw none."""
+    known = ~np.isnan(values)
+    values, inverse = np.unique(values[known], return_inverse=True)
+    counts = np.bincount(inverse, weights=weights[known], minlength=len(values))
+    middle = (values[:-1] + values[1:]) / 2.0
+    if len(middle) <= n_splits:
+        return middle
+    stride = float(counts.sum()) / (n_splits + 1)
+    kept, target, current = [], stride, float(counts[0])
+    for i, c in enumerate(counts[1:].tolist()):
+        previous, current = current, current + c
+        if abs(previous - target) < abs(current - target):
+            kept.append(i)
+            target += stride
+    return middle[kept]
+
+
+def _variance(s):
+    """Weighted variance of sums (w, wy, wyy, rows) in the last axis."""
+    w = np.where(s[..., 0] > 0, s[..., 0], 1.0)
+    return (s[..., 2] - s[..., 1] ** 2 / w) / w
+
+
+def _best_split(cells: np.ndarray, cuts: list, whole: np.ndarray):
+    """(feature, threshold number, left sums, right sums) of greatest gain, the first on ties; None without a gain."""
+    best, top, impurity = None, 0.0, _variance(whole)
+    for f, cut in enumerate(cuts):
+        if not len(cut):
+            continue
+        run = np.cumsum(cells[f], axis=0)
+        left = run[:len(cut)]
+        right = run[len(cut)] - left
+        wl, wr = left[:, 0], right[:, 0]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gain = impurity - wl / (wl + wr) * _variance(left) - wr / (wl + wr) * _variance(right)
+        gain = np.where((left[:, 3] >= 1) & (right[:, 3] >= 1) & (gain >= 0), gain, -np.inf)
+        at = int(gain.argmax())
+        if gain[at] > top:
+            best, top = (f, at, left[at], right[at]), gain[at]
+    return best
+
+
+def _walk(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, levels: int) -> np.ndarray:
+    """Node of every row after ``levels`` steps; node i has children 2i + 1 (x <= threshold) and 2i + 2.
+
+    All paths have one length: a leaf above the last level has an infinite threshold and one value below it.
+    """
+    node, flat, base = np.zeros(len(x), np.int64), x.ravel(), np.arange(len(x)) * x.shape[1]
+    for _ in range(levels):
+        node = 2 * node + 2 - (flat[base + feature[node]] <= threshold[node])
+    return node
+
+
+def _leaf(x: np.ndarray, tree: tuple) -> np.ndarray:
+    feature, threshold, value = tree
+    return value[_walk(x, feature, threshold, len(value).bit_length() - 1) - len(feature)]
+
+
+def _new_weight(w, err, dmax, sw, beta, rate):
+    return w / sw * beta ** ((1.0 - err / dmax) * rate)
+
+
+def _weighed(batch, d: int, recent: list, rate: float):
+    x, _ = _matrix(batch.column(0), d)
+    y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+    for tree, dmax, sw, beta in recent:
+        w = _new_weight(w, np.abs(y - _leaf(x, tree)), dmax, sw, beta, rate)
+    return x, y, w
+
+
+def _weight_pass(d: int, recent: list, rate: float):
+    def run(batches):
+        for batch in batches:
+            _, _, w = _weighed(batch, d, recent, rate)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w), batch.column(3)], ["x", "y", "w", "u"])
+    return run
+
+
+def _error_pass(d: int, recent: list, rate: float, tree, share: float, seed: int):
+    """A task's largest error, Σw, Σw·err, and its rows that the round's seed draws for the next thresholds."""
+    def run(batches):
+        dmax = sw = swe = 0.0
+        drawn = []
+        for batch in batches:
+            x, y, w = _weighed(batch, d, recent, rate)
+            err = np.abs(y - _leaf(x, tree)) if tree else np.zeros(len(y))
+            dmax, sw, swe = max(dmax, float(err.max(initial=0.0))), sw + float(w.sum()), swe + float(w @ err)
+            mine = slice(None) if share >= 1 else _uniform(batch.column(3).to_numpy(), seed) < share
+            drawn.append((x[mine], w[mine], err[mine]))
+        sample = [np.concatenate(c).tobytes() for c in zip(*drawn)] or [b""] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (dmax, sw, swe)] + [pa.array([s], pa.binary()) for s in sample],
+                                         ["dmax", "sw", "swe", "x", "w", "err"])
+    return run
+
+
+def _uniform(u: np.ndarray, seed: int) -> np.ndarray:
+    """A number in [0, 1) for each hash and seed."""
+    z = u.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2 ** 64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53
+
+
+def _level_pass(d: int, recent: list, rate: float, feature, threshold, level: int, nodes: list[int], cuts: list, shape: tuple):
+    place = np.full((2 << level) - 1, -1)
+    place[nodes] = np.arange(len(nodes))
+
+    def run(batches):
+        cells = shape[0] * shape[2]
+        total = np.zeros((d, 4, cells))
+        for batch in batches:
+            x, y, w = _weighed(batch, d, recent, rate)
+            at = place[_walk(x, feature, threshold, level)]
+            if (at < 0).any():
+                x, y, w, at = (v[at >= 0] for v in (x, y, w, at))
+            wy = w * y
+            wyy = wy * y
+            for f in range(d):
+                cell = at * shape[2] + np.searchsorted(cuts[f], x[:, f])
+                for j, v in enumerate((w, wy, wyy, None)):
+                    total[f, j] += np.bincount(cell, weights=v, minlength=cells)
+        sums = total.reshape(d, 4, shape[0], shape[2]).transpose(2, 0, 3, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(sums).tobytes()], pa.binary())], ["sums"])
+    return run
+
+
+def _add_sums(batches):
+    total = None
+    for batch in batches:
+        for v in batch.column(0):
+            v = np.frombuffer(v.as_buffer())
+            total = v.copy() if total is None else total + v
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
 
 def ada_predict(df: DataFrame, features: Sequence[str], models: list, weights: list[float],
                 key: str = "row_id") -> DataFrame:
     """Weighted median of the round predictions (per row, vectorised)."""
-    from .trees import assemble
-    x = assemble(df, features)
-    cols = []
-    for i, m in enumerate(models):
-        x = m.setPredictionCol(f"__p{i}").transform(x)
-        cols.append(f"__p{i}")
-    w = np.asarray(weights, float)
+    bc = df.sparkSession.sparkContext.broadcast((models, np.asarray(weights, float)))
 
     @F.pandas_udf("double")
-    def wmedian(*ps: pd.Series) -> pd.Series:
-        p = np.column_stack([s.to_numpy(float) for s in ps])
+    def wmedian(*columns: pd.Series) -> pd.Series:
+        trees, w = bc.value
+        x = np.column_stack([s.to_numpy(float) for s in columns])
+        p = np.column_stack([_leaf(x, t) for t in trees])
         order = np.argsort(p, axis=1)
         cdf = np.cumsum(w[order], axis=1)
         idx = (cdf >= 0.5 * cdf[:, -1:]).argmax(axis=1)
         return pd.Series(p[np.arange(len(p)), order[np.arange(len(p)), idx]])
 
-    return x.select(key, wmedian(*[F.col(c) for c in cols]).alias("prediction"))
+    return df.select(key, wmedian(*[F.col(c).cast("double") for c in features]).alias("prediction"))
+
+
+def ada_nodes(models: list, weights: list[float]) -> pd.DataFrame:
+    """Node table of the rounds, one tree each, with the estimator weights."""
+    parts = []
+    for i, (feature, threshold, value) in enumerate(models):
+        inner, size = len(feature), len(feature) + len(value)
+        node, up = np.arange(size), np.zeros(len(value))
+        leaf = node >= inner
+        parts.append(pd.DataFrame({
+            "tree_id": i, "node_id": node, "feature": np.concatenate((feature, np.full(len(value), -1))),
+            "threshold": np.concatenate((threshold, up)), "left": np.where(leaf, -1, 2 * node + 1),
+            "right": np.where(leaf, -1, 2 * node + 2), "value": np.concatenate((np.zeros(inner), value)),
+            "is_leaf": leaf, "weight": weights[i]}))
+    return pd.concat(parts, ignore_index=True)
 
 
 # ---------------------------------------------------------- RBF regression

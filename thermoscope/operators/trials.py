@@ -322,9 +322,7 @@ def fit_trial(train: DataFrame, features: str, y: str, params: dict, wide: int =
         model.nodes = en.extra_trees(table, "x", "y", int(g("n_estimators", 100)), min(20, int(g("max_depth", 8)))).toPandas()
     elif kind == "ada":
         found, weights = en.ada_boost_r2(columns, names, "y", int(g("n_estimators", 50)), g("learning_rate", 1.0))
-        parts = [tr.tree_nodes(m, ensure_checkpoint_dir(spark)).toPandas().assign(tree_id=i, weight=w)
-                 for i, (m, w) in enumerate(zip(found, weights))]
-        model.kind, model.nodes = "median", pd.concat(parts)
+        model.kind, model.nodes = "median", en.ada_nodes(found, weights)
     elif kind == "svr":
         m = en.rbf_regression(table, "x", "y", C=g("C", 1.0), gamma=g("gamma", 0.1))
         rng = np.random.default_rng(m["seed"])   # the features of kernel.random_fourier_features
