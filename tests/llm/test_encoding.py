@@ -110,3 +110,15 @@ def test_piece_codec_edges(docs_of, proto):
     assert got[0]["ids"] == [2] and got[0]["decoded"] == "" and got[1]["ids"] == [2]
     assert got[None]["decoded"] == "x" and got[2]["decoded"] == "a b"
     assert piece_codec.encode_texts(docs_of([]), model).count() == 0
+
+
+def test_ids_become_lists_at_once():
+    """Equal to Arrow's lists, in a fraction of the time that its conversion one by one takes (op9 used it)."""
+    import time
+    n = np.array([0, 3, 0, 400_000, 1])
+    flat, bounds = np.arange(n.sum(), dtype=np.int32), np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    began = time.process_time()
+    want = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)).to_pylist()
+    middle = time.process_time()
+    assert piece_codec._lists(flat, bounds) == want
+    assert time.process_time() - middle < 0.5 * (middle - began)
