@@ -308,3 +308,16 @@ def test_suffix_classes_order():
     text = data.tobytes()
     want = {s: r for r, s in enumerate(sorted({text[i:i + 20] for i in starts}))}
     assert got.tolist() == [want[text[i:i + 20]] for i in starts]
+
+
+def test_ngram_counts_are_stored_before_the_entries(docs_of, monkeypatch):
+    """The shuffle of the shingle counts ends before the entries are written (both were in one write), and both tables go."""
+    from thermoscope.llm import ngram_join
+    seen = []
+    write, drop = ngram_join.Scratch.write, ngram_join.Scratch.drop
+    monkeypatch.setattr(ngram_join.Scratch, "write", lambda s, df, name: seen.append(name) or write(s, df, name))
+    monkeypatch.setattr(ngram_join.Scratch, "drop", lambda s, name: seen.append(f"-{name}") or drop(s, name))
+    out = ngram_join.link(docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z u v w")])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {1: 1, 2: 1, 3: 3}
+    at = [seen.index(x) for x in ("listed", "counts", "entries", "-listed", "-counts")]
+    assert at == sorted(at)

@@ -247,12 +247,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     listed = part.where("doc_id IS NOT NULL").mapInArrow(
         _prefixes(n, percent, ranks_b), f"doc_id {kind}, n long, prefix array<long>")
-    listed = listed.join(groups.select(F.col("node").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi")
+    # prefixes and counts are stored on their own, so that the shuffle of the counts is gone before that of the entries
+    listed = scratch.write(listed.join(groups.select(F.col("node").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi"), "listed")
     entries = listed.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "key"))
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    counts = scratch.write(entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
     # the kept shingle before each one: where two sets have it in common too, they have met there already
     before = Window.partitionBy("node").orderBy("pos", "key")
     entries = scratch.write(entries.join(counts, "key").withColumn("prev", F.lag("key").over(before)), "entries")
+    for t in ("listed", "counts"):
+        scratch.drop(t)
     usual, hot = entries.where(F.col("m") <= HOT).drop("m"), entries.where(F.col("m") > HOT).drop("m")
 
     settle(spark)
