@@ -313,3 +313,15 @@ def test_links_of_dense_and_sparse_fingerprints(spark, docs_of, monkeypatch, cro
     monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: made)
     got = {r["doc_id"]: r["component_id"] for r in simhash.link(docs_of([]), crowd=crowd).collect()}
     assert got == brute_classes(rows)
+
+
+def test_usual_units_stay_when_units_are_shed(proto, monkeypatch):
+    """A worker keeps the units it met most often (it forgot all of them before) and still aligns texts alike."""
+    model = token_align.Aligner(proto("byte_bpe_50k.json"), proto("piece_bpe_32k.model"))
+    monkeypatch.setattr(token_align, "CACHE_UNITS", 30)
+    monkeypatch.setattr(token_align, "KEPT_UNITS", 5)
+    first = model.text_of(model.slots(["often seen words " * 9])[0])
+    model.slots([" ".join(f"rare{i}" for i in range(40))])
+    again, = model.slots(["often seen words " * 9])
+    assert model.text_of(again) == first
+    assert {"seen", "words"} <= set(model.words) and model.known <= 6

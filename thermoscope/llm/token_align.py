@@ -31,6 +31,7 @@ import hashlib
 import json
 import re
 import zlib
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -44,7 +45,8 @@ from .words import text_column
 
 BLOCK_BYTES = 2 << 20
 CHUNK_CHARS = 1 << 20
-CACHE_UNITS = 120_000
+CACHE_UNITS = 150_000   # units from which a worker sheds some
+KEPT_UNITS = 70_000     # the most used ones that it keeps then
 HELD_LINKS = 1_000_000
 JOINED = 2000
 # fixed value: the split of byte-level vocabularies into words
@@ -164,18 +166,37 @@ class Aligner:
         self.sizes = np.empty((0, 4), np.int64)      # tokens of A, tokens of B, groups, links
         self.links = np.empty(0, np.int64)           # A id * n_b + B id of every link, unit by unit
         self.starts = np.empty(0, np.int64)
-
-    def _encode_a(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all units, tokens of each); words are encoded some thousand at a time."""
+        self.uses = np.empty(0, np.int64)            # how often each unit was met, halved whenever units are shed
+
+    def shed(self) -> None:
+        """Keep the KEPT_UNITS units met most often: most units of a text are rare, and the usual ones are not learnt again."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:KEPT_UNITS])
+        number = np.full(self.known, -1)
+        number[keep] = np.arange(len(keep))
+        for slots in (self.words, self.others):
+            left = [(u, k) for u, k in zip(slots, number[list(slots.values())].tolist()) if k >= 0] if slots else []
+            slots.clear()
+            slots.update(left)
+        self.names = list(map(self.names.__getitem__, keep.tolist()))
+        self.good, self.uses = self.good[keep], self.uses[keep] // 2
+        self.links = take_ragged(self.links, self.starts[keep], self.sizes[keep, 3])
+        self.sizes = self.sizes[keep]
+        self.starts = _bounds(self.sizes[:, 3])[:-1]
+        self.known = self.learnt = len(keep)
+
+    def _encode_a(self, words: list[str], others: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, tokens of each); words are encoded some thousand at a time, ``raw`` are their bytes."""
         if self.merger:
             one = self.merger.encode_ordinary
+            joined = partial(self.merger.encode_to_numpy, disallowed_special=())
         else:
             def one(text):
                 return self.a.encode(text, add_special_tokens=False).ids
-        parts = [one(" " + " ".join(words[k:k + JOINED])) for k in range(0, len(words), JOINED)]
-        flat = np.fromiter(chain.from_iterable(parts), np.int64)
+            joined = one
+        parts = [joined(" " + " ".join(words[k:k + JOINED])) for k in range(0, len(words), JOINED)]
+        flat = np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64)
         # a word's tokens are those up to its last byte
-        sizes = np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))
+        sizes = np.fromiter(map(len, raw), np.int64, len(words))
         ends = np.searchsorted(np.cumsum(self.a_len[flat]), np.cumsum(sizes)) + 1
         rest = [one(u) for u in others]
         return (np.concatenate((flat, np.fromiter(chain.from_iterable(rest), np.int64))),
@@ -188,11 +209,10 @@ class Aligner:
         got = got + [ids if u[0] == " " else ids[2:] for u, ids in zip(others, rest)]
         return np.fromiter(chain.from_iterable(got), np.int64), np.fromiter(map(len, got), np.int64, len(got))
 
-    def _gives_back(self, flat: np.ndarray, counts: np.ndarray, table: list[bytes], raw: list[bytes]) -> np.ndarray:
+    def _gives_back(self, flat: np.ndarray, counts: np.ndarray, table: list[bytes], table_lens: np.ndarray, raw: list[bytes]) -> np.ndarray:
         """Whether the tokens of each unit give back its bytes."""
         if b"".join(map(table.__getitem__, flat.tolist())) == b"".join(raw):
-            lens = np.array([len(x) for x in table], np.int64)[flat]
-            total = np.concatenate(([0], np.cumsum(lens)))[_bounds(counts)]
+            total = np.concatenate(([0], np.cumsum(table_lens[flat])))[_bounds(counts)]
             if np.array_equal(np.diff(total), np.fromiter(map(len, raw), np.int64, len(raw))):
                 return np.ones(len(raw), bool)
         at = _bounds(counts).tolist()
@@ -208,8 +228,8 @@ class Aligner:
         self.new_words.clear()
         self.new_others.clear()
         raw = [b" " + w.encode() for w in words] + [u.encode() for u in others]
-        (a, n_a), (b, n_b) = self._encode_a(words, others), self._encode_b(words, others)
-        good = self._gives_back(a, n_a, self.a_bytes, raw) & self._gives_back(b, n_b, self.b_bytes, raw)
+        (a, n_a), (b, n_b) = self._encode_a(words, others, raw[:len(words)]), self._encode_b(words, others)
+        good = self._gives_back(a, n_a, self.a_bytes, self.a_len, raw) & self._gives_back(b, n_b, self.b_bytes, self.b_len, raw)
         if not good.all():
             a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
             n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
@@ -219,7 +239,7 @@ class Aligner:
         starts = _bounds(sizes[:, 3])[:-1]
         links = take_ragged(links, starts[order], sizes[order, 3])
         sizes = sizes[order]
-        self.names.extend(names[i] for i in order.tolist())
+        self.names.extend(map(names.__getitem__, order.tolist()))
         self.good = np.concatenate((self.good, good[order]))
         self.starts = np.concatenate((self.starts, len(self.links) + _bounds(sizes[:, 3])[:-1]))
         self.sizes, self.links = np.concatenate((self.sizes, sizes)), np.concatenate((self.links, links))
@@ -276,12 +296,15 @@ class Aligner:
     def slots(self, texts: list[str]) -> list[np.ndarray]:
         """The slots of the units of each text, in order; empty for texts without tokens."""
         if self.known > CACHE_UNITS:
-            self.forget()
+            self.shed()
         found = []
         for text in texts:
             parts = [np.array(self._unit_slots(p), np.int64) for p in (pieces_of(" " + text) if text else ())]
             found.append(np.concatenate(parts) if parts else np.empty(0, np.int64))
         self.learn()
+        uses = np.bincount(np.concatenate(found), minlength=self.known) if found else np.zeros(self.known, np.int64)
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
         return [x[:0] if META in t or not self.good[x].all() else x for t, x in zip(texts, found)]
 
     def text_of(self, slots: np.ndarray) -> bytes:
