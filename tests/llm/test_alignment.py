@@ -325,3 +325,20 @@ def test_usual_units_stay_when_units_are_shed(proto, monkeypatch):
     again, = model.slots(["often seen words " * 9])
     assert model.text_of(again) == first
     assert {"seen", "words"} <= set(model.words) and model.known <= 6
+
+
+def test_blocks_travel_packed(spark, brute, docs_of, proto, documents, monkeypatch):
+    """Only pairs are array columns (a block's units were too, at several times their size in the reader); files hold few blocks."""
+    monkeypatch.setattr(token_align, "BLOCK_BYTES", 1 << 16)
+    monkeypatch.setattr(token_align, "FILE_BLOCKS", 3, raising=False)
+    write, kept = token_align.Scratch.write, {}
+    monkeypatch.setattr(token_align.Scratch, "write",
+                        lambda self, df, name, **options: kept.setdefault(name, write(self, df, name, **options)))
+    pairs = [*zip(documents.doc_id.tolist(), documents.text), (None, "no id"), (3, "")]
+    got = rows_of(token_align.align(docs_of(pairs).coalesce(1), proto("byte_bpe_50k.json"), proto("piece_bpe_32k.model")))
+    blocks = kept["blocks"]
+    assert {f.name for f in blocks.schema if f.dataType.typeName() == "array"} == {"keys", "docs"}
+    n, size = blocks.where("block IS NOT NULL").selectExpr("count(*)", "sum(length(body))").first()
+    assert n > 6 and size < sum(len((t or "").encode()) for _, t in pairs)
+    assert blocks.selectExpr("_metadata.file_path AS file").groupBy("file").count().agg({"count": "max"}).first()[0] <= 3
+    assert got == sorted(brute.rows(pairs)[0], key=str)

@@ -44,10 +44,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write and read back; the shuffle files of the write go when it ends, not when garbage is collected."""
         with shuffles_freed(self.spark):
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.options(**options).mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

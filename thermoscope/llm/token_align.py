@@ -13,7 +13,9 @@ tokens of both end cut a text into groups; every A token links with every B toke
 * Neither tokenizer has a token across a blank that stands between two other characters, nor across a
   single line feed between two, so texts are cut there into units; a unit is encoded and aligned
   once per worker.  A document is a list of units, and a block stores documents, units and pair
-  numbers in compact arrays, so texts are read and encoded once.
+  numbers in compact arrays, so texts are read and encoded once.  The arrays travel as one compressed value: as array columns
+  a block's million numbers took Spark's Parquet reader several times their size.  A stored file holds a few
+  blocks, since the reader takes up a file's rows together.
 * **Scores.**  Each block asks for the counts of its irregular pairs by a join on the pair and
   meets the answers by its number; the identity counts and the highest
   count of every A id are broadcast, two vectors of the length of A's vocabulary.
@@ -49,6 +51,7 @@ CACHE_UNITS = 150_000   # units from which a worker sheds some
 KEPT_UNITS = 70_000     # the most used ones that it keeps then
 HELD_LINKS = 1_000_000
 JOINED = 2000
+FILE_BLOCKS = 16        # blocks in a stored file, at most
 # fixed value: the split of byte-level vocabularies into words
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FAN_IN = 16
@@ -357,9 +360,21 @@ def groups(docs: DataFrame, a_json: bytes, b_model: bytes, id_col: str = "doc_id
         run, f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, groups string")
 
 
-def _block_schema(kind: str) -> str:
-    return (f"block long, ids array<{kind}>, sizes array<int>, digest array<string>, doc_units array<int>, unit array<int>, "
-            "times array<int>, unit_links array<int>, link array<int>, keys array<long>, docs array<int>, same binary")
+#: ``body`` has what only a block's own scores read, ``keys`` and ``docs`` its irregular pairs and how many of its documents hold each
+_BLOCK_SCHEMA = "block long, body binary, keys array<long>, docs array<int>, same binary"
+
+
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    """A row of lists as one compressed Arrow stream."""
+    batch, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(body: pa.Buffer) -> dict[str, pa.Array]:
+    batch = pa.ipc.open_stream(body, options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch()
+    return {c: batch.column(c)[0].values for c in batch.schema.names}
 
 
 def _blocks(files):
@@ -367,7 +382,7 @@ def _blocks(files):
     def run(batches):
         al = aligner(*files.value)
         identity, k, kind = np.zeros(len(al.a_bytes), np.int64), TaskContext.get().partitionId() << 32, None
-        names = [c.split()[0] for c in _block_schema("long").split(", ")]
+        names = [c.split()[0] for c in _BLOCK_SCHEMA.split(", ")]
         i32, i64 = pa.int32(), pa.int64()
         for batch in batches:
             kind = batch.column(0).type
@@ -401,19 +416,27 @@ def _blocks(files):
                     in_docs += np.bincount(np.unique(held) % width, minlength=width)
                     lo_ = hi_
                 identity += in_docs[:len(identity)][::-1]
+                # units ascend within a document: their steps are small numbers
+                body = _packed({"ids": _one(batch.column(0).slice(lo, hi - lo), kind), "sizes": _one(sizes.ravel(), i32),
+                                "digest": _one(digest, pa.string()), "doc_units": _one(np.bincount(doc, minlength=hi - lo), i32),
+                                "unit_steps": _one(np.diff(unit, prepend=0), i32), "times": _one(times, i32),
+                                "unit_links": _one(n_links, i32), "link": _one(coded, i32)})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], i64), _one(batch.column(0).slice(lo, hi - lo), kind), _one(sizes.ravel(), i32),
-                     _one(digest, pa.string()), _one(np.bincount(doc, minlength=hi - lo), i32), _one(unit, i32), _one(times, i32),
-                     _one(n_links, i32), _one(coded, i32), _one(keys, i64), _one(in_docs[len(identity):], i32),
+                    [pa.array([k], i64), pa.array([body], pa.binary()), _one(keys, i64), _one(in_docs[len(identity):], i32),
                      pa.nulls(1, pa.binary())], names)
                 k += 1
                 give_back()
         if kind is not None:
-            empty = [_one([], t) for t in (kind, i32, pa.string(), i32, i32, i32, i32, i32, i64, i32)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, i64), *empty, pa.array([identity.tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, i64), pa.nulls(1, pa.binary()), _one([], i64), _one([], i32),
+                                              pa.array([identity.tobytes()], pa.binary())], names)
     return run
 
 
+def _stored_blocks(rows: DataFrame, a_json: bytes, b_model: bytes, scratch: Scratch) -> DataFrame:
+    files = rows.sparkSession.sparkContext.broadcast((a_json, b_model))
+    return scratch.write(rows.mapInArrow(_blocks(files), _BLOCK_SCHEMA), "blocks", maxRecordsPerFile=FILE_BLOCKS)
+
+
 def _add_up(batches):
     total = None
     for batch in batches:
@@ -441,9 +464,11 @@ def _score(kind: str, id_col: str, counts):
     """Rows of one block of documents from its arrays and the counts of its pairs."""
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ident, best, n_b = counts.value
-        row = {c: left.column(c).combine_chunks()[0].values for c in left.column_names if c not in ("block", "same")}
+        row = _unpacked(left.column("body")[0].as_buffer())
+        row["keys"] = left.column("keys")[0].values
         num = {c: row[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in
-               ("sizes", "doc_units", "unit", "times", "unit_links", "link", "keys")}
+               ("sizes", "doc_units", "unit_steps", "times", "unit_links", "link", "keys")}
+        unit = np.cumsum(num["unit_steps"])
         count = np.zeros(len(num["keys"]), np.int64)
         count[right.column("pos").to_numpy()] = right.column("n").to_numpy()
         a_of_key, link = num["keys"] // n_b, num["link"]
@@ -458,8 +483,8 @@ def _score(kind: str, id_col: str, counts):
             at = _bounds(lens)
             return total[at[1:]] - total[at[:-1]]
 
-        doc_sum = sums(sums(value, num["unit_links"])[num["unit"]] * num["times"], num["doc_units"])
-        doc_best = sums(sums(is_best, num["unit_links"])[num["unit"]] * num["times"], num["doc_units"])
+        doc_sum = sums(sums(value, num["unit_links"])[unit] * num["times"], num["doc_units"])
+        doc_best = sums(sums(is_best, num["unit_links"])[unit] * num["times"], num["doc_units"])
         sizes = num["sizes"].reshape(-1, 4)
         return pa.table([row["ids"], *map(pa.array, sizes.T), pa.array(doc_best), pa.array(doc_sum), row["digest"]],
                         [id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
@@ -482,10 +507,9 @@ def align(docs: DataFrame, a_json: bytes, b_model: bytes, id_col: str = "doc_id"
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    files = spark.sparkContext.broadcast((a_json, b_model))
     model = aligner(a_json, b_model)
     n_a, n_b = len(model.a_bytes), model.n_b
-    blocks = scratch.write(docs.select(id_col, text_col).mapInArrow(_blocks(files), _block_schema(kind)), "blocks")
+    blocks = _stored_blocks(docs.select(id_col, text_col), a_json, b_model, scratch)
     ident = _identity_counts(blocks, n_a, scratch)
     filled = blocks.where("block IS NOT NULL")
     totals = scratch.write(_totals(filled), "totals")
@@ -503,10 +527,8 @@ def align(docs: DataFrame, a_json: bytes, b_model: bytes, id_col: str = "doc_id"
 def pair_counts(docs: DataFrame, a_json: bytes, b_model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``a, b, n``: every linked pair of ids with the number of documents that hold it."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
     model = aligner(a_json, b_model)
-    files = spark.sparkContext.broadcast((a_json, b_model))
-    blocks = scratch.write(docs.select(id_col, text_col).mapInArrow(_blocks(files), _block_schema(kind)), "blocks")
+    blocks = _stored_blocks(docs.select(id_col, text_col), a_json, b_model, scratch)
     ident = _identity_counts(blocks, len(model.a_bytes), scratch)
     held = np.flatnonzero(ident)
     same = spark.createDataFrame([(int(a), int(model.same[a]), int(ident[a])) for a in held], "a long, b long, n long")
