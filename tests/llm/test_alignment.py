@@ -342,3 +342,16 @@ def test_blocks_travel_packed(spark, brute, docs_of, proto, documents, monkeypat
     assert n > 6 and size < sum(len((t or "").encode()) for _, t in pairs)
     assert blocks.selectExpr("_metadata.file_path AS file").groupBy("file").count().agg({"count": "max"}).first()[0] <= 3
     assert got == sorted(brute.rows(pairs)[0], key=str)
+
+
+def test_workers_get_short_batches(spark, docs_of, proto, documents, monkeypatch):
+    """A batch is held by Spark and by the worker: it has BATCH_ROWS rows at most (10,000 before), and the session's setting stays."""
+    monkeypatch.setattr(token_align, "BATCH_ROWS", 10, raising=False)
+    write, kept = token_align.Scratch.write, {}
+    monkeypatch.setattr(token_align.Scratch, "write",
+                        lambda self, df, name, **options: kept.setdefault(name, write(self, df, name, **options)))
+    setting = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = docs_of(documents.text.tolist()[:45]).coalesce(1)
+    token_align.align(docs, proto("byte_bpe_50k.json"), proto("piece_bpe_32k.model"))
+    assert kept["blocks"].where("block IS NOT NULL").count() >= 5
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == setting

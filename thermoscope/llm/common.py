@@ -71,6 +71,23 @@ def shuffles_freed(spark: SparkSession):
             spark.conf.set(FREE_SHUFFLES, before)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int):
+    """Statements that run inside hand Python at most ``rows`` rows at a time: a batch is held by Spark and by the worker."""
+    before, now = spark.conf.get(ARROW_ROWS, None), int(spark.conf.get(ARROW_ROWS))
+    spark.conf.set(ARROW_ROWS, str(min(now, rows) if now > 0 else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_ROWS)
+        else:
+            spark.conf.set(ARROW_ROWS, before)
+
+
 def settle(spark: SparkSession) -> None:
     """Let Spark's cleaner free the shuffle files of finished steps."""
     gc.collect()

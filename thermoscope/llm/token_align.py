@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, settle, slices_by_bytes, take_ragged
+from .common import Scratch, give_back, settle, short_batches, slices_by_bytes, take_ragged
 from .words import text_column
 
 BLOCK_BYTES = 2 << 20
@@ -51,6 +51,7 @@ CACHE_UNITS = 150_000   # units from which a worker sheds some
 KEPT_UNITS = 70_000     # the most used ones that it keeps then
 HELD_LINKS = 1_000_000
 JOINED = 2000
+BATCH_ROWS = 2000       # rows that a worker gets at a time
 FILE_BLOCKS = 16        # blocks in a stored file, at most
 # fixed value: the split of byte-level vocabularies into words
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -434,7 +435,8 @@ def _blocks(files):
 
 def _stored_blocks(rows: DataFrame, a_json: bytes, b_model: bytes, scratch: Scratch) -> DataFrame:
     files = rows.sparkSession.sparkContext.broadcast((a_json, b_model))
-    return scratch.write(rows.mapInArrow(_blocks(files), _BLOCK_SCHEMA), "blocks", maxRecordsPerFile=FILE_BLOCKS)
+    with short_batches(rows.sparkSession, BATCH_ROWS):
+        return scratch.write(rows.mapInArrow(_blocks(files), _BLOCK_SCHEMA), "blocks", maxRecordsPerFile=FILE_BLOCKS)
 
 
 def _add_up(batches):
