@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from thermoscope.llm import periodic_runs, simhash, token_align
 
@@ -315,6 +317,14 @@ def test_links_of_dense_and_sparse_fingerprints(spark, docs_of, monkeypatch, cro
     assert got == brute_classes(rows)
 
 
+def test_tables_of_fingerprints_are_not_broadcast(spark):
+    """Spark sizes an exploded table like its fingerprints: both joins sent millions of entries through the driver."""
+    fps = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    for df in (simhash.table_links(simhash.entries(fps)), simhash.crowd_links(fps)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_usual_units_stay_when_units_are_shed(proto, monkeypatch):
     """A worker keeps the units it met most often (it forgot all of them before) and still aligns texts alike."""
     model = token_align.Aligner(proto("byte_bpe_50k.json"), proto("piece_bpe_32k.model"))

@@ -110,8 +110,12 @@ def entries(fps: DataFrame) -> DataFrame:
 
 
 def table_links(table: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b) of linked fingerprints that meet in the table, once each."""
-    x, y = table.alias("x"), table.alias("y")
+    """Pairs (a, b) of linked fingerprints that meet in the table, once each.
+
+    Spark sizes the table like its fingerprints, without the 66 entries of each,
+    and would send it to the driver and every executor: the hint rules that out.
+    """
+    x, y = table.alias("x"), table.hint("merge").alias("y")
     a, b = F.col("x.fp"), F.col("y.fp")
     upper = _upper(a).bitwiseXOR(_upper(b))
     # the key at which a pair counts: for upper segments one differing bit is taken from a, for lower ones it is b's own
@@ -123,13 +127,16 @@ def table_links(table: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def crowd_links(fps: DataFrame) -> DataFrame:
-    """Links to the smallest fingerprint of every shared point at distance RADIUS / 2 or less: the same components."""
+    """Links to the smallest fingerprint of every shared point at distance RADIUS / 2 or less: the same components.
+
+    The hint is that of ``table_links``: a fingerprint has 2,081 points.
+    """
     masks = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
     flips = F.array(*(F.lit(_signed(m)).cast("long") for m in masks))
     points = fps.select("fp", F.explode(flips).alias("flip")).select(
         F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp")
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("point", "a")
-    return points.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    return points.join(least.hint("merge"), "point").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, crowd: int = CROWD) -> DataFrame:
