@@ -246,3 +246,17 @@ def test_long_parameter_names_survive(spark):
     key = "ridge_" + "k" * 1200
     df = spark.createDataFrame([(0, "ridge", {key: "1"})], "trial int, model_type string, params map<string,string>")
     assert list(sr.family_params(df).first()["family_params"]) == ["k" * 1200]
+
+
+def test_confidence_bands_of_empty_texts(spark, scratch):
+    """A document without characters has no relative error: POOR, as in the SQL (it raised DIVIDE_BY_ZERO before)."""
+    import duckdb
+    import __spark_entry__ as entry
+    d = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    d.loc[d.index % 7 == 0, ["text", "n_chars"]] = ["", 0]
+    d.to_parquet(os.path.join(scratch, "documents.parquet"), index=False)
+    got = entry.queries()["f1_confidence_bands"](spark, scratch).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{scratch}/documents.parquet')")
+    want = con.execute(entry.oracle_sql()["f1_confidence_bands"]).fetchall()
+    assert sorted((r["split"], r["band"], r["n"]) for r in got) == sorted(want)

@@ -120,7 +120,8 @@ FROM e GROUP BY 1, 2
 """)
 def f1_confidence_bands(spark, sf_dir):
     p = _two_models(spark, sf_dir)
-    e = p.select("split", (F.abs(F.col("y") - F.col("pred_a")) / F.col("y")).alias("rel_err"))
+    # an empty text has y = 0: no relative error, as in the SQL, which makes it POOR
+    e = p.select("split", F.try_divide(F.abs(F.col("y") - F.col("pred_a")), F.col("y")).alias("rel_err"))
     return e.groupBy("split", confidence_band("rel_err").alias("band")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
