@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sweep_file_name
@@ -143,10 +144,10 @@ def s2_sweep_files_round_trip(spark, sf_dir):
     import uuid
 
     from ..session import ensure_checkpoint_dir, shuffle_partitions
-    from ..sources.files import MEASURES, SWEEP_COLUMNS, read_sweeps
+    from ..sources.files import MEASURES, SWEEP_COLUMNS, read_sweeps, write_sweeps
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sweeps-{uuid.uuid4().hex}"
     e = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    cell = lambda i, m: F.element_at("embedding", F.lit(16 * m + 1) + i).cast("double").cast("string")
+    cell = lambda i, m: F.coalesce(F.get("embedding", F.lit(16 * m) + i).cast("double").cast("string"), F.lit(""))
 
     def line(order):
         return lambda i: F.concat_ws(",", *[F.lit("0.5") if m is None else cell(i, m) for m in order])
@@ -155,10 +156,11 @@ def s2_sweep_files_round_trip(spark, sf_dir):
     orders = (0, 1, 2, 3), (2, None, 0, 3, 1)
     texts = [F.concat(F.array(head(o)), F.transform(F.sequence(F.lit(0), F.lit(15)), line(o)))
              for o in orders]
-    lines = e.select("vec_id", F.posexplode(F.when(F.col("vec_id") % 2 == 0, texts[0]).otherwise(texts[1]))
-                     .alias("at", "value"))
-    # a fixed number of writers (few bytes, many files); each commits its own files, the driver moves none
-    (lines.repartition(shuffle_partitions(spark), "vec_id").sortWithinPartitions("vec_id", "at").select("vec_id", "value")
-     .write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("vec_id").text(path))
-    return read_sweeps(spark, [path], "part-*").where(~F.col("bad_line")).select(
-        F.col("vec_id").cast("long").alias("vec_id"), "point_idx", *[F.round(m, 6).alias(m) for m in MEASURES])
+    # equal ids make several files; a fixed number of writers (few bytes, many files)
+    same = Window.partitionBy("vec_id").orderBy("embedding")
+    name = F.concat_ws("_", F.row_number().over(same), F.coalesce(F.col("vec_id").cast("string"), F.lit("null")))
+    pattern = write_sweeps(e.repartition(shuffle_partitions(spark), "vec_id").select(name.alias("sweep"), F.array_join(
+        F.when(F.col("vec_id") % 2 == 0, texts[0]).otherwise(texts[1]), "\n").alias("text")), path)
+    return read_sweeps(spark, [path], pattern).where(~F.col("bad_line")).select(
+        F.regexp_extract("path", r"/sweep=\d+_([^/.]*)", 1).try_cast("long").alias("vec_id"),
+        "point_idx", *[F.round(m, 6).alias(m) for m in MEASURES])

@@ -7,10 +7,15 @@ driver-side file loop.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,11 +99,25 @@ def parse_sweep_lines(lines: DataFrame) -> DataFrame:
     The first line of a file names its columns; they may stand in any order and
     among others.  A column that the header lacks is NULL everywhere; text in a
     numeric column becomes NULL (``try_cast``); ``bad_line`` marks lines with
-    another number of fields than the header.  Adds ``raw_<measure>`` texts.
+    another number of fields than the header.  Adds ``raw_<measure>`` texts and
+    ``point_idx``, the 0-based number of the line inside its file: its place among
+    the lines of its block, after those of the file's earlier blocks.
     """
-    place = F.struct("__block", "__line")
-    headers = lines.groupBy("__path").agg(F.min_by("value", place).alias("__head"), F.min(place).alias("__first"))
-    rows = lines.join(headers, "__path").where((place > F.col("__first")) & (F.trim("value") != ""))
+    filled = F.trim("value") != ""
+    blocks = lines.groupBy("__path", "__block").agg(
+        F.min_by("value", "__line").alias("__top"), F.min("__line").alias("__least"), F.count_if(filled).alias("__n"))
+    of_file = Window.partitionBy("__path").orderBy("__block")   # one row for each block of a file
+    head = F.first("__top").over(of_file)
+    blocks = blocks.select(F.col("__path").alias("__p"), F.col("__block").alias("__b"), head.alias("__head"), F.when(
+        F.row_number().over(of_file) == 1, F.col("__least")).otherwise(-1).alias("__first"), F.when(
+            F.row_number().over(of_file) > 1, F.sum("__n").over(of_file) - F.col("__n") - F.when(F.trim(head) != "", 1).otherwise(0))
+        .otherwise(0).alias("__before"))
+    # the window below needs the lines by the same keys; stored lines may be sized too low for what they hold in memory
+    rows = lines.join(blocks.hint("merge"), (F.col("__path") == F.col("__p")) & (F.col("__block") == F.col("__b"))).where(
+        (F.col("__line") > F.col("__first")) & filled)
+    # a block is what one task reads of a file, so its lines are bounded however large the file is
+    in_block = Window.partitionBy("__path", "__block").orderBy("__line")
+    rows = rows.withColumn("point_idx", (F.col("__before") + F.row_number().over(in_block) - 1).cast("int"))
     clean = lambda x: F.trim(F.regexp_replace(x, "[\"\ufeff]", ""))
     rows = rows.withColumn("__names", F.transform(F.split("__head", ","), clean)) \
         .withColumn("__fields", F.transform(F.split("value", ","), clean))
@@ -108,7 +127,26 @@ def parse_sweep_lines(lines: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"raw_{n}", F.when(text != "", text)) \
             .withColumn(n, F.col(f"raw_{n}").try_cast("double"))
     return rows.withColumn("bad_line", F.size("__fields") != F.size("__names")) \
-        .drop("value", "__head", "__first", "__names", "__fields")
+        .drop("value", "__head", "__first", "__before", "__p", "__b", "__names", "__fields")
+
+
+# Many small files share a task: Spark's usual cost of opening one (4 MB) leaves a task four to 32 of them.
+OPEN_COST = 64 << 10
+_OPEN_COST = "spark.sql.files.openCostInBytes"
+
+
+@contextmanager
+def _small_files(spark: SparkSession):
+    """Scans planned inside deal files to tasks by ``OPEN_COST`` each."""
+    before = spark.conf.get(_OPEN_COST)
+    if str(before).isdigit() and int(before) <= OPEN_COST:
+        yield
+        return
+    spark.conf.set(_OPEN_COST, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(_OPEN_COST, before)
 
 
 def read_sweeps(spark: SparkSession, dirs: Sequence[str], pattern: str = "*.csv") -> DataFrame:
@@ -118,7 +156,6 @@ def read_sweeps(spark: SparkSession, dirs: Sequence[str], pattern: str = "*.csv"
     ``point_idx`` (line order within the file), the four measurements as DOUBLE
     bound by header name, and ``bad_line``.
     """
-    from ..operators.ranking import ranked
     from ..session import write_table
     frames = []
     for i, d in enumerate(dirs):
@@ -126,11 +163,50 @@ def read_sweeps(spark: SparkSession, dirs: Sequence[str], pattern: str = "*.csv"
         frames.append(_with_place(text).withColumn("file", F.element_at(F.split("__path", "/"), -1))
                       .withColumn("part_id", F.lit(i)))
     # many small files cost by the opening: they are opened once, later steps read the stored lines
-    rows = parse_sweep_lines(write_table(stack(*frames))).drop(*[f"raw_{n}" for n in MEASURES])
-    # 0-based line number inside each file, skew-safe for huge sweeps
-    r = ranked(rows, ["__block", "__line"], ["part_id", "__path"], name="__rn")
-    return r.withColumn("point_idx", (F.col("__rn") - 1).cast("int")).withColumnRenamed("__path", "path") \
-        .drop("__rn", "__block", "__line")
+    with _small_files(spark):
+        lines = write_table(stack(*frames))
+    # a path that stands under two directories of the list is two files
+    rows = parse_sweep_lines(lines.withColumn("__path", F.concat_ws("\n", "part_id", "__path")))
+    return rows.withColumn("__path", F.substring_index("__path", "\n", -1)).withColumnRenamed("__path", "path") \
+        .drop("__block", "__line", *[f"raw_{n}" for n in MEASURES])
+
+
+FOLDERS = 256
+
+
+def write_sweeps(texts: DataFrame, root: str) -> str:
+    """One file for each row of ``sweep`` (a unique name), ``text`` below ``root``; returns the pattern of the files' names.
+
+    ``sweep=<name>`` is part of each path.  Files are dealt to folders, which the reader lists in parallel.  In a
+    mounted folder (``file:``) tasks write each file aside and rename it, so an attempt that fails leaves none half written;
+    Hadoop's local file system would start several processes for the permissions of each file.  Elsewhere
+    Spark's writer makes one folder with one file for each.
+    """
+    dealt = texts.select(F.pmod(F.xxhash64("sweep"), F.lit(FOLDERS)).cast("int").alias("folder"), "sweep", "text")
+    mounted = re.fullmatch(r"file:(?://)?(/.*)", root)
+    if not mounted:
+        (dealt.sortWithinPartitions("folder", "sweep").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy("folder", "sweep").text(root))
+        return "part-*"
+    base = mounted[1].rstrip("/")
+
+    def run(batches):
+        made = set()
+        for batch in batches:
+            for folder, sweep, text in zip(*(c.to_pylist() for c in batch.columns)):
+                at = f"{base}/folder={folder}"
+                if at not in made:
+                    os.makedirs(at, exist_ok=True)
+                    made.add(at)
+                aside = f"{at}/.{uuid.uuid4().hex}"
+                with open(aside, "w", encoding="utf-8", newline="") as out:
+                    out.write(text + "\n")
+                os.replace(aside, f"{at}/sweep={sweep}.csv")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    os.makedirs(base, exist_ok=True)
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return "*.csv"
 
 
 def pair_parts(sweeps: DataFrame, readings: DataFrame) -> DataFrame:
