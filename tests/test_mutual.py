@@ -59,3 +59,24 @@ def test_missing_and_short_features(spark):
     rows = mu.knn_mi(df).collect()
     assert [(r["feature_id"], r["n"], r["score"]) for r in rows] == [(0, 2, None)]
     assert mu.knn_mi(df.where("value > 50")).count() == 0
+
+
+@pytest.mark.parametrize("values", [mu.VALUES, 0])
+def test_targets_of_few_values(spark, monkeypatch, values):
+    """Classes of unequal size and distance, ties, copies and outliers: by values, in pieces of few rows, and by the tree."""
+    used, by = [], mu._reach_by_values
+    monkeypatch.setattr(mu, "_reach_by_values", lambda *a: used.append(1) or by(*a))
+    monkeypatch.setattr(mu, "VALUES", values)
+    monkeypatch.setattr(mu, "PIECE", 60)
+    monkeypatch.setattr(mu, "CHUNK", 7)
+    rng = np.random.default_rng(5)
+    n = 400
+    y = rng.choice([0.0, 1.0, 1.01, 5.0, 9.0], n, p=[.5, .3, .1, .0925, .0075])
+    columns = [rng.normal(size=n), y + rng.normal(size=n) * 0.2, np.round(rng.normal(size=n), 1), np.round(y * 0.5) + 0.0,
+               rng.standard_cauchy(n), np.where(rng.random(n) < 0.4, 3.0, rng.normal(size=n) * 1e-3)]
+    df = spark.createDataFrame(pd.DataFrame({"feature_id": np.repeat(np.arange(6), n), "value": np.concatenate(columns),
+                                             "y": np.tile(y, 6)})).repartition(4)
+    got = {r["feature_id"]: r["score"] for r in mu.knn_mi(df, leaf=200).collect()}
+    for f, c in enumerate(columns):
+        assert got[f] == pytest.approx(plain(c, y), abs=1e-9), f
+    assert len(used) == (1 if values else 0)
