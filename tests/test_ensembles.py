@@ -163,3 +163,31 @@ def test_ada_draws_its_threshold_rows_by_key(spark):
     u = np.arange(n).astype(np.int64) * 7919
     a, b = (en._uniform(u, s) < en.SAMPLE_ROWS / n for s in (1, 2))
     assert abs(a.sum() - en.SAMPLE_ROWS) < 500 and (a & b).sum() < 0.45 * en.SAMPLE_ROWS
+
+
+def test_ada_trees_from_one_pass(spark, monkeypatch):
+    """With few features a round takes two jobs (four before); its trees are those of a pass for each level."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    x = np.column_stack([rng.normal(size=n), np.round(rng.normal(size=n)), rng.exponential(size=n)])
+    x[::17, 0] = np.nan
+    y = np.nan_to_num(x[:, 0]) * x[:, 1] + np.where(x[:, 2] > 1, 4.0, x[:, 2] ** 2) + rng.normal(size=n) * 0.3
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))],
+                               "row_id long, a double, b double, c double, y double").repartition(5)
+    rounds, got, jobs = 10, [], []
+    sc = spark.sparkContext
+    for cells, partial in ((en.JOINT_CELLS, en.PARTIAL_BYTES), (en.JOINT_CELLS, 0), (0, en.PARTIAL_BYTES)):
+        monkeypatch.setattr(en, "JOINT_CELLS", cells)
+        monkeypatch.setattr(en, "PARTIAL_BYTES", partial)
+        sc.setJobGroup(f"ada-{len(got)}", "")
+        got.append(en.ada_boost_r2(df, ["a", "b", "c"], "y", rounds, 1.1))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"ada-{len(got) - 1}")))
+    sc.setJobGroup("other", "")
+    for models, weights in got[:2]:
+        assert len(models) == len(got[2][0]) == rounds
+        np.testing.assert_allclose(weights, got[2][1], rtol=1e-9)
+        for s, t in zip(models, got[2][0]):
+            np.testing.assert_array_equal(s[0], t[0])
+            np.testing.assert_allclose(s[1], t[1])
+            np.testing.assert_allclose(s[2], t[2], rtol=1e-9)
+    assert jobs[0] <= 2 * rounds + 8 < jobs[2]

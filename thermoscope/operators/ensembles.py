@@ -8,8 +8,10 @@
   walk down the broadcast nodes in each pass; a task sends one row per
   (tree, node, feature) it has seen.
 * AdaBoost.R2 (Drucker, 1997) fits depth-3 trees to weighted rows as MLlib grows them (32 bins at even steps of
-  weight over at most about 10,000 drawn rows, variance gain), in one pass per level and one for the errors.  A round's
+  weight over at most about 10,000 drawn rows, variance gain), in one pass and one for the errors: with few features
+  the sums of all combinations of their bins hold every split of every level (with more, a pass for each level).  A round's
   trees are small, so a pass works out the weights of the last rounds again, and rows are rewritten every few rounds.
+  Rows are stored in small blocks of bytes: as columns of numbers their way from file to worker took most of a pass.
   The rounds are combined by the weighted median.
 * RBF regression maps rows to random Fourier features and fits an
   ε-insensitive linear model by full-batch subgradient steps, one aggregate
@@ -235,6 +237,9 @@ def _lefts(bc):
 BINS, SAMPLE_ROWS = 32, 10_000   # MLlib's: bins of a feature, rows that candidate thresholds are drawn from
 KEPT_ROUNDS = 8                  # rounds whose weights are worked out anew in each pass before rows are rewritten
 PARTIAL_BYTES = 64 << 20         # tasks' sums that go straight to the driver
+BLOCK_BYTES = 3 << 10            # bytes of a stored block; Arrow hands a worker 10,000 blocks at once by default
+SLICE_ROWS = 1 << 16             # rows worked on at once
+JOINT_CELLS = BINS ** 3          # combinations of bins whose sums one pass adds up
 
 
 def ada_boost_r2(df: DataFrame, features: Sequence[str], y: str, n_estimators: int = 50,
@@ -244,12 +249,13 @@ def ada_boost_r2(df: DataFrame, features: Sequence[str], y: str, n_estimators: i
     label = F.col(y).cast("double")
     store = TableStore(df.sparkSession)
     try:
+        d = len(features)
         rows = store.write(df.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), label.alias("y"),
-                                     F.lit(1.0).alias("w"), F.xxhash64(key).alias("u")), "rows-0")
-        st = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y").isNull() | F.isnan("y")).alias("bad")).first()
+                                     F.xxhash64(key).alias("u")).mapInArrow(_pack_pass(d), BLOCKS), "rows-0")
+        st = rows.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
         if not st["n"] or st["bad"]:
             raise ValueError("AdaBoost needs rows, and labels that are numbers")
-        rows = _Weighted(store, rows, len(features), st["n"], learning_rate, seed)
+        rows = _Weighted(store, rows, d, st["n"], learning_rate, seed)
         models, weights = [], []
         for m in range(n_estimators):
             tree = rows.fit_tree(max_depth)
@@ -281,9 +287,9 @@ class _Weighted:
     """
 
     def __init__(self, store: TableStore, rows: DataFrame, d: int, n: int, learning_rate: float, seed: int):
-        self.store, self.rows, self.d, self.n, self.rate, self.seed = store, rows, d, n, learning_rate, seed
+        self.store, self.d, self.n, self.rate, self.seed = store, d, n, learning_rate, seed
         self.recent: list[tuple] = []
-        self.version, self.parts = 0, rows.rdd.getNumPartitions()
+        self.version, self.rows, self.parts = 0, rows.select("x", "y", "w", "u"), rows.rdd.getNumPartitions()
         self.splits = max(1, min(BINS, n)) - 1
         self.share = min(1.0, max(SAMPLE_ROWS, BINS * BINS) / n)
         self._take(self._run(None, -1))
@@ -311,7 +317,7 @@ class _Weighted:
             return
         old, self.version = self.version, self.version + 1
         self.rows = self.store.write(self.rows.mapInArrow(_weight_pass(self.d, self.recent, self.rate),
-                                                          self.rows.schema), f"rows-{self.version}")
+                                                          BLOCKS), f"rows-{self.version}").select("x", "y", "w", "u")
         self.recent, self.parts = [], self.rows.rdd.getNumPartitions()
         self.store.drop(f"rows-{old}")
 
@@ -322,18 +328,27 @@ class _Weighted:
         inner, size = (1 << max_depth) - 1, (2 << max_depth) - 1
         feature, threshold, stats = np.zeros(inner, int), np.full(inner, np.inf), np.zeros((size, 4))
         grows = [0]   # nodes of the level that may split
+        bins = tuple(len(c) + 1 for c in cuts)
+        joint = self._joint(cuts, bins) if np.prod(bins, dtype=float) <= JOINT_CELLS else None
+        boxes = {0: [(0, b) for b in bins]}   # bins of a node
         for level in range(max_depth):
             if not grows:
                 break
-            sums = self._level(feature, threshold, level, grows, cuts)
+            if joint is None:
+                sums = self._level(feature, threshold, level, grows, cuts)
+            else:
+                sums = [_box_sums(joint, boxes[node]) for node in grows]
             if level == 0:
-                stats[0] = sums[0, 0].sum(0)
+                stats[0] = sums[0][0].sum(0)
             nxt = []
             for node, cells in zip(grows, sums):
                 best = _best_split(cells, cuts, stats[node])
                 if best is None:
                     continue
                 f, at, left, right = best
+                lo, hi = boxes[node][f]
+                boxes[2 * node + 1], boxes[2 * node + 2] = ([*boxes[node][:f], part, *boxes[node][f + 1:]]
+                                                            for part in ((lo, at + 1), (at + 1, hi)))
                 feature[node], threshold[node] = f, cuts[f][at]
                 for child, s in ((2 * node + 1, left), (2 * node + 2, right)):
                     stats[child] = s
@@ -346,6 +361,17 @@ class _Weighted:
         leaves = stats[inner:]
         return feature, threshold, np.divide(leaves[:, 1], leaves[:, 0], out=np.zeros(len(leaves)), where=leaves[:, 0] > 0)
 
+    def _joint(self, cuts: list, bins: tuple) -> np.ndarray:
+        """Sums of w, wy, wyy and rows of every combination of bins, an axis for each feature."""
+        cells = int(np.prod(bins))
+        part = self.rows.mapInArrow(_joint_pass(self.d, self.recent, self.rate, cuts, bins), "at binary, sums binary")
+        if self.parts * cells * 36 > PARTIAL_BYTES:
+            part = part.repartition(max(1, int(self.parts ** 0.5))).mapInArrow(_add_cells(cells), "at binary, sums binary")
+        total = np.zeros((cells, 4))
+        for r in part.collect():   # at most PARTIAL_BYTES, or the square root of the tasks' sums
+            total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["sums"]).reshape(-1, 4)
+        return total.reshape(*bins, 4)
+
     def _level(self, feature, threshold, level: int, nodes: list[int], cuts: list) -> np.ndarray:
         """(node, feature, bin) sums of w, wy, wyy and rows."""
         shape = (len(nodes), self.d, max(map(len, cuts)) + 1, 4)
@@ -384,6 +410,15 @@ def _variance(s):
     return (s[..., 2] - s[..., 1] ** 2 / w) / w
 
 
+def _box_sums(joint: np.ndarray, box: list) -> np.ndarray:
+    """(feature, bin) sums of the rows whose bins lie in a box."""
+    inside = joint[tuple(slice(lo, hi) for lo, hi in box)]
+    out = np.zeros((len(box), max(joint.shape[:-1]), 4))
+    for f, (lo, hi) in enumerate(box):
+        out[f, lo:hi] = inside.sum(axis=tuple(g for g in range(len(box)) if g != f))
+    return out
+
+
 def _best_split(cells: np.ndarray, cuts: list, whole: np.ndarray):
     """(feature, threshold number, left sums, right sums) of greatest gain, the first on ties; None without a gain."""
     best, top, impurity = None, 0.0, _variance(whole)
@@ -423,19 +458,55 @@ def _new_weight(w, err, dmax, sw, beta, rate):
     return w / sw * beta ** ((1.0 - err / dmax) * rate)
 
 
-def _weighed(batch, d: int, recent: list, rate: float):
-    x, _ = _matrix(batch.column(0), d)
-    y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-    for tree, dmax, sw, beta in recent:
-        w = _new_weight(w, np.abs(y - _leaf(x, tree)), dmax, sw, beta, rate)
-    return x, y, w
+BLOCKS = "x binary, y binary, w binary, u binary, n int, bad int"
 
 
-def _weight_pass(d: int, recent: list, rate: float):
+def _packed(x: np.ndarray, y: np.ndarray, w: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
+    """Rows as blocks of about ``BLOCK_BYTES``: the bytes of each column, their number and how many lack a label."""
+    ends = np.append(np.arange(0, len(y), max(1, BLOCK_BYTES // (8 * (x.shape[1] + 3)))), len(y))
+
+    def cut(v, width):
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width).astype(np.int32)),
+                                                                  pa.py_buffer(np.ascontiguousarray(v))])
+    bad = np.add.reduceat(np.isnan(y), ends[:-1], dtype=np.int32) if len(y) else np.empty(0, np.int32)
+    return pa.RecordBatch.from_arrays([cut(x, 8 * x.shape[1]), cut(y, 8), cut(w, 8), cut(u, 8), pa.array(np.diff(ends).astype(np.int32)),
+                                       pa.array(bad)], ["x", "y", "w", "u", "n", "bad"])
+
+
+def _numbers(blocks: pa.Array, dtype=np.float64) -> np.ndarray:
+    """The bytes of all blocks of a column, which lie one after the other, as one array."""
+    if not len(blocks):
+        return np.empty(0, dtype)
+    at = np.frombuffer(blocks.buffers()[1], np.int64 if pa.types.is_large_binary(blocks.type) else np.int32)
+    lo, hi = int(at[blocks.offset]), int(at[blocks.offset + len(blocks)])
+    return np.frombuffer(blocks.buffers()[2], dtype, (hi - lo) // 8, lo) if hi > lo else np.empty(0, dtype)
+
+
+def _pack_pass(d: int):
     def run(batches):
         for batch in batches:
-            _, _, w = _weighed(batch, d, recent, rate)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w), batch.column(3)], ["x", "y", "w", "u"])
+            x, _ = _matrix(batch.column(0), d)
+            y = pc.fill_null(batch.column(1), np.nan).to_numpy(zero_copy_only=False)
+            yield _packed(x, y, np.ones(len(y)), batch.column(2).to_numpy())
+    return run
+
+
+def _weighed(batches, d: int, recent: list, rate: float):
+    """Stored rows by slices: features, label, present weight, hash of the key."""
+    for batch in batches:
+        xs, ys, ws = (_numbers(batch.column(i)) for i in range(3))
+        xs, us = xs.reshape(-1, d), _numbers(batch.column(3), np.int64)
+        for lo in range(0, len(ys), SLICE_ROWS):
+            x, y, w, u = (v[lo:lo + SLICE_ROWS] for v in (xs, ys, ws, us))
+            for tree, dmax, sw, beta in recent:
+                w = _new_weight(w, np.abs(y - _leaf(x, tree)), dmax, sw, beta, rate)
+            yield x, y, w, u
+
+
+def _weight_pass(d: int, recent: list, rate: float):
+    def run(batches):
+        for x, y, w, u in _weighed(batches, d, recent, rate):
+            yield _packed(x, y, w, u)
     return run
 
 
@@ -444,11 +515,10 @@ def _error_pass(d: int, recent: list, rate: float, tree, share: float, seed: int
     def run(batches):
         dmax = sw = swe = 0.0
         drawn = []
-        for batch in batches:
-            x, y, w = _weighed(batch, d, recent, rate)
+        for x, y, w, u in _weighed(batches, d, recent, rate):
             err = np.abs(y - _leaf(x, tree)) if tree else np.zeros(len(y))
             dmax, sw, swe = max(dmax, float(err.max(initial=0.0))), sw + float(w.sum()), swe + float(w @ err)
-            mine = slice(None) if share >= 1 else _uniform(batch.column(3).to_numpy(), seed) < share
+            mine = slice(None) if share >= 1 else _uniform(u, seed) < share
             drawn.append((x[mine], w[mine], err[mine]))
         sample = [np.concatenate(c).tobytes() for c in zip(*drawn)] or [b""] * 3
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (dmax, sw, swe)] + [pa.array([s], pa.binary()) for s in sample],
@@ -471,8 +541,7 @@ def _level_pass(d: int, recent: list, rate: float, feature, threshold, level: in
     def run(batches):
         cells = shape[0] * shape[2]
         total = np.zeros((d, 4, cells))
-        for batch in batches:
-            x, y, w = _weighed(batch, d, recent, rate)
+        for x, y, w, _ in _weighed(batches, d, recent, rate):
             at = place[_walk(x, feature, threshold, level)]
             if (at < 0).any():
                 x, y, w, at = (v[at >= 0] for v in (x, y, w, at))
@@ -487,6 +556,38 @@ def _level_pass(d: int, recent: list, rate: float, feature, threshold, level: in
     return run
 
 
+def _joint_pass(d: int, recent: list, rate: float, cuts: list, bins: tuple):
+    def run(batches):
+        size = int(np.prod(bins))
+        total = np.zeros((4, size))
+        for x, y, w, _ in _weighed(batches, d, recent, rate):
+            cell = np.zeros(len(y), np.int64)
+            for f in range(d):
+                cell = cell * bins[f] + np.searchsorted(cuts[f], x[:, f])
+            wy = w * y
+            for j, v in enumerate((w, wy, wy * y, None)):
+                total[j] += np.bincount(cell, weights=v, minlength=size)
+        yield _cell_sums(total.T)
+    return run
+
+
+def _cell_sums(total: np.ndarray):
+    """A record of the cells that have rows."""
+    at = np.flatnonzero(total[:, 3])
+    return pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+                                       pa.array([np.ascontiguousarray(total[at]).tobytes()], pa.binary())], ["at", "sums"])
+
+
+def _add_cells(cells: int):
+    def run(batches):
+        total = np.zeros((cells, 4))
+        for batch in batches:
+            for at, v in zip(*batch.columns):
+                total[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(v.as_buffer()).reshape(-1, 4)
+        yield _cell_sums(total)
+    return run
+
+
 def _add_sums(batches):
     total = None
     for batch in batches:
